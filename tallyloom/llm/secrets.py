@@ -128,7 +128,8 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     more = added(found, most_owners, most_repos).select(F.col("key").alias(names["key"]), F.col("mark").alias(names["mark"]), F.transform("more", lambda f: F.array(f["start"], f["stop"])).alias(names["more"]))
     keyed = docs.withColumns({names["key"]: key_of(id_col), names["mark"]: F.xxhash64(bytes_of(text_col), F.lit(1))})
     source = keyed.join(more, [names["key"], names["mark"]], "left").select(*[F.col(f"`{c}`") for c in docs.columns], names["more"])
-    at = docs.columns.index(text_col)
+    schema, names = docs.schema, docs.columns
+    at = names.index(text_col)
 
     def run(batches):
         for batch in batches:
@@ -141,10 +142,10 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
                         parts += [text[end:a], put]
                     end = max(end, b)
                 texts.append("".join([*parts, text[end:]]) if spans else text)
-            columns = {c: batch.column(i) for i, c in enumerate(docs.columns)} | {text_col: texts}
-            yield batch_of(columns, docs.schema)
+            columns = {c: batch.column(i) for i, c in enumerate(names)} | {text_col: texts}
+            yield batch_of(columns, schema)
 
-    out = source.mapInArrow(run, docs.schema)
+    out = source.mapInArrow(run, schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType)))
     return out
