@@ -3,7 +3,7 @@
 The distinct pre-tokens of a block of documents are laid out as one array of bytes. An inverted
 index maps the rank of each token pair to the positions where that pair starts. Ranks are taken in
 order; one step merges every occurrence of a pair in the whole block and updates only the pairs to
-its left and right. Blocks are Arrow batches, so memory doesn't grow with a partition, nothing is
+its left and right. Blocks are bounded in characters, so memory doesn't grow with a partition, nothing is
 shuffled, and a lost task is just run again. Chunks seen before come from a bounded cache of the
 Python worker.
 
@@ -26,6 +26,8 @@ from tallyloom.llm.chunks import ChunkCodec
 from tallyloom.llm.common import batch_of, struct, text_of
 
 NONE = np.int32(2**31 - 1)
+#: Characters of the documents whose new pre-tokens are replayed together.
+BLOCK = 8 << 20
 #: Unicode's White_Space, which `\s` means in the pattern; Python's own `\s` has four more.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -194,7 +196,7 @@ class Encoding:
         pattern = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.split = regex.compile(pattern).findall
         self.replay = MergeReplay(load_ranks(path))
-        self.codec = ChunkCodec(self.encode_many)
+        self.codec = ChunkCodec(self.encode_many, BLOCK)
         size = max(self.replay.ranks.values()) + 1
         self.token = [b""] * size
         for token, rank in self.replay.ranks.items():

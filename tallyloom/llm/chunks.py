@@ -8,7 +8,7 @@ space next to a space are encoded as a whole.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 #: Entries of one cache; a worker that fills it starts again, which costs time and nothing else.
 CACHE_ENTRIES = 900_000
@@ -19,71 +19,62 @@ LONGEST_CACHED = 48
 class ChunkCodec:
     """Encodes texts to ids, as bytes of little-endian unsigned 32-bit integers.
 
-    encode_many(strings) gives the ids of each string alone, encode_whole(text) those of a text.
+    encode_many(strings) gives the ids of each string alone. block is how many characters are split
+    at a time: the parts of a block are held in memory.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
-        self.encode_many = encode_many
-        self.entries = entries
-        self.after_space: dict[str, bytes | None] = {}
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], block: int, entries: int = CACHE_ENTRIES):
+        self.encode_many, self.block, self.entries = encode_many, block, entries
+        #: Ids of " chunk"; None where white space stands beside the space.
+        self.known: dict[str, bytes | None] = {}
 
-    def learn(self, texts: Iterable[str]) -> dict[str, bytes]:
-        """Fills the cache with what texts need. Returns the ids of what is too long for it and of first chunks."""
-        known = self.after_space
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out: list[bytes] = []
+        start = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= self.block:
+                out += self.encode_block(texts[start : i + 1])
+                start, size = i + 1, 0
+        return out + self.encode_block(texts[start:])
+
+    def encode_block(self, texts: list[str]) -> list[bytes]:
+        known = self.known
         if len(known) > self.entries:
             known.clear()
         new: set[str] = set()
-        first: set[str] = set()
+        heads, bodies = [], []
         for text in texts:
-            parts = text.split(" ")
-            first.add(parts[0])
-            seen = set(parts[1:])
-            new.update(x for x in seen if x not in known)
-        odd = [x for x in new if not x or x[0].isspace() or x[-1].isspace()]
-        new.difference_update(odd)
-        clean_first = [x for x in first if x and not x[-1].isspace()]
-        spaced = list(new)
-        ids = self.encode_many([f" {x}" for x in spaced] + clean_first)
-        once: dict[str, bytes] = {}
-        for x, i in zip(spaced, ids):
-            if len(x) <= LONGEST_CACHED:
-                known[x] = i
-            else:
-                once[x] = i
-        for x in odd:
-            if len(x) <= LONGEST_CACHED:
-                known[x] = None
-        self.first = dict(zip(clean_first, ids[len(spaced):]))
-        return once
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        once = self.learn(texts)
-        known, out, whole = self.after_space, [], []
-        for at, text in enumerate(texts):
-            parts = text.split(" ")
-            head = self.first.get(parts[0])
-            if head is None:
-                out.append(b"")
-                if text:
-                    whole.append(at)
-                continue
-            parts[0] = ""
-            try:
-                body = [known[x] for x in parts[1:]]
-                body[:0] = [head]
-                out.append(b"".join(body))
-            except KeyError:  # something long
-                body = [once[x] if x in once else known.get(x) for x in parts[1:]]
-                if None in body:
-                    out.append(b"")
-                    whole.append(at)
-                else:
-                    out.append(head + b"".join(body))
-            except TypeError:  # white space beside a space
-                out.append(b"")
+            head, *body = text.split(" ")
+            new |= set(body).difference(known)
+            heads.append(head)
+            bodies.append(body)
+        odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
+        new -= odd
+        spaced, first = list(new), list({x for x in heads if x and not x[-1].isspace()})
+        ids = self.encode_many([f" {x}" for x in spaced] + first)
+        long = {x: i for x, i in zip(spaced, ids) if len(x) > LONGEST_CACHED}
+        known.update((x, i) for x, i in zip(spaced, ids) if len(x) <= LONGEST_CACHED)
+        known.update((x, None) for x in odd if len(x) <= LONGEST_CACHED)
+        head_ids = dict(zip(first, ids[len(spaced) :]))
+        out, whole = [], []
+        for at, (head, body) in enumerate(zip(heads, bodies)):
+            start = head_ids.get(head)
+            if start is not None:
+                try:
+                    out.append(start + b"".join(map(known.__getitem__, body)))
+                    continue
+                except KeyError:  # something long
+                    parts = [long[x] if x in long else known.get(x) for x in body]
+                    if None not in parts:
+                        out.append(start + b"".join(parts))
+                        continue
+                except TypeError:  # white space beside a space
+                    pass
+            out.append(b"")
+            if texts[at]:
                 whole.append(at)
-        if whole:
-            for at, ids in zip(whole, self.encode_many([texts[i] for i in whole])):
-                out[at] = ids
+        for at, ids in zip(whole, self.encode_many([texts[i] for i in whole])):
+            out[at] = ids
         return out

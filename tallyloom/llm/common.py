@@ -77,6 +77,20 @@ def batch_of(columns: dict[str, list], schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
 
-def struct(*fields: tuple[str, str]) -> T.StructType:
-    """A schema from pairs of name and SQL type."""
-    return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
+SIMPLE = {"long": T.LongType(), "bigint": T.LongType(), "int": T.IntegerType(), "smallint": T.ShortType(), "tinyint": T.ByteType(), "string": T.StringType(), "double": T.DoubleType(), "float": T.FloatType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+
+
+def kind_of(name: str) -> T.DataType:
+    """A type from its SQL name, without a session; what isn't known here is left to Spark."""
+    if name in SIMPLE:
+        return SIMPLE[name]
+    if name.startswith("array<"):
+        return T.ArrayType(kind_of(name[6:-1]))
+    if name.startswith("struct<") and "<" not in name[7:]:
+        return struct(*[tuple(f.split(":")) for f in name[7:-1].split(",")])
+    return T._parse_datatype_string(name)
+
+
+def struct(*fields) -> T.StructType:
+    """A schema from pairs of name and type, or the type's SQL name."""
+    return T.StructType([T.StructField(n, kind_of(t) if isinstance(t, str) else t) for n, t in fields])

@@ -16,6 +16,14 @@ def fold(column: str, n: int):
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col(column).cast("string"), "UTF-8")), F.lit(n)), F.lit(0))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import substring_dedup
+
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import language
 
@@ -32,6 +40,24 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import pages
+
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import media
+
+    return media.stored_media(table(spark, sf_dir, "documents")).drop("tile")
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import token_store
+
+    return token_store.stored_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import decontaminate
 
@@ -45,6 +71,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = fold("doc_id", 3) == 1
+    machine = toxicity.train(docs, labels.where(~held))
+    found = toxicity.scored(docs.withColumn("held_out", held), machine, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import secrets
 
@@ -52,7 +88,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_byte_bpe, op7_decontamination, op8_simhash, op10_secret_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_language_id,
+        op3_byte_bpe,
+        op4_page_text,
+        op5_media,
+        op6_token_store,
+        op7_decontamination,
+        op8_simhash,
+        op9_toxicity,
+        op10_secret_scan,
+    )
+}
 
 #: The queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
