@@ -10,8 +10,8 @@ hashed terms, not as text. Buckets that tell the labels apart and the most frequ
 at most FEATURES of them. Scoring ships the fitted arrays, of constant size, and shuffles nothing.
 
 Defined results: null or empty text has no terms and the score of the bias; rows without a label or
-with a null id teach nothing; without rows of both labels, every score is the share of label 1 (0 if there
-are none); repeated rows get equal scores; of several labels of one id the greatest counts.
+with a null id teach nothing; without rows of both labels or any telling term, every score is the share of label 1
+(0 if there are none); repeated rows get equal scores; of several labels of one id the greatest counts.
 """
 
 from __future__ import annotations
@@ -79,9 +79,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, fa
     """Minimises the log loss, rows of label 1 counting weight times, by Adagrad over batches of 128 rows."""
     labels = np.asarray(labels, np.float64)
     share = float(labels.mean()) if len(labels) else 0.0
-    if not 0 < share < 1:
+    buckets = chosen_buckets(rows, labels, features) if 0 < share < 1 and any(map(len, rows)) else np.empty(0, np.int64)
+    if not len(buckets):
         return Machine(np.empty(0, np.int64), float(np.clip(np.log(max(share, 1e-15) / max(1 - share, 1e-15)), -35, 35)), np.empty(0), np.empty((0, factors)))
-    buckets = chosen_buckets(rows, labels, features)
     random = np.random.default_rng(seed)
     x = np.zeros((len(rows), len(buckets)), np.bool_)
     for i, own in enumerate(rows):

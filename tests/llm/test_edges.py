@@ -38,7 +38,7 @@ def texts():
 
 def test_substring_dedup(odd, none):
     rows = substring_dedup.dedup(odd).collect()
-    assert sorted((str(r.doc_id), r.n_words) for r in rows) == [(i, len(t.encode().split())) for i, t in texts()]
+    assert sorted((str(r.doc_id), r.n_words) for r in rows) == sorted((i, len(t.encode().split())) for i, t in texts())
     by = {(r.doc_id, r.kept) for r in rows}
     assert (1, "The cat sat. " + PASSAGE) in by and (12, "") in by and (6, "same text here, twice") in by and (None, "no id here") in by
     assert substring_dedup.dedup(none).count() == 0
