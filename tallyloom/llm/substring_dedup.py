@@ -16,7 +16,9 @@ factor. Factors of at least a window become duplicate spans.
 4. A document's spans are put together and its kept words returned.
 
 Anchors are about an eighth of the words. A task gives at most one row of a region to its block, so
-that a passage held by a third of all documents doesn't gather in one task.
+that a passage held by a third of all documents doesn't gather in one task. An anchor that has many
+regions in one task (a phrase that recurs in ever other surroundings) is a boundary for sure: its
+regions are spread by their hashes, and one row as a witness tells the anchor's block.
 
 Defined results: null, empty or blank text has no words; texts of fewer words than a window keep all;
 rows of the same id and text are one document; rows of one id and different texts are ordered by
@@ -39,6 +41,10 @@ WINDOW = 20
 RUN = 6
 #: Rows that a task settles among themselves before it hands them on.
 PIECE = 1 << 20
+#: Regions of one anchor that a task gives to the anchor's block; if there are more, it spreads them.
+MOST_REGIONS = 16
+#: What a row is: an occurrence, a repeat that is settled, a sure boundary, a witness of other regions.
+PLAIN, COPY, EDGE, WITNESS = range(4)
 
 C1, C2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 MARK = (1 << 24) - 1
@@ -119,7 +125,7 @@ def settle(a: np.ndarray, b: np.ndarray, key: np.ndarray, loc: np.ndarray) -> tu
     return order, fresh, later
 
 
-ROWS = struct(("a", "long"), ("b", "long"), ("key", "long"), ("loc", "long"), ("settled", "boolean"))
+ROWS = struct(("a", "long"), ("b", "long"), ("key", "long"), ("loc", "long"), ("kind", "tinyint"))
 #: loc: first window << 32 | number of windows << 24 | 24 bits that tell texts of one id apart.
 
 
@@ -128,15 +134,28 @@ def batches_of(columns: list[np.ndarray], names: list[str]):
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=names)
 
 
-def given(parts: list[tuple[np.ndarray, ...]]):
-    """Rows for the blocks: the first occurrence of each (a, b) in parts, and repeats as settled, spread out."""
+def given(parts: list[tuple[np.ndarray, ...]], spread: bool = True):
+    """Rows for the blocks: the first occurrence of each (a, b) in parts, and repeats as settled, dealt out anywhere.
+
+    With spread, an a of many b is dealt out by b, and one of its rows is a witness in the block of a.
+    """
     a, b, key, loc = (np.concatenate(x) for x in zip(*parts))
     parts.clear()
-    order, _, later = settle(a, b, key, loc)
+    order, fresh, later = settle(a, b, key, loc)
     a, b, key, loc = a[order], b[order], key[order], loc[order]
-    a = np.where(later, mixed(loc.astype(np.uint64) * np.uint64(C2) ^ key.astype(np.uint64)), a)
-    b = np.where(later, np.uint64(0), b)
-    yield from batches_of([a.view(np.int64), b.view(np.int64), key, loc, later], ROWS.names)
+    kind = np.where(later, np.int8(COPY), np.int8(PLAIN))
+    extra = np.empty(0, np.int64)
+    if spread:
+        begins = np.r_[True, a[1:] != a[:-1]]
+        group = np.cumsum(begins) - 1
+        many = (np.bincount(group[fresh]) > MOST_REGIONS)[group]
+        kind[many & ~later] = EDGE
+        extra = np.flatnonzero(begins & many)
+    home = np.where(kind == COPY, mixed(loc.astype(np.uint64) * np.uint64(C2) ^ key.astype(np.uint64)), np.where(kind == EDGE, mixed(a ^ mixed(b)), a))
+    b = np.where(kind == COPY, np.uint64(0), b)
+    rows = [(home, a[extra]), (b, ~b[extra]), (key, key[extra]), (loc, loc[extra]), (kind, np.full(len(extra), WITNESS, np.int8))]
+    home, b, key, loc, kind = (np.concatenate(x) for x in rows)
+    yield from batches_of([home.view(np.int64), b.view(np.int64), key, loc, kind], ROWS.names)
 
 
 def copies(rows: DataFrame, boundaries: bool) -> DataFrame:
@@ -148,23 +167,23 @@ def copies(rows: DataFrame, boundaries: bool) -> DataFrame:
         parts = []
         for x in batches:
             if x.num_rows:
-                columns = [x.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-                done = columns[4]
+                columns = [x.column(i).to_numpy() for i in range(5)]
+                done = columns[4] == COPY
                 yield from batches_of([columns[2][done], columns[3][done]], schema.names)
-                parts.append([c[~done] for c in columns[:4]])
+                parts.append([c[~done] for c in columns])
         if not parts:
             return
-        a, b, key, loc = (np.concatenate(x) for x in zip(*parts))
+        a, b, key, loc, kind = (np.concatenate(x) for x in zip(*parts))
         if not len(a):
             return
         order, fresh, later = settle(a, b, key, loc)
-        key, loc = key[order], loc[order]
-        yield from batches_of([key[later], loc[later]], schema.names)
+        a, key, loc, kind = a[order], key[order], loc[order], kind[order]
+        real = kind != WITNESS
+        yield from batches_of([key[later & real], loc[later & real]], schema.names)
         if boundaries:
-            a = a[order]
             group = np.cumsum(np.r_[False, a[1:] != a[:-1]])
             several = np.bincount(group[fresh])[group] > 1
-            edge = several & ~later
+            edge = (several | (kind == EDGE)) & ~later & real
             yield from batches_of([key[edge], ~loc[edge]], schema.names)
 
     return rows.repartition("a").mapInArrow(run, schema)
@@ -211,10 +230,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 parts.append((a, b, np.full(len(a), key), first << 32 | 1 << 24 | mark))
                 n += len(a)
                 if n >= PIECE:
-                    yield from given(parts)
+                    yield from given(parts, False)
                     n = 0
         if parts:
-            yield from given(parts)
+            yield from given(parts, False)
 
     at = ["key", "mark"]
     edges = source.join(found.where(F.exists("places", lambda p: p < 0)), at).select("id", "key", "mark", "places", "text")

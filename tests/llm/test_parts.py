@@ -140,6 +140,21 @@ def test_regions_cover_each_window_once():
     assert [x for f, c in zip(first.tolist(), count.tolist()) for x in range(f, f + c)] == list(range(381))
 
 
+def test_phrases_in_many_surroundings(spark):
+    """One short phrase in ever other words, in tasks that spread it and in tasks that don't."""
+    from tests.llm.test_queries import brute_removed, sha
+
+    draw = random.Random(3)
+    phrase = [f"p{i}" for i in range(8)]
+    texts = [" ".join(w for _ in range(draw.randint(1, 40)) for w in phrase + [f"x{draw.randint(0, 60)}" for _ in range(draw.randint(4, 9))]) for _ in range(60)]
+    texts += [texts[3], texts[5] + " end", "start " + texts[7]]
+    docs = dict(enumerate(texts))
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for parts in (1, 7, 63):
+        got = {r.doc_id: (r.n_words, sum(b - a for a, b in r.spans), sha(r.kept)) for r in substring_dedup.dedup(frame.repartition(parts)).collect()}
+        assert got == brute_removed(docs)
+
+
 def test_automaton_offsets():
     text = "Ä, The quick-brown FOX! jumps; over the lazy dog's back now".encode()
     words = decontaminate.words_of(text)
