@@ -6,8 +6,9 @@ shorter item) are the automaton's patterns. A document is scanned once; hits are
 words and to byte offsets of the original text.
 
 The benchmark is shipped to the tasks. Its size is checked: beyond bound bytes it is cut into parts
-by item, each with an automaton of its own, and the hits of the parts are put together. Nothing
-else is gathered, and without several parts nothing is shuffled.
+by item. Each part is one more scan with an automaton of its own, its hits are written to the shared
+folder, and all hits of a document are put together in the end; so neither the driver nor a task ever
+holds more than a part. Nothing else is gathered, and with one part nothing is shuffled.
 
 Defined results: null or empty text has no words and no hits; a null or wordless item has no window;
 items of the same words all count; repeated rows get equal results; a null item_id is left out of
@@ -16,18 +17,17 @@ the list of items, though its windows hit.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import batch_of, bytes_of, free_name, struct, text_of
+from tallyloom.llm.common import batch_of, bytes_of, cut, free_name, key_of, struct
 
 WINDOW = 10
-#: UTF-8 bytes of benchmark text that one automaton takes (about 100 times this in memory at worst).
-BOUND = 4 << 20
+#: UTF-8 bytes of benchmark text that one automaton takes; in memory it is some 500 times as large.
+BOUND = 1 << 19
 
 #: Byte by byte: letters in lower case, digits and bytes above 0x7F as they are, all else a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -99,43 +99,56 @@ def parts_of(items: DataFrame, id_col: str, text_col: str, bound: int) -> Iterat
         yield [(r.id, bytes(r.text)) for r in part.distinct().collect()]
 
 
-def scanned(docs: DataFrame, parts: list, text_col: str, keep: list[str], window: int) -> tuple[DataFrame, str]:
-    """keep and a struct of n_words, spans of hit words, their bytes, and the item ids."""
+FOUND = struct(("n_words", "long"), ("words", "array<array<int>>"), ("bytes", "array<array<int>>"), ("items", "array<string>"))
+
+
+def scanned(docs: DataFrame, items: list[tuple[str | None, bytes]], text_col: str, keep: list[str], window: int, known: str | None = None) -> tuple[DataFrame, str]:
+    """keep and a struct of n_words, spans of hit words, their bytes, and the item ids; known: such a column whose hits count as well."""
     raw, out = free_name(docs, "_leak_text"), free_name(docs, "_leak")
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], bytes_of(text_col).alias(raw))
-    schema = source.drop(raw).schema.add(out, struct(("n_words", "long"), ("words", "array<array<int>>"), ("bytes", "array<array<int>>"), ("items", "array<string>")))
+    before = F.col(known) if known else F.lit(None).cast(FOUND)
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], bytes_of(text_col).alias(raw), before.alias(out))
+    schema = source.drop(raw).schema
 
     def run(batches):
-        automata = [Automaton(p, window) for p in parts]
+        one = Automaton(items, window)
         for batch in batches:
             found = []
-            for text in batch.column(len(keep)).to_pylist():
-                words, spans, items = words_of(text), [], set()
-                for one in automata:
-                    for a, b, who in one.scan(words):
-                        spans.append((a, b))
-                        items.update(one.names[i] for i in who)
+            for text, had in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()):
+                words = words_of(text)
+                spans = [tuple(s) for s in had["words"]] if had else []
+                names = set(had["items"]) if had else set()
+                for a, b, who in one.scan(words):
+                    spans.append((a, b))
+                    names.update(one.names[i] for i in who)
                 spans = merge(spans)
-                found.append({"n_words": len(words), "words": spans, "bytes": byte_spans(text, spans) if spans else [], "items": sorted(x for x in items if x is not None)})
+                found.append({"n_words": len(words), "words": spans, "bytes": byte_spans(text, spans) if spans else [], "items": sorted(x for x in names if x is not None)})
             columns = {c: batch.column(i) for i, c in enumerate(keep)}
             yield batch_of(columns | {out: found}, schema)
 
     return source.mapInArrow(run, schema), out
 
 
-def leaks(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, bound: int = BOUND) -> tuple[DataFrame, str]:
-    """docs (or its columns keep) and a struct of what is hit; returns that frame and the struct's name.
-
-    More than one part of the benchmark: each batch is scanned by each automaton in turn. A worker
-    then holds all automata, bound bytes each; a benchmark too large for that needs a second call.
-    """
+def leaks(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, bound: int = BOUND) -> tuple[DataFrame, str]:
+    """docs (or its columns keep) and a struct of what is hit; returns that frame and the struct's name."""
     keep = docs.columns if keep is None else keep
-    return scanned(docs, list(parts_of(items, item_col, item_text, bound)), text_col, keep, window)
+    parts = parts_of(items, item_col, item_text, bound)
+    first, hits, known = next(parts), None, None
+    for part in parts:
+        rows = docs.select(key_of(id_col).alias("key"), F.xxhash64(bytes_of(text_col), F.lit(1)).alias("mark"), F.col(f"`{text_col}`").alias("text"))
+        found, out = scanned(rows, part, "text", ["key", "mark"], window)
+        found = cut(found.where(F.size(F.col(out)["words"]) > 0))
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is not None:
+        key, mark, known = free_name(docs, "_leak_key"), free_name(docs, "_leak_mark"), free_name(docs, "_leak_known")
+        flat = lambda field: F.array_distinct(F.flatten(F.collect_list(F.col(out)[field])))
+        every = hits.groupBy(F.col("key").alias(key), F.col("mark").alias(mark)).agg(F.struct(F.lit(0).cast("long").alias("n_words"), flat("words").alias("words"), flat("bytes").alias("bytes"), flat("items").alias("items")).cast(FOUND).alias(known))
+        docs = docs.withColumns({key: key_of(id_col), mark: F.xxhash64(bytes_of(text_col), F.lit(1))}).join(every, [key, mark], "left")
+    return scanned(docs, first, text_col, keep, window, known)
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """For each document: id, n_words, n_hit, n_items, items_sha256, contaminated, and hit spans and items."""
-    found, out = leaks(docs, items, [id_col], **how)
+    found, out = leaks(docs, items, [id_col], id_col=id_col, **how)
     hit = F.col(out)
     return found.select(
         F.col(f"`{id_col}`"),
