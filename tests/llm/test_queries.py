@@ -196,3 +196,13 @@ def test_op10(spark, documents):
         assert [s for s in r["spans"].split(",") if s and not s.startswith("owned")] == written
         total += len(spans)
     assert total > 20
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql_twins(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    twin = con.sql(queries.ORACLE_SQL[name])
+    frame = queries.QUERIES[name](spark, SF).select(*twin.columns)
+    assert sorted(map(tuple, frame.collect())) == sorted(twin.fetchall())
