@@ -8,10 +8,14 @@ count. With given edges instead of a list, pass edges directly.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.exprs import even
+from tallyloom.sources.session import cut
 
 CHAIN = ("Basis", "Antrieb", "Steuerung", "Gehäuse")
 ACCESSORY = "Zubehör"
@@ -45,13 +49,35 @@ def chains(components: DataFrame, compatible: DataFrame, basis: str | None = Non
 def win_rates(chain: DataFrame, offers: DataFrame, least: int = 2, fallback: float = FALLBACK_RATE) -> DataFrame:
     """chain with win_prob: the share won of offers with at least so many of its components (three digits).
 
-    Chains share few components, so overlaps are counted on distinct pairs of a component and an offer.
+    Offers are counted by the sets of components they hold, one from each place of a chain at most; how many hold
+    at least so many of a chain's follows from the counts of its subsets (inclusion and exclusion). So chains meet
+    counts of sets, never offers.
     """
+    chain = cut(chain)  # read for each place and in the end
     names = [c for c in chain.columns if c.startswith("c")]
+    places = None
+    for i, c in enumerate(names):
+        one = chain.select(F.lit(i).alias("slot"), F.col(c).alias("teil")).distinct()
+        places = one if places is None else places.unionByName(one)
     parts = offers.select("angebot_id", "gewonnen", F.explode(F.array_distinct(id_list("konfiguration"))).alias("teil"))
-    own = chain.select(*names, F.explode(F.array(*names)).alias("teil"))
-    shared = own.join(parts, "teil").groupBy(*names, "angebot_id").agg(F.count("*").alias("n"), F.max("gewonnen").alias("won")).where(F.col("n") >= least)
-    rate = shared.groupBy(*names).agg(even(F.avg(F.col("won").cast("double")), 3).alias("win_prob"))
+    parts = parts.join(places, "teil").groupBy("angebot_id", "slot", "teil").agg(F.max("gewonnen").alias("won"))
+    item = F.concat_ws(":", F.col("slot").cast("string"), "teil")
+    held = parts.select("angebot_id", "won", "slot", item.alias("menge"))
+    more = parts.select("angebot_id", F.col("slot").alias("_slot"), item.alias("_item"))
+    counts, subsets = None, []
+    for size in range(1, len(names) + 1):
+        if size > 1:
+            held = held.join(more, "angebot_id").where("_slot > slot").select("angebot_id", "won", F.col("_slot").alias("slot"), F.concat_ws("|", "menge", "_item").alias("menge"))
+        if size >= least:
+            one = held.groupBy("menge").agg(F.count("*").alias("n"), F.sum("won").alias("w"))
+            counts = one if counts is None else counts.unionByName(one)
+            sign = (-1) ** (size - least) * comb(size - 1, least - 1)
+            for some in combinations(range(len(names)), size):
+                key = F.concat_ws("|", *[F.concat_ws(":", F.lit(str(i)), F.col(names[i])) for i in some])
+                subsets.append(F.struct(F.lit(sign).alias("sign"), key.alias("menge")))
+    own = chain.select(*names, F.explode(F.array(*subsets)).alias("s")).select(*names, "s.sign", "s.menge").join(counts, "menge")
+    sums = own.groupBy(*names).agg(F.sum(F.col("sign") * F.col("n")).alias("n"), F.sum(F.col("sign") * F.col("w")).alias("w"))
+    rate = sums.where("n > 0").select(*names, even(F.col("w").cast("double") / F.col("n"), 3).alias("win_prob"))
     return chain.join(rate, names, "left").withColumn("win_prob", F.coalesce("win_prob", F.lit(fallback)))
 
 
@@ -67,7 +93,7 @@ def accessories(chain: DataFrame, components: DataFrame, compatible: DataFrame,
 def scored(components: DataFrame, offers: DataFrame, compatible: DataFrame | None = None, basis: str | None = None) -> DataFrame:
     """Chains with price, cost, margin in per cent, win_prob and score = margin x win_prob (unrounded in the product)."""
     compatible = edges(components) if compatible is None else compatible
-    chain = chains(components, compatible, basis)
+    chain = cut(chains(components, compatible, basis))
     names = chain.columns
     price = components.select("komponente_id", F.col("listenpreis").cast("decimal(20,2)").alias("preis"), F.col("herstellkosten").cast("decimal(20,2)").alias("kosten"))
     own = chain.select(*names, F.explode(F.array(*names)).alias("komponente_id")).join(price, "komponente_id").select(*names, "preis", "kosten")
