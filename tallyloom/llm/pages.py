@@ -31,7 +31,9 @@ from tallyloom.llm.common import batch_of, key_of, struct, text_of
 MIN_PAGES, MIN_SHARE = 4, 0.1
 
 PIECE = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Attributes that say what an element is for; tags without any of these words have none.
+TELLING = re.compile("class|id|role|hidden", re.I)
 
 # Fixed values of HTML: elements without an end tag, elements whose text is no markup, block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,10 +66,9 @@ class Node:
         self.tag, self.up, self.parts = tag, up, []
         self.names: list[str] = []
         self.role, self.hidden = "", False
-        if attributes and ("=" in attributes or "hidden" in attributes):
-            for m in NAMES.finditer(attributes):
-                value = (m[2] or m[3] or m[4] or "").lower()
-                what = m[1].lower()
+        if attributes and TELLING.search(attributes):
+            for m in ATTRIBUTE.finditer(attributes):
+                what, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if what == "role":
                     self.role = value
                 elif what == "hidden" or what == "aria-hidden" and value == "true":

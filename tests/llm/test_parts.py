@@ -203,6 +203,7 @@ MARKUP = [
     ("<p>1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
     ("<TITLE>t</TITLE><BODY><P>Up</P></BODY>", "Up"),
     ("</p></div><p>x</b>y", "xy"),
+    ("<article><p>a <a href='/?class=ad&hidden=1'>b</a> <span data-hidden=1 data-class='ad'>c</span><i hidden>d</i></p></article>", "a b c"),
 ]
 
 
