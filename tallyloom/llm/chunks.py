@@ -10,23 +10,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Entries of one cache; a worker that fills it starts again, which costs time and nothing else.
-CACHE_ENTRIES = 900_000
+#: Chunks of one generation of the cache; two are held.
+CACHE_ENTRIES = 600_000
 #: Longer chunks are encoded anew each time, so that the cache's bytes are bounded as well.
 LONGEST_CACHED = 48
 
 
+class Places(dict):
+    """Where the ids of each chunk stand in the codec's list; a chunk that is looked up gets a place."""
+
+    def __init__(self, codec: ChunkCodec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, chunk: str) -> int:
+        at = self.codec.old.get(chunk)
+        if at is None:
+            at = len(self.codec.ids)
+            self.codec.ids.append(None)
+            self.codec.new.append(chunk)
+        self[chunk] = at
+        return at
+
+
 class ChunkCodec:
     """Encodes texts to ids, as bytes of little-endian unsigned 32-bit integers.
 
-    encode_many(strings) gives the ids of each string alone. block is how many characters are split
-    at a time: the parts of a block are held in memory.
+    encode_many(strings) gives the ids of each string alone. block is how many characters are looked up
+    at a time: the places of a block's chunks are held in memory. When a generation is full, chunks that it
+    didn't see are forgotten.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], block: int, entries: int = CACHE_ENTRIES):
         self.encode_many, self.block, self.entries = encode_many, block, entries
         #: Ids of " chunk"; None where white space stands beside the space.
-        self.known: dict[str, bytes | None] = {}
+        self.ids: list[bytes | None] = []
+        self.known, self.old, self.new = Places(self), {}, []
+
+    def turn(self) -> None:
+        """The generation becomes the old one, what only the one before knew goes."""
+        self.ids = [self.ids[i] for i in self.known.values()]
+        self.old = dict(zip(self.known, range(len(self.ids))))
+        self.known = Places(self)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -40,36 +65,27 @@ class ChunkCodec:
         return out + self.encode_block(texts[start:])
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.entries:
-            known.clear()
-        new: set[str] = set()
+        if len(self.known) > self.entries:
+            self.turn()
+        place, self.new = self.known.__getitem__, []
         heads, bodies = [], []
         for text in texts:
             head, *body = text.split(" ")
-            new |= set(body).difference(known)
             heads.append(head)
-            bodies.append(body)
-        odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
-        new -= odd
-        spaced, first = list(new), list({x for x in heads if x and not x[-1].isspace()})
-        ids = self.encode_many([f" {x}" for x in spaced] + first)
-        long = {x: i for x, i in zip(spaced, ids) if len(x) > LONGEST_CACHED}
-        known.update((x, i) for x, i in zip(spaced, ids) if len(x) <= LONGEST_CACHED)
-        known.update((x, None) for x in odd if len(x) <= LONGEST_CACHED)
-        head_ids = dict(zip(first, ids[len(spaced) :]))
-        out, whole = [], []
+            bodies.append(list(map(place, body)))
+        clean = [x for x in self.new if x and not x[0].isspace() and not x[-1].isspace()]
+        first = list({x for x in heads if x and not x[-1].isspace()})
+        found = self.encode_many([f" {x}" for x in clean] + first)
+        for x, ids in zip(clean, found):
+            self.ids[place(x)] = ids
+        head_ids = dict(zip(first, found[len(clean) :]))
+        out, whole, at_ids = [], [], self.ids.__getitem__
         for at, (head, body) in enumerate(zip(heads, bodies)):
             start = head_ids.get(head)
             if start is not None:
                 try:
-                    out.append(start + b"".join(map(known.__getitem__, body)))
+                    out.append(start + b"".join(map(at_ids, body)))
                     continue
-                except KeyError:  # something long
-                    parts = [long[x] if x in long else known.get(x) for x in body]
-                    if None not in parts:
-                        out.append(start + b"".join(parts))
-                        continue
                 except TypeError:  # white space beside a space
                     pass
             out.append(b"")
@@ -77,4 +93,7 @@ class ChunkCodec:
                 whole.append(at)
         for at, ids in zip(whole, self.encode_many([texts[i] for i in whole])):
             out[at] = ids
+        for x in self.new:
+            if len(x) > LONGEST_CACHED:
+                self.ids[self.known.pop(x)] = None
         return out

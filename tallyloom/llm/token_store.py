@@ -199,10 +199,11 @@ def read_tokens(spark, path: str, id_col: str = "doc_id", ids: bool = True) -> D
         for batch in batches:
             for first, nulls, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 keys, starts, codes = unpack_file(data)
+                every = codes.slice(0, codes.size)  # all documents of the file are asked for
                 out = {f.name: [] for f in schema}
                 for i, key in enumerate(keys.tolist()):
                     a, b = int(starts[i]), int(starts[i + 1])
-                    own = codes.slice(a, b)
+                    own = every[a:b]
                     out[id_col].append(None if i >= len(keys) - nulls else key)
                     out["start"].append(first + a)
                     out["n_tokens"].append(b - a)
