@@ -19,6 +19,7 @@ import heapq
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from tallyloom.llm.common import batch_of, struct, text_of
 NONE = np.int32(2**31 - 1)
 #: Characters of the documents whose new pre-tokens are replayed together.
 BLOCK = 8 << 20
+#: Rows of a batch of results.
+ROWS_OUT = 1_000
 #: Unicode's White_Space, which `\s` means in the pattern; Python's own `\s` has four more.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -236,15 +239,19 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches):
         own = encoding(path, pattern)
         for batch in batches:
-            texts, out = batch.column(1).to_pylist(), {f.name: [] for f in schema}
-            for code in own.encode(texts):
-                numbers = np.frombuffer(code, "<u4").tolist()
-                out["n_tokens"].append(len(numbers))
+            codes = own.encode(batch.column(1).to_pylist())
+            for a in range(0, len(codes), ROWS_OUT):
+                part = codes[a : a + ROWS_OUT]
+                out = {f.name: [] for f in schema}
+                for code in part:
+                    numbers = np.frombuffer(code, "<u4").tolist()
+                    out["n_tokens"].append(len(numbers))
+                    out["ids_sha256"].append(hashlib.sha256(",".join(map(own.decimal.__getitem__, numbers)).encode()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(own.decode(numbers)).hexdigest())
                 if ids:
-                    out["ids"].append(numbers)
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(own.decimal.__getitem__, numbers)).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(own.decode(numbers)).hexdigest())
-            out[id_col] = batch.column(0)
-            yield batch_of(out, schema)
+                    ends = np.cumsum([0, *out["n_tokens"]], dtype=np.int32)
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(part), "<i4")))
+                out[id_col] = batch.column(0).slice(a, len(part))
+                yield batch_of(out, schema)
 
     return docs.select(F.col(f"`{id_col}`"), text_of(text_col).alias("text")).mapInArrow(run, schema)

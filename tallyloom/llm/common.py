@@ -73,7 +73,7 @@ def batch_of(columns: dict[str, list], schema: T.StructType) -> pa.RecordBatch:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in ((f, columns[f.name]) for f in arrow)]
+    arrays = [pa.array(x, type=f.type) if not isinstance(x, pa.Array) else x if x.type == f.type else x.cast(f.type) for f, x in ((f, columns[f.name]) for f in arrow)]
     return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
 
