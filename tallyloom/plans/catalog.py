@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.exprs import even, exact_sum
 from tallyloom.operators import actions, anomaly, basket, churn, configure, deals, ensemble, graph, margin, monitor, recommend, resolve, series
 from tallyloom.plans.roles import duck_text, role
+from tallyloom.sources.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -147,6 +148,11 @@ def purchases(spark, sf_dir):
     return role(spark, sf_dir, "purchases")
 
 
+def owned(rows: DataFrame) -> DataFrame:
+    """What customers own, written once: pairs and recommendations read it on several sides of their joins."""
+    return cut(basket.owned(rows))
+
+
 @query(with_roles(f"SELECT COUNT(DISTINCT kunde_id) AS kunden, COUNT(DISTINCT produkt_id) AS produkte, COUNT(*) AS transaktionen, {dsum('umsatz')} AS umsatz FROM purchases", "purchases"))
 def basket_kpis(spark, sf_dir):
     return basket.kpis(purchases(spark, sf_dir))
@@ -154,17 +160,17 @@ def basket_kpis(spark, sf_dir):
 
 @query(with_roles("SELECT * FROM pairs", "purchases", extra=PAIRS))
 def basket_pairs_lift(spark, sf_dir):
-    return basket.pairs(basket.owned(purchases(spark, sf_dir)))
+    return basket.pairs(owned(purchases(spark, sf_dir)))
 
 
 @query(with_roles("SELECT * FROM pairs ORDER BY lift DESC, n DESC, a, b LIMIT 15", "purchases", extra=PAIRS))
 def basket_top_pairs(spark, sf_dir):
-    return basket.top_pairs(basket.pairs(basket.owned(purchases(spark, sf_dir))))
+    return basket.top_pairs(basket.pairs(owned(purchases(spark, sf_dir))))
 
 
 @query(with_roles("SELECT kunde_id, produkt_id, score, rang FROM rec", "purchases", extra=RECOMMEND))
 def basket_recommend_top3(spark, sf_dir):
-    own = basket.owned(purchases(spark, sf_dir))
+    own = owned(purchases(spark, sf_dir))
     return basket.recommend(own, basket.pairs(own))
 
 
@@ -191,7 +197,7 @@ YEAR_RECOMMEND = RECOMMEND.replace("FROM purchases", "FROM year_purchases")
     )
 )
 def basket_evidence(spark, sf_dir):
-    own = basket.owned(role(spark, sf_dir, "year_purchases"))
+    own = owned(role(spark, sf_dir, "year_purchases"))
     return basket.evidence(own, basket.recommend(own, basket.pairs(own))).select("kunde_id", "produkt_id", "anderer", "gemeinsam", "nr")
 
 
