@@ -268,3 +268,21 @@ def test_monitor(spark):
     on_edge = monitor.daily_trend(df.limit(1).withColumn("created_at", F.lit(1_000_000.0 - 86_400)), 1_000_000.0)
     assert {r.tag for r in on_edge.collect() if r.total} == {1}
     assert [r.nok_rate for r in monitor.alerts(df).collect()] == [30.0]
+
+
+def test_reconstruction_error_as_numpy(spark):
+    x = np.random.default_rng(0).normal(size=(40, 6)) * np.array([5, 4, 3, 1, 0.5, 0.1])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id int, embedding array<double>")
+    centred = x - x.mean(axis=0)
+    v = np.linalg.svd(centred, full_matrices=False)[2][:3]
+    want = ((centred - centred @ v.T @ v) ** 2).sum(axis=1)
+    got = {r.vec_id: r.score for r in anomaly.reconstruction_scores(df, 3).collect()}
+    assert [got[i] for i in range(40)] == pytest.approx(want.tolist())
+
+
+def test_hybrid_leaves_out_what_is_owned(spark):
+    rows = [(c, f"p{p}", float(1 + (c * 7 + p) % 5)) for c in range(6) for p in range(6) if (c + p) % 3]
+    df = spark.createDataFrame(rows, "kunde_id int, produkt_id string, umsatz double")
+    got = recommend.hybrid(df, iterations=4).collect()
+    assert {(r.kunde_id, r.produkt_id) for r in got} == {(c, f"p{p}") for c in range(6) for p in range(6)} - {(c, p) for c, p, _ in rows}
+    assert all(45 <= r.match <= 97 and 0 <= r.hybrid <= 1 for r in got) and all(r.match == 97 for r in got if r.rang == 1)
