@@ -28,7 +28,9 @@ from tallyloom.llm.common import batch_of, struct, text_of
 
 NONE = np.int32(2**31 - 1)
 #: Characters of the documents whose new pre-tokens are replayed together.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+#: Chunks of one generation of a worker's cache.
+CACHED = 200_000
 #: Rows of a batch of results.
 ROWS_OUT = 1_000
 #: Unicode's White_Space, which `\s` means in the pattern; Python's own `\s` has four more.
@@ -199,7 +201,7 @@ class Encoding:
         pattern = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.split = regex.compile(pattern).findall
         self.replay = MergeReplay(load_ranks(path))
-        self.codec = ChunkCodec(self.encode_many, BLOCK)
+        self.codec = ChunkCodec(self.encode_many, BLOCK, CACHED)
         size = max(self.replay.ranks.values()) + 1
         self.token = [b""] * size
         for token, rank in self.replay.ranks.items():
