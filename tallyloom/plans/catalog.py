@@ -584,7 +584,7 @@ def recommend_ppr(spark, sf_dir):
 
 @query()
 def recommend_hybrid(spark, sf_dir):
-    return recommend.hybrid(role(spark, sf_dir, "year_purchases"), top=3)
+    return recommend.hybrid(purchases(spark, sf_dir), top=3)
 
 
 @query(with_roles(f"SELECT kunde_id, COUNT(DISTINCT produkt_id) AS n_produkte, {ev('COUNT(DISTINCT produkt_id) / (SELECT CAST(COUNT(DISTINCT produkt_id) AS DOUBLE) FROM year_purchases) * 100')} AS abdeckung_pct FROM year_purchases WHERE umsatz > 0 GROUP BY kunde_id", "year_purchases"))
@@ -615,7 +615,7 @@ def recommend_explain(spark, sf_dir):
 
 @query()
 def communities(spark, sf_dir):
-    own = basket.owned(role(spark, sf_dir, "year_purchases"))
+    own = owned(purchases(spark, sf_dir))
     return graph.communities(basket.pairs(own).where("lift > 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 

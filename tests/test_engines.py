@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import exprs
 from tallyloom.operators import actions, anomaly, basket, churn, configure, deals, ensemble, graph, margin, monitor, recommend, resolve, series
+from tallyloom.plans import catalog
 
 
 def one(df):
@@ -286,3 +287,30 @@ def test_hybrid_leaves_out_what_is_owned(spark):
     got = recommend.hybrid(df, iterations=4).collect()
     assert {(r.kunde_id, r.produkt_id) for r in got} == {(c, f"p{p}") for c in range(6) for p in range(6)} - {(c, p) for c, p, _ in rows}
     assert all(45 <= r.match <= 97 and 0 <= r.hybrid <= 1 for r in got) and all(r.match == 97 for r in got if r.rang == 1)
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_hybrid_query_knows_the_purchases_of_all_years(spark):
+    bought = {(r.kunde_id, r.produkt_id) for r in catalog.purchases(spark, SMALL).where("umsatz > 0").select("kunde_id", "produkt_id").distinct().collect()}
+    got = {(r.kunde_id, r.produkt_id) for r in catalog.recommend_hybrid(spark, SMALL).collect()}
+    assert {k for k, _ in got} == {k for k, _ in bought} and not got & bought
+
+
+def test_communities_query_reads_all_years(spark):
+    buyers, customers = {}, set()
+    for r in catalog.purchases(spark, SMALL).where("umsatz > 0").select("kunde_id", "produkt_id").distinct().collect():
+        buyers.setdefault(r.produkt_id, set()).add(r.kunde_id)
+        customers.add(r.kunde_id)
+    names = sorted(buyers)
+    both = {(a, b): len(buyers[a] & buyers[b]) * len(customers) / (len(buyers[a]) * len(buyers[b])) for a in names for b in names if a < b and buyers[a] & buyers[b]}
+    linked = sorted(k for k, lift in both.items() if round(lift, 2) > 1)
+    nodes = sorted({x for k in linked for x in k})
+    at = {n: i for i, n in enumerate(nodes)}
+    label = graph.greedy_modularity(len(nodes), [(at[a], at[b]) for a, b in linked])
+    want = {frozenset(n for n in nodes if label[at[n]] == c) for c in set(label)}
+    got = {}
+    for r in catalog.communities(spark, SMALL).collect():
+        got.setdefault(r.community, set()).add(r.node)
+    assert {frozenset(x) for x in got.values()} == want
