@@ -1,19 +1,20 @@
 """Main text of web pages by site template removal.
 
 Every block element of a page gives a hash of its subtree (tag, class, words and the hashes of its
-children). Spark counts the pages of a host that hold each hash; subtrees that recur across many
-pages of their host are its template and are deleted. What stands in single pages, or in hosts of
+children). Spark counts the different main texts of a host whose pages hold each hash (copies of one main
+text count once); subtrees that recur across many of them are the host's template and are deleted. What stands in single pages, or in hosts of
 few pages, is told by its tag, role or class: menus, page headers and footers, side bars, notices,
 adverts, forms and comments.
 
 Where a page has an article, its headings and paragraphs are content even if other pages of the host
 repeat them (copies of an article are no template); inside it only blocks without any of these are
-deleted. Counting sums partial aggregates by host and hash, so a host with a third of all pages
-is spread over its hashes; a page gets back only its own hashes.
+deleted, and what lies in a list, table or figure only with the whole of it. On a page without an
+article, items and cells of mere text go only with their list or table. Counting is by host, hash and
+main text, so a host with a third of all pages is spread over its hashes; a page gets back only its own.
 
 Defined results: null or empty html gives empty text; a page without an article or main element is
 read as a whole; broken markup is closed as browsers do; a null id comes last; repeated rows of
-one id and html are one page in the counts and get equal results.
+one html are one page in the counts and get equal results.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 TEXT_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote dd dt".split())
+#: Parts of a list, table or figure, and these.
+ITEM = frozenset("li dt dd tr td th thead tbody tfoot caption figcaption".split())
+GROUP = frozenset("ul ol dl dir table figure".split())
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption option optgroup legend summary".split()) | {"summary"}
 #: What an opening tag ends, and where looking for it stops.
 ENDS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot tr td th", "table"), "thead": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table"), "option": ("option", "select optgroup datalist"), "optgroup": ("option optgroup", "select")}
@@ -169,35 +173,43 @@ def containers(root: Node) -> list[Node]:
 def hashes(root: Node, holders: list[Node]) -> tuple[dict[int, int], dict[int, bool]]:
     """By id of the node: its subtree's hash, and whether it may be deleted as template."""
     own, may = {}, {}
-    order, stack = [], [(root, False)]
+    order, stack = [], [(root, False, False)]
     inside_of = {id(n) for n in holders if n is not root}
     while stack:
-        node, inside = stack.pop()
+        node, inside, grouped = stack.pop()
         inside = inside or id(node) in inside_of
-        order.append((node, inside))
-        stack += [(p, inside) for p in node.parts if type(p) is Node]
-    texty = {}
+        order.append((node, inside, grouped))
+        grouped = inside and (grouped or node.tag in GROUP or node.tag in ITEM)
+        stack += [(p, inside, grouped) for p in node.parts if type(p) is Node]
+    texty, mere = {}, {}
     digest = xxhash.xxh3_64_intdigest
-    for node, inside in reversed(order):
-        parts, has = [node.tag, *node.names], node.tag in TEXT_BLOCK
+    for node, inside, grouped in reversed(order):
+        parts, has, bare = [node.tag, *node.names], node.tag in TEXT_BLOCK, True
         for p in node.parts:
             if type(p) is Node:
                 if p.tag not in RAW:
                     parts.append(str(own[id(p)]))
                 has = has or texty[id(p)]
+                bare = bare and mere[id(p)] and p.tag != "a" and (p.tag not in BLOCK or p.tag in ITEM)
             else:
                 parts += p.split()
-        texty[id(node)] = has
+        texty[id(node)], mere[id(node)] = has, bare
         own[id(node)] = digest(" ".join(parts)) - (1 << 63)
-        may[id(node)] = node.tag in BLOCK and node.tag not in ("html", "body", "main", "article", "head") and not (inside and has)
+        may[id(node)] = node.tag in BLOCK and node.tag not in ("html", "body", "main", "article", "head")
+        if inside:  # a plain div of mere text is a paragraph
+            may[id(node)] &= not (has or grouped or node.tag in ITEM or node.tag == "div" and bare and not node.names)
+        else:
+            may[id(node)] &= not (node.tag in ITEM and bare)
     return own, may
 
 
-def template_hashes(html: str) -> list[int]:
-    """Distinct hashes of the subtrees that may be template and hold any word."""
+def template_hashes(html: str) -> tuple[int, list[int]]:
+    """A hash of the main text with nothing deleted as template, and the distinct hashes of the subtrees that may be."""
     root = parse(html)
-    own, may = hashes(root, containers(root))
-    return sorted({own[k] for k, yes in may.items() if yes})
+    holders = containers(root)
+    own, may = hashes(root, holders)
+    text = rendered(root, holders, {}, {}, frozenset())
+    return xxhash.xxh3_64_intdigest(" ".join(text.split())) - (1 << 63), sorted({own[k] for k, yes in may.items() if yes})
 
 
 def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
@@ -207,6 +219,10 @@ def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
     root = parse(html)
     holders = containers(root)
     own, may = hashes(root, holders) if template else ({}, {})
+    return rendered(root, holders, own, may, template)
+
+
+def rendered(root: Node, holders: list[Node], own: dict[int, int], may: dict[int, bool], template: frozenset[int]) -> str:
     blocks: list[str] = []
     line: list[str] = []
 
@@ -249,18 +265,19 @@ def host_of(url: Column) -> Column:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """For each row: id, url and the main text."""
     source = pages.select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), key_of(id_col).alias("key"), F.xxhash64(text_of(html_col), F.col(f"`{url_col}`")).alias("mark"), host_of(F.col(f"`{url_col}`").cast("string")).alias("host"), text_of(html_col).alias("html")
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), key_of(id_col).alias("key"), F.xxhash64(text_of(html_col), F.col(f"`{url_col}`")).alias("mark"), F.xxhash64(host_of(F.col(f"`{url_col}`").cast("string"))).alias("host"), text_of(html_col).alias("html")
     )
-    once = struct(("key", "long"), ("mark", "long"), ("host", "string"), ("hash", "array<long>"))
+    once = struct(("key", "long"), ("mark", "long"), ("host", "long"), ("main", "long"), ("hash", "array<long>"))
 
     def run(batches):
         for batch in batches:
-            yield batch_of({n: batch.column(i) for i, n in enumerate(("key", "mark", "host"))} | {"hash": [template_hashes(h) for h in batch.column(3).to_pylist()]}, once)
+            found = [template_hashes(h) for h in batch.column(3).to_pylist()]
+            yield batch_of({n: batch.column(i) for i, n in enumerate(("key", "mark", "host"))} | {"main": [m for m, _ in found], "hash": [h for _, h in found]}, once)
 
     found = source.select("key", "mark", "host", "html").mapInArrow(run, once)
-    each = found.select("key", "mark", "host", F.explode("hash").alias("hash"))
-    counts = each.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    sizes = source.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("all"))
+    each = found.select("key", "mark", "host", "main", F.explode("hash").alias("hash"))
+    counts = each.select("host", "hash", "main").distinct().groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    sizes = found.select(F.col("host").alias("of"), "main").distinct().groupBy("of").agg(F.count("*").alias("all"))
     recurring = counts.join(sizes, F.col("host") == F.col("of")).where(F.col("pages") >= F.col("all") * min_share).select("host", "hash")
     own = each.join(recurring, ["host", "hash"]).groupBy("key", "mark").agg(F.collect_set("hash").alias("template"))
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]

@@ -192,6 +192,30 @@ def test_copies_of_an_article_stay(spark):
     assert got == {"T\nSame everywhere."}
 
 
+def page_texts(spark, htmls):
+    frame = spark.createDataFrame([(i, f"http://a/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in pages.extract(frame).collect()}
+
+
+def test_copies_of_a_page_without_an_article_stay(spark):
+    frame = lambda body: f"<body><div class='top'><b>Daily</b> news</div><h1>{body}</h1><div>Text of {body}</div></body>"
+    got = page_texts(spark, [frame("One")] * 5 + [frame(f"Other {i}") for i in range(6)])
+    assert got[0] == got[4] == "One\nText of One" and got[7] == "Other 2\nText of Other 2"
+
+
+def test_copied_lists_and_tables_stay(spark):
+    frame = lambda title, body: f"<body><article><h1>{title}</h1>{body}</article></body>"
+    copied = frame("Copy", "<ul><li>a</li><li>b</li></ul><table><tr><td>1</td><td>2</td></tr></table>")
+    got = page_texts(spark, [copied] * 5 + [frame(f"T{i}", f"<ul><li>Yes</li><li>n{i}</li></ul><table><tr><td>1</td><td>{i}</td></tr></table><div>No</div><div class='box'>Read on</div>") for i in range(6)])
+    assert got[0] == got[4] == "Copy\na\nb\n1\n2"
+    assert got[8] == "T3\nYes\nn3\n1\n3\nNo"
+
+
+def test_cells_of_pages_without_an_article_stay(spark):
+    got = page_texts(spark, [f"<body><ul><li><a href='/'>Home</a></li><li><a href='/x'>X</a></li></ul><table><tr><td>1</td><td>Yes</td></tr><tr><td>n{i}</td></tr></table></body>" for i in range(6)])
+    assert got[3] == "1\nYes\nn3"
+
+
 MARKUP = [
     ("<p>a&nbsp;&amp; b&#228;<p>c", "a & bä\nc"),
     ("<article><p>x<script>var a='</p>';</script>y</article>", "x y"),
