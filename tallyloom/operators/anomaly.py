@@ -99,22 +99,27 @@ def exact_ap():
     return F.sum((F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).cast("decimal(38,10)")).cast("double").alias("ap")
 
 
-def coreset(vectors: DataFrame, share: float = 0.1, id_col: str = "vec_id", column: str = "embedding", most: int = 2_000) -> DataFrame:
+def coreset(vectors: DataFrame, share: float = 0.1, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The farthest-first subset: from the first vector on, always the one farthest from those chosen.
 
     Sequential by nature: each choice is one pass over the vectors, in which tasks give their farthest
-    vector alone. The number of choices is bounded by most.
+    vector alone. A vector is chosen once, even where copies of it are all that is left.
     """
     n = vectors.count()
-    want = min(max(1, int(n * share)), most) if n else 0
+    want = max(1, int(n * share)) if n else 0
     if n <= 200_000:  # small enough for one task
         def run(batch: pd.DataFrame) -> pd.DataFrame:
             batch = batch.sort_values(id_col)
             x = np.array(batch[column].tolist(), np.float64)
-            chosen, far = [0], ((x - x[0]) ** 2).sum(axis=1)
+            chosen, far = [0], np.full(len(x), np.inf)
+            room = np.empty((min(2048, len(x)), x.shape[1]))
             while len(chosen) < want:
+                last = x[chosen[-1]]
+                for a in range(0, len(x), 2048):  # pieces stay in the processor's cache
+                    gap = np.subtract(x[a : a + 2048], last, out=room[: len(x) - a])
+                    np.minimum(far[a : a + 2048], np.multiply(gap, gap, out=gap).sum(axis=1), out=far[a : a + 2048])
+                far[chosen[-1]] = -1.0
                 chosen.append(int(far.argmax()))
-                far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
             return batch.iloc[sorted(chosen)]
 
         rows = vectors.select(id_col, column)
@@ -126,12 +131,13 @@ def coreset(vectors: DataFrame, share: float = 0.1, id_col: str = "vec_id", colu
     far = vectors.select(id_col, column, F.lit(float("inf")).alias("_d"))
     while len(chosen) < want:
         gap = F.aggregate(F.zip_with(column, F.array(*map(F.lit, map(float, last))), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        far = far.withColumn("_d", F.least("_d", gap))
+        far = far.withColumn("_d", F.when(F.col(id_col) == F.lit(chosen[-1]), -1.0).otherwise(F.least("_d", gap)))
         if len(chosen) % 8 == 0:
             far = cut(far)
         best = far.agg(F.max_by(F.struct(id_col, column), F.struct("_d", -F.col(id_col))).alias("b")).first()[0]
         chosen, last = [*chosen, best[0]], best[1]
-    return vectors.where(F.col(id_col).isin(chosen)).select(id_col, column)
+    picked = vectors.sparkSession.createDataFrame([(c,) for c in chosen], f"{id_col} {dict(vectors.dtypes)[id_col]}")
+    return vectors.join(F.broadcast(picked), id_col, "left_semi").select(id_col, column)
 
 
 def reconstruction_scores(vectors: DataFrame, k: int = 8, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:

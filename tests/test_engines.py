@@ -5,6 +5,7 @@ from datetime import date, datetime
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,3 +315,38 @@ def test_communities_query_reads_all_years(spark):
     for r in catalog.communities(spark, SMALL).collect():
         got.setdefault(r.community, set()).add(r.node)
     assert {frozenset(x) for x in got.values()} == want
+
+
+def test_communities_are_the_same_method_beyond_200000_edges(spark):
+    pairs = [(a, b) for a in range(640) for b in range(a + 1, 640)] + [(i, i + 1) for i in range(640, 680)]
+    label = graph.greedy_modularity(681, pairs)
+    frame = spark.createDataFrame(pd.DataFrame([(f"{a:04}", f"{b:04}") for a, b in pairs], columns=["src", "dst"]))
+    assert {r.node: r.community for r in graph.communities(frame).collect()} == {f"{i:04}": f"{c:04}" for i, c in enumerate(label)}
+
+
+def test_greedy_modularity_joins_the_best_pair(spark):
+    draw = np.random.default_rng(1)
+    for nodes in (6, 15, 30):
+        pairs = sorted({(int(min(p)), int(max(p))) for p in draw.integers(0, nodes, (nodes * 2, 2)) if p[0] != p[1]})
+        m, degree = len(pairs), [sum(i in p for p in pairs) for i in range(nodes)]
+        sets = {i: {i} for i in range(nodes)}
+        while True:
+            gains = [(-2 * m * n + sum(degree[i] for i in sets[a]) * sum(degree[i] for i in sets[b]), a, b) for a in sets for b in sets if a < b and (n := sum((x in sets[a] and y in sets[b]) or (y in sets[a] and x in sets[b]) for x, y in pairs))]
+            if not gains or min(gains)[0] >= 0:
+                break
+            _, a, b = min(gains)
+            sets[a] |= sets.pop(b)
+        want = {i: c for c, x in sets.items() for i in x}
+        assert graph.greedy_modularity(nodes, pairs) == [want[i] for i in range(nodes)]
+
+
+def test_coreset_is_a_tenth_of_many_vectors(spark):
+    x = np.random.default_rng(2).random((20_500, 2))
+    got = {r.vec_id for r in anomaly.coreset(spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}))).collect()}
+    chosen, far = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < 2050:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    assert got == set(chosen) and len(got) == 2050
+    copies = spark.createDataFrame([(i, [float(i // 5)]) for i in range(10)], "vec_id int, embedding array<double>")
+    assert sorted(r.vec_id for r in anomaly.coreset(copies, 0.4).collect()) == [0, 1, 2, 5]
