@@ -454,7 +454,7 @@ def resolve_pairs_edit(spark, sf_dir):
 
 @query()
 def resolve_pairs_ratio(spark, sf_dir):
-    return resolve.reason(resolve.duplicates(role(spark, sf_dir, "companies"), prefix=6))
+    return resolve.reason(resolve.duplicates(role(spark, sf_dir, "companies")))
 
 
 @query()

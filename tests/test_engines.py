@@ -350,3 +350,13 @@ def test_coreset_is_a_tenth_of_many_vectors(spark):
     assert got == set(chosen) and len(got) == 2050
     copies = spark.createDataFrame([(i, [float(i // 5)]) for i in range(10)], "vec_id int, embedding array<double>")
     assert sorted(r.vec_id for r in anomaly.coreset(copies, 0.4).collect()) == [0, 1, 2, 5]
+
+
+def test_ratio_query_blocks_by_the_first_letter(spark, tmp_path):
+    names = ["Schmid und Kollegen", "Schmitt und Kollegen", "Mueller Pumpen", "Muller Pumpen", "Otto Werke"]
+    rows = [(i, n, "Bau", f"Ort {i}") for i, n in enumerate(names)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    areas = [r.plz[:2] for r in catalog.role(spark, str(tmp_path), "companies").collect()]
+    assert len(set(areas)) == len(areas)
+    got = {(r.a_id, r.b_id) for r in catalog.resolve_pairs_ratio(spark, str(tmp_path)).collect()}
+    assert got == {(0, 1), (2, 3)}
