@@ -16,9 +16,10 @@ from tallyloom.llm.common import cut, free_name
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go. Profiles come from the rows' own labels."""
+    """Documents with a letter; those without one have no language and go. Profiles come from the rows' own labels."""
     pred, score = free_name(docs, "_lang_pred"), free_name(docs, "_lang_score")
-    known = language.profiles(docs)
+    # a name with a mark is no label "und"; without any label, one empty profile takes every text with a letter
+    known = {f"={k}": v for k, v in language.profiles(docs).items()} or {"=": []}
     return language.with_language(docs, known, pred, score).where(F.col(pred) != "und").drop(pred, score)
 
 

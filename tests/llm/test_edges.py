@@ -173,6 +173,13 @@ def test_stages(spark, odd, none, tmp_path, name):
     assert stage(spark, none, str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("label", [None, "und"])
+def test_language_stage_keeps_documents_with_a_letter(spark, label):
+    rows = [(1, "words here", label), (2, "12 -- !!", label), (3, None, label), (4, "x", label)]
+    out = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 4]
+
+
 def test_queries_on_empty_tables(spark, tmp_path):
     kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "pages": "page_id long, url string, html string", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int"}
     for name, kind in kinds.items():
