@@ -134,7 +134,6 @@ def codec(path: str) -> ChunkCodec:
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     many = getattr(own, "encode_batch_fast", own.encode_batch)
 
     def encode_many(strings: list[str]) -> list[bytes]:

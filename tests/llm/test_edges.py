@@ -107,6 +107,17 @@ def test_token_store(odd, none):
     assert token_store.stored_tokens(none, path).count() == 0
 
 
+def test_token_store_as_the_plain_call(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    texts = ["end<|endoftext|>", "<|endoftext|> start", "a <|endoftext|> b", "a<|endoftext|>b c", "a  <|endoftext|>  <|endoftext|>x", "<|endoftext|>", "<|endoftext| >"]
+    rows = token_store.stored_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, 0).collect()
+    want = {i: own.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids[:-1] for r in rows} == want and want[5] == [50256]
+
+
 def test_decontamination(spark, odd, none):
     items = spark.createDataFrame([("b1", PASSAGE), ("b2", "Same TEXT here"), ("b3", None), ("b4", "--"), (None, PASSAGE), ("b1", PASSAGE)], "item_id string, text string")
     rows = decontaminate.contamination(odd, items).collect()
