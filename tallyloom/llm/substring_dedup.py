@@ -1,16 +1,16 @@
-"""Substring deduplication by relative Lempel-Ziv parsing over words.
+"""Substring deduplication by hashes of anchored regions and of windows of words, in place of relative Lempel-Ziv parsing.
 
 The reference of a document is all text before it: documents of smaller ids and its own earlier
-words. The reference is indexed in blocks, and every document is factored against every block that
-can hold a match: from each run of windows that share an anchor (the least hash of the short word
-runs inside a window) a longest match is looked up, and matches that follow each other are one
-factor. Factors of at least a window become duplicate spans.
+words. It is indexed in blocks, by anchor (the least hash of the short word runs inside a window): a run
+of windows that share an anchor is a region. Regions are compared whole, by hash, and the windows of what
+is left one by one; no longest match is looked up and no factor extended. Windows seen before become
+duplicate spans.
 
 1. Each document gives its anchors, each with the hash of its region: the words of all windows
    that chose it. Equal texts choose equal anchors, so an earlier copy of a window is always found in
    the block of its anchor. Tasks first settle what repeats inside them.
 2. A block holds all regions of an anchor. A region that occurred before is a copy: all its
-   windows are duplicates. First regions of an anchor that has other regions too are where factors
+   windows are duplicates. First regions of an anchor that has other regions too are where copies
    begin and end (or where a short run recurs by chance).
 3. At these boundaries windows are checked one by one, by 128-bit hashes, in the same way.
 4. A document's spans are put together and its kept words returned.
