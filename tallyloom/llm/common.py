@@ -24,12 +24,14 @@ LAST_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and the master is local (tests)."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), f"tallyloom-{uuid.uuid4().hex}")
         sc.setCheckpointDir(path)
     elif sc.getCheckpointDir() is None:
@@ -43,6 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16) -> DataFrame:
+    """big joined to small (unique in the column on): rows of one value of big are dealt over salts tasks, small goes to each."""
+    salt = free_name(big, "_salt")
+    dealt = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int"))
+    copied = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copied, [on, salt]).drop(salt)
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 

@@ -11,7 +11,9 @@ A file is a row with its bytes in a Parquet table of the shared folder, so that
 Spark writes to will do, and a task that is run again writes the same file.
 
 Defined results: null or empty text gives the end id alone; a null id comes last; rows of equal ids
-are ordered by text; ids that need more bits make more levels.
+are ordered by text; ids that need more bits make more levels; a very long text is encoded whole and
+ends its file; an empty table gives no file and no row. The files stay in the shared folder: they are
+what the operator writes, and whoever owns that folder removes them.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ class Codes:
             raise ValueError("not a file of codes")
         (count,) = binary.unpack_from("<I", data, 4)
         sizes, at = binary.unpack_from(f"<{count}Q", data, 8), 8 + 8 * count
-        self.levels = []
+        self.levels, self.bits, self.bitmaps = [], [], []
         for n in sizes:
             blocks = -(-n // BLOCK)
             directory = np.frombuffer(data, "<u8", blocks + 1, at)
@@ -69,6 +71,8 @@ class Codes:
             words = np.frombuffer(data, "<u8", blocks * BLOCK // 64, at)
             at += blocks * BLOCK // 8
             self.levels.append((np.frombuffer(data, np.uint8, n, at), words, directory))
+            self.bits.append(words.view(np.uint8))
+            self.bitmaps.append(self.bits[-1].tobytes())
             at += n
         self.size = sizes[0]
         self.end = at
@@ -97,20 +101,35 @@ class Codes:
             at, who = self.rank(level, at[on]), who[on]
         return out
 
+    def rank_one(self, level: int, at: int) -> int:
+        """As rank, for one position: the directory's entry and the bits of at most one block."""
+        _, words, directory = self.levels[level]
+        block = at // BLOCK
+        first, byte = block * BLOCK // 8, at // 8
+        bits = int.from_bytes(self.bitmaps[level][first : byte + 1], "little") & ((1 << at - first * 8) - 1)
+        return int(directory[block]) + bits.bit_count()
+
     def slice(self, start: int, end: int) -> np.ndarray:
-        """The ids of a range: one lookup in each directory, then neighbours."""
-        out, who, at = np.zeros(end - start, np.uint32), np.arange(end - start), np.arange(start, end)
-        for level, (chunk, words, _) in enumerate(self.levels):
-            if not len(at):
+        """The ids of a range: one lookup in each directory, then neighbours; nothing before it is decoded."""
+        out = np.zeros(end - start, np.uint32)
+        who, a, b = None, start, end
+        for level, (chunk, _, _) in enumerate(self.levels):
+            if a >= b:
                 break
-            a, b = int(at[0]), int(at[-1]) + 1  # positions of a range stay neighbours on every level
-            out[who] |= chunk[a:b].astype(np.uint32) << np.uint32(8 * level)
-            on = np.unpackbits(words[a // 64 : -(-b // 64)].view(np.uint8), bitorder="little")[a % 64 : a % 64 + b - a].astype(bool)
-            if not on.any():
+            part = chunk[a:b].astype(np.uint32) << np.uint32(8 * level)  # positions of a range stay neighbours on every level
+            if who is None:
+                out += part
+            else:
+                out[who] |= part
+            if level + 1 == len(self.levels):
+                break
+            low = a // 8
+            on = np.flatnonzero(np.unpackbits(self.bits[level][low : -(-b // 8)], bitorder="little")[a - 8 * low : b - 8 * low])
+            if not len(on):
                 break
-            first = int(self.rank(level, at[:1])[0])
-            who = who[on]
-            at = np.arange(first, first + len(who))
+            who = on if who is None else who[on]
+            a = self.rank_one(level, a)
+            b = a + len(on)
         return out
 
 
@@ -185,33 +204,53 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, id
     ranged.mapInArrow(run, schema).write.parquet(path)
 
 
-def read_tokens(spark, path: str, id_col: str = "doc_id", ids: bool = True) -> DataFrame:
-    """For each document of the files: id, start (ids of all documents before), n_tokens, ids_crc32, and its ids."""
+def placed_files(spark, path: str, *more: str) -> DataFrame:
+    """start (ids of all files before), more columns and data of each file."""
     files = spark.read.parquet(path)
     # a row for each task that wrote: a running sum over them is small wherever the tasks could be planned
-    totals = files.groupBy("part").agg(F.sum("tokens").alias("tokens"))
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = files.join(totals.select("part", before.alias("before")), "part").select((F.col("before") + F.col("start")).alias("start"), "nulls", "data")
+    totals = files.groupBy("part").agg(F.sum("tokens").alias("all"))
+    before = F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.join(totals.select("part", before.alias("before")), "part").select((F.col("before") + F.col("start")).alias("start"), *more, "data")
+
+
+def read_tokens(spark, path: str, id_col: str = "doc_id", ids: bool = True) -> DataFrame:
+    """For each document of the files: id, start (ids of all documents before), n_tokens, ids_crc32, and its ids."""
     schema = struct((id_col, "long"), ("start", "long"), ("n_tokens", "long"), ("ids_crc32", "long"), *[("ids", "array<int>")] * ids)
 
     def run(batches):
         for batch in batches:
             for first, nulls, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 keys, starts, codes = unpack_file(data)
-                every = codes.slice(0, codes.size)  # all documents of the file are asked for
                 out = {f.name: [] for f in schema}
+                places = starts.tolist()
                 for i, key in enumerate(keys.tolist()):
-                    a, b = int(starts[i]), int(starts[i + 1])
-                    own = every[a:b]
+                    a, b = places[i], places[i + 1]
+                    own = codes.slice(a, b)  # through the rank directories, as for any single document
                     out[id_col].append(None if i >= len(keys) - nulls else key)
                     out["start"].append(first + a)
                     out["n_tokens"].append(b - a)
-                    out["ids_crc32"].append(zlib.crc32(own.astype("<u4").tobytes()))
+                    out["ids_crc32"].append(zlib.crc32(own.astype("<u4", copy=False)))
                     if ids:
                         out["ids"].append(own.tolist())
                 yield batch_of(out, schema)
 
-    return placed.mapInArrow(run, schema)
+    return placed_files(spark, path, "nulls").mapInArrow(run, schema)
+
+
+def read_places(spark, path: str, places: list[int]) -> DataFrame:
+    """(place, id): the ids at some places of the whole store, counted over all documents; only the files that hold one are opened."""
+    schema = struct(("place", "long"), ("id", "long"))
+    wanted = sorted(set(places))
+
+    def run(batches):
+        for batch in batches:
+            for first, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                codes = unpack_file(data)[2]
+                at = [p for p in wanted if first <= p < first + codes.size]
+                yield batch_of({"place": at, "id": codes.get(np.array(at) - first).tolist()}, schema)
+
+    held = F.exists(F.array(*map(F.lit, wanted)).cast("array<long>"), lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("tokens")))
+    return placed_files(spark, path, "tokens").where(held).select("start", "tokens", "data").mapInArrow(run, schema)
 
 
 def stored_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:

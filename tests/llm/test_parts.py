@@ -58,6 +58,22 @@ def test_files_start_where_the_ones_before_end(spark):
     assert spark.read.parquet(path).count() > 20
     rows = sorted(token_store.read_tokens(spark, path).collect(), key=lambda r: r.doc_id)
     assert [r.start for r in rows] == np.cumsum([0] + [r.n_tokens for r in rows])[:-1].tolist()
+    every = [i for r in rows for i in r.ids]
+    at = random.Random(0).sample(range(len(every)), 40)
+    assert {r.place: r.id for r in token_store.read_places(spark, path, at).collect()} == {p: every[p] for p in at}
+    assert not token_store.read_places(spark, path, [len(every)]).collect()
+
+
+def test_a_slice_reads_the_directory():
+    """A document's ids come from its own codes: what stands before in the file may be garbage."""
+    ids = np.random.default_rng(0).integers(0, 60_000, 5_000).astype(np.uint32)
+    codes = token_store.Codes(token_store.encode_codes(ids))
+    chunk = codes.levels[0][0].copy()
+    chunk[:3_000] = 7
+    codes.levels[0] = (chunk, *codes.levels[0][1:])
+    assert (codes.slice(3_000, 3_500) == ids[3_000:3_500]).all()
+    for at in (0, 1, 511, 512, 513, 4_999):
+        assert codes.rank_one(0, at) == (ids[:at] > 255).sum()
 
 
 def test_decoders():

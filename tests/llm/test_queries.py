@@ -102,7 +102,6 @@ def test_op6(spark, documents):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     found, start = result(spark, "op6_token_store"), 0
     for i in sorted(documents):
         ids = own.encode(documents[i], add_special_tokens=False).ids + [0]
