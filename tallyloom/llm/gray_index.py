@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-FAN = 16
+FAN = 4
 ALL = np.uint64(2**64 - 1)
 #: Pairs of query and node looked at together.
 FRONTIER = 1 << 17
@@ -53,6 +53,8 @@ class GrayIndex:
 
     def __init__(self, bucket: np.ndarray, values: np.ndarray):
         self.values = values.astype(np.uint64)
+        #: Pairs of fingerprints that the last search compared one by one.
+        self.compared = 0
         n = len(values)
         #: For each level: the bits shared, their values, the first child and one past the last, the bucket.
         self.levels = [(np.full(n, ALL), self.values, None, None, bucket)]
@@ -82,6 +84,7 @@ class GrayIndex:
         by its first member, and is itself connected since its members differ in few bits.
         """
         forest = Forest(len(self.values))
+        self.compared = 0
         tight = []
         for level, (shared, _, starts, ends, _) in enumerate(self.levels):
             loose = 64 - np.bitwise_count(shared).astype(np.int64)
@@ -115,6 +118,7 @@ class GrayIndex:
             keep = differ <= limit
             query, node, differ, mask = query[keep], node[keep], differ[keep], mask[keep]
             if level == 0:
+                self.compared += len(keep)
                 forest.join(query, node)
                 continue
             loose = 64 - np.bitwise_count(mask).astype(np.int64)

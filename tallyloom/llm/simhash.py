@@ -4,8 +4,9 @@ A document's fingerprint is the bitwise majority of the XXH64 of its word shingl
 link if their fingerprints differ in at most max_bits bits; a component is what links connect.
 
 Only distinct fingerprints are compared. Of blocks of the 64 bits, any two that link agree in all
-but max_bits; for each choice of the blocks that agree, fingerprints go to a bucket by those bits.
-Each bucket is searched by a GrayIndex. It gives back one edge for each fingerprint that it joins to
+but max_bits; for each choice of the blocks that agree, fingerprints go to a bucket by those bits, so
+that tasks share the work. Within its bucket each fingerprint is searched in a GrayIndex, which prunes
+whole groups. It gives back one edge for each fingerprint that it joins to
 another, not the pairs, so a group of n near copies makes n - 1 edges a bucket. Components follow
 from the edges by repeated minimum labels over star-shaped graphs. The number of blocks is taken from
 the number of distinct fingerprints; each choice finds all links.
@@ -13,7 +14,7 @@ the number of distinct fingerprints; each choice finds all links.
 Defined results: null, empty or blank text has no words and fingerprint zero, which links like any
 other; fewer words than a shingle make one shingle; repeated shingles count each time; copies
 and repeated rows have one fingerprint; a null id keeps its row and never is a component's id
-unless no other is in it.
+unless no other is in it; a very long text is hashed whole, in slices; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -27,11 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import LAST_ID, bytes_of, cut, free_name, key_of, struct
+from tallyloom.llm.common import LAST_ID, bytes_of, cut, free_name, key_of, salted_join, struct
 from tallyloom.llm.gray_index import GrayIndex, gray_rank
 
 #: Shingles hashed before their bits are added up.
 SLICE = 1 << 16
+#: Fingerprints that a bucket is expected to hold at most (as if they were spread evenly).
+BUCKET = 4096
+#: Tasks that the rows of one hub, label or fingerprint are dealt over.
+SALTS = 16
 
 
 def fingerprint(text: bytes, size: int = 4, seed: int = 42) -> int:
@@ -74,10 +79,13 @@ def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text", size: i
     return source.mapInArrow(run, schema)
 
 
-def blocks_for(n: int, max_bits: int) -> int:
-    """How many blocks the 64 bits are cut into so that a bucket holds about a fingerprint or fewer."""
-    blocks = max_bits + 2
-    while blocks < max_bits + 6 and n > 1 << (64 * (blocks - max_bits) // blocks):
+def blocks_for(n: int, max_bits: int, bucket: int = BUCKET) -> int:
+    """The least number of blocks the 64 bits are cut into so that a bucket is expected to hold no more than bucket fingerprints.
+
+    Few blocks make few tables with large buckets, in which the Gray tree does the pruning.
+    """
+    blocks = max_bits + 1
+    while blocks < max_bits + 6 and n > bucket << (64 * (blocks - max_bits) // blocks):
         blocks += 1
     return blocks
 
@@ -127,7 +135,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: each node links its larger neighbours, then its
     smaller ones, to the smallest of them and itself (large star and small star). Every round is
-    written to the shared folder. Minima are partial aggregates, so a hub is never gathered.
+    written to the shared folder. Minima are partial aggregates, and a hub's neighbours are dealt over
+    SALTS tasks where they meet its minimum.
     """
     both = lambda e: e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     edges = cut(edges.where("src <> dst").select(F.least("src", "dst").alias("dst"), F.greatest("src", "dst").alias("src")).distinct())
@@ -135,12 +144,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both(edges)
         low = near.groupBy("src").agg(F.min("dst").alias("low")).withColumn("low", F.least("low", "src"))
-        large = near.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst")
-        kept = near.join(low, "src").where("src > low").select("src", F.col("low").alias("dst"))
+        large = salted_join(near, low, "src", SALTS).where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst")
+        kept = low.where("src > low").select("src", F.col("low").alias("dst"))
         edges = cut(large.unionByName(kept).distinct())
         down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         low = down.groupBy("src").agg(F.min("dst").alias("low"))
-        small = down.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst")
+        small = salted_join(down, low, "src", SALTS).select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst")
         edges = cut(small.unionByName(low.select("src", F.col("low").alias("dst"))).distinct())
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
@@ -155,8 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(prints, max_bits))
     named = prints.join(found, prints.fp == found.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))
-    classes = named.join(least, "label").select("fp", "component")
-    return marked.join(classes, "fp").select(
+    classes = salted_join(named.select("fp", "label"), least, "label", SALTS).select("fp", "component")
+    return salted_join(marked, classes, "fp", SALTS).select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id"),
@@ -173,7 +182,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(prints, max_bits))
     named = prints.join(found, prints.fp == found.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     lowest = named.groupBy("label").agg(F.min("least").alias("lowest"))
-    chosen = named.join(lowest, "label").where("least = lowest").groupBy("label").agg(F.min("fp").alias("fp"), F.min("lowest").alias("lowest"))
+    chosen = salted_join(named, lowest, "label", SALTS).where("least = lowest").groupBy("label").agg(F.min("fp").alias("fp"), F.min("lowest").alias("lowest"))
+    # a fingerprint's rows are spread by their ids in this join
     chosen = marked.join(chosen, (fp == F.col("fp")) & (F.col(row["id"]) == F.col("lowest"))).groupBy(F.col("lowest").alias(row["id"]), F.col("fp")).agg(F.min(row["text"]).alias(row["text"]))
     kept = docs.withColumns({row["id"]: key_of(id_col), row["text"]: F.xxhash64(bytes_of(text_col), F.lit(1))})
     kept = kept.join(chosen.select(row["id"], row["text"]), [row["id"], row["text"]], "left_semi")
