@@ -3,14 +3,16 @@
 Three base rules find assignments, access keys and long hexadecimal strings. Besides, every token
 that looks random is a candidate. The hashes of all candidates are counted over the corpus by
 distinct repositories and owners: a value that many owners hold is a copied example, one that few
-hold looks live. Tokens that look live, or that a base rule found as a value elsewhere, are added
-as spans of kind "owned"; base spans always stay.
+hold looks live. Every span, base or not, gets its counts and that class. Tokens that look live, or that a base rule
+found as a value elsewhere, are added as spans of kind "owned"; base spans always stay.
 
 Counting goes through two partial aggregates (distinct value and owner, then owners of a value),
-so no value's documents are gathered. Values travel as 64-bit hashes, never as text.
+so no value's documents are gathered; where documents get the counts back, a value's are dealt over many
+tasks. Values travel as 64-bit hashes, never as text.
 
 Defined results: null or empty text has no span; a null repository makes each document its own;
-repeated rows get equal results; offsets are code points of the text, ends exclusive.
+repeated rows get equal results and count once; spans of one start are ordered by kind; offsets are code points
+of the text, ends exclusive; a very long text is searched whole; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import batch_of, bytes_of, cut, free_name, key_of, struct, text_of
+from tallyloom.llm.common import batch_of, bytes_of, cut, free_name, key_of, salted_join, struct, text_of
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -38,6 +40,7 @@ MOST_OWNERS, MOST_REPOS = 2, 3
 LEAST_BITS = 3.0
 
 FOUND = "array<struct<kind:int,start:int,stop:int,hash:long>>"
+KNOWN = "array<struct<start:int,kind:int,stop:int,hash:bigint,owners:bigint,repos:bigint,live:boolean>>"
 
 
 def entropy(token: str) -> float:
@@ -94,54 +97,77 @@ def frequencies(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.max("base").alias("base"))
 
 
-def added(found: DataFrame, most_owners: int, most_repos: int) -> DataFrame:
-    """(key, mark, more): the spans that ownership adds to a document, where it adds any."""
-    token = found.select("key", "mark", F.explode(F.filter("found", lambda f: f["kind"] == 3)).alias("f")).distinct()
-    live = frequencies(found).where(F.col("base") | ((F.col("owners") <= most_owners) & (F.col("repos") <= most_repos))).select(F.col("hash").alias("live"))
-    hits = token.join(live, F.col("f.hash") == F.col("live"))
-    return hits.groupBy("key", "mark").agg(F.collect_list("f").alias("more"))
+def judged(found: DataFrame, most_owners: int, most_repos: int) -> DataFrame:
+    """(key, mark, known): each document's distinct spans with owners, repos and whether the value is live; documents without a candidate have no row.
+
+    A value of more than most_owners owners or most_repos repositories is a copied example. A token that no base
+    rule found is kept if it is live, or if a base rule found its value elsewhere.
+    """
+    each = found.select("key", "mark", F.explode("found").alias("f")).distinct().select("key", "mark", "f", F.col("f.hash").alias("hash"))
+    live = (F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)
+    # a value that a third of all documents hold meets its counts in many tasks
+    known = salted_join(each, frequencies(found).withColumn("live", live), "hash").where((F.col("f.kind") < 3) | F.col("base") | F.col("live"))
+    span = F.struct(F.col("f.start").alias("start"), F.col("f.kind").alias("kind"), F.col("f.stop").alias("stop"), F.col("f.hash").alias("hash"), "owners", "repos", "live")
+    return known.groupBy("key", "mark").agg(F.sort_array(F.collect_list(span)).alias("known"))
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = "source", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
-    """For each row: id, n_assign, n_access, n_hex, found (array of kind, start, stop and hash, base and added)."""
+    """For each row: id, n_assign, n_access, n_hex, n_live and n_copied (spans of either class), found.
+
+    found is an array of start, kind, stop, hash, owners, repos and live, by start and then kind: base spans all, and those that
+    ownership adds.
+    """
     found = cut(scanned(docs, id_col, text_col, repo_col))
-    with_more = found.join(added(found, most_owners, most_repos), ["key", "mark"], "left")
-    base = F.filter("found", lambda f: f["kind"] < 3)
-    every = F.array_sort(F.concat(base, F.coalesce("more", F.array().cast(FOUND))), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
-    count = lambda k: F.size(F.filter("found", lambda f: f["kind"] == k)).cast("long")
-    return with_more.select(F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), base.alias("base"), every.alias("found"))
+    spans = F.coalesce("known", F.array().cast(KNOWN))
+    count = lambda test: F.size(F.filter("found", test)).cast("long")
+    of_kind = lambda k: count(lambda f: f["kind"] == k)
+    rows = found.drop("found").join(judged(found, most_owners, most_repos), ["key", "mark"], "left").withColumn("found", spans)
+    return rows.select(
+        F.col("id").alias(id_col), *[of_kind(k).alias(f"n_{KINDS[k]}") for k in range(3)],
+        count(lambda f: f["live"]).alias("n_live"), count(lambda f: ~f["live"]).alias("n_copied"), "found",
+    )
+
+
+def written(spans: Column, classes: bool = False) -> Column:
+    """kind:start:end, joined by commas; with classes also live or copied."""
+    kinds = F.array(*map(F.lit, KINDS))
+    part = lambda f: [F.get(kinds, f["kind"]), f["start"].cast("string"), f["stop"].cast("string"), *[F.when(f["live"], "live").otherwise("copied")] * classes]
+    return F.array_join(F.transform(spans, lambda f: F.concat_ws(":", *part(f))), ",")
 
 
-def written(spans: Column) -> Column:
-    """kind:start:end, joined by commas."""
-    kinds = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(spans, lambda f: F.concat_ws(":", F.get(kinds, f["kind"]), f["start"].cast("string"), f["stop"].cast("string"))), ",")
+def replaced(text: str, spans: list[tuple[int, int, bool]], live: str, copied: str) -> str:
+    """text with its spans (start, end, whether live) replaced; spans that overlap are one, and live if one of them is."""
+    parts, end, runs = [], 0, []
+    for a, b, is_live in sorted(spans):
+        if runs and a < runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(runs[-1][1], b), runs[-1][2] or is_live)
+        else:
+            runs.append((a, b, is_live))
+    for a, b, is_live in runs:
+        parts += [text[end:a], live if is_live else copied]
+        end = b
+    return "".join([*parts, text[end:]])
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = "source", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS, put: str = "[SECRET]") -> DataFrame:
-    """docs with each secret of the text replaced; all rows, all columns, a null text stays null.
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = "source", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS, put: str = "[SECRET]", example: str = "[EXAMPLE]") -> DataFrame:
+    """docs with each secret of the text replaced: live ones by put, widely copied ones by example; all rows, all columns, a null text stays null.
 
     A column n_chars, if there is one, gets the length of the new text.
     """
-    names = {k: free_name(docs, f"_secret_{k}") for k in ("key", "mark", "more")}
+    names = {k: free_name(docs, f"_secret_{k}") for k in ("key", "mark", "known")}
     found = cut(scanned(docs, id_col, text_col, repo_col).drop("id"))
-    more = added(found, most_owners, most_repos).select(F.col("key").alias(names["key"]), F.col("mark").alias(names["mark"]), F.transform("more", lambda f: F.array(f["start"], f["stop"])).alias(names["more"]))
+    known = judged(found, most_owners, most_repos).select(F.col("key").alias(names["key"]), F.col("mark").alias(names["mark"]), F.transform("known", lambda f: F.struct(f["start"], f["stop"], f["live"])).alias(names["known"]))
     keyed = docs.withColumns({names["key"]: key_of(id_col), names["mark"]: F.xxhash64(bytes_of(text_col), F.lit(1))})
-    source = keyed.join(more, [names["key"], names["mark"]], "left").select(*[F.col(f"`{c}`") for c in docs.columns], names["more"])
+    source = keyed.join(known, [names["key"], names["mark"]], "left").select(*[F.col(f"`{c}`") for c in docs.columns], names["known"])
     schema, names = docs.schema, docs.columns
     at = names.index(text_col)
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for text, extra in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                spans = [(a, b) for k, a, b, _ in candidates(text or "") if k < 3] + [tuple(s) for s in extra or ()]
-                parts, end = [], 0
-                for a, b in sorted(spans):
-                    if a >= end:
-                        parts += [text[end:a], put]
-                    end = max(end, b)
-                texts.append("".join([*parts, text[end:]]) if spans else text)
+            texts = batch.column(at).to_pylist()
+            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if spans:
+                    texts[i] = replaced(texts[i], [(s["start"], s["stop"], s["live"]) for s in spans], put, example)
             columns = {c: batch.column(i) for i, c in enumerate(names)} | {text_col: texts}
             yield batch_of(columns, schema)
 
