@@ -43,7 +43,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import pages
 
-    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template", "n_ruled")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import secrets
 
     found = secrets.secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("found")).alias("spans"))
+    base = F.filter("found", lambda f: f["kind"] < 3)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("found")).alias("spans"), "n_live", "n_copied", secrets.written(F.col("found"), True).alias("classes"))
 
 
 QUERIES = {
