@@ -1,28 +1,29 @@
-"""Substring deduplication by hashes of anchored regions and of windows of words, in place of relative Lempel-Ziv parsing.
+"""Substring deduplication by relative Lempel-Ziv parsing in runs of words.
 
 The reference of a document is all text before it: documents of smaller ids and its own earlier
-words. It is indexed in blocks, by anchor (the least hash of the short word runs inside a window): a run
-of windows that share an anchor is a region. Regions are compared whole, by hash, and the windows of what
-is left one by one; no longest match is looked up and no factor extended. Windows seen before become
-duplicate spans.
-
-1. Each document gives its anchors, each with the hash of its region: the words of all windows
-   that chose it. Equal texts choose equal anchors, so an earlier copy of a window is always found in
-   the block of its anchor. Tasks first settle what repeats inside them.
-2. A block holds all regions of an anchor. A region that occurred before is a copy: all its
-   windows are duplicates. First regions of an anchor that has other regions too are where copies
-   begin and end (or where a short run recurs by chance).
-3. At these boundaries windows are checked one by one, by 128-bit hashes, in the same way.
-4. A document's spans are put together and its kept words returned.
-
-Anchors are about an eighth of the words. A task gives at most one row of a region to its block, so
-that a passage held by a third of all documents doesn't gather in one task. An anchor that has many
-regions in one task (a phrase that recurs in ever other surroundings) is a boundary for sure: its
-regions are spread by their hashes, and one row as a witness tells the anchor's block.
+words. It is cut into blocks by anchor (the least hash of the short word runs inside a window): a run of
+windows that share an anchor is a region, and a block holds the regions of an anchor wherever they stand.
+Equal texts choose equal anchors, so whatever a region repeats is in the block of its anchor. Each
+region is factored against that block; factors of at least a window become duplicate spans.
+
+1. Documents give their regions, by hash. A region that occurred before as a whole is one factor, and so
+   settled; tasks settle what repeats inside them first. Its block knows first occurrences alone.
+2. First occurrences in a block with other regions send their words there. The block's index is a
+   hash of k words, k growing from a window on: the longest match of each place with earlier text. Factors are taken
+   greedily from the left; at a factor's end the windows across it are looked up before the parse goes on.
+3. A block that holds more regions than MOST_SNIPPETS (a phrase that recurs in ever other surroundings), or more than
+   MOST_REGIONS from one task, would not fit in a task. Its regions are parsed window by window, dealt by the window's hash: factors of one
+   window each, which is exact as well.
+4. A document's factors are put together, those that touch or overlap as one span, and its kept words returned.
+
+A factor ends with its region; a copy over many regions is as many factors in a row. Anchors are about an eighth of the words. A task gives at most one row
+of a region to its block, so that a passage held by a third of all documents doesn't gather in one task. An anchor of many regions in
+one task is spread by the regions' hashes, and one row as a witness tells the anchor's block.
 
 Defined results: null, empty or blank text has no words; texts of fewer words than a window keep all;
 rows of the same id and text are one document; rows of one id and different texts are ordered by
-their starts alone; a null id comes after all others.
+their starts alone; a null id comes after all others; a very long text is read whole, in one task a
+time; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -43,8 +44,14 @@ RUN = 6
 PIECE = 1 << 20
 #: Regions of one anchor that a task gives to the anchor's block; if there are more, it spreads them.
 MOST_REGIONS = 16
-#: What a row is: an occurrence, a repeat that is settled, a sure boundary, a witness of other regions.
-PLAIN, COPY, EDGE, WITNESS = range(4)
+#: Distinct regions of an anchor that its block parses by longest match; a block of more goes window by window.
+MOST_SNIPPETS = 4096
+#: Snippets that a task parses at a time (whole blocks, so some more).
+PARSED = 1 << 15
+#: What a row is: an occurrence, a repeat that is settled, a region of a spread anchor, a witness of other regions, words to parse.
+PLAIN, COPY, EDGE, WITNESS, WORDS = range(5)
+#: In the number of windows of a place: its anchor's block is too large to be parsed by longest match.
+CROWDED = 128
 
 C1, C2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 MARK = (1 << 24) - 1
@@ -70,9 +77,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """Hashes of any run of a document's words."""
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[bytes] | np.ndarray):
         digest = xxhash.xxh3_64_intdigest
-        self.h = np.array([digest(w) for w in words], np.uint64)
+        self.h = words if isinstance(words, np.ndarray) else np.array([digest(w) for w in words], np.uint64)
         self.sums: dict[int, np.ndarray] = {}
 
     def runs(self, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
@@ -125,7 +132,63 @@ def settle(a: np.ndarray, b: np.ndarray, key: np.ndarray, loc: np.ndarray) -> tu
     return order, fresh, later
 
 
+def longest_matches(text: Words, start: np.ndarray, room: np.ndarray, key: np.ndarray, loc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For places of text: the length in words of the longest match, of at most room words, with a place before it (0 if below a window), and that place.
+
+    key and loc order the places. The index of k words is looked up for growing k; only places that share k words
+    with another are looked up for k + 1.
+    """
+    length, source = np.zeros(len(start), np.int64), np.full(len(start), -1)
+    live, k = np.flatnonzero(room >= window), window
+    while len(live):
+        a, b = text.windows(start[live], k)
+        order, fresh, later = settle(a, b, key[live], loc[live])
+        at = live[order]
+        head = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        length[at[later]], source[at[later]] = k, head[later]
+        several = np.bincount(np.cumsum(fresh) - 1)[np.cumsum(fresh) - 1] > 1
+        live = np.sort(at[several])
+        k += 1
+        live = live[room[live] >= k]
+    return length, source
+
+
+def greedy_factors(count: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Snippet and window of each factor of a parse from the left.
+
+    count: windows of each snippet; length: the longest match at each window of all snippets in a row. After a factor the parse
+    goes on with the first window that isn't wholly in it, so that windows across its end are looked up.
+    """
+    base = np.cumsum(count) - count
+    who, place = np.arange(len(count)), np.zeros(len(count), np.int64)
+    found = []
+    while len(who):
+        inside = place < count[who]
+        who, place = who[inside], place[inside]
+        own = length[base[who] + place]
+        hit = own >= window
+        found.append((who[hit], place[hit]))
+        place = place + np.where(hit, own - window + 1, 1)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def parsed(words: list[bytes], key: np.ndarray, loc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Snippet, first window, words and source place (snippet and window as one number over all) of each factor; words: the hashes of each snippet's words."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) // 8
+    count = size - window + 1
+    text = Words(np.frombuffer(b"".join(words), np.uint64))
+    of = np.repeat(np.arange(len(words)), count)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    start = (np.cumsum(size) - size)[of] + place
+    length, source = longest_matches(text, start, size[of] - place, key[of], loc[of] + (place << 32), window)
+    who, at = greedy_factors(count, length, window)
+    flat = (np.cumsum(count) - count)[who] + at
+    return who, at, length[flat], source[flat]
+
+
 ROWS = struct(("a", "long"), ("b", "long"), ("key", "long"), ("loc", "long"), ("kind", "tinyint"))
+#: Rows of the second pass; words: hashes of a region's words, for rows of kind WORDS alone.
+WORD_ROWS = struct(("a", "long"), ("b", "long"), ("key", "long"), ("loc", "long"), ("kind", "tinyint"), ("words", "binary"))
 #: loc: first window << 32 | number of windows << 24 | 24 bits that tell texts of one id apart.
 
 
@@ -158,9 +221,8 @@ def given(parts: list[tuple[np.ndarray, ...]], spread: bool = True):
     yield from batches_of([home.view(np.int64), b.view(np.int64), key, loc, kind], ROWS.names)
 
 
-def copies(rows: DataFrame, boundaries: bool) -> DataFrame:
-    """(key, loc) of each occurrence that repeats an earlier one; with boundaries, also ~loc of first
-    occurrences of an a that has several b."""
+def region_factors(rows: DataFrame, most_snippets: int = MOST_SNIPPETS) -> DataFrame:
+    """(key, loc) of each region that repeats an earlier one, and ~loc of each first occurrence in a block of several (marked where the block is crowded)."""
     schema = struct(("key", "long"), ("loc", "long"))
 
     def run(batches):
@@ -180,11 +242,48 @@ def copies(rows: DataFrame, boundaries: bool) -> DataFrame:
         a, key, loc, kind = a[order], key[order], loc[order], kind[order]
         real = kind != WITNESS
         yield from batches_of([key[later & real], loc[later & real]], schema.names)
-        if boundaries:
-            group = np.cumsum(np.r_[False, a[1:] != a[:-1]])
-            several = np.bincount(group[fresh])[group] > 1
-            edge = (several | (kind == EDGE)) & ~later & real
-            yield from batches_of([key[edge], ~loc[edge]], schema.names)
+        group = np.cumsum(np.r_[False, a[1:] != a[:-1]])
+        regions = np.bincount(group[fresh])[group]
+        # all tasks agree: a spread region knows it, and the block of its anchor has a witness or sees them all
+        crowded = (kind == EDGE) | (np.bincount(group[~real], minlength=group[-1] + 1)[group] > 0) | (regions > most_snippets)
+        edge = ((regions > 1) | (kind == EDGE)) & ~later & real
+        yield from batches_of([key[edge], ~(loc[edge] | (crowded[edge].astype(np.int64) * CROWDED) << 24)], schema.names)
+
+    return rows.repartition("a").mapInArrow(run, schema)
+
+
+def word_factors(rows: DataFrame, window: int) -> DataFrame:
+    """(key, loc) of the factors of regions by the words of their blocks, and of windows that repeat an earlier one."""
+    schema = struct(("key", "long"), ("loc", "long"))
+
+    def run(batches):
+        parts, words = [], []
+        for x in batches:
+            if x.num_rows:
+                a, b, key, loc, kind = (x.column(i).to_numpy() for i in range(5))
+                done, whole = kind == COPY, kind == WORDS
+                yield from batches_of([key[done], loc[done]], schema.names)
+                single = ~(done | whole)
+                parts.append([c[single] for c in (a, b, key, loc)])
+                if whole.any():
+                    words.append((x.column(5).filter(pa.array(whole)), a[whole], key[whole], loc[whole]))
+        if words:
+            raw = pa.chunked_array([x for x, *_ in words])
+            a, key, loc = (np.concatenate(x) for x in list(zip(*words))[1:])
+            words.clear()
+            order = np.argsort(a, kind="stable")
+            begins = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]])
+            cuts = [0, *begins[np.flatnonzero(np.diff(begins // PARSED)) + 1].tolist(), len(a)]
+            for i, j in zip(cuts, cuts[1:]):  # whole blocks, about PARSED snippets at a time
+                own = order[i:j]
+                who, at, size, _ = parsed(raw.take(pa.array(own)).to_pylist(), key[own], loc[own], window)
+                who = own[who]
+                yield from batches_of([key[who], (loc[who] >> 32) + at << 32 | size - window + 1 << 24 | loc[who] & MARK], schema.names)
+        if parts:
+            a, b, key, loc = (np.concatenate(x) for x in zip(*parts))
+            if len(a):
+                order, _, later = settle(a, b, key, loc)
+                yield from batches_of([key[order][later], loc[order][later]], schema.names)
 
     return rows.repartition("a").mapInArrow(run, schema)
 
@@ -196,8 +295,10 @@ def listed(places: DataFrame, name: str) -> DataFrame:
     return places.groupBy("key", mark.alias("mark")).agg(F.collect_list("loc").alias(name))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run: int = RUN) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run: int = RUN, most_snippets: int = MOST_SNIPPETS) -> DataFrame:
     """For each row: id, n_words, spans of removed words (start, end), and the kept words joined by spaces."""
+    if not run < window < run + CROWDED - 1:
+        raise ValueError(f"a window has more words than a run ({run}), and fewer than {run + CROWDED - 1}")
     text = bytes_of(text_col)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), key_of(id_col).alias("key"), F.xxhash64(text, F.lit(1)).bitwiseAND(MARK).alias("mark"), text.alias("text"))
 
@@ -217,27 +318,55 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         if parts:
             yield from given(parts)
 
-    found = cut(listed(copies(source.select("key", "mark", "text").mapInArrow(anchors, ROWS), True), "places"))
+    found = cut(listed(region_factors(source.select("key", "mark", "text").mapInArrow(anchors, ROWS), most_snippets), "places"))
+
+    def with_words(rows):
+        for x in rows:
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.nulls(x.num_rows, pa.binary())], names=WORD_ROWS.names)
+
+    def edges(batches):
+        parts, n, homes, keys, locs, words = [], 0, [], [], [], []
+
+        def snippets():
+            loc = np.concatenate(locs)
+            rows = (np.concatenate(homes).view(np.int64), np.zeros(len(loc), np.int64), np.concatenate(keys), loc, np.full(len(loc), WORDS, np.int8))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(words, pa.binary())], names=WORD_ROWS.names)
+            for x in (homes, keys, locs, words):
+                x.clear()
 
-    def windows(batches):
-        parts, n = [], 0
         for x in batches:
             for key, mark, places, raw in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), x.column(3).to_pylist(), x.column(4).to_pylist()):
                 places = ~np.array([p for p in places if p < 0], np.int64)
                 first, count = places >> 32, places >> 24 & 255
-                first = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-                a, b = Words(raw.split()).windows(first, window)
-                parts.append((a, b, np.full(len(a), key), first << 32 | 1 << 24 | mark))
-                n += len(a)
-                if n >= PIECE:
-                    yield from given(parts, False)
-                    n = 0
+                crowded, count = count >= CROWDED, count % CROWDED
+                text = Words(raw.split())
+                if not crowded.all():
+                    a, _, begin, _ = regions(text, window, run)
+                    own = np.flatnonzero(~crowded)
+                    homes.append(a[np.searchsorted(begin, first[own])])
+                    keys.append(np.full(len(own), key))
+                    locs.append(first[own] << 32 | count[own] << 24 | mark)
+                    plain = text.h.tobytes()
+                    words += [plain[8 * f : 8 * (f + c + window - 1)] for f, c in zip(first[own].tolist(), count[own].tolist())]
+                    if len(words) >= 1 << 13:
+                        yield from snippets()
+                first, count = first[crowded], count[crowded]
+                if len(first):
+                    first = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    a, b = text.windows(first, window)
+                    parts.append((a, b, np.full(len(a), key), first << 32 | 1 << 24 | mark))
+                    n += len(a)
+                    if n >= PIECE:
+                        yield from with_words(given(parts, False))
+                        n = 0
+        if words:
+            yield from snippets()
         if parts:
-            yield from given(parts, False)
+            yield from with_words(given(parts, False))
 
     at = ["key", "mark"]
-    edges = source.join(found.where(F.exists("places", lambda p: p < 0)), at).select("id", "key", "mark", "places", "text")
-    checked = listed(copies(edges.mapInArrow(windows, ROWS), False), "checked")
+    edge_rows = source.join(found.where(F.exists("places", lambda p: p < 0)), at).select("id", "key", "mark", "places", "text")
+    checked = listed(word_factors(edge_rows.mapInArrow(edges, WORD_ROWS), window), "checked")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = struct((id_col, kind), ("n_words", "long"), ("spans", "array<array<int>>"), ("kept", "string"))
 
