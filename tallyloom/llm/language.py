@@ -10,7 +10,8 @@ to 3 characters over lower-case letters, words set off by a space.
 
 Defined results: null text or text without a letter is "und" with score 0; ties between languages go
 to the name that sorts first; without any row to learn from, all is "und"; a null language
-teaches nothing; repeated rows count each time in learning and get equal results.
+teaches nothing; repeated rows count each time in learning and get equal results; very long texts are
+read whole; an empty table teaches nothing and gives no row.
 """
 
 from __future__ import annotations
@@ -114,31 +115,34 @@ class Ranks:
         for i, lang in enumerate(self.langs):
             self.place[i, np.searchsorted(self.grams, by_lang[lang])] = np.arange(len(by_lang[lang]))
 
-    def predict(self, text: str) -> tuple[str, float]:
-        """The language and a score of 0 to 1: how much nearer its profile is than a text of unknown n-grams."""
+    def predict(self, text: str) -> tuple[str, float, int]:
+        """The language, a score of 0 to 1 (how much nearer its profile is than a text of unknown n-grams), and the length of the text's list."""
         own = ranked(text, self.top)
         if not len(own) or not self.langs:
-            return "und", 0.0
+            return "und", 0.0, len(own)
         at = np.searchsorted(self.grams, own)
         at[at == len(self.grams)] = 0
         at = np.where(self.grams[at] == own, at, len(self.grams)) if len(self.grams) else np.zeros(len(own), np.int64)
         place = self.place[:, at]
         distance = np.where(place < 0, self.top, np.abs(place - np.arange(len(own)))).sum(axis=1)
         best = int(distance.argmin())
-        return self.langs[best], 1.0 - float(distance[best]) / (self.top * len(own))
+        return self.langs[best], 1.0 - float(distance[best]) / (self.top * len(own)), len(own)
 
 
-def with_language(docs: DataFrame, by_lang: dict[str, list[int]], pred: str, score: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns keep) and the two columns of the prediction."""
+def with_language(docs: DataFrame, by_lang: dict[str, list[int]], pred: str, score: str, text_col: str = "text", keep: list[str] | None = None, size: str | None = None) -> DataFrame:
+    """docs (or its columns keep) and the two columns of the prediction; with size also the number of the text's n-grams that were compared."""
     keep = docs.columns if keep is None else keep
     raw = free_name(docs, "_lang_text")
     source = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(text_col).alias(raw))
     schema = source.drop(raw).schema.add(pred, "string").add(score, "double")
+    if size:
+        schema = schema.add(size, "long")
 
     def run(batches):
         model = Ranks(by_lang)
         for batch in batches:
             said = [model.predict(t) for t in batch.column(len(keep)).to_pylist()]
-            yield batch_of({c: batch.column(i) for i, c in enumerate(keep)} | {pred: [x for x, _ in said], score: [x for _, x in said]}, schema)
+            columns = {c: batch.column(i) for i, c in enumerate(keep)} | {pred: [x for x, _, _ in said], score: [x for _, x, _ in said]}
+            yield batch_of(columns | ({size: [x for _, _, x in said]} if size else {}), schema)
 
     return source.mapInArrow(run, schema)

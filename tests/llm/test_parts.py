@@ -1,6 +1,8 @@
 """Parts of the operators against simple versions of themselves."""
 
+import collections
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -123,12 +125,27 @@ def test_gray_index_loses_no_link():
     assert {frozenset(order[list(g)].tolist()) for g in groups(got)} == groups(brute.roots(np.arange(len(values))))
 
 
+def test_gray_index_prunes_groups():
+    """Most pairs of a bucket as large as production allows are never looked at one by one."""
+    draw = np.random.default_rng(0)
+    mask = np.uint64(simhash.tables_of(5, 4)[0])
+    values = np.unique(draw.integers(0, 2**63, simhash.BUCKET, dtype=np.uint64) & ~mask)
+    values = values[np.argsort(gray_index.gray_rank(values))]
+    index = gray_index.GrayIndex(np.zeros(len(values), int), values)
+    index.joined(4)
+    assert len(index.levels) >= 6 and index.compared < 0.12 * len(values) * (len(values) - 1) / 2
+
+
+def test_few_tables_until_buckets_are_full():
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**6, 10**7, 10**9, 10**10)] == [5, 5, 5, 6, 7]
+
+
 def test_gray_rank_is_the_inverse_of_the_code():
     rank = np.arange(1000, dtype=np.uint64)
     assert (gray_index.gray_rank(rank ^ (rank >> np.uint64(1))) == rank).all()
 
 
-@pytest.mark.parametrize("blocks", [6, 7, 8])
+@pytest.mark.parametrize("blocks", [5, 6, 7, 8])
 def test_tables_cover_all_pairs(blocks):
     draw = random.Random(0)
     masks = simhash.tables_of(blocks, 4)
@@ -156,6 +173,61 @@ def test_regions_cover_each_window_once():
     assert [x for f, c in zip(first.tolist(), count.tolist()) for x in range(f, f + c)] == list(range(381))
 
 
+def brute_parse(snippets, window):
+    """Snippets (words; in the order of the text): the greedy parse of each against all that starts before, by comparing words."""
+    out = []
+    for i, own in enumerate(snippets):
+        p = 0
+        while p <= len(own) - window:
+            best = 0
+            for j in range(i + 1):
+                for q in range(len(snippets[j]) - window + 1 if j < i else p):
+                    n = 0
+                    while p + n < len(own) and q + n < len(snippets[j]) and own[p + n] == snippets[j][q + n]:
+                        n += 1
+                    best = max(best, n)
+            if best >= window:
+                out.append((i, p, best))
+            p += best - window + 1 if best >= window else 1
+    return out
+
+
+@pytest.mark.parametrize("window", [4, 20])
+def test_factors_of_a_block_against_a_brute_parse(window):
+    draw = random.Random(window)
+    pool = [[draw.randint(0, 9) for _ in range(window + 14)] for _ in range(4)]
+    snippets = []
+    for _ in range(60):
+        x = list(draw.choice(pool))[draw.randint(0, 6) :]
+        for _ in range(draw.randint(0, 2)):
+            x[draw.randint(0, len(x) - 1)] = draw.randint(0, 99)
+        snippets.append(x[: draw.randint(window, len(x))] if len(x) > window else x + [1] * window)
+    n = np.arange(len(snippets))
+    hashes = [substring_dedup.Words([b"%d" % w for w in x]).h.tobytes() for x in snippets]
+    who, at, size, source = substring_dedup.parsed(hashes, n // 3, (n % 3) * 1000 << 32, window)
+    assert sorted(zip(who.tolist(), at.tolist(), size.tolist())) == brute_parse(snippets, window)
+    count = np.array([len(x) - window + 1 for x in snippets])
+    base = np.cumsum(count) - count
+    for i, p, k, s in zip(who.tolist(), at.tolist(), size.tolist(), source.tolist()):
+        j = int(np.searchsorted(base, s, side="right")) - 1
+        q = s - int(base[j])
+        assert (j, q) < (i, p) and snippets[j][q : q + k] == snippets[i][p : p + k]
+
+
+def test_crowded_blocks(spark):
+    """The same result whether blocks are parsed by longest match or window by window."""
+    from tests.llm.test_queries import brute_removed, sha
+
+    draw = random.Random(9)
+    phrase = [f"p{i}" for i in range(25)]
+    texts = [" ".join([f"x{draw.randint(0, 30)}" for _ in range(30)] + phrase[draw.randint(0, 4) :] + [f"x{draw.randint(0, 30)}" for _ in range(30)]) for _ in range(80)]
+    docs = dict(enumerate(texts))
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    for most in (1, 8, 4096):
+        got = {r.doc_id: (r.n_words, sum(b - a for a, b in r.spans), sha(r.kept)) for r in substring_dedup.dedup(frame, most_snippets=most).collect()}
+        assert got == brute_removed(docs)
+
+
 def test_phrases_in_many_surroundings(spark):
     """One short phrase in ever other words, in tasks that spread it and in tasks that don't."""
     from tests.llm.test_queries import brute_removed, sha
@@ -188,6 +260,12 @@ def test_ownership_separates_examples(spark):
     assert all(not rows[i] for i in range(8)) and rows[20] == rows[21] == ["owned"] and rows[22] == ["owned"] and rows[30] == ["assign"]
 
 
+def test_replaced():
+    text = "a bcd efg h"
+    assert secrets.replaced(text, [(2, 5, False), (4, 9, True), (10, 11, False)], "[S]", "[E]") == "a [S] [E]"
+    assert secrets.replaced(text, [], "[S]", "[E]") == text
+
+
 def test_base_rules_consume_dropped_matches():
     assert secrets.candidates("password = token: abcdefgh") == []
     kinds = [c[:3] for c in secrets.candidates("API_KEY='abcdef' x" + "ab" * 12)]
@@ -252,6 +330,70 @@ def test_markup(html, text):
     assert pages.main_text(html) == text
 
 
+def plain_site(n, host="http://s.example"):
+    """Pages without telling tags or names: bars of links, a box and a closing line around paragraphs that differ."""
+    draw = random.Random(n)
+    words = lambda k: " ".join(draw.choice("lor em ips um dol or sit am et con sec tet ur".split()) + str(draw.randint(0, 99)) for _ in range(k))
+    out = []
+    for i in range(n):
+        body = "\n".join(words(draw.randint(20, 40)) for _ in range(draw.randint(2, 5)))
+        paragraphs = "".join(f"<p>{x}</p>" for x in body.split("\n"))
+        links = "".join(f"<a href='/{words(1)}'>{words(1)}</a> " for _ in range(draw.randint(3, 6)))
+        out.append((i, f"{host}/{i}", f"<body><div class=x1>{links}</div><div class=x2>Fine words since 1990</div><div class=x3>{paragraphs}</div><div class=x4>Imprint and contact</div></body>", body))
+    return out
+
+
+def test_the_template_decides_what_is_text(spark):
+    """Link bars that differ and boxes that don't go by their host's counts alone; without them most pages keep them."""
+    site = plain_site(12)
+    frame = spark.createDataFrame([x[:3] for x in site], "page_id long, url string, html string")
+    with_template = {r.page_id: r for r in pages.extract(frame).collect()}
+    assert {i: r.text for i, r in with_template.items()} == {i: body for i, _, _, body in site}
+    assert all(r.n_template == 3 and r.n_ruled == 0 for r in with_template.values())
+    without = {r.page_id: r.text for r in pages.extract(frame, min_pages=1 << 30).collect()}
+    assert all(without[i] != body and body in without[i] for i, _, _, body in site)
+
+
+def test_template_without_rules_on_the_sample(spark):
+    """On hosts of many pages the template alone, without tags, roles and names, finds the text of most pages."""
+    sample = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id < 600")
+    wanted = {r.page_id: r for r in pages.extract(sample).collect()}
+    alone = {r.page_id: r for r in pages.extract(sample, rules=False).collect()}
+    nothing = {r.page_id: r for r in pages.extract(sample, rules=False, min_pages=1 << 30).collect()}
+    assert all(nothing[i].text != wanted[i].text for i in wanted)
+    host = lambda u: u.split("/")[2]
+    size = collections.Counter(host(r.url) for r in wanted.values())
+    many = [i for i, r in wanted.items() if size[host(r.url)] >= 12]
+    assert len(many) > 100 and sum(alone[i].text == wanted[i].text for i in many) > 0.9 * len(many)
+    assert sum(wanted[i].n_template > 0 for i in many) > 0.95 * len(many)
+
+
+def test_five_equal_pages_keep_their_text(spark):
+    html = "<body><div>One box</div><p>Some text</p><div><p>More text</p></div></body>"
+    for urls in (["http://a/1"] * 5, [f"http://a/{i}" for i in range(5)]):
+        frame = spark.createDataFrame([(1 if len(set(urls)) == 1 else i, u, html) for i, u in enumerate(urls)], "page_id long, url string, html string")
+        assert {(r.text, r.n_template) for r in pages.extract(frame).collect()} == {("One box\nSome text\nMore text", 0)}
+
+
+def test_mirrors_that_differ_a_little_keep_their_text(spark):
+    """Near copies of one page on a host of other pages."""
+    body = "".join(f"<p>Paragraph {i} of the mirrored page, long enough to matter.</p>" for i in range(4))
+    got = page_texts(spark, [f"<body><div class=t>Top</div>{body}<p>seen {i}</p></body>" for i in range(5)] + [f"<body><div class=t>Top</div><p>Own words {i}</p></body>" for i in range(12)])
+    assert all(got[i].count("mirrored") == 4 for i in range(5)) and got[9] == "Own words 4"
+
+
+@pytest.mark.parametrize("html", ["<a " * 8_000, "<div>" * 8_000 + "</b>" * 8_000, "<div>" * 8_000 + "<li>x" * 8_000, '<a ">"' * 8_000, "<p><button>" + "<div>" * 8_000, "<!-" * 8_000, "<a b='" * 8_001, "<td>" * 8_000 + "<tr>" * 8_000, "<ul>" * 4_000 + "</ul>" * 9_000])
+def test_broken_markup_takes_linear_time(html):
+    def took(text):
+        start = time.perf_counter()
+        pages.main_text(text)
+        return time.perf_counter() - start
+
+    pages.main_text(html)
+    short, long = min(took(html) for _ in range(3)), min(took(html * 4) for _ in range(2))
+    assert long < 12 * short + 0.05 and short < 0.5
+
+
 def test_factorization_machine_learns_pairs():
     """Each term alone says nothing, two together decide."""
     draw = random.Random(0)

@@ -1,6 +1,8 @@
 """The registered queries against plain Python over the same rows."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,7 +11,7 @@ import duckdb
 import pytest
 import xxhash
 
-from tallyloom.llm import queries
+from tallyloom.llm import queries, secrets
 
 SF = "/root/testdata/sf0.01"
 
@@ -65,6 +67,38 @@ def test_op2(spark, documents):
     assert all(0 <= r["score"] <= 1 and r["lang_pred"] in {*lang.values(), "und"} for r in found.values())
 
 
+def brute_grams(text):
+    """1- to 3-grams of a text's lower-case letters, words set off by one space."""
+    out = Counter()
+    plain = "".join(c if c.isalpha() else " " for c in text.lower())
+    if plain.strip():
+        plain = f" {' '.join(plain.split())} "
+        for n in (1, 2, 3):
+            for a in range(len(plain) - n + 1):
+                g = plain[a : a + n]
+                if g != " " and " " not in g[1:-1]:
+                    out[g] += 1
+    return out
+
+
+def test_op2_by_brute_force(spark, documents):
+    """Profiles and out-of-place distances in plain Python; ties of counts go to shorter n-grams last, then by code points."""
+    lang = dict(rows_of("documents", "doc_id, lang"))
+    number = lambda g: sum(ord(c) if c != " " else 0 for c in g) if len(g) == 1 else (ord(g[0]) if g[0] != " " else 0) * 2**21 + (ord(g[1]) if g[1] != " " else 0) + 2**42 if len(g) == 2 else sum((ord(c) if c != " " else 0) << (42 - 21 * k) for k, c in enumerate(g))
+    listed = lambda c: [g for g, _ in sorted(((number(g), n) for g, n in c.items()), key=lambda x: (-x[1], x[0]))[:400]]
+    learned = {}
+    for i, t in documents.items():
+        if lang[i] is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned.setdefault(lang[i], Counter()).update(brute_grams(t))
+    profiles = {k: {g: p for p, g in enumerate(listed(c))} for k, c in learned.items()}
+    found = result(spark, "op2_language_id")
+    for i in sorted(documents)[::7]:
+        own = listed(brute_grams(documents[i]))
+        said = min(((sum(abs(p[g] - r) if g in p else 400 for r, g in enumerate(own)), k) for k, p in profiles.items()), default=None) if own else None
+        assert found[i]["lang_pred"] == (said[1] if said else "und")
+        assert abs(found[i]["score"] - (1 - said[0] / (400 * len(own)) if said else 0)) < 1e-9
+
+
 def test_op3(spark, documents):
     import public_tokenizers
     import tiktoken
@@ -185,18 +219,61 @@ def brute_spans(text):
     return sorted(out)
 
 
+def brute_classes(texts, repos, most_owners=2, most_repos=3):
+    """For each id: (start, kind, end, live) of base spans and of other random-looking tokens that ownership adds."""
+    token = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+    value = re.compile(r"[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)\Z")
+    bits = lambda t: -sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t))
+    found, holders, base_values = {}, {}, set()
+    for i, text in texts.items():
+        spans = [(a, k, b, value.search(text[a:b])[1] if k == 0 else text[a:b]) for a, k, b in brute_spans(text)]
+        base_values |= {v for *_, v in spans}
+        for m in token.finditer(text):
+            t = m[0]
+            mixed = any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and bits(t) >= 3
+            if mixed and all(m.end() <= a or b <= m.start() for a, k, b, _ in spans if k < 3):
+                spans.append((m.start(), 3, m.end(), t))
+        found[i] = sorted(spans)
+        for *_, v in spans:
+            holders.setdefault(v, set()).add(repos[i])
+    live = {v: len(r) <= most_repos and len({x.split("/")[0] for x in r}) <= most_owners for v, r in holders.items()}
+    return {i: [(a, k, b, live[v]) for a, k, b, v in spans if k < 3 or live[v] or v in base_values] for i, spans in found.items()}
+
+
 def test_op10(spark, documents):
-    kinds, total = ("assign", "access", "hex"), 0
+    kinds, total = ("assign", "access", "hex", "owned"), 0
+    want = brute_classes(documents, dict(rows_of("documents", "doc_id, source")))
     for i, r in result(spark, "op10_secret_scan").items():
         spans = brute_spans(documents[i])
         written = [f"{kinds[k]}:{a}:{b}" for a, k, b in spans]
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == n for _, k, _ in spans) for n in range(3)]
         assert r["base_sha256"] == sha(",".join(written))
-        assert [s for s in r["spans"].split(",") if s and not s.startswith("owned")] == written
+        assert r["spans"] == ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b, _ in want[i])
+        assert r["classes"] == ",".join(f"{kinds[k]}:{a}:{b}:{'live' if live else 'copied'}" for a, k, b, live in want[i])
+        assert (r["n_live"], r["n_copied"]) == (sum(x[3] for x in want[i]), sum(not x[3] for x in want[i]))
         total += len(spans)
     assert total > 20
 
 
+def test_owned_spans(spark):
+    """Many repositories, owners, bare and assigned values, ties in start, repeated rows, against plain Python."""
+    draw = random.Random(5)
+    values = ["".join(draw.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789") for _ in range(draw.choice((8, 17, 24)))) for _ in range(40)]
+    values += ["%040x" % draw.getrandbits(160) for _ in range(10)] + ["AKIA" + "".join(draw.choice("ABCDEFGH2345") for _ in range(18)) for _ in range(5)]
+    say = lambda v: draw.choice(("see {} here", "password = {}", "api_key: '{}'", "x {}", "token={};")).format(v)
+    docs = [(i, " ".join(say(draw.choice(values[: 3 + i % 53])) for _ in range(draw.randint(0, 4))), f"o{draw.randint(0, 6)}/r{draw.randint(0, 2)}") for i in range(400)]
+    docs += docs[:20]
+    want = brute_classes({i: t for i, t, _ in docs}, {i: r for i, _, r in docs})
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = secrets.secrets(frame).collect()
+    assert len(rows) == 420 and all([(f.start, f.kind, f.stop, f.live) for f in r.found] == want[r.doc_id] for r in rows)
+    every = [x for r in rows for x in want[r.doc_id]]
+    assert {(k, live) for _, k, _, live in every} >= {(0, True), (0, False), (3, True), (3, False)}
+    put = lambda t, spans: secrets.replaced(t, [(a, b, live) for a, _, b, live in spans], "[SECRET]", "[EXAMPLE]")
+    texts = {i: t for i, t, _ in docs}
+    assert all(r.text == put(texts[r.doc_id], want[r.doc_id]) for r in secrets.redacted(frame).collect())
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_twins(spark, name):
     con = duckdb.connect()
