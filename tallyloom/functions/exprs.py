@@ -46,6 +46,32 @@ def exact_mean(x: Column, scale: int = 4) -> Column:
     return exact_sum(x, scale) / F.count(x)
 
 
+def whole(x: Column) -> Column:
+    """A number without digits after the point, half to even: 1234.5 as 1234."""
+    return F.format_string("%.0f", F.rint(x))
+
+
+def signed(x: Column) -> Column:
+    """A whole number with its sign: +3, -12, +0."""
+    return F.format_string("%+.0f", F.rint(x))
+
+
+def grouped(x: Column, mark: str = ",") -> Column:
+    """A whole number with a mark between thousands."""
+    out = F.format_number(F.rint(x), 0)
+    return out if mark == "," else F.translate(out, ",", mark)
+
+
+def euros(x: Column) -> Column:
+    """A whole amount as reports write it: 1.234 €."""
+    return F.concat(grouped(x, "."), F.lit(" €"))
+
+
+def first_word(text: Column) -> Column:
+    """What stands before the first white space of a trimmed text."""
+    return F.split(F.trim(text), r"\s+")[0]
+
+
 def tier(x: Column, *steps: tuple[float, str], other: str) -> Column:
     """The name of the first threshold that x reaches."""
     out = F.when(x >= steps[0][0], steps[0][1])
@@ -54,10 +80,6 @@ def tier(x: Column, *steps: tuple[float, str], other: str) -> Column:
     return out.otherwise(other)
 
 
-def bound(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
-
-
 #: What the name of a measure says it counts, first hit wins.
 UNITS = (
     ("Liter", ("liter", "beer", "bier", "ml", "cl")),
@@ -76,7 +98,7 @@ def unit_of(name: Column) -> Column:
 
 
 def safe_file_name(name: Column) -> Column:
-    return F.regexp_replace(name, r"[^\w.\-]", "_")
+    return F.regexp_replace(name, r"(?U)[^\w.\-]", "_")
 
 
 #: Legal forms cut out of company names, in this order, wherever they stand.

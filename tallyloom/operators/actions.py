@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.exprs import cleaned, even, exact_sum, growth, number
+from tallyloom.functions.exprs import cleaned, even, exact_sum, grouped, growth, number, signed, whole
+from tallyloom.sources.session import cut
 
 #: Signal, weight, urgency, label, action.
 SIGNALS = (
@@ -20,6 +21,17 @@ SIGNALS = (
     ("service", 16, 2, "Service-Eskalation", "Service-Review ansetzen"),
     ("beziehung", 14, 2, "Beziehungsrisiko", "Beziehungsnetz neu aufbauen"),
 )
+#: What to do about the dominant signal; {anlass} and {luecken} are the account's.
+DETAILS = {
+    "churn": "Ursachen des Volumenrückgangs klären, Wettbewerbssituation offen ansprechen und Rahmenvereinbarung neu verhandeln.",
+    "wettbewerb": "Battlecard gegen den aktiven Wettbewerber einsetzen, technische Differenzierung und Servicequalität in den Vordergrund stellen.",
+    "deal_risk": "Verbindlichen nächsten Schritt mit Datum vereinbaren und Entscheidungsstand im Buying Center verifizieren.",
+    "trigger": "{anlass} – Bedarf frühzeitig besetzen, bevor der Wettbewerb reagiert. Kapazitätserweiterung und Servicepaket anbieten.",
+    "cross_sell": "Portfolio-Lücken im Wert von {luecken} € gezielt adressieren – vergleichbare Kunden nutzen diese Produkte bereits.",
+    "service": "Gemeinsame Ticket-Analyse mit Technik und Kunde, danach Upgrade auf höherwertigen Servicevertrag anbieten.",
+    "beziehung": "Neue Ansprechpartner identifizieren und persönlich vorstellen, bevor der Account beziehungslos wird.",
+}
+NO_TRIGGER = "Expansionssignal erkannt"
 DEADLINES = {3: "innerhalb 48 h", 2: "diese Woche", 1: "in 2 Wochen"}
 
 
@@ -45,6 +57,25 @@ def detected() -> dict[str, tuple[Column, Column, Column]]:
     }
 
 
+def texts() -> dict[str, Column]:
+    """Each signal's sentence, as reports show it."""
+    n = number
+    now, before, contact, worth = n("umsatz_ytd"), n("umsatz_vorjahr"), n("letzter_kontakt_tage"), n("opp_wert")
+    change = growth(now, before)
+    tickets, old, active, people = n("service_tickets"), n("service_tickets_vorquartal"), n("kontakte_aktiv"), n("kontakte_gesamt")
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    deals = said(whole(n("offene_opps")), " offene Opportunity(s) über ", grouped(worth), " €")
+    return {
+        "churn": said("Umsatz ", signed(change), " % gegenüber Vorjahr (", grouped(before - now), " € Rückgang)."),
+        "wettbewerb": F.when(change < 0, "Wettbewerber aktiv im Account bei gleichzeitig sinkendem Bestellvolumen.").otherwise("Wettbewerber ist im Account aktiv – Position verteidigen."),
+        "deal_risk": F.when(contact > 25, said(deals, ", aber seit ", whole(contact), " Tagen kein Kontakt.")).otherwise(said(deals, " in aktiver Bearbeitung.")),
+        "trigger": said(cleaned("trigger_event"), " – konkreter Anlass für ein Erweiterungsgespräch."),
+        "cross_sell": said("Portfolio-Abdeckung nur ", whole(n("portfolio_abdeckung_pct")), " % – Produktlücken im Wert von ", grouped(n("produktluecken_wert")), " €."),
+        "service": said("Service-Tickets von ", whole(old), " auf ", whole(tickets), " gestiegen (+", whole((F.try_divide(tickets, old) - 1) * 100), " %) – Zufriedenheitsrisiko."),
+        "beziehung": said("Nur ", whole(active), " von ", whole(people), " Kontakten aktiv – ", whole(people - active), " Ansprechpartner nicht mehr erreichbar."),
+    }
+
+
 def ranked(accounts: DataFrame, rep: str | None = None, rep_col: str = "vertriebsmitarbeiter") -> DataFrame:
     """Accounts with a signal: signals by their part, value, raw score, score of 0 to 100, dominant signal, action, deadline, rank.
 
@@ -55,7 +86,8 @@ def ranked(accounts: DataFrame, rep: str | None = None, rep_col: str = "vertrieb
     order = lambda a, b: F.when(a["teil"] > b["teil"], -1).when(a["teil"] < b["teil"], 1).otherwise(a["pos"] - b["pos"])
     actions = F.create_map(*[F.lit(x) for k, _, _, _, action in SIGNALS for x in (k, action)])
     deadlines = F.create_map(*[F.lit(x) for u, d in DEADLINES.items() for x in (u, d)])
-    out = accounts.withColumn("_s", F.filter(every, lambda s: s.isNotNull())).where(F.size("_s") > 0)
+    # written once: all that follows reads the found signals, and the accounts are used twice
+    out = cut(accounts.withColumn("_s", F.filter(every, lambda s: s.isNotNull()))).where(F.size("_s") > 0)
     value = F.aggregate("_s", F.lit(0.0), lambda s, x: s + x["wert"])
     out = out.withColumns({"wert": value, "_sum": F.aggregate("_s", F.lit(0.0), lambda s, x: s + x["teil"]), "signale": F.array_sort("_s", order)})
     out = out.withColumn("roh", even(F.col("_sum") * (F.log10(F.greatest(F.col("wert"), F.lit(1000.0)) / 1000 + 1) + 0.4), 1))
@@ -67,7 +99,10 @@ def ranked(accounts: DataFrame, rep: str | None = None, rep_col: str = "vertrieb
             "dominant": F.col("signale")[0]["key"],
         }
     )
-    out = out.withColumns({"aktion": actions[F.col("dominant")], "frist": deadlines[F.col("dringlichkeit")]}).drop("_s", "_sum", "_max")
+    trigger = cleaned("trigger_event")
+    details = F.create_map(*[F.lit(x) for k, d in DETAILS.items() for x in (k, d)])
+    detail = F.replace(F.replace(details[F.col("dominant")], F.lit("{anlass}"), F.when(trigger != "", trigger).otherwise(NO_TRIGGER)), F.lit("{luecken}"), grouped(number("produktluecken_wert")))
+    out = out.withColumns({"aktion": actions[F.col("dominant")], "detail": detail, "frist": deadlines[F.col("dringlichkeit")]}).drop("_s", "_sum", "_max")
     return out if rep is None else out.where(F.col(rep_col) == rep)
 
 
@@ -77,6 +112,13 @@ def top(scored: DataFrame, n: int) -> DataFrame:
     return best.withColumn("rang", F.row_number().over(Window.orderBy(F.desc("dringlichkeit"), F.desc("score"), "kunde_id")))
 
 
+def sentences(accounts: DataFrame) -> DataFrame:
+    """A row for each signal that an account shows: its sentence."""
+    found, words = detected(), texts()
+    rows = F.array_compact(F.array(*[F.when(found[k][0], F.struct(F.lit(k).alias("signal"), words[k].alias("text"))) for k in words]))
+    return accounts.select("kunde_id", F.explode(rows).alias("s")).select("kunde_id", "s.*")
+
+
 def distribution(scored: DataFrame) -> DataFrame:
     """How many accounts show each signal."""
     return scored.select(F.explode("signale.key").alias("signal")).groupBy("signal").agg(F.count("*").alias("n"))

@@ -1,7 +1,7 @@
 """Vector anomalies: nearest neighbours in a memory bank, thresholds, classifier metrics, coresets.
 
 Vectors are arrays. The bank is a coreset of bounded size by design; its size is checked before it is
-shipped, and beyond the bound vectors meet it through blocks of the bank instead.
+shipped, and beyond the bound blocks of vectors meet blocks of the bank in the tasks instead.
 """
 
 from __future__ import annotations
@@ -15,38 +15,71 @@ from pyspark.sql import functions as F
 MOST_BANK = 50_000
 
 
+def packed(vectors: DataFrame, id_col: str, column: str, size: int) -> DataFrame:
+    """Vectors in blocks of at most size: a row holds ids (as a list) and the matrix as bytes of doubles."""
+    kind = dict(vectors.dtypes)[id_col]
+
+    def run(batches):
+        for b in batches:
+            for a in range(0, len(b), size):
+                part = b.iloc[a : a + size]
+                yield pd.DataFrame({"ids": [part[id_col].tolist()], "n": [len(part)], "matrix": [np.array(part[column].tolist(), np.float64).tobytes()]})
+
+    return vectors.select(id_col, column).mapInPandas(run, f"ids array<{kind}>, n int, matrix binary")
+
+
 def nearest(vectors: DataFrame, bank: DataFrame, id_col: str = "vec_id", column: str = "embedding", most: int = MOST_BANK) -> DataFrame:
     """(id, distance): the Euclidean distance of each vector to the nearest of the bank; exact.
 
-    A bank of more than most rows is cut into blocks; every vector meets each block in a task of its own
-    and the least distance counts.
+    A bank of at most most rows is shipped to the tasks. A larger one is written in blocks, and so are the vectors: each pair of
+    blocks is a row of its own for some task, and the least distance of a vector counts. The driver holds neither then.
     """
     kind = dict(vectors.dtypes)[id_col]
     schema = f"{id_col} {kind}, distance double"
-    n = bank.count()
-    blocks = -(-n // most) if n else 0
-    out = None
-    for i in range(blocks):
-        part = bank if blocks == 1 else bank.where(F.pmod(F.xxhash64(column), F.lit(blocks)) == i)
-        matrix = np.array([r[0] for r in part.select(column).collect()], np.float64)
-        if not len(matrix):
-            continue
+
+    def least(x: np.ndarray, matrix: np.ndarray, squares: np.ndarray) -> np.ndarray:
+        near = (squares[None, :] - 2 * x @ matrix.T).argmin(axis=1)
+        # the exact distance of the nearest, free of what the expansion cancels
+        return np.sqrt(((x - matrix[near]) ** 2).sum(axis=1))
+
+    head = bank.select(column).limit(most + 1).collect()
+    if not head:
+        return vectors.select(id_col, F.lit(None).cast("double").alias("distance"))
+    if len(head) <= most:
+        matrix = np.array([r[0] for r in head], np.float64)
         squares = (matrix**2).sum(axis=1)
 
-        def run(batches, matrix=matrix, squares=squares):
+        def run(batches):
             for b in batches:
                 for a in range(0, len(b), 512):
                     part = b.iloc[a : a + 512]
-                    x = np.array(part[column].tolist(), np.float64)
-                    near = (squares[None, :] - 2 * x @ matrix.T).argmin(axis=1)
-                    # the exact distance of the nearest, free of what the expansion cancels
-                    yield pd.DataFrame({id_col: part[id_col], "distance": np.sqrt(((x - matrix[near]) ** 2).sum(axis=1))})
-
-        found = vectors.select(id_col, column).mapInPandas(run, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.select(id_col, F.lit(None).cast("double").alias("distance"))
-    return out if blocks == 1 else out.groupBy(id_col).agg(F.min("distance").alias("distance"))
+                    yield pd.DataFrame({id_col: part[id_col], "distance": least(np.array(part[column].tolist(), np.float64), matrix, squares)})
+
+        return vectors.select(id_col, column).mapInPandas(run, schema)
+    from tallyloom.sources.session import cut
+
+    size = min(most, 2048)
+    own = cut(packed(vectors, id_col, column, size))
+    other = cut(packed(bank, id_col, column, size)).select(F.col("n").alias("m"), F.col("matrix").alias("other"))
+    pairs = own.repartition("n", "matrix").crossJoin(other)  # of blocks: a two-thousandth of the rows on either side
+
+    def meet(batches):
+        for b in batches:
+            for ids, n, raw, m, raw_other in zip(b.ids, b.n, b.matrix, b.m, b.other):
+                x, matrix = np.frombuffer(raw).reshape(n, -1), np.frombuffer(raw_other).reshape(m, -1)
+                yield pd.DataFrame({id_col: list(ids), "distance": least(x, matrix, (matrix**2).sum(axis=1))})
+
+    return pairs.mapInPandas(meet, schema).groupBy(id_col).agg(F.min("distance").alias("distance"))
+
+
+def save_bank(bank: DataFrame, limit: DataFrame, path: str) -> None:
+    """A fitted detector as two tables: the bank's vectors, and the row of its threshold."""
+    bank.write.mode("overwrite").parquet(f"{path}/bank")
+    limit.write.mode("overwrite").parquet(f"{path}/threshold")
+
+
+def load_bank(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/bank"), spark.read.parquet(f"{path}/threshold")
 
 
 def image_scores(distances: DataFrame, image: str) -> DataFrame:

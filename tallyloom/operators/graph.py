@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from math import ceil, log
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,21 +25,26 @@ def purchase_edges(purchases: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def personalised_pagerank(edges: DataFrame, starts: DataFrame, iterations: int = 10, alpha: float = ALPHA, cut_every: int = 4) -> DataFrame:
-    """(start, node, score) after so many steps for each start node (column start); all starts advance together.
+def steps_for(tolerance: float, alpha: float = ALPHA) -> int:
+    """Steps after which the ranks are within tolerance (in sum) of where they settle, whatever the graph."""
+    return max(1, ceil(log(tolerance / 2) / log(alpha)))
 
-    Mass follows edges by weight; the rest, and what stands on nodes without edges, returns to the start. Each step
+
+def personalised_pagerank(edges: DataFrame, starts: DataFrame, iterations: int | None = None, alpha: float = ALPHA, cut_every: int = 4, tolerance: float = 1e-6) -> DataFrame:
+    """(start, node, score) for each start node (column start), within tolerance of the limit or after so many iterations.
+
+    All starts advance together. Mass follows edges by weight; the rest, and what stands on nodes without edges, returns to the start. Each step
     is one equi-join with the edges and one sum; lineage is cut every few steps.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     moves = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))  # read by every step
-    starts = starts.select("start").distinct()
+    starts = cut(starts.select("start").distinct())
     home = starts.select("start", F.col("start").alias("node"), F.lit(1.0 - alpha).alias("score"))
-    linked = moves.select(F.col("src").alias("node")).distinct()
+    stray = cut(starts.join(moves.select(F.col("src").alias("start")).distinct(), "start", "left_anti"))  # the only nodes without edges that mass can stand on
     mass = starts.select("start", F.col("start").alias("node"), F.lit(1.0).alias("score"))
-    for i in range(iterations):
+    for i in range(steps_for(tolerance, alpha) if iterations is None else iterations):
         moved = mass.join(moves, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), (F.col("score") * F.col("p") * alpha).alias("score"))
-        stuck = mass.join(linked, "node", "left_anti").select("start", F.col("start").alias("node"), (F.col("score") * alpha).alias("score"))
+        stuck = stray.select("start", F.col("start").alias("node"), F.lit(alpha).alias("score"))
         mass = moved.unionByName(stuck).unionByName(home).groupBy("start", "node").agg(F.sum("score").alias("score"))
         if (i + 1) % cut_every == 0:
             mass = cut(mass)

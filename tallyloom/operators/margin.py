@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.exprs import even, exact_mean, exact_sum
+from tallyloom.sources.session import cut
 
 MIN_MARGIN = 15.0
 #: Costs as a share of the list price, where only prices are known.
@@ -64,18 +65,29 @@ def summary(offers: DataFrame, *by: str, least: float = MIN_MARGIN) -> DataFrame
 
 
 def kpis(offers: DataFrame, least: float = MIN_MARGIN) -> DataFrame:
-    """One row: mean discount and margin, leaks, their revenue and what they would bring, discount outliers."""
+    """One row: mean discount and margin, leaks, their revenue and what they would bring, discount outliers.
+
+    Offers are read once, into sums by discount; the percentile and what lies above it follow from these.
+    """
     leak = F.col("deckungsbeitrag_pct") < least
+    money = lambda x, scale=4: F.sum(x.cast(f"decimal(28,{scale})"))
+    by_discount = offers.groupBy("rabatt_pct").agg(
+        F.count("*").alias("n"), F.count("rabatt_pct").alias("nr"), F.count("deckungsbeitrag_pct").alias("nm"), F.count_if(leak).alias("leaks"),
+        money(F.col("rabatt_pct")).alias("rabatt"), money(F.col("deckungsbeitrag_pct")).alias("marge"), money(F.when(leak, F.col("umsatz"))).alias("volumen"),
+        money(F.when(leak, F.coalesce(recoverable(F.col("umsatz"), F.col("deckungsbeitrag_pct"), least), F.lit(0.0))), 8).alias("potenzial"),
+    )
+    by_discount = cut(by_discount)
     # one row wide, so the cross join is with a scalar
-    limit = offers.agg(F.percentile("rabatt_pct", F.lit(0.9)).alias("_p90"))
-    return offers.crossJoin(F.broadcast(limit)).agg(
-        even(exact_mean(F.col("rabatt_pct")), 1).alias("avg_rabatt"),
-        even(exact_mean(F.col("deckungsbeitrag_pct")), 1).alias("avg_marge"),
-        even(F.coalesce(exact_sum(F.when(leak, F.coalesce(recoverable(F.col("umsatz"), F.col("deckungsbeitrag_pct"), least), F.lit(0.0))), 8), F.lit(0.0))).alias("potenzial"),
-        F.count_if(leak).alias("leaks"),
-        F.coalesce(exact_sum(F.when(leak, F.col("umsatz"))), F.lit(0.0)).alias("leak_volumen"),
-        F.count_if(F.col("rabatt_pct") > F.col("_p90")).alias("ausreisser"),
-        F.count("*").alias("total"),
+    limit = by_discount.agg(F.percentile("rabatt_pct", F.lit(0.9), F.col("n")).alias("_p90"))
+    total = lambda c: F.sum(c).cast("double")
+    return by_discount.crossJoin(F.broadcast(limit)).agg(
+        even(total("rabatt") / F.sum("nr"), 1).alias("avg_rabatt"),
+        even(total("marge") / F.sum("nm"), 1).alias("avg_marge"),
+        even(F.coalesce(total("potenzial"), F.lit(0.0))).alias("potenzial"),
+        F.coalesce(F.sum("leaks"), F.lit(0)).alias("leaks"),
+        F.coalesce(total("volumen"), F.lit(0.0)).alias("leak_volumen"),
+        F.coalesce(F.sum(F.when(F.col("rabatt_pct") > F.col("_p90"), F.col("n"))), F.lit(0)).alias("ausreisser"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
     )
 
 
@@ -86,6 +98,14 @@ def top_leaks(offers: DataFrame, n: int = 5, least: float = MIN_MARGIN, tie: tup
     return out.orderBy("deckungsbeitrag_pct", *tie).limit(n)
 
 
+def ordered(groups: DataFrame, name: str, n: int, by: str = "avg_rabatt") -> DataFrame:
+    """The first n groups by greatest value with their rank (ties by name): only these rows are ever in one place."""
+    from pyspark.sql import Window
+
+    order = (F.desc(by), F.col(name))
+    return groups.orderBy(*order).limit(n).withColumn("rang", F.row_number().over(Window.orderBy(*order)))
+
+
 def spread(groups: DataFrame, name: str) -> DataFrame:
     """One row: the group of highest and of lowest mean discount, and what the margin between them is worth."""
     worst = F.max_by(F.struct(name, "avg_rabatt", "avg_marge", "umsatz"), F.struct("avg_rabatt", name))

@@ -42,6 +42,20 @@ def alerts(results: DataFrame, above: float = ALERT_RATE) -> DataFrame:
     return results.groupBy("project_id").agg(F.count("*").alias("total"), rate.alias("nok_rate")).where(F.col("nok_rate") > above)
 
 
+def running_rate(results: DataFrame, above: float = ALERT_RATE) -> DataFrame:
+    """After each result: its project's results of that day so far, their NOK rate and whether it is above the limit.
+
+    Windows hold a project's day, not all its history.
+    """
+    from pyspark.sql import Window
+
+    day = F.floor(F.col("created_at") / 86_400)
+    by = Window.partitionBy("project_id", day).orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.count("*").over(by)
+    rate = even(F.sum((F.col("decision") == "NOK").cast("int")).over(by) / total.cast("double") * 100, 1)
+    return results.select("id", "project_id", total.alias("total"), rate.alias("nok_rate")).withColumn("alarm", F.col("nok_rate") > above)
+
+
 def report(results: DataFrame, n: int = 500) -> DataFrame:
     """The newest results with a readable time, for a CSV file."""
     return latest(results, n).withColumn("created_at", F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd HH:mm:ss"))

@@ -74,7 +74,7 @@ def min_max(x: str, by: str):
     return F.when(high - low < 1e-12, 0.5).otherwise(F.try_divide(F.col(x) - low, high - low))
 
 
-def customer_ranks(purchases: DataFrame, iterations: int = 10) -> DataFrame:
+def customer_ranks(purchases: DataFrame, iterations: int | None = 10) -> DataFrame:
     """(kunde_id, produkt_id, ppr): personalised PageRank of products for every customer.
 
     A walk that starts at a customer is, after its first step, a mix of walks that start at the customer's
@@ -116,20 +116,43 @@ def coverage(purchases: DataFrame) -> DataFrame:
     return own.crossJoin(F.broadcast(total)).select("kunde_id", "n_produkte", even(F.col("n_produkte") / F.col("_all") * 100).alias("abdeckung_pct"))
 
 
-def similar_customers(purchases: DataFrame, customers: DataFrame) -> DataFrame:
-    """For the given customers: others with shared products, how many, and the Jaccard similarity (four digits)."""
-    own = purchases.where("umsatz > 0").select("kunde_id", "produkt_id").distinct()
-    size = own.groupBy("kunde_id").agg(F.count("*").alias("n"))
-    mine = own.join(customers.select("kunde_id").distinct(), "kunde_id", "left_semi")
-    shared = mine.join(own.select(F.col("kunde_id").alias("anderer"), "produkt_id"), "produkt_id").where("kunde_id <> anderer").groupBy("kunde_id", "anderer").agg(F.count("*").alias("gemeinsam"))
-    with_sizes = shared.join(size, "kunde_id").join(size.select(F.col("kunde_id").alias("anderer"), F.col("n").alias("m")), "anderer")
-    return with_sizes.select("kunde_id", "anderer", "gemeinsam", even(F.col("gemeinsam") / (F.col("n") + F.col("m") - F.col("gemeinsam")), 4).alias("jaccard"))
+def evidence(purchases: DataFrame, wanted: DataFrame, most: int = 3) -> DataFrame:
+    """Why a product: for each (kunde_id, produkt_id) of wanted the most similar customers who own it.
+
+    anderer, gemeinsam (the shared products, sorted), their number, the Jaccard similarity (four digits) and nr. Buyers of a wanted product are met by an
+    equi-join on it, and what two customers share follows from their product lists; no other pairs of customers arise.
+    """
+    own = cut(purchases.where("umsatz > 0").select("kunde_id", "produkt_id").distinct())
+    lists = own.groupBy("kunde_id").agg(F.sort_array(F.collect_set("produkt_id")).alias("liste"))
+    mine = wanted.select("kunde_id", "produkt_id").distinct().join(lists, "kunde_id")
+    others = own.join(lists, "kunde_id").select(F.col("kunde_id").alias("anderer"), "produkt_id", F.col("liste").alias("deren"))
+    pairs = mine.join(others, "produkt_id").where("anderer <> kunde_id").withColumn("gemeinsam", F.array_intersect("liste", "deren"))
+    n = F.size("gemeinsam")
+    pairs = pairs.where(n > 0).select("kunde_id", "produkt_id", "anderer", "gemeinsam", n.cast("long").alias("n_gemeinsam"), even(n / (F.size("liste") + F.size("deren") - n), 4).alias("jaccard"))
+    best = Window.partitionBy("kunde_id", "produkt_id").orderBy(F.desc("jaccard"), F.desc("n_gemeinsam"), "anderer")
+    return pairs.withColumn("nr", F.row_number().over(best)).where(F.col("nr") <= most)
 
 
-def explain(purchases: DataFrame, customers: DataFrame, most: int = 3) -> DataFrame:
-    """Why a product: per (customer, product not owned) the most similar customers who own it."""
+def explain(purchases: DataFrame, wanted: DataFrame, most: int = 3) -> DataFrame:
+    """For each (kunde_id, produkt_id) of wanted: n_kunden (others who own the product), the best evidence, the bridge product and a sentence.
+
+    The bridge is the customer's product that most of the evidence shares; of equals the one that comes first in it.
+    """
     own = purchases.where("umsatz > 0").select("kunde_id", "produkt_id").distinct()
-    near = similar_customers(purchases, customers)
-    paths = near.join(own.select(F.col("kunde_id").alias("anderer"), "produkt_id"), "anderer").join(own, ["kunde_id", "produkt_id"], "left_anti")
-    best = Window.partitionBy("kunde_id", "produkt_id").orderBy(F.desc("jaccard"), F.desc("gemeinsam"), "anderer")
-    return paths.withColumn("nr", F.row_number().over(best)).where(F.col("nr") <= most)
+    buyers = own.groupBy("produkt_id").agg(F.count("*").alias("alle"))
+    found = cut(evidence(purchases, wanted, most))
+    named = found.groupBy("kunde_id", "produkt_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nr", "anderer"))), lambda x: x["anderer"].cast("string")), ", ").alias("belege"))
+    shared = found.select("kunde_id", "produkt_id", "nr", F.explode("gemeinsam").alias("bruecke")).groupBy("kunde_id", "produkt_id", "bruecke").agg(F.count("*").alias("n"), F.min("nr").alias("erst"))
+    bridge = shared.groupBy("kunde_id", "produkt_id").agg(F.min_by("bruecke", F.struct(-F.col("n"), F.col("erst"), F.col("bruecke"))).alias("bruecke"))
+    rows = wanted.select("kunde_id", "produkt_id").distinct().join(buyers, "produkt_id", "left").join(own.withColumn("_own", F.lit(1)), ["kunde_id", "produkt_id"], "left")
+    rows = rows.join(named, ["kunde_id", "produkt_id"], "left").join(bridge, ["kunde_id", "produkt_id"], "left").withColumn("n_kunden", F.coalesce("alle", F.lit(0)) - F.coalesce("_own", F.lit(0)))
+    text = F.concat(F.col("n_kunden").cast("string"), F.lit(" vergleichbare Kunden setzen dieses Produkt bereits ein – darunter "), F.col("belege"), F.lit("."))
+    text = F.concat(text, F.lit(" Die Verbindung läuft vor allem über Ihr Produkt „"), F.col("bruecke"), F.lit("“."))
+    return rows.select("kunde_id", "produkt_id", "n_kunden", "belege", "bruecke", F.coalesce(text, F.lit("Das Modell leitet die Empfehlung aus latenten Kaufmustern ab.")).alias("text"))
+
+
+def network(purchases: DataFrame) -> DataFrame:
+    """One row: customers, products, edges between them and the density in per cent."""
+    own = purchases.groupBy("kunde_id", "produkt_id").agg(F.max((F.col("umsatz") > 0).cast("int")).alias("kante"))
+    cells = F.count_distinct("kunde_id") * F.count_distinct("produkt_id")
+    return own.agg(F.count_distinct("kunde_id").alias("n_kunden"), F.count_distinct("produkt_id").alias("n_produkte"), F.coalesce(F.sum("kante"), F.lit(0)).alias("n_kanten"), F.coalesce(even(F.try_divide(F.sum("kante"), cells) * 100, 1), F.lit(0.0)).alias("dichte"))

@@ -90,6 +90,43 @@ def normalised(df: DataFrame, keys: list[str], n: int = 528, date: str = "datum"
     return recent.withColumns({"mittel": F.avg(v).over(by), "streuung": F.stddev_pop(v).over(by) + 1e-8}).withColumn("z", (v - F.col("mittel")) / F.col("streuung"))
 
 
+def denormalised(df: DataFrame, column: str = "z") -> DataFrame:
+    """Values back from their normalised form (columns mittel and streuung of normalised()), not below 0."""
+    return df.withColumn("wert", F.greatest(F.lit(0.0), F.col(column) * F.col("streuung") + F.col("mittel")))
+
+
+def long_enough(df: DataFrame, keys: list[str], least: int = 528, value: str = "menge") -> DataFrame:
+    """The number of rows of each series and whether it is too short for a model of that lookback, with the message."""
+    short = F.col("n") < least
+    out = df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("zu_kurz", short)
+    return out.withColumn("meldung", F.when(short, F.concat(F.lit("Zu wenig Daten: "), F.col("n").cast("string"), F.lit(f" Zeilen, mindestens {least} benötigt."))))
+
+
+def require_long(df: DataFrame, keys: list[str], least: int = 528) -> DataFrame:
+    """df, or ValueError if one of its series is too short: one aggregate and one row to the driver."""
+    first = long_enough(df, keys, least).where("zu_kurz").orderBy("n", *keys).limit(1).collect()
+    if first:
+        raise ValueError(first[0].meldung)
+    return df
+
+
+#: Fixed values of the year's daily greatest temperature: mean, swing, day of the mean in spring.
+WARM, SWING, SPRING = 16.5, 12.5, 80
+
+
+def temperature(df: DataFrame, live: DataFrame | None = None, date: str = "datum", noise: float = 0.0) -> DataFrame:
+    """A temperature for each day: a measured one (live: date, temperatur), else the season's, with noise from the day's hash if asked for.
+
+    The lookup is a left join with a small table of days; of several values of a day the greatest counts.
+    """
+    spread = F.pmod(F.xxhash64(F.col(date).cast("string")), F.lit(2_000_001)).cast("double") / 1_000_000 - 1
+    season = F.lit(WARM) + F.lit(SWING) * F.sin((F.dayofyear(date) - SPRING) / 365.0 * 2 * F.pi()) + spread * noise
+    if live is None:
+        return df.withColumn("temperatur", season)
+    own = live.where("temperatur IS NOT NULL").groupBy(F.col("date").alias("_day")).agg(F.max(F.col("temperatur").cast("double")).alias("_live"))
+    return df.join(own, F.col(date).cast("date") == F.col("_day"), "left").withColumn("temperatur", F.coalesce("_live", season)).drop("_day", "_live")
+
+
 def backtest(df: DataFrame, keys: list[str], days: int = 28, date: str = "datum", value: str = "menge", predicted: str = "prognose", naive: str = "naiv", least: int = 7) -> DataFrame:
     """Per series over its last days: WAPE, MAE and bias of a forecast and of the naive one, and the gain; NULL below least rows."""
     by = Window.partitionBy(*keys)
@@ -125,36 +162,77 @@ def corrected(df: DataFrame, corrections: DataFrame, keys: list[str], date: str
     return df.join(own, [*keys, date], "left").withColumn("final", F.coalesce(F.col("_wert").cast("double"), F.col(predicted))).drop("_wert")
 
 
-MODEL_FEATURES = ("wochentag", "monat", "kw", "wochenende", "lag_7", "lag_14", "lag_28", "roll_mean_28", "roll_std_28", "roll_mean_14")
+MODEL_FEATURES = (
+    "wochentag", "monat", "kw", "feiertag", "ferien", "temperatur", "aktion", "lag_7", "lag_14", "lag_28", "lag_364",
+    "roll_mean_28", "roll_std_28", "roll_mean_14", "reihe_1", "reihe_2",
+)
+HISTORY = 400
+
+
+def model_rows(df: DataFrame, keys: list[str], days: DataFrame | None, ranges: DataFrame | None, live: DataFrame | None, date: str, value: str) -> DataFrame:
+    """All features of a model: calendar, holidays, temperature, promotion, lags, rolling statistics, and the series as numbers (of its first two keys)."""
+    rows = temperature(calendar(features(df, keys, date, value), date), live, date)
+    rows = holidays(rows, days, ranges, date) if days is not None and ranges is not None else rows.withColumns({"feiertag": F.lit(0), "ferien": F.lit(0)})
+    code = lambda i: F.pmod(F.xxhash64(F.col(keys[i]).cast("string")), F.lit(64)) if i < len(keys) else F.lit(0)
+    if "aktion" not in rows.columns:
+        rows = rows.withColumn("aktion", F.lit(0))
+    return rows.withColumns({"aktion": F.coalesce("aktion", F.lit(0)), "reihe_1": code(0), "reihe_2": code(1)})
 
 
-def trained(df: DataFrame, keys: list[str], date: str = "datum", value: str = "menge", trees: int = 20, depth: int = 4, seed: int = 7):
-    """One boosted-tree model over all series; returns the fitted pipeline of assembler and trees."""
+def trained(df: DataFrame, keys: list[str], date: str = "datum", value: str = "menge", trees: int = 20, depth: int = 5, seed: int = 7, days: DataFrame | None = None, ranges: DataFrame | None = None, live: DataFrame | None = None):
+    """One boosted-tree model over all series; returns the fitted pipeline of assembler and trees.
+
+    Rows without a value a year before are left out, as the other lags'; if that leaves none, a series' missing lag is its mean.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = features(calendar(df, date), keys, date, value, (7, 14, 28)).dropna(subset=[*MODEL_FEATURES, value])
+    rows = model_rows(df, keys, days, ranges, live, date, value)
+    whole_rows = rows.dropna(subset=[*MODEL_FEATURES, value])
+    if whole_rows.isEmpty():
+        mean = F.avg(F.col(value).cast("double")).over(Window.partitionBy(*keys))
+        whole_rows = rows.dropna(subset=[value]).withColumns({c: F.coalesce(F.col(c), mean) for c in MODEL_FEATURES if c.startswith(("lag", "roll"))})
     stages = [VectorAssembler(inputCols=list(MODEL_FEATURES), outputCol="features"), GBTRegressor(featuresCol="features", labelCol=value, predictionCol="prognose", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed, checkpointInterval=-1)]
-    return Pipeline(stages=stages).fit(rows.select(F.col(value).cast("double").alias(value), *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES]))
+    return Pipeline(stages=stages).fit(whole_rows.select(F.col(value).cast("double").alias(value), *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES]))
 
 
-def forecast(df: DataFrame, keys: list[str], model, steps: int = 7, date: str = "datum", value: str = "menge") -> DataFrame:
-    """Days after each series' last, one after the other: a step's forecasts (whole, not below 0) are history for the next."""
+def forecast(df: DataFrame, keys: list[str], model, steps: int = 7, date: str = "datum", value: str = "menge", start: str | None = None, days: DataFrame | None = None, ranges: DataFrame | None = None, live: DataFrame | None = None, actions: tuple[int, ...] = (), most_gap: int = 120) -> DataFrame:
+    """steps days from start (or the day after the last of all series), one after the other: a step's forecasts (whole, not below 0) are history for the next.
+
+    Days between a series' last and start are filled by forecasts without being reported (a gap of more than most_gap days
+    is refused). actions: for each step 1 if a promotion is planned. The naive forecast beside it is from real values alone: 7 days before, else 14, else
+    the value 7 rows before.
+    """
     from tallyloom.sources.session import cut
 
-    history = last_rows(df.select(*keys, date, F.col(value).cast("double").alias(value)), keys, 64, date)
+    own = df.select(*keys, date, F.col(value).cast("double").alias(value))
+    ends = own.groupBy(*keys).agg(F.max(date).alias("_last"))
+    first, last, now = ends.agg(F.min("_last"), F.max("_last"), F.coalesce(F.lit(start).cast("date"), F.date_add(F.max(F.col("_last").cast("date")), 1))).first()
+    if first is None:
+        return own.select(*keys, date, *[F.lit(None).cast("double").alias(c) for c in ("prognose", "roll_std_28", "naiv", "unten", "oben")]).limit(0)
+    as_day = lambda x: x.date() if hasattr(x, "date") else x
+    gap = max(0, (now - as_day(first)).days - 1)
+    if gap > most_gap:
+        raise ValueError(f"a series ends {gap} days before the forecast's start; at most {most_gap} are filled")
+    history = cut(last_rows(own, keys, HISTORY, date).withColumn("aktion", F.lit(0)))
+    real = history.where(F.col(value).isNotNull()).select(*keys, F.col(date).cast("date").alias("_tag"), F.col(value).alias("_echt"))
+    series_keys = ends.select(*keys, F.col("_last").cast("date").alias("_last"))
     out = None
-    for _ in range(steps):
-        new = history.groupBy(*keys).agg(F.date_add(F.max(date), 1).alias(date)).withColumn(value, F.lit(None).cast("double"))
-        rows = features(calendar(history.unionByName(new), date), keys, date, value, (7, 14, 28)).where(F.col(value).isNull())
-        rows = rows.fillna(0.0, [c for c in MODEL_FEATURES if c.startswith(("lag", "roll"))])
-        step = model.transform(rows.withColumns({c: F.col(c).cast("double") for c in MODEL_FEATURES}))
-        step = step.select(*keys, date, F.greatest(F.lit(0.0), even(F.col("prognose"))).alias("prognose"), "roll_std_28")
-        step = cut(step)
-        history = history.unionByName(step.select(*keys, date, F.col("prognose").alias(value)))
-        out = step if out is None else out.unionByName(step)
-    return interval(out)
+    for step in range(-gap, steps):
+        day = F.date_add(F.lit(now), step)
+        new = series_keys.where(F.col("_last") < day).select(*keys, day.cast(own.schema[date].dataType).alias(date), F.lit(None).cast("double").alias(value), F.lit(int(step >= 0 and step < len(actions) and bool(actions[step]))).alias("aktion"))
+        rows = model_rows(history.unionByName(new), keys, days, ranges, live, date, value).where(F.col(value).isNull() & (F.col(date).cast("date") == day))
+        mean = F.coalesce(F.col("roll_mean_28"), F.lit(0.0))
+        rows = rows.withColumns({c: F.coalesce(F.col(c), mean) for c in MODEL_FEATURES if c.startswith(("lag", "roll"))})
+        said = model.transform(rows.withColumns({c: F.col(c).cast("double") for c in MODEL_FEATURES}))
+        said = cut(said.select(*keys, date, F.greatest(F.lit(0.0), even(F.col("prognose"))).alias("prognose"), "roll_std_28", "lag_7", "feiertag", "ferien", "temperatur", "aktion"))
+        history = history.unionByName(said.select(*keys, date, F.col("prognose").alias(value), "aktion"))
+        if step >= 0:
+            out = said if out is None else out.unionByName(said)
+    before = lambda k, name: real.select(*keys, F.date_add("_tag", k).alias("_tag"), F.col("_echt").alias(name))
+    out = out.withColumn("_tag", F.col(date).cast("date")).join(before(7, "_a"), [*keys, "_tag"], "left").join(before(14, "_b"), [*keys, "_tag"], "left")
+    return interval(out.withColumn("naiv", F.coalesce("_a", "_b", even(F.col("lag_7")))).drop("_tag", "_a", "_b", "lag_7"))
 
 
 def importance(model, top: int = 10) -> list[tuple[str, float]]:

@@ -184,20 +184,17 @@ def customer_purchases(spark, sf_dir):
     return basket.purchases_of(purchases(spark, sf_dir))
 
 
-YEAR_RECOMMEND = RECOMMEND.replace("FROM purchases", "FROM year_purchases")
-
-
 @query(
     with_roles(
         """SELECT kunde_id, produkt_id, anderer, gemeinsam, CAST(ROW_NUMBER() OVER (PARTITION BY kunde_id, produkt_id ORDER BY anderer) AS INT) AS nr FROM (
         SELECT r.kunde_id, r.produkt_id, o.kunde_id AS anderer, COUNT(*) AS gemeinsam FROM rec r JOIN own o ON o.produkt_id = r.produkt_id AND o.kunde_id <> r.kunde_id
         JOIN own t ON t.kunde_id = o.kunde_id JOIN own m ON m.kunde_id = r.kunde_id AND m.produkt_id = t.produkt_id GROUP BY ALL) QUALIFY nr <= 3""",
-        "year_purchases",
-        extra=YEAR_RECOMMEND,
+        "purchases",
+        extra=RECOMMEND,
     )
 )
 def basket_evidence(spark, sf_dir):
-    own = owned(role(spark, sf_dir, "year_purchases"))
+    own = owned(purchases(spark, sf_dir))
     return basket.evidence(own, basket.recommend(own, basket.pairs(own))).select("kunde_id", "produkt_id", "anderer", "gemeinsam", "nr")
 
 
@@ -317,7 +314,7 @@ f AS (SELECT opp_id, 0 AS pos, 'Finanzfreigabe nicht eingebunden' AS titel, {D(-
 UNION ALL SELECT opp_id, 2, 'Kein Zugang zur Geschäftsführung', {D(-7)} FROM x WHERE gf = 0 AND deal_wert >= 250000 UNION ALL SELECT opp_id, 3, 'Technische Entscheidung offen', {D(-6)} FROM x WHERE tech = 0
 UNION ALL SELECT opp_id, 4, 'Wettbewerber im Buying Center aktiv', {D(-16)} FROM x WHERE rivals > 0 UNION ALL SELECT opp_id, 5, 'Wettbewerber im Rennen', {D(-6)} FROM x WHERE rivals = 0 AND rival
 UNION ALL SELECT opp_id, 6, 'Deal steht still', {D(-12)} FROM x WHERE tage_in_stage > med * {D(1.8)} UNION ALL SELECT opp_id, 7, 'Kontakt eingeschlafen', {D(-10)} FROM x WHERE letzter_kontakt_tage > 30 UNION ALL SELECT opp_id, 8, 'Enger Kundenkontakt', {D(5)} FROM x WHERE letzter_kontakt_tage <= 7
-UNION ALL SELECT opp_id, 9, 'Hoher Rabattdruck', {D(-8)} FROM x WHERE rabatt_gefordert_pct >= 18 UNION ALL SELECT opp_id, 10, 'Widerstand im Buying Center', {D(-9)} FROM x WHERE neg > 0 UNION ALL SELECT opp_id, 11, 'Branchen-Historie', {ev(f'diff * {D(0.4)}')} FROM x WHERE ABS(diff) >= 8),
+UNION ALL SELECT opp_id, 9, 'Hoher Rabattdruck', {D(-8)} FROM x WHERE rabatt_gefordert_pct >= 18 UNION ALL SELECT opp_id, 10, 'Widerstand im Buying Center', {D(-9)} FROM x WHERE neg > 0 UNION ALL SELECT opp_id, 11, 'Branchen-Historie ' || branche, {ev(f'diff * {D(0.4)}')} FROM x WHERE ABS(diff) >= 8),
 fs AS (SELECT opp_id, SUM(delta) AS s, arg_min(titel, delta * 1000 + pos) FILTER (delta < 0) AS top_risiko FROM f GROUP BY opp_id),
 p AS (SELECT x.*, top_risiko, GREATEST({D(3)}, LEAST({D(96)}, crm_probability + COALESCE(s, 0))) AS p_graph,
 GREATEST({D(4)}, LEAST({D(95)}, (tage_in_stage / GREATEST(med, 1) - 1) * 32 + 18 + letzter_kontakt_tage * {D(0.55)})) AS p_stillstand,
@@ -423,7 +420,7 @@ for _form in resolve.company_name.__defaults__[0]:
 for _a, _b in (("ü", "ue"), ("ö", "oe"), ("ä", "ae"), ("ß", "ss"), ("-", " ")):
     NAME = f"replace({NAME}, '{_a}', '{_b}')"
 NAME = f"regexp_replace(trim({NAME}), '\\s+', ' ', 'g')"
-PREPARED = f"prep AS (SELECT firma_id, {NAME} AS name, coalesce(plz, '') AS plz, lower(coalesce(ort, '')) AS ort, coalesce(branche, '') AS branche, substring({NAME}, 1, 6) AS letter, substring(coalesce(plz, ''), 1, 2) AS area FROM companies)"
+PREPARED = f"prep AS (SELECT firma_id, {NAME} AS name, coalesce(plz, '') AS plz, lower(coalesce(ort, '')) AS ort, coalesce(branche, '') AS branche, substring({NAME}, 1, 1) AS letter, substring(coalesce(plz, ''), 1, 2) AS area FROM companies)"
 CANDIDATES = f"{PREPARED}, cand AS (SELECT a.firma_id AS a_id, b.firma_id AS b_id FROM prep a JOIN prep b ON a.area = b.area AND a.firma_id < b.firma_id WHERE a.area <> '' UNION SELECT a.firma_id, b.firma_id FROM prep a JOIN prep b ON a.letter = b.letter AND a.firma_id < b.firma_id WHERE a.letter <> '')"
 
 
@@ -439,7 +436,7 @@ TOTAL = f"ns * {D(0.6)} + ads * {D(0.3)} + bs * {D(0.1)}"
 
 
 def candidate_rows(spark, sf_dir):
-    return resolve.prepared(role(spark, sf_dir, "companies"), 6)
+    return resolve.prepared(role(spark, sf_dir, "companies"))
 
 
 @query(with_roles("SELECT a_id, b_id FROM cand", "companies", extra=CANDIDATES))
@@ -449,7 +446,7 @@ def resolve_blocked_pairs(spark, sf_dir):
 
 @query(with_roles(f"SELECT a_id, b_id, {ev('ns', 4)} AS name_score, {ev('ads', 4)} AS adress_score, bs AS branche_score, {ev(TOTAL, 4)} AS score, CASE WHEN {ev(TOTAL, 4)} >= 0.75 THEN 'rot' ELSE 'gelb' END AS ampel FROM sp WHERE {ev(TOTAL, 4)} >= 0.55", "companies", extra=SCORED_PAIRS))
 def resolve_pairs_edit(spark, sf_dir):
-    return resolve.duplicates(role(spark, sf_dir, "companies"), resolve.edit_ratio, prefix=6)
+    return resolve.duplicates(role(spark, sf_dir, "companies"), resolve.edit_ratio)
 
 
 @query()
@@ -569,17 +566,20 @@ def series_gbt_forecast(spark, sf_dir):
 
 # --- graph and recommendation ---------------------------------------------------------------------
 
-RANKS_EDGES = "one AS (SELECT 'k:' || kunde_id AS src, 'p:' || produkt_id AS dst, umsatz / SUM(umsatz) OVER (PARTITION BY kunde_id) AS w FROM (SELECT kunde_id, produkt_id, CAST(SUM(CAST(umsatz AS DECIMAL(28,4))) AS DOUBLE) AS umsatz FROM year_purchases GROUP BY ALL)), ed AS (SELECT src, dst, w FROM one UNION ALL SELECT dst, src, w FROM one), mv AS (SELECT src, dst, w / SUM(w) OVER (PARTITION BY src) AS p FROM ed)"
-PPR = f"{RANKS_EDGES}, home AS (SELECT DISTINCT src AS s FROM ed WHERE src LIKE 'p:%'), r0 AS (SELECT s, s AS node, {D(1)} AS x FROM home)"
-for _i in range(3):
-    PPR += f", r{_i + 1} AS (SELECT s, node, SUM(x) AS x FROM (SELECT s, mv.dst AS node, x * p * {D(0.85)} AS x FROM r{_i} JOIN mv ON mv.src = node UNION ALL SELECT s, s, {D(1)} - {D(0.85)} FROM home) GROUP BY s, node)"
+BEST_CUSTOMER = f"best AS (SELECT 'k:' || kunde_id AS s FROM purchases GROUP BY kunde_id ORDER BY SUM(CAST(umsatz AS DECIMAL(28,4))) DESC, kunde_id LIMIT 1)"
+PPR = f"""one AS (SELECT 'k:' || kunde_id AS src, 'p:' || produkt_id AS dst, umsatz / SUM(umsatz) OVER (PARTITION BY kunde_id) AS w FROM (SELECT kunde_id, produkt_id, CAST(SUM(CAST(umsatz AS DECIMAL(28,4))) AS DOUBLE) AS umsatz FROM purchases GROUP BY ALL)),
+ed AS (SELECT src, dst, w FROM one UNION ALL SELECT dst, src, w FROM one), mv AS MATERIALIZED (SELECT src, dst, w / SUM(w) OVER (PARTITION BY src) AS p FROM ed), {BEST_CUSTOMER},
+walk(i, node, x) AS (SELECT 0, s, {D(1)} FROM best UNION ALL SELECT i + 1, node, SUM(x) FROM (SELECT i, mv.dst AS node, x * p * {D(graph.ALPHA)} AS x FROM walk JOIN mv ON mv.src = walk.node WHERE i < {graph.steps_for(1e-4)}
+UNION ALL SELECT DISTINCT i, s, {D(1)} - {D(graph.ALPHA)} FROM walk, best WHERE i < {graph.steps_for(1e-4)}) GROUP BY i, node)"""
 
 
-@query(with_roles(f"SELECT s AS start, node, {ev('x', 9)} AS score FROM r3", "year_purchases", extra=PPR))
+@query(with_roles(f"SELECT s AS start, node, {ev('x', 7)} AS score FROM walk, best WHERE i = {graph.steps_for(1e-4)}", "purchases", extra=PPR).replace("WITH ", "WITH RECURSIVE ", 1))
 def recommend_ppr(spark, sf_dir):
-    edges = graph.purchase_edges(role(spark, sf_dir, "year_purchases"))
-    starts = edges.where(F.col("src").startswith("p:")).select(F.col("src").alias("start"))
-    return graph.personalised_pagerank(edges, starts, 3).withColumn("score", even(F.col("score"), 9))
+    """Ranks of all products and customers for the customer of most revenue, as a report on one customer shows them."""
+    rows = purchases(spark, sf_dir)
+    best = rows.groupBy("kunde_id").agg(F.sum(F.col("umsatz").cast("decimal(28,4)")).alias("u")).orderBy(F.desc("u"), "kunde_id").limit(1)
+    starts = best.select(F.concat(F.lit("k:"), F.col("kunde_id").cast("string")).alias("start"))
+    return graph.personalised_pagerank(graph.purchase_edges(rows), starts, tolerance=1e-4).withColumn("score", even(F.col("score"), 7))
 
 
 @query()
@@ -587,9 +587,9 @@ def recommend_hybrid(spark, sf_dir):
     return recommend.hybrid(purchases(spark, sf_dir), top=3)
 
 
-@query(with_roles(f"SELECT kunde_id, COUNT(DISTINCT produkt_id) AS n_produkte, {ev('COUNT(DISTINCT produkt_id) / (SELECT CAST(COUNT(DISTINCT produkt_id) AS DOUBLE) FROM year_purchases) * 100')} AS abdeckung_pct FROM year_purchases WHERE umsatz > 0 GROUP BY kunde_id", "year_purchases"))
+@query(with_roles(f"SELECT kunde_id, COUNT(DISTINCT produkt_id) AS n_produkte, {ev('COUNT(DISTINCT produkt_id) / (SELECT CAST(COUNT(DISTINCT produkt_id) AS DOUBLE) FROM purchases) * 100')} AS abdeckung_pct FROM purchases WHERE umsatz > 0 GROUP BY kunde_id", "purchases"))
 def recommend_coverage(spark, sf_dir):
-    return recommend.coverage(role(spark, sf_dir, "year_purchases"))
+    return recommend.coverage(purchases(spark, sf_dir))
 
 
 @query(with_roles(f"SELECT produkt_id, preis, menge, {ev('preis * menge', -1)} AS jahreswert FROM (SELECT produkt_id, MEDIAN(einzelpreis) AS preis, COALESCE(MEDIAN(CASE WHEN jahr = (SELECT MAX(jahr) FROM purchases) THEN menge END), 1) AS menge FROM purchases GROUP BY produkt_id)", "purchases"))
@@ -597,20 +597,37 @@ def recommend_values(spark, sf_dir):
     return recommend.product_values(purchases(spark, sf_dir))
 
 
-SIMILAR = f"""o AS (SELECT DISTINCT kunde_id, produkt_id FROM year_purchases WHERE umsatz > 0), sz AS (SELECT kunde_id, COUNT(*) AS n FROM o GROUP BY kunde_id),
-sim AS (SELECT a.kunde_id, b.kunde_id AS anderer, COUNT(*) AS gemeinsam, {ev('COUNT(*) / CAST(ANY_VALUE(x.n) + ANY_VALUE(y.n) - COUNT(*) AS DOUBLE)', 4)} AS jaccard FROM o a JOIN o b ON a.produkt_id = b.produkt_id AND a.kunde_id <> b.kunde_id JOIN sz x ON x.kunde_id = a.kunde_id JOIN sz y ON y.kunde_id = b.kunde_id GROUP BY a.kunde_id, b.kunde_id)"""
+EVIDENCE = f"""{RECOMMEND}, o AS (SELECT DISTINCT kunde_id, produkt_id FROM purchases WHERE umsatz > 0), sz AS (SELECT kunde_id, COUNT(*) AS n FROM o GROUP BY kunde_id),
+shared AS (SELECT r.kunde_id, r.produkt_id, b.kunde_id AS anderer, t.produkt_id AS teil FROM rec r JOIN o b ON b.produkt_id = r.produkt_id AND b.kunde_id <> r.kunde_id JOIN o t ON t.kunde_id = b.kunde_id JOIN o m ON m.kunde_id = r.kunde_id AND m.produkt_id = t.produkt_id),
+beleg AS (SELECT s.kunde_id, s.produkt_id, s.anderer, s.n_gemeinsam, {ev('s.n_gemeinsam / CAST(x.n + y.n - s.n_gemeinsam AS DOUBLE)', 4)} AS jaccard, CAST(ROW_NUMBER() OVER (PARTITION BY s.kunde_id, s.produkt_id ORDER BY {ev('s.n_gemeinsam / CAST(x.n + y.n - s.n_gemeinsam AS DOUBLE)', 4)} DESC, s.n_gemeinsam DESC, s.anderer) AS INT) AS nr
+FROM (SELECT kunde_id, produkt_id, anderer, COUNT(*) AS n_gemeinsam FROM shared GROUP BY ALL) s JOIN sz x ON x.kunde_id = s.kunde_id JOIN sz y ON y.kunde_id = s.anderer QUALIFY nr <= 3)"""
+
+
+@query(with_roles("SELECT kunde_id, produkt_id, anderer, n_gemeinsam, jaccard, nr FROM beleg", "purchases", extra=EVIDENCE))
+def recommend_evidence(spark, sf_dir):
+    rows = purchases(spark, sf_dir)
+    own = owned(rows)
+    return recommend.evidence(rows, basket.recommend(own, basket.pairs(own))).drop("gemeinsam")
 
 
 @query(
     with_roles(
-        "SELECT s.kunde_id, o.produkt_id, s.anderer, gemeinsam, jaccard, CAST(ROW_NUMBER() OVER (PARTITION BY s.kunde_id, o.produkt_id ORDER BY jaccard DESC, gemeinsam DESC, s.anderer) AS INT) AS nr FROM sim s JOIN o ON o.kunde_id = s.anderer WHERE NOT EXISTS (SELECT 1 FROM o x WHERE x.kunde_id = s.kunde_id AND x.produkt_id = o.produkt_id) QUALIFY nr <= 3",
-        "year_purchases",
-        extra=SIMILAR,
+        """SELECT r.kunde_id, r.produkt_id, n_kunden, belege, bruecke, CASE WHEN belege IS NULL THEN 'Das Modell leitet die Empfehlung aus latenten Kaufmustern ab.' ELSE n_kunden || ' vergleichbare Kunden setzen dieses Produkt bereits ein – darunter ' || belege || '. Die Verbindung läuft vor allem über Ihr Produkt „' || bruecke || '“.' END AS text
+        FROM rec r JOIN (SELECT produkt_id, COUNT(*) AS n_kunden FROM o GROUP BY produkt_id) USING (produkt_id) LEFT JOIN (SELECT kunde_id, produkt_id, string_agg(anderer, ', ' ORDER BY nr) AS belege FROM beleg GROUP BY ALL) n ON n.kunde_id = r.kunde_id AND n.produkt_id = r.produkt_id
+        LEFT JOIN (SELECT kunde_id, produkt_id, teil AS bruecke FROM (SELECT kunde_id, produkt_id, teil, COUNT(*) AS n, MIN(nr) AS erst FROM shared JOIN beleg USING (kunde_id, produkt_id, anderer) GROUP BY ALL) QUALIFY ROW_NUMBER() OVER (PARTITION BY kunde_id, produkt_id ORDER BY n DESC, erst, teil) = 1) b ON b.kunde_id = r.kunde_id AND b.produkt_id = r.produkt_id""",
+        "purchases",
+        extra=EVIDENCE,
     )
 )
 def recommend_explain(spark, sf_dir):
-    rows = role(spark, sf_dir, "year_purchases")
-    return recommend.explain(rows, rows).select("kunde_id", "produkt_id", "anderer", "gemeinsam", "jaccard", "nr")
+    rows = purchases(spark, sf_dir)
+    own = owned(rows)
+    return recommend.explain(rows, basket.recommend(own, basket.pairs(own)))
+
+
+@query(with_roles(f"SELECT COUNT(DISTINCT kunde_id) AS n_kunden, COUNT(DISTINCT produkt_id) AS n_produkte, CAST(SUM(kante) AS BIGINT) AS n_kanten, {ev('SUM(kante) / CAST(COUNT(DISTINCT kunde_id) * COUNT(DISTINCT produkt_id) AS DOUBLE) * 100', 1)} AS dichte FROM (SELECT kunde_id, produkt_id, MAX(CASE WHEN umsatz > 0 THEN 1 ELSE 0 END) AS kante FROM purchases GROUP BY ALL)", "purchases"))
+def recommend_network(spark, sf_dir):
+    return recommend.network(purchases(spark, sf_dir))
 
 
 @query()
@@ -735,3 +752,7 @@ def monitor_alerts(spark, sf_dir):
 def events_json(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("long")
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("summe"))
+
+
+# The reports register their queries here as well.
+from tallyloom.plans import reports  # noqa: E402, F401

@@ -24,35 +24,34 @@ FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} O
 SELECT o_custkey AS kunde_id, p_name AS produkt_id, p_type AS kategorie, year(o_orderdate) AS jahr, l_quantity AS menge,
   l_extendedprice / l_quantity AS einzelpreis, CAST({REV} AS DOUBLE) / 10000 AS umsatz
 FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey""",
-    "year_purchases": f"""
-SELECT o_custkey AS kunde_id, p_name AS produkt_id, p_type AS kategorie, year(o_orderdate) AS jahr, l_quantity AS menge,
-  l_extendedprice / l_quantity AS einzelpreis, CAST({REV} AS DOUBLE) / 10000 AS umsatz
-FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey WHERE year(o_orderdate) = {CURRENT}""",
     "accounts": f"""
 SELECT c_custkey AS kunde_id, c_name AS kunde_name, n_name AS vertriebsmitarbeiter, c_mktsegment AS branche,
   CAST(coalesce(a.rev, 0) AS DOUBLE) / 10000 AS umsatz_ytd, CAST(coalesce(a.rev_v, 0) AS DOUBLE) / 10000 AS umsatz_vorjahr,
-  coalesce(a.orders, 0) AS bestellungen_ytd, coalesce(a.orders_v, 0) AS bestellungen_vorjahr, coalesce(a.kinds, 0) AS produkte_aktuell, coalesce(a.kinds_v, 0) AS produkte_vorjahr,
+  coalesce(a.orders, 0) AS bestellungen_ytd, coalesce(a.orders_v, 0) AS bestellungen_vorjahr, coalesce(k.kinds, 0) AS produkte_aktuell, coalesce(k.kinds_v, 0) AS produkte_vorjahr,
   coalesce(DATEDIFF(a.last_day, {NOW}), 365) AS tage_seit_letztem_einkauf, coalesce(a.returned, 0) AS service_faelle, coalesce(a.returned_v, 0) AS service_faelle_vorjahr,
   coalesce(a.taken, 0) AS reklamationen, coalesce(a.taken_v, 0) AS reklamationen_vorjahr, coalesce(a.urgent, 0) AS ansprechpartner_wechsel, coalesce(a.partial, 0) * 10 AS zahlungsverzug_tage, coalesce(a.partial, 0) AS mahnungen,
   CASE WHEN c_acctbal < 2000 THEN 1 ELSE 0 END AS wettbewerber_aktiv, CASE WHEN c_acctbal < 500 THEN c_mktsegment ELSE 'nan' END AS wettbewerber_produktgruppe,
   coalesce(a.tax, 0) AS preisanpassung_pct, coalesce(a.lines, 0) AS angebote_ytd, coalesce(a.lines_v, 0) AS angebote_vorjahr, coalesce(a.months, 0) AS kontakte_ytd, coalesce(a.months_v, 0) AS kontakte_vorjahr,
-  coalesce(a.kinds, 0) * 100 / 6 AS portfolio_abdeckung_pct, CAST((6 - coalesce(a.kinds, 0)) * 1000 AS DOUBLE) AS produktluecken_wert, coalesce(DATEDIFF(a.last_day, {NOW}), 365) AS letzter_kontakt_tage,
+  coalesce(k.kinds, 0) * 100 / 6 AS portfolio_abdeckung_pct, CAST((6 - coalesce(k.kinds, 0)) * 1000 AS DOUBLE) AS produktluecken_wert, coalesce(DATEDIFF(a.last_day, {NOW}), 365) AS letzter_kontakt_tage,
   coalesce(a.open_orders, 0) AS offene_opps, CAST(coalesce(a.open_cents, 0) AS DOUBLE) / 100 AS opp_wert, coalesce(a.returned, 0) AS service_tickets, coalesce(a.returned_v, 0) AS service_tickets_vorquartal,
   coalesce(a.months, 0) AS kontakte_aktiv, 12 AS kontakte_gesamt, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Neubau' ELSE '—' END AS trigger_event
 FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey LEFT JOIN (
-  SELECT o_custkey, SUM(CASE WHEN year(o_orderdate) = {CURRENT} THEN {REV} END) AS rev, SUM(CASE WHEN year(o_orderdate) = {PREVIOUS} THEN {REV} END) AS rev_v,
-    COUNT(DISTINCT CASE WHEN year(o_orderdate) = {CURRENT} THEN o_orderkey END) AS orders, COUNT(DISTINCT CASE WHEN year(o_orderdate) = {PREVIOUS} THEN o_orderkey END) AS orders_v,
-    COUNT(DISTINCT CASE WHEN year(o_orderdate) = {CURRENT} THEN p_type END) AS kinds, COUNT(DISTINCT CASE WHEN year(o_orderdate) = {PREVIOUS} THEN p_type END) AS kinds_v,
-    COUNT(CASE WHEN year(o_orderdate) = {CURRENT} AND l_returnflag = 'R' THEN 1 END) AS returned, COUNT(CASE WHEN year(o_orderdate) = {PREVIOUS} AND l_returnflag = 'R' THEN 1 END) AS returned_v,
-    COUNT(CASE WHEN year(o_orderdate) = {CURRENT} AND l_returnflag = 'A' THEN 1 END) AS taken, COUNT(CASE WHEN year(o_orderdate) = {PREVIOUS} AND l_returnflag = 'A' THEN 1 END) AS taken_v,
-    COUNT(DISTINCT CASE WHEN year(o_orderdate) = {CURRENT} AND o_orderpriority LIKE '1%' THEN o_orderkey END) AS urgent, COUNT(DISTINCT CASE WHEN year(o_orderdate) = {CURRENT} AND o_orderstatus = 'P' THEN o_orderkey END) AS partial,
-    MAX(CASE WHEN year(o_orderdate) = {CURRENT} THEN round(l_tax * 100) END) AS tax, COUNT(CASE WHEN year(o_orderdate) = {CURRENT} THEN 1 END) AS lines, COUNT(CASE WHEN year(o_orderdate) = {PREVIOUS} THEN 1 END) AS lines_v,
-    COUNT(DISTINCT CASE WHEN year(o_orderdate) = {CURRENT} THEN month(o_orderdate) END) AS months, COUNT(DISTINCT CASE WHEN year(o_orderdate) = {PREVIOUS} THEN month(o_orderdate) END) AS months_v,
-    COUNT(DISTINCT CASE WHEN year(o_orderdate) = {CURRENT} AND o_orderstatus = 'O' THEN o_orderkey END) AS open_orders, SUM(CASE WHEN year(o_orderdate) = {CURRENT} AND o_orderstatus = 'O' THEN CAST(round(l_extendedprice * 100) AS BIGINT) END) AS open_cents,
-    MAX(CAST(o_orderdate AS DATE)) AS last_day
-  FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey JOIN {{part}} ON l_partkey = p_partkey WHERE CAST(o_orderdate AS DATE) <= {NOW} GROUP BY o_custkey) a ON c_custkey = a.o_custkey""",
+  SELECT o_custkey, SUM(CASE WHEN y = {CURRENT} THEN rev END) AS rev, SUM(CASE WHEN y = {PREVIOUS} THEN rev END) AS rev_v,
+    COUNT(CASE WHEN y = {CURRENT} THEN 1 END) AS orders, COUNT(CASE WHEN y = {PREVIOUS} THEN 1 END) AS orders_v,
+    CAST(SUM(CASE WHEN y = {CURRENT} THEN returned ELSE 0 END) AS BIGINT) AS returned, CAST(SUM(CASE WHEN y = {PREVIOUS} THEN returned ELSE 0 END) AS BIGINT) AS returned_v,
+    CAST(SUM(CASE WHEN y = {CURRENT} THEN taken ELSE 0 END) AS BIGINT) AS taken, CAST(SUM(CASE WHEN y = {PREVIOUS} THEN taken ELSE 0 END) AS BIGINT) AS taken_v,
+    COUNT(CASE WHEN y = {CURRENT} AND o_orderpriority LIKE '1%' THEN 1 END) AS urgent, COUNT(CASE WHEN y = {CURRENT} AND o_orderstatus = 'P' THEN 1 END) AS partial,
+    MAX(CASE WHEN y = {CURRENT} THEN tax END) AS tax, CAST(SUM(CASE WHEN y = {CURRENT} THEN lines ELSE 0 END) AS BIGINT) AS lines, CAST(SUM(CASE WHEN y = {PREVIOUS} THEN lines ELSE 0 END) AS BIGINT) AS lines_v,
+    CAST(bit_count(bit_or(CASE WHEN y = {CURRENT} THEN 1 << m ELSE 0 END)) AS BIGINT) AS months, CAST(bit_count(bit_or(CASE WHEN y = {PREVIOUS} THEN 1 << m ELSE 0 END)) AS BIGINT) AS months_v,
+    COUNT(CASE WHEN y = {CURRENT} AND o_orderstatus = 'O' THEN 1 END) AS open_orders, SUM(CASE WHEN y = {CURRENT} AND o_orderstatus = 'O' THEN cents END) AS open_cents, MAX(day) AS last_day
+  FROM (SELECT o_custkey, o_orderkey, o_orderpriority, o_orderstatus, CAST(o_orderdate AS DATE) AS day, year(o_orderdate) AS y, CAST(month(o_orderdate) AS INT) AS m FROM {{orders}} WHERE CAST(o_orderdate AS DATE) <= {NOW}) o
+  JOIN (SELECT l_orderkey, SUM({REV}) AS rev, COUNT(*) AS lines, COUNT(CASE WHEN l_returnflag = 'R' THEN 1 END) AS returned, COUNT(CASE WHEN l_returnflag = 'A' THEN 1 END) AS taken, MAX(round(l_tax * 100)) AS tax,
+    SUM(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents FROM {{lineitem}} GROUP BY l_orderkey) l ON o_orderkey = l_orderkey GROUP BY o_custkey) a ON c_custkey = a.o_custkey
+LEFT JOIN (SELECT o_custkey, COUNT(CASE WHEN now > 0 THEN 1 END) AS kinds, COUNT(CASE WHEN before > 0 THEN 1 END) AS kinds_v FROM (
+    SELECT o_custkey, p_type, MAX(CASE WHEN year(o_orderdate) = {CURRENT} THEN 1 ELSE 0 END) AS now, MAX(CASE WHEN year(o_orderdate) = {PREVIOUS} THEN 1 ELSE 0 END) AS before
+    FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey JOIN {{part}} ON l_partkey = p_partkey WHERE year(o_orderdate) BETWEEN {PREVIOUS} AND {CURRENT} AND CAST(o_orderdate AS DATE) <= {NOW} GROUP BY o_custkey, p_type) t GROUP BY o_custkey) k ON c_custkey = k.o_custkey""",
     "deals": """
-SELECT o_orderkey AS opp_id, o_custkey AS kunde_id, n_name AS branche, c_mktsegment AS vertriebsmitarbeiter, o_orderpriority AS produkt_id, o_totalprice AS deal_wert,
+SELECT o_orderkey AS opp_id, o_custkey AS kunde_id, n_name AS branche, c_mktsegment AS vertriebsmitarbeiter, o_orderpriority AS produkt_id, substring(o_orderpriority, 3) AS stage, o_totalprice AS deal_wert,
   DATEDIFF(CAST(o_orderdate AS DATE), DATE '2001-08-01') AS tage_in_stage, DATEDIFF(CAST(o_orderdate AS DATE), DATE '2001-08-01') % 45 AS letzter_kontakt_tage,
   CASE WHEN o_orderpriority LIKE '1%' THEN 'Rival' ELSE '—' END AS wettbewerber, CAST(substring(o_orderpriority, 1, 1) AS INT) * 5 AS rabatt_gefordert_pct, CAST(substring(o_orderpriority, 1, 1) AS INT) * 10 + 20 AS crm_probability,
   CASE o_orderstatus WHEN 'F' THEN 'gewonnen' WHEN 'P' THEN 'verloren' ELSE 'offen' END AS status

@@ -6,12 +6,22 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the folder of spark.checkpoint.dir (a local one only where that is unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir (a local one only where that is unset and the master is local)."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = path or os.path.join(tempfile.gettempdir(), f"tallyloom-{uuid.uuid4().hex}")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), f"tallyloom-{uuid.uuid4().hex}"))
+        sc.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

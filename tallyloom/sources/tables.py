@@ -125,6 +125,36 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length", F.regexp_extract("path", r"/(normal|defect)/[^/]*$", 1).alias("label"), "content")
 
 
+IMAGE_ENDINGS = (".png", ".jpg", ".jpeg", ".bmp", ".webp", ".ppm", ".pgm")
+
+
+def zipped_images(spark: SparkSession, path: str, most_bytes: int = 1 << 28) -> DataFrame:
+    """Images inside ZIP files: path (archive!entry), length, label (of the entry's folder) and content.
+
+    Archives are opened where they are read; an entry of more than most_bytes is refused, others than images are skipped.
+    """
+    import io
+    import zipfile
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for name, content in zip(b.path, b.content):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for entry in archive.infolist():
+                        if entry.is_dir() or not entry.filename.lower().endswith(IMAGE_ENDINGS):
+                            continue
+                        if entry.file_size > most_bytes:
+                            raise ValueError(f"{entry.filename} in {name} is too large")
+                        data = archive.read(entry)
+                        yield pd.DataFrame({"path": [f"{name}!{entry.filename}"], "length": [len(data)], "content": [data]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    rows = files.mapInPandas(run, "path string, length long, content binary")
+    return rows.select("path", "length", F.regexp_extract("path", r"(?:^|[/!])(normal|defect)/[^/]*$", 1).alias("label"), "content")
+
+
 def decoded(df: DataFrame, column: str) -> DataFrame:
     """Base64 text as bytes."""
     return df.withColumn(column, F.unbase64(column))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.exprs import even
 from tallyloom.operators import monitor
 
 
@@ -17,15 +18,21 @@ def daily_counts(results: DataFrame, late: str = "1 day", width: str = "1 day")
     return counts.select(F.to_date("window.start").alias("tag"), "project_id", "total", "nok")
 
 
-def on_alert(results: DataFrame, act: Callable[[list], None], checkpoint: str, above: float = monitor.ALERT_RATE):
-    """Starts a query that calls act with the projects of each batch whose NOK rate is above the limit (a row a project)."""
+def on_alert(results: DataFrame, act: Callable[[list], None], checkpoint: str, above: float = monitor.ALERT_RATE, late: str = "1 day", width: str = "1 day"):
+    """Starts a query that calls act with the projects whose NOK rate is above the limit (a row a project and window).
+
+    The rate runs over all results of a window so far, not one micro-batch: the counts are the stream's state. A batch gives act
+    the windows that it changed.
+    """
 
     def batch(rows: DataFrame, _: int) -> None:
-        found = monitor.alerts(rows, above).collect()
+        rate = even(F.col("nok") / F.col("total") * 100, 1)
+        found = rows.withColumn("nok_rate", rate).where(F.col("nok_rate") > above).orderBy("tag", "project_id").collect()
         if found:
             act(found)
 
-    return results.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
+    counts = daily_counts(results, late, width)
+    return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
 
 def append(results: DataFrame, path: str, checkpoint: str):

@@ -1,6 +1,7 @@
 """Rules worked out by hand: boundaries, missing values, empty frames, planted structure."""
 
 import math
+import random
 from datetime import date, datetime
 from difflib import SequenceMatcher
 
@@ -121,6 +122,131 @@ def test_similar_deals_fall_back_to_all_branches(spark):
     assert sorted((r.opp_id, r.nr, r.alt_wert) for r in got) == [(1, 1, 15.0), (1, 2, 16.0), (1, 3, 14.0), (2, 1, 29.0), (2, 2, 28.0), (2, 3, 27.0)]
 
 
+def test_similar_deals_with_ties(spark):
+    """Equal values and equal distances on both sides: the smallest ids, whatever stands before in the order."""
+    kind = "opp_id int, branche string, deal_wert double, status string"
+    draw = random.Random(4)
+    history = [(i, draw.choice("AB") if i < 150 else None, float(draw.choice((10, 10, 10, 12, 14, 20))), "gewonnen") for i in range(160)] + [(900, "A", None, "verloren")]
+    asked = [(1000 + i, draw.choice(("A", "B", "C", None)), float(draw.choice((8, 10, 11, 12, 13, 30))), "offen") for i in range(60)] + [(2000, "A", None, "offen")]
+    got = {}
+    for r in deals.similar(spark.createDataFrame(asked, kind), spark.createDataFrame(history, kind)).collect():
+        got.setdefault(r.opp_id, []).append((r.nr, r.alt_id))
+    known = {b for _, b, _, _ in history if b}
+    for i, b, v, _ in asked[:-1]:
+        pool = [(abs(w - v), str(j)) for j, c, w, _ in history if w is not None and (c == b if b in known else True)]
+        assert sorted(got[i]) == [(n + 1, j) for n, (_, j) in enumerate(sorted(pool)[:5])]
+    assert 2000 not in got and deals.similar(spark.createDataFrame(asked, kind).limit(0), spark.createDataFrame(history, kind)).count() == 0
+
+
+def test_nearest_in_blocks_as_whole(spark):
+    draw = np.random.default_rng(0)
+    rows = [(i, draw.normal(size=4).tolist()) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    bank = vectors.where("vec_id % 3 = 0")
+    whole, blocks = ({r.vec_id: r.distance for r in anomaly.nearest(vectors, bank, most=most).collect()} for most in (1000, 7))
+    assert len(whole) == 300 and whole == pytest.approx(blocks)
+
+
+def test_bank_round_trip(spark, tmp_path):
+    bank = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    anomaly.save_bank(bank, spark.createDataFrame([(0.5, 2.0)], "schwelle double, maximum double"), str(tmp_path))
+    back, limit = anomaly.load_bank(spark, str(tmp_path))
+    assert back.collect() == bank.collect() and tuple(limit.first()) == (0.5, 2.0)
+
+
+def test_number_formats(spark):
+    from tallyloom.functions import exprs
+
+    rows = spark.createDataFrame([(1234567.5, "Brand#1 x"), (-0.3, " a  b"), (2.5, ""), (-1500.0, "z")], "x double, t string")
+    got = rows.select(exprs.whole(F.col("x")), exprs.signed(F.col("x")), exprs.grouped(F.col("x")), exprs.euros(F.col("x")), exprs.first_word(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("1234568", "+1234568", "1,234,568", "1.234.568 €", "Brand#1"), ("-0", "-0", "-0", "-0 €", "a"), ("2", "+2", "2", "2 €", ""), ("-1500", "-1500", "-1,500", "-1.500 €", "z")]
+    assert [r[0] for r in rows.select(exprs.safe_file_name(F.lit("a b/c-d.é_1"))).distinct().collect()] == ["a_b_c-d.é_1"]
+
+
+def test_churn_sentences(spark):
+    account = spark.createDataFrame([("k", 90.0, 100.0, 1, "Pumpen", 5.04)], "kunde_id string, umsatz_ytd double, umsatz_vorjahr double, wettbewerber_aktiv int, wettbewerber_produktgruppe string, preisanpassung_pct double")
+    empty = [F.lit(None).cast("double").alias(c) for c in "bestellungen_ytd bestellungen_vorjahr tage_seit_letztem_einkauf produkte_aktuell produkte_vorjahr service_faelle service_faelle_vorjahr reklamationen reklamationen_vorjahr ansprechpartner_wechsel zahlungsverzug_tage mahnungen angebote_ytd angebote_vorjahr kontakte_ytd kontakte_vorjahr".split()]
+    account = account.select("*", *empty)
+    said = {r.key: (r.wert, r.text) for r in churn.sentences(account).collect()}
+    assert said["umsatz"] == ("-10 %", "Umsatz -10 % gegenüber Vorjahr (10 € Rückgang).")
+    assert said["wettbewerb"] == ("Pumpen", "Wettbewerber gewinnt Anteile in der Produktgruppe „Pumpen“.")
+    assert said["preis"][0] == "+5.0 %" and said["zahlung"][1] == "Zahlungsverhalten unauffällig." and len(said) == 11
+    row = one(churn.scored(account))
+    assert row.aktion == "Produktgruppe Pumpen verteidigen" and row.detail.startswith("Wettbewerber gewinnt Anteile in Pumpen.")
+
+
+def test_short_series_are_refused(spark):
+    df = day_rows(spark, range(20))
+    assert one(series.long_enough(df, ["key"], 21)).meldung == "Zu wenig Daten: 20 Zeilen, mindestens 21 benötigt."
+    assert series.require_long(df, ["key"], 20).count() == 20
+    with pytest.raises(ValueError, match="mindestens 21"):
+        series.require_long(df, ["key"], 21)
+
+
+def test_normalised_and_back(spark):
+    df = day_rows(spark, [5.0, 7.0, 9.0, 50.0])
+    assert [round(r.wert, 6) for r in series.denormalised(series.normalised(df, ["key"], 3)).orderBy("datum").collect()] == [7.0, 9.0, 50.0]
+
+
+def test_temperature_prefers_what_was_measured(spark):
+    df = day_rows(spark, range(3))
+    live = spark.createDataFrame([(date(2024, 1, 2), 3.5), (date(2024, 1, 2), 3.0), (date(2024, 1, 3), None)], "date date, temperatur double")
+    got = [r.temperatur for r in series.temperature(df, live).orderBy("datum").collect()]
+    season = lambda day: 16.5 + 12.5 * math.sin((day - 80) / 365 * 2 * math.pi)
+    assert got == pytest.approx([season(1), 3.5, season(3)])
+
+
+def test_forecast_fills_the_gap_to_its_start(spark):
+    from tallyloom.sources import generate
+
+    df = generate.daily_sales(spark, 2, 2, 430).where("NOT (filiale = 'F0' AND datum > DATE '2025-02-25')")
+    model = series.trained(df, ["filiale", "artikel"], trees=10)
+    out = series.forecast(df, ["filiale", "artikel"], model, steps=2, start="2025-03-08", actions=(0, 1))
+    rows = out.orderBy("filiale", "artikel", "datum").collect()
+    assert [str(r.datum) for r in rows] == ["2025-03-08", "2025-03-09"] * 4 and [r.aktion for r in rows] == [0, 1] * 4
+    real = {(r.filiale, r.artikel, str(r.datum)): r.menge for r in df.collect()}
+    assert all(r.naiv == real[r.filiale, r.artikel, "2025-03-01"] for r in rows if r.filiale == "F1" and str(r.datum) == "2025-03-08")
+    assert all(r.naiv == real[r.filiale, r.artikel, "2025-02-22"] for r in rows if r.filiale == "F0" and str(r.datum) == "2025-03-08")
+    with pytest.raises(ValueError, match="120 are filled"):
+        series.forecast(df, ["filiale", "artikel"], model, start="2027-01-01")
+
+
+def test_generated_tables_are_the_same_again(spark):
+    from tallyloom.sources import generate
+
+    for make in (lambda seed: generate.daily_sales(spark, 2, 3, 10, seed=seed), lambda seed: generate.offers(spark, 50, seed), lambda seed: generate.companies(spark, 50, seed)):
+        assert sorted(make(1).collect()) == sorted(make(1).repartition(3).collect()) != sorted(make(2).collect())
+    found = resolve.duplicates(generate.companies(spark, 50)).where("score >= 0.75").collect()
+    assert {(r.a_id, r.b_id) for r in found} >= {(i, i + 1) for i in range(3, 50, 5)}
+    assert one(margin.kpis(margin.derive(generate.offers(spark, 200)))).total == 200
+
+
+def test_running_rate(spark):
+    rows = spark.createDataFrame([(i, "p", "NOK" if i in (1, 2) else "OK", float(86_400 * (i // 4) + i)) for i in range(6)], "id int, project_id string, decision string, created_at double")
+    got = [(r.id, r.total, r.nok_rate, r.alarm) for r in monitor.running_rate(rows).orderBy("id").collect()]
+    assert got == [(0, 1, 0.0, False), (1, 2, 50.0, True), (2, 3, 66.7, True), (3, 4, 50.0, True), (4, 1, 0.0, False), (5, 2, 0.0, False)]
+
+
+def test_explanations_by_brute_force(spark):
+    draw = random.Random(2)
+    own = {(k, f"p{draw.randint(0, 11)}") for k in range(25) for _ in range(5)}
+    rows = spark.createDataFrame([(k, p, 1.0) for k, p in own], "kunde_id long, produkt_id string, umsatz double")
+    products = {k: {p for j, p in own if j == k} for k in range(25)}
+    wanted = [(k, p) for k in range(0, 25, 3) for p in ("p0", "p5", "p9", "none") if p not in products[k]]
+    got = {(r.kunde_id, r.produkt_id): r for r in recommend.explain(rows, spark.createDataFrame(wanted, "kunde_id long, produkt_id string")).collect()}
+    assert set(got) == set(wanted)
+    for k, p in wanted:
+        others = [j for j in products if j != k and p in products[j]]
+        near = sorted((-round(len(products[k] & products[j]) / len(products[k] | products[j]), 4), -len(products[k] & products[j]), j) for j in others if products[k] & products[j])[:3]
+        counts = {}
+        for *_, j in near:
+            for x in sorted(products[k] & products[j]):
+                counts[x] = counts.get(x, 0) + 1
+        r = got[k, p]
+        assert (r.n_kunden, r.bruecke) == (len(others), max(counts, key=counts.get) if counts else None)
+        assert r.belege == (", ".join(str(j) for *_, j in near) or None)
+
+
 def test_configurations(spark):
     parts = spark.createDataFrame(
         [("B1", "Basis", 100, 50, "A1, A2,X9"), ("A1", "Antrieb", 50, 20, "S1"), ("A2", "Antrieb", 60, 30, ""), ("S1", "Steuerung", 40, 10, "G1"), ("G1", "Gehäuse", 30, 10, "Z3"), ("Z1", "Zubehör", 10, 5, "B1"), ("Z2", "Zubehör", 20, 5, "A1"), ("Z3", "Zubehör", 99, 5, None), ("Z4", "Zubehör", 15, 5, "S1")],

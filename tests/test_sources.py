@@ -86,3 +86,45 @@ def test_streams(spark, tmp_path):
     assert set(seen) == {"p"}
     streaming.append(source(), str(tmp_path / "log"), str(tmp_path / "c2")).awaitTermination()
     assert monitor.latest(spark.read.parquet(str(tmp_path / "log")), 5).count() == 5
+
+
+def test_alerts_follow_the_running_rate(spark, tmp_path):
+    """Each batch alone would alert, all results so far don't; and the other way round."""
+    kind = "id int, project_id string, decision string, created_at double"
+    folder, seen = str(tmp_path / "in"), []
+
+    def batch(rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(kind).parquet(folder)
+        streaming.on_alert(source, lambda found: seen.extend((r.project_id, r.total, r.nok_rate) for r in found), str(tmp_path / "c")).awaitTermination()
+
+    batch([(i, "p", "OK", 1000.0 + i) for i in range(9)])
+    batch([(10, "p", "NOK", 1010.0)])
+    assert seen == []
+    batch([(11 + i, "p", "NOK", 1011.0 + i) for i in range(2)])
+    assert seen == [("p", 12, 25.0)]
+
+
+def test_zipped_images(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "set.zip", "w") as z:
+        for name, data in (("normal/a.PNG", b"1"), ("x/defect/b.jpg", b"22"), ("c.bmp", b"333"), ("normal/readme.txt", b"no")):
+            z.writestr(name, data)
+    got = sorted((r.path.split("!")[1], r.length, r.label, bytes(r.content)) for r in tables.zipped_images(spark, str(tmp_path)).collect())
+    assert got == [("c.bmp", 3, "", b"333"), ("normal/a.PNG", 1, "normal", b"1"), ("x/defect/b.jpg", 2, "defect", b"22")]
+
+
+def test_excel_needs_its_reader_or_reads_back(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "n long, t string")
+    path = str(tmp_path / "x.xlsx")
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError):
+            tables.write_excel(rows, path)
+        return
+    tables.write_excel(rows, path)
+    assert tables.read(spark, path).collect() == rows.collect()
+    with pytest.raises(ValueError):
+        tables.write_excel(rows, path, most=1)
