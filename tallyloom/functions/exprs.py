@@ -67,6 +67,16 @@ def euros(x: Column) -> Column:
     return F.concat(grouped(x, "."), F.lit(" €"))
 
 
+WEEKDAYS = ("Mo", "Di", "Mi", "Do", "Fr", "Sa", "So")
+
+
+def day_text(date: Column, form: str = "long") -> Column:
+    """A day as reports write it: long 24.12.2024, iso 2024-12-24, short 24.12., week Di 24.12."""
+    if form == "week":
+        return F.concat(F.get(F.array(*map(F.lit, WEEKDAYS)), F.weekday(date)), F.lit(" "), F.date_format(date, "dd.MM."))
+    return F.date_format(date, {"long": "dd.MM.yyyy", "iso": "yyyy-MM-dd", "short": "dd.MM."}[form])
+
+
 def first_word(text: Column) -> Column:
     """What stands before the first white space of a trimmed text."""
     return F.split(F.trim(text), r"\s+")[0]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.exprs import even, exact_sum
+from tallyloom.sources.session import cut
 
 
 def owned(purchases: DataFrame) -> DataFrame:
@@ -51,17 +52,32 @@ def recommend(own: DataFrame, pair: DataFrame, top: int = 3) -> DataFrame:
     return fresh.withColumn("rang", F.row_number().over(rank)).where(F.col("rang") <= top)
 
 
-def evidence(own: DataFrame, recommended: DataFrame, most: int = 3) -> DataFrame:
-    """For each recommendation the first buyers of it who share a product with the customer, and how many they share."""
-    mine = own.select("kunde_id", F.col("produkt_id").alias("shared"))
-    theirs = own.select(F.col("kunde_id").alias("anderer"), F.col("produkt_id").alias("shared"))
+def evidence(own: DataFrame, recommended: DataFrame, most: int = 3, first: int = 16) -> DataFrame:
+    """For each recommendation the first buyers of it who share a product with the customer, and how many they share.
+
+    The first buyers by id of each product are looked at first, which is enough nearly always; recommendations that find too few among them
+    go on to all buyers.
+    """
+    wanted = cut(recommended.select("kunde_id", "produkt_id"))
+    numbers = cut(own.select("produkt_id").distinct().withColumn("_nr", F.monotonically_increasing_id()))
+    lists = cut(own.join(numbers, "produkt_id").groupBy("kunde_id").agg(F.collect_list("_nr").alias("liste")))
     buyers = own.select(F.col("kunde_id").alias("anderer"), "produkt_id")
-    wanted = recommended.select("kunde_id", "produkt_id")
-    # from buyers of the product to what they share: the customer's own products bound the middle
-    near = wanted.join(buyers, "produkt_id").where("anderer <> kunde_id").join(theirs, "anderer").join(mine, ["kunde_id", "shared"])
-    counts = near.groupBy("kunde_id", "produkt_id", "anderer").agg(F.count("*").alias("gemeinsam"))
-    first = Window.partitionBy("kunde_id", "produkt_id").orderBy("anderer")
-    return counts.withColumn("nr", F.row_number().over(first)).where(F.col("nr") <= most)
+    theirs = lists.select(F.col("kunde_id").alias("anderer"), F.col("liste").alias("deren"))
+    order = Window.partitionBy("kunde_id", "produkt_id").orderBy("anderer")
+
+    def among(asked: DataFrame, some: DataFrame) -> DataFrame:
+        near = asked.join(some, "produkt_id").where("anderer <> kunde_id").join(lists, "kunde_id").join(theirs, "anderer")
+        shared = near.select("kunde_id", "produkt_id", "anderer", F.size(F.array_intersect("liste", "deren")).cast("long").alias("gemeinsam")).where("gemeinsam > 0")
+        return shared.withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= most)
+
+    by_id = Window.partitionBy("produkt_id").orderBy("anderer")
+    few = cut(among(wanted, buyers.withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= first).drop("_r")))
+    many = buyers.groupBy("produkt_id").agg(F.count("*").alias("_n")).where(F.col("_n") > first).select("produkt_id")
+    done = few.groupBy("kunde_id", "produkt_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= most)
+    rest = cut(wanted.join(done, ["kunde_id", "produkt_id"], "left_anti").join(many, "produkt_id", "left_semi"))
+    if rest.isEmpty():
+        return few
+    return few.join(rest, ["kunde_id", "produkt_id"], "left_anti").unionByName(among(rest, buyers))
 
 
 def customers(purchases: DataFrame) -> DataFrame:

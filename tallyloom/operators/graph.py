@@ -30,16 +30,17 @@ def steps_for(tolerance: float, alpha: float = ALPHA) -> int:
     return max(1, ceil(log(tolerance / 2) / log(alpha)))
 
 
-def personalised_pagerank(edges: DataFrame, starts: DataFrame, iterations: int | None = None, alpha: float = ALPHA, cut_every: int = 4, tolerance: float = 1e-6) -> DataFrame:
+def personalised_pagerank(edges: DataFrame, starts: DataFrame, iterations: int | None = None, alpha: float = ALPHA, cut_every: int = 4, tolerance: float = 1e-6, back: float | None = None) -> DataFrame:
     """(start, node, score) for each start node (column start), within tolerance of the limit or after so many iterations.
 
     All starts advance together. Mass follows edges by weight; the rest, and what stands on nodes without edges, returns to the start. Each step
-    is one equi-join with the edges and one sum; lineage is cut every few steps.
+    is one equi-join with the edges and one sum; lineage is cut every few steps. back: the share that returns each step (1 - alpha), where edges
+    stand for more than one step of a walk.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     moves = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))  # read by every step
     starts = cut(starts.select("start").distinct())
-    home = starts.select("start", F.col("start").alias("node"), F.lit(1.0 - alpha).alias("score"))
+    home = starts.select("start", F.col("start").alias("node"), F.lit(1.0 - alpha if back is None else back).alias("score"))
     stray = cut(starts.join(moves.select(F.col("src").alias("start")).distinct(), "start", "left_anti"))  # the only nodes without edges that mass can stand on
     mass = starts.select("start", F.col("start").alias("node"), F.lit(1.0).alias("score"))
     for i in range(steps_for(tolerance, alpha) if iterations is None else iterations):

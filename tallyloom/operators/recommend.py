@@ -74,21 +74,25 @@ def min_max(x: str, by: str):
     return F.when(high - low < 1e-12, 0.5).otherwise(F.try_divide(F.col(x) - low, high - low))
 
 
-def customer_ranks(purchases: DataFrame, iterations: int | None = 10) -> DataFrame:
-    """(kunde_id, produkt_id, ppr): personalised PageRank of products for every customer.
+def customer_ranks(purchases: DataFrame, iterations: int | None = None, tolerance: float = 1e-3) -> DataFrame:
+    """(kunde_id, produkt_id, ppr): personalised PageRank of products for every customer, to a tolerance or after so many steps (an even number).
 
     A walk that starts at a customer is, after its first step, a mix of walks that start at the customer's
-    products. So only the products' ranks are iterated, and each customer adds up those it owns.
+    products. So only the products' ranks are iterated, over the way from product to customer to product as one step, and each customer adds up those it owns.
     """
     edges = cut(graph.purchase_edges(purchases))
-    starts = edges.where(F.col("src").startswith("p:")).select(F.col("src").alias("start"))
-    ranks = graph.personalised_pagerank(edges, starts, iterations).where(F.col("node").startswith("p:"))
     first = edges.where(F.col("src").startswith("k:")).select(F.col("src").alias("k"), F.col("dst").alias("start"), "weight")
+    total = edges.where(F.col("src").startswith("p:")).groupBy("src").agg(F.sum("weight").alias("total"))
+    buyers = edges.join(total, "src").select("src", F.col("dst").alias("k"), (F.col("weight") / F.col("total")).alias("p"))
+    between = buyers.join(first.withColumnsRenamed({"start": "dst", "weight": "w"}), "k").groupBy("src", "dst").agg(F.sum(F.col("p") * F.col("w")).alias("weight"))
+    double = graph.ALPHA**2
+    steps = graph.steps_for(tolerance, double) if iterations is None else iterations // 2
+    ranks = graph.personalised_pagerank(between, between.select(F.col("src").alias("start")), steps, double, back=1.0 - graph.ALPHA)
     mixed = first.join(ranks, "start").groupBy("k", "node").agg(F.sum(F.col("weight") * F.col("score") * graph.ALPHA).alias("ppr"))
     return mixed.select(F.substring("k", 3, 1 << 30).alias("kunde"), F.substring("node", 3, 1 << 30).alias("produkt"), "ppr")
 
 
-def hybrid(purchases: DataFrame, iterations: int = 10, top: int | None = None) -> DataFrame:
+def hybrid(purchases: DataFrame, iterations: int | None = None, top: int | None = None) -> DataFrame:
     """Per customer products not owned: ppr and svd (scaled), hybrid, match of 45 to 97, rank."""
     own = purchases.where("umsatz > 0").select("kunde_id", "produkt_id").distinct()
     svd = low_rank(purchases).join(own, ["kunde_id", "produkt_id"], "left_anti")
@@ -120,17 +124,20 @@ def evidence(purchases: DataFrame, wanted: DataFrame, most: int = 3) -> DataFram
     """Why a product: for each (kunde_id, produkt_id) of wanted the most similar customers who own it.
 
     anderer, gemeinsam (the shared products, sorted), their number, the Jaccard similarity (four digits) and nr. Buyers of a wanted product are met by an
-    equi-join on it, and what two customers share follows from their product lists; no other pairs of customers arise.
+    equi-join on it, and what two customers share follows from their lists of product numbers; no other pairs of customers arise.
     """
     own = cut(purchases.where("umsatz > 0").select("kunde_id", "produkt_id").distinct())
-    lists = own.groupBy("kunde_id").agg(F.sort_array(F.collect_set("produkt_id")).alias("liste"))
-    mine = wanted.select("kunde_id", "produkt_id").distinct().join(lists, "kunde_id")
-    others = own.join(lists, "kunde_id").select(F.col("kunde_id").alias("anderer"), "produkt_id", F.col("liste").alias("deren"))
-    pairs = mine.join(others, "produkt_id").where("anderer <> kunde_id").withColumn("gemeinsam", F.array_intersect("liste", "deren"))
-    n = F.size("gemeinsam")
-    pairs = pairs.where(n > 0).select("kunde_id", "produkt_id", "anderer", "gemeinsam", n.cast("long").alias("n_gemeinsam"), even(n / (F.size("liste") + F.size("deren") - n), 4).alias("jaccard"))
+    numbers = cut(own.select("produkt_id").distinct().withColumn("_nr", F.monotonically_increasing_id()))
+    lists = cut(own.join(numbers, "produkt_id").groupBy("kunde_id").agg(F.sort_array(F.collect_list("_nr")).alias("liste"), F.sort_array(F.collect_list("produkt_id")).alias("namen")))
+    mine = wanted.select("kunde_id", "produkt_id").distinct().join(lists.drop("namen"), "kunde_id")
+    others = own.join(lists.drop("namen"), "kunde_id").select(F.col("kunde_id").alias("anderer"), "produkt_id", F.col("liste").alias("deren"))
+    pairs = mine.join(others, "produkt_id").where("anderer <> kunde_id").select("kunde_id", "produkt_id", "anderer", F.size(F.array_intersect("liste", "deren")).alias("_n"), (F.size("liste") + F.size("deren")).alias("_alle"))
+    pairs = pairs.where("_n > 0").select("kunde_id", "produkt_id", "anderer", F.col("_n").cast("long").alias("n_gemeinsam"), even(F.col("_n") / (F.col("_alle") - F.col("_n")), 4).alias("jaccard"))
     best = Window.partitionBy("kunde_id", "produkt_id").orderBy(F.desc("jaccard"), F.desc("n_gemeinsam"), "anderer")
-    return pairs.withColumn("nr", F.row_number().over(best)).where(F.col("nr") <= most)
+    found = pairs.withColumn("nr", F.row_number().over(best)).where(F.col("nr") <= most)
+    names = lists.select("kunde_id", F.col("namen").alias("_a"))
+    found = found.join(names, "kunde_id").join(names.withColumnsRenamed({"kunde_id": "anderer", "_a": "_b"}), "anderer")
+    return found.select("kunde_id", "produkt_id", "anderer", F.array_intersect("_a", "_b").alias("gemeinsam"), "n_gemeinsam", "jaccard", "nr")
 
 
 def explain(purchases: DataFrame, wanted: DataFrame, most: int = 3) -> DataFrame:

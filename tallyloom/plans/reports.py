@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tallyloom.functions.exprs import even, first_word
+from tallyloom.functions.exprs import day_text, even, first_word, unit_of
 from tallyloom.operators import actions, anomaly, churn, configure, deals, margin, monitor, resolve, series
 from tallyloom.plans import catalog
 from tallyloom.plans.catalog import ACTIONS, BY, CHURN, CONFIG, DEALS, EDGES, GROW, KNN, NAIVE, OWN, PRICED, SCORED_PAIRS, TOTAL, D, dsum, ev, g, query, roll, summary_sql, with_roles
@@ -238,6 +238,20 @@ def series_corrected(spark, sf_dir):
     return series.corrected(rows, fixes, ["p_type"]).select("p_type", "datum", "final")
 
 
+@query("SELECT DISTINCT CAST(o_orderdate AS DATE) AS datum, strftime(o_orderdate, '%d.%m.%Y') AS lang, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%d.%m.') AS kurz, CASE isodow(o_orderdate) WHEN 1 THEN 'Mo' WHEN 2 THEN 'Di' WHEN 3 THEN 'Mi' WHEN 4 THEN 'Do' WHEN 5 THEN 'Fr' WHEN 6 THEN 'Sa' ELSE 'So' END || ' ' || strftime(o_orderdate, '%d.%m.') AS woche FROM orders")
+def day_texts(spark, sf_dir):
+    day = F.to_date("o_orderdate")
+    forms = {"lang": "long", "iso": "iso", "kurz": "short", "woche": "week"}
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(day.alias("datum"), *[day_text(day, f).alias(c) for c, f in forms.items()]).distinct()
+
+
+@query("SELECT c_name, contains(lower(c_name), 'beer') OR contains(lower(c_name), 'bier') AS bier, starts_with(c_mktsegment, 'B') AS mit_b FROM customer")
+def name_hints(spark, sf_dir):
+    """What a name contains or starts with, as units and report texts are chosen by."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.select("c_name", (unit_of(F.col("c_name")) == "Liter").alias("bier"), F.col("c_mktsegment").startswith("B").alias("mit_b"))
+
+
 @query("WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS datum FROM orders), live AS (SELECT CAST(o_orderdate AS DATE) AS datum, CAST(COUNT(*) AS DOUBLE) AS t FROM orders WHERE day(o_orderdate) = 1 GROUP BY ALL) " + f"SELECT datum, {ev('COALESCE(t, CAST(16.5 AS DOUBLE) + CAST(12.5 AS DOUBLE) * sin((dayofyear(datum) - 80) / CAST(365 AS DOUBLE) * 2 * pi()))', 6)} AS temperatur FROM d LEFT JOIN live USING (datum)")
 def series_temperature(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("datum"))
@@ -286,6 +300,15 @@ def csv_round_trip(spark, sf_dir):
     return back.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])
 
 
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS datum FROM orders")
+def csv_dates(spark, sf_dir):
+    """Days written as text and read back as days."""
+    path = scratch(spark, "orders") + ".csv"
+    tables.write_csv(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("datum")), path)
+    back = tables.read(spark, path, dates=("datum",))
+    return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "datum")
+
+
 @query("SELECT p_partkey, p_name, p_brand, p_retailprice FROM part")
 def json_round_trip(spark, sf_dir):
     """As JSON rows and back by the schema."""

@@ -70,7 +70,7 @@ FROM {lineitem} l JOIN {part} x ON l.l_partkey = x.p_partkey JOIN {lineitem} m O
     "series": """
 SELECT p_type, CAST(l_shipdate AS DATE) AS datum, SUM(l_quantity) AS menge FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_type, CAST(l_shipdate AS DATE)""",
     "companies": """
-SELECT doc_id AS firma_id, ONLYASCII(substring(coalesce(text, ''), 1, 24)) AS firma_name, substring(md5(concat(source, lang)), 1, 5) AS plz, source AS ort, lang AS branche FROM {documents}""",
+SELECT s_suppkey AS firma_id, s_name AS firma_name, CAST(10000 + s_nationkey * 3571 AS STRING) AS plz, n_name AS ort, r_name AS branche FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
     "results": """
 SELECT event_id AS id, event_type AS project_id, value / 500 AS anomaly_score, CASE WHEN value / 500 > 0.2 THEN 'NOK' ELSE 'OK' END AS decision, value AS inference_ms, CAST(EPOCH(ts) AS DOUBLE) AS created_at FROM {events}""",
     "samples": """
@@ -78,21 +78,13 @@ SELECT user_id AS sample_id, ts, value FROM {events}""",
 }
 
 
-ASCII_NAME = "ONLYASCII(substring(coalesce(text, ''), 1, 24))"
-
-
-def ascii_name(options: str) -> str:
-    """Edit distances count bytes in DuckDB, characters in Spark: the sample's names are kept to ASCII."""
-    return f"regexp_replace(substring(coalesce(text, ''), 1, 24), '[^ -~]', ''{options})"
-
-
 def spark_text(role: str) -> str:
-    return ROLES[role].replace(ASCII_NAME, ascii_name("")).replace("DATEDIFF(", "datediff(DAY, ").replace("EPOCH(ts)", "unix_micros(CAST(ts AS TIMESTAMP)) / 1000000")
+    return ROLES[role].replace("DATEDIFF(", "datediff(DAY, ").replace("EPOCH(ts)", "unix_micros(CAST(ts AS TIMESTAMP)) / 1000000")
 
 
 def duck_text(role: str) -> str:
     names = {t: t for t in TABLES}
-    return ROLES[role].format(**names).replace(ASCII_NAME, ascii_name(", 'g'")).replace("DATEDIFF(", "datediff('day', ")
+    return ROLES[role].format(**names).replace("DATEDIFF(", "datediff('day', ")
 
 
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -68,8 +68,11 @@ def sniff(spark: SparkSession, path: str) -> str:
     return next((s for s in ("\t", ";", ",") if s in line), ",")
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str | None = None) -> DataFrame:
-    """Text with a header. Without a schema, types are inferred but for columns that are names or codes."""
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str | None = None, dates: tuple[str, ...] = ()) -> DataFrame:
+    """Text with a header. Without a schema, types are inferred but for columns that are names or codes; columns in dates are days (what is none becomes NULL)."""
+    if dates:
+        df = read_delimited(spark, path, schema, sep)
+        return df.withColumns({c: F.to_date(F.try_to_timestamp(F.col(c).cast("string"))) for c in dates if c in df.columns})
     reader = spark.read.option("header", True).option("sep", sep or sniff(spark, path)).option("encoding", "UTF-8")
     if schema is not None:
         return reader.schema(schema).csv(path)

@@ -227,6 +227,17 @@ def test_running_rate(spark):
     assert got == [(0, 1, 0.0, False), (1, 2, 50.0, True), (2, 3, 66.7, True), (3, 4, 50.0, True), (4, 1, 0.0, False), (5, 2, 0.0, False)]
 
 
+def test_evidence_goes_on_to_all_buyers(spark):
+    draw = random.Random(6)
+    own = {(k, f"p{draw.randint(0, 30)}") for k in range(40) for _ in range(3)} | {(k, "hot") for k in range(5, 40)}
+    products = {k: {p for j, p in own if j == k} for k in range(40)}
+    wanted = [(k, p) for k in range(40) for p in ("hot", "p1", "p2") if p not in products[k]] + [(6, "p7")]
+    frame = lambda rows: spark.createDataFrame(sorted(rows), "kunde_id long, produkt_id string")
+    want = {(k, p, j, len(products[k] & products[j]), n + 1) for k, p in wanted for n, j in enumerate([j for j in range(40) if j != k and p in products[j] and products[k] & products[j]][:3])}
+    for first in (1, 4, 16):
+        assert {(r.kunde_id, r.produkt_id, r.anderer, r.gemeinsam, r.nr) for r in basket.evidence(frame(own), frame(set(wanted)), first=first).collect()} == want
+
+
 def test_explanations_by_brute_force(spark):
     draw = random.Random(2)
     own = {(k, f"p{draw.randint(0, 11)}") for k in range(25) for _ in range(5)}
@@ -480,8 +491,10 @@ def test_coreset_is_a_tenth_of_many_vectors(spark):
 
 def test_ratio_query_blocks_by_the_first_letter(spark, tmp_path):
     names = ["Schmid und Kollegen", "Schmitt und Kollegen", "Mueller Pumpen", "Muller Pumpen", "Otto Werke"]
-    rows = [(i, n, "Bau", f"Ort {i}") for i, n in enumerate(names)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, n, 3 * i) for i, n in enumerate(names)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(3 * i, f"Ort {i}", 0) for i in range(5)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, "Bau")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
     areas = [r.plz[:2] for r in catalog.role(spark, str(tmp_path), "companies").collect()]
     assert len(set(areas)) == len(areas)
     got = {(r.a_id, r.b_id) for r in catalog.resolve_pairs_ratio(spark, str(tmp_path)).collect()}
