@@ -5,10 +5,12 @@ exactly: sums come from an integral image, interpolated at fractional edges. A d
 compares neighbours of a 9 x 8 resize; the resize itself is kept as an NPY tile.
 
 The text operator stores each text as a binary graymap of 64 columns in a table of the shared
-folder and reads it back; each row is on its own, so nothing is shuffled or gathered.
+folder, reads it back and stores the tile and the hash in a second table; each row is on its own, so nothing
+is shuffled or gathered.
 
 Defined results: null or empty text is 64 zero samples; equal texts give equal values; images
-without samples are refused by the decoders with ValueError.
+without samples are refused by the decoders with ValueError; a very long text is one tall image; an empty table
+gives empty tables. Both tables stay in the shared folder: they are what the operator writes.
 """
 
 from __future__ import annotations
@@ -187,7 +189,8 @@ def features(media: DataFrame, id_col: str = "doc_id", column: str = "media") ->
 
 
 def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores all texts as images in the shared folder and reads features back."""
-    path = fresh_path(docs.sparkSession, "media")
-    write_media(docs, path, id_col, text_col)
-    return features(docs.sparkSession.read.parquet(path), id_col)
+    """Stores all texts as images in the shared folder, and their features and NPY tiles beside them; returns what the second table holds."""
+    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "media")
+    write_media(docs, f"{path}/images", id_col, text_col)
+    features(spark.read.parquet(f"{path}/images"), id_col).write.option("compression", "zstd").parquet(f"{path}/tiles")
+    return spark.read.parquet(f"{path}/tiles")

@@ -49,7 +49,7 @@ def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import media
 
-    return media.stored_media(table(spark, sf_dir, "documents")).drop("tile")
+    return media.stored_media(table(spark, sf_dir, "documents")).withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,19 @@
 """The registered queries against plain Python over the same rows."""
 
 import hashlib
+import io
 import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyloom.llm import queries, secrets
 
@@ -122,7 +126,32 @@ def test_op4(spark):
         assert (found[i]["url"], found[i]["text"], found[i]["n_chars"]) == (url, text, len(text))
 
 
+def brute_tile(payload):
+    """Mean sample of each of 8 x 9 areas of an image of 64 columns, by exact overlaps of its pixels."""
+    height = len(payload) // 64
+    spans = lambda size, n, k: [(p, min(Fraction((k + 1) * size, n), p + 1) - max(Fraction(k * size, n), p)) for p in range(k * size // n, -(-(k + 1) * size // n))]
+    columns = [spans(64, 9, x) for x in range(9)]
+    out = []
+    for y in range(8):
+        rows = spans(height, 8, y)
+        for own in columns:
+            total = sum(wy * sum(wx * payload[64 * p + q] for q, wx in own) for p, wy in rows)
+            out.append(round(float(total / (Fraction(height, 8) * Fraction(64, 9))), 6))
+    return out
+
+
 def test_op5(spark, documents):
+    from tallyloom.llm import media
+
+    short = {i for i, t in documents.items() if len(t) < 1_500}
+    frame = spark.read.parquet(f"{SF}/documents.parquet").where(F.length(F.coalesce("text", F.lit(""))) < 1_500).where("doc_id % 7 = 0")
+    for r in media.stored_media(frame).collect():
+        data = documents[r.doc_id].encode()
+        want = brute_tile(data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data)))
+        tile = np.load(io.BytesIO(r.tile))
+        assert r.doc_id in short and tile.shape == (8, 9) and np.allclose(tile.ravel(), want, atol=1e-4)
+        bits = "".join("1" if want[9 * y + x] < want[9 * y + x + 1] else "0" for y in range(8) for x in range(8))
+        assert r.feature == f"{int(bits, 2):016x}"
     for i, r in result(spark, "op5_media").items():
         data = documents[i].encode()
         payload = data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
