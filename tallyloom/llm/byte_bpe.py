@@ -8,7 +8,8 @@ shuffled, and a lost task is just run again. Chunks seen before come from a boun
 Python worker.
 
 Defined results: null or empty text gives no ids and the digests of empty strings; repeated rows
-get equal results; the order of rows and extra columns don't matter.
+get equal results; the order of rows and extra columns don't matter; a very long text is encoded whole, as a block of its own;
+an empty table gives no row.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ holds more than a part. Nothing else is gathered, and with one part nothing is s
 
 Defined results: null or empty text has no words and no hits; a null or wordless item has no window;
 items of the same words all count; repeated rows get equal results; a null item_id is left out of
-the list of items, though its windows hit.
+the list of items, though its windows hit; a very long text is scanned whole; an empty table gives no row,
+an empty benchmark no hits.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ at most FEATURES of them. Scoring ships the fitted arrays, of constant size, and
 
 Defined results: null or empty text has no terms and the score of the bias; rows without a label or
 with a null id teach nothing; without rows of both labels or any telling term, every score is the share of label 1
-(0 if there are none); repeated rows get equal scores; of several labels of one id the greatest counts.
+(0 if there are none); repeated rows get equal scores; of several labels of one id the greatest counts; a very
+long text is scored by all its terms; an empty table gives no row.
 """
 
 from __future__ import annotations
