@@ -227,6 +227,15 @@ def test_running_rate(spark):
     assert got == [(0, 1, 0.0, False), (1, 2, 50.0, True), (2, 3, 66.7, True), (3, 4, 50.0, True), (4, 1, 0.0, False), (5, 2, 0.0, False)]
 
 
+def test_recommendations_by_matrix_as_by_joins(spark):
+    draw = random.Random(8)
+    own = spark.createDataFrame(sorted({(k, f"p{draw.randint(0, 25)}") for k in range(60) for _ in range(6)}), "kunde_id long, produkt_id string")
+    pair = basket.pairs(own)
+    rows = lambda most: sorted((r.kunde_id, r.produkt_id, r.score, r.rang) for r in basket.recommend(own, pair, most_pairs=most).collect())
+    assert rows(10**6) == rows(0) and len(rows(0)) > 100
+    assert basket.recommend(own.limit(0), pair.limit(0)).count() == 0
+
+
 def test_evidence_goes_on_to_all_buyers(spark):
     draw = random.Random(6)
     own = {(k, f"p{draw.randint(0, 30)}") for k in range(40) for _ in range(3)} | {(k, "hot") for k in range(5, 40)}
