@@ -16,8 +16,8 @@ side bars, notices, adverts, forms and comments. n_template and n_ruled tell how
 
 Where a page has an article, its headings and paragraphs are content even if other pages of the host
 repeat them (copies of an article are no template); inside it only blocks without any of these are
-deleted, and what lies in a list, table or figure only with the whole of it. On a page without an
-article, items and cells of mere text go only with their list or table.
+deleted, and what lies in a list, table or figure only with the whole of it. Items and cells always go only with their
+list or table.
 
 A page's hashes are written once, so html is parsed twice in all. A host's template holds at most 1 / MIN_SHARE as many hashes
 as its pages have on average, as each is on that share of them. It goes to SALTS parts of the host's pages, and the html is
@@ -289,13 +289,13 @@ class Subtrees:
             self.words[i], linked[i], texted[i], mere[i] = words, words if node.tag == "a" else links, has, bare
             own[i] = hash64(*parts)
             shape[i] = hash64(node.tag, *node.names, *sorted(map(str, kinds)))
-            if not words or node.tag not in BLOCK or node.tag in ("html", "body", "main", "article", "head"):
+            if not words or node.tag not in BLOCK or node.tag in ITEM or node.tag in ("html", "body", "main", "article", "head"):
                 continue
             found = []
             if inside:  # a plain div of mere text is a paragraph
-                if not (has or grouped or node.tag in ITEM or node.tag == "div" and bare and not node.names):
+                if not (has or grouped or node.tag == "div" and bare and not node.names):
                     found.append((own[i], BARE))
-            elif not (node.tag in ITEM and bare):
+            else:
                 found.append((own[i], TEXTED if has else BARE))
                 if not has and (inside_of or not rules or 2 * links > words):
                     found.append((hash64("frame", str(path), str(shape[i])), FRAME))
@@ -408,16 +408,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     source = pages.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), key_of(id_col).alias("key"), F.xxhash64(text_of(html_col), F.col(f"`{url_col}`")).alias("mark"), F.xxhash64(host_of(F.col(f"`{url_col}`").cast("string"))).alias("host"), text_of(html_col).alias("html")
     )
-    once = struct(("key", "long"), ("mark", "long"), ("host", "long"), ("main", "long"), ("total", "long"), ("hash", "array<long>"), ("kind", "array<int>"), ("words", "array<long>"))
+    once = struct(("key", "long"), ("mark", "long"), ("host", "long"), ("main", "long"), ("total", "int"), ("hash", "array<long>"), ("info", "array<int>"))
+    # info: words of the subtree * 4 + kind
 
     def run(batches):
         for batch in batches:
             found = [template_hashes(h, rules) for h in batch.column(3).to_pylist()]
             columns = {n: batch.column(i) for i, n in enumerate(("key", "mark", "host"))} | {"main": [m for m, _, _ in found], "total": [t for _, t, _ in found]}
-            yield batch_of(columns | {n: [[x[i] for x in own] for _, _, own in found] for i, n in enumerate(("hash", "kind", "words"))}, once)
+            yield batch_of(columns | {"hash": [[h for h, _, _ in own] for _, _, own in found], "info": [[n << 2 | kind for _, kind, n in own] for _, _, own in found]}, once)
 
     found = cut(source.select("key", "mark", "host", "html").mapInArrow(run, once))
-    each = found.select("host", "main", "total", F.explode(F.arrays_zip("hash", "kind", "words")).alias("x")).groupBy("host", F.col("x.hash").alias("hash"), F.col("x.kind").alias("kind"), "main").agg(F.max("x.words").alias("words"), F.max("total").alias("total"))
+    each = found.select("host", "main", "total", F.explode(F.arrays_zip("hash", "info")).alias("x")).groupBy("host", F.col("x.hash").alias("hash"), "main").agg(F.max("x.info").alias("info"), F.max("total").alias("total"))
+    each = each.select("host", "hash", F.col("info").bitwiseAND(3).alias("kind"), F.shiftright("info", 2).alias("words"), "total")
     counts = each.groupBy("host", "hash", "kind").agg(F.count("*").alias("pages"), F.sum("words").alias("words"), F.sum("total").alias("total")).where(F.col("pages") >= min_pages)
     sizes = found.select(F.col("host").alias("of"), "main").distinct().groupBy("of").agg(F.count("*").alias("all"))
     kind, share = F.col("kind"), F.col("words") / F.col("total")
@@ -425,8 +427,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         (F.col("pages") >= F.col("all") * F.when(kind == BARE, min_share).otherwise(max(FRAME_SHARE, min_share))) & (share <= F.when(kind == FRAME, FRAME_WORDS).otherwise(0.5))
     )
     templates = recurring.groupBy("host").agg(F.collect_set("hash").alias("template"))
-    known = salted_join(found.select("key", "mark", "host", "hash").dropDuplicates(["key", "mark"]), templates, "host", SALTS)
+    known = salted_join(found.select("key", "mark", "host", "hash"), templates, "host", SALTS)
     own = known.select("key", "mark", F.array_intersect("hash", "template").alias("template")).where(F.size("template") > 0)
+    own = own.groupBy("key", "mark").agg(F.first("template").alias("template"))  # of repeated rows one; dealt as the join below wants it
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
     schema = struct((id_col, kinds[0]), (url_col, kinds[1]), ("text", "string"), ("n_template", "long"), ("n_ruled", "long"))
 
