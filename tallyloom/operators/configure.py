@@ -60,21 +60,21 @@ def win_rates(chain: DataFrame, offers: DataFrame, least: int = 2, fallback: flo
         one = chain.select(F.lit(i).alias("slot"), F.col(c).alias("teil")).distinct()
         places = one if places is None else places.unionByName(one)
     parts = offers.select("angebot_id", "gewonnen", F.explode(F.array_distinct(id_list("konfiguration"))).alias("teil"))
-    parts = parts.join(places, "teil").groupBy("angebot_id", "slot", "teil").agg(F.max("gewonnen").alias("won"))
-    item = F.concat_ws(":", F.col("slot").cast("string"), "teil")
-    held = parts.select("angebot_id", "won", "slot", item.alias("menge"))
-    more = parts.select("angebot_id", F.col("slot").alias("_slot"), item.alias("_item"))
-    counts, subsets = None, []
+    item = F.struct("slot", F.concat_ws(":", F.col("slot").cast("string"), "teil").alias("menge"))
+    held = parts.join(places, "teil").groupBy("angebot_id").agg(F.max("gewonnen").alias("won"), F.sort_array(F.collect_set(item)).alias("teile"))
+    sets, subsets = F.col("teile"), []
+    every = []
     for size in range(1, len(names) + 1):
-        if size > 1:
-            held = held.join(more, "angebot_id").where("_slot > slot").select("angebot_id", "won", F.col("_slot").alias("slot"), F.concat_ws("|", "menge", "_item").alias("menge"))
+        if size > 1:  # each set with each component of a later place
+            longer = lambda x: F.transform(F.filter("teile", lambda y: y["slot"] > x["slot"]), lambda y: F.struct(y["slot"].alias("slot"), F.concat_ws("|", x["menge"], y["menge"]).alias("menge")))
+            sets = F.flatten(F.transform(sets, longer))
         if size >= least:
-            one = held.groupBy("menge").agg(F.count("*").alias("n"), F.sum("won").alias("w"))
-            counts = one if counts is None else counts.unionByName(one)
+            every.append(sets)
             sign = (-1) ** (size - least) * comb(size - 1, least - 1)
             for some in combinations(range(len(names)), size):
                 key = F.concat_ws("|", *[F.concat_ws(":", F.lit(str(i)), F.col(names[i])) for i in some])
                 subsets.append(F.struct(F.lit(sign).alias("sign"), key.alias("menge")))
+    counts = held.select("won", F.explode(F.concat(*every)).alias("s")).groupBy(F.col("s.menge").alias("menge")).agg(F.count("*").alias("n"), F.sum("won").alias("w"))
     own = chain.select(*names, F.explode(F.array(*subsets)).alias("s")).select(*names, "s.sign", "s.menge").join(counts, "menge")
     sums = own.groupBy(*names).agg(F.sum(F.col("sign") * F.col("n")).alias("n"), F.sum(F.col("sign") * F.col("w")).alias("w"))
     rate = sums.where("n > 0").select(*names, even(F.col("w").cast("double") / F.col("n"), 3).alias("win_prob"))

@@ -128,3 +128,27 @@ def test_excel_needs_its_reader_or_reads_back(spark, tmp_path):
     assert tables.read(spark, path).collect() == rows.collect()
     with pytest.raises(ValueError):
         tables.write_excel(rows, path, most=1)
+
+
+class FakeSession:
+    """A session of a cluster without a shared folder."""
+
+    def __init__(self, master):
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        self.conf = conf
+        self.sparkContext = type("Context", (), {"master": master, "getConf": staticmethod(lambda: conf), "getCheckpointDir": staticmethod(lambda: None), "setCheckpointDir": staticmethod(lambda path: None)})
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from tallyloom.sources import session
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(FakeSession("spark://host:7077"))
+    assert session.shared_dir(FakeSession("local[2]"))
+
+
+def test_days_are_read_as_days(spark, tmp_path):
+    path = tmp_path / "d.csv"
+    path.write_text("datum;n\n2024-02-29;1\nkeins;2\n;3\n")
+    got = tables.read(spark, str(path), dates=("datum", "fehlt")).orderBy("n").collect()
+    assert [str(r.datum) for r in got] == ["2024-02-29", "None", "None"]
