@@ -45,15 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16, merge: bool = False) -> DataFrame:
     """big joined to small (unique in the column on): rows of one value of big are dealt over salts tasks, small goes to each.
 
-    Never a broadcast: small may grow with the data.
+    Spark may broadcast the copies where they are below its threshold; with merge never.
     """
     salt = free_name(big, "_salt")
     dealt = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int"))
     copied = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copied.hint("merge"), [on, salt]).drop(salt)
+    return dealt.join(copied.hint("merge") if merge else copied, [on, salt]).drop(salt)
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:

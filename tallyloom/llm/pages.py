@@ -427,7 +427,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         (F.col("pages") >= F.col("all") * F.when(kind == BARE, min_share).otherwise(max(FRAME_SHARE, min_share))) & (share <= F.when(kind == FRAME, FRAME_WORDS).otherwise(0.5))
     )
     templates = recurring.groupBy("host").agg(F.collect_set("hash").alias("template"))
-    known = salted_join(found.select("key", "mark", "host", "hash"), templates, "host", SALTS)
+    known = salted_join(found.select("key", "mark", "host", "hash"), templates, "host", SALTS, merge=True)
     own = known.select("key", "mark", F.array_intersect("hash", "template").alias("template")).where(F.size("template") > 0)
     own = own.groupBy("key", "mark").agg(F.first("template").alias("template"))  # of repeated rows one; dealt as the join below wants it
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
