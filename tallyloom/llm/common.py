@@ -60,6 +60,12 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Removes a table that fresh_path() named, once nothing reads it any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def key_of(column: str) -> Column:
     """An id as a long that orders and joins; null comes last."""
     return F.coalesce(F.col(f"`{column}`").cast("long"), F.lit(LAST_ID))

@@ -89,6 +89,26 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("found")).alias("spans"), "n_live", "n_copied", secrets.written(F.col("found"), True).alias("classes"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import centroids
+
+    return centroids.described(*centroids.clusters(table(spark, sf_dir, "embeddings"))).drop("n_distances")
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import personal
+
+    found = personal.personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda f: f["kind"] < personal.BASE)
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(personal.written(base), 256).alias("base_sha256"), personal.written(F.col("found")).alias("spans"), "n_added", personal.written(F.col("found"), True).alias("scores"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import filter_audit
+
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -102,9 +122,30 @@ QUERIES = {
         op8_simhash,
         op9_toxicity,
         op10_secret_scan,
+        op11_centroids,
+        op12_personal_data,
+        op13_filter_audit,
     )
 }
 
+
+def centroids_sql(rounds: int = 10) -> str:
+    """All distances in every round, each round a few common tables."""
+    parts = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, x FROM v ORDER BY sha256('3:' || vec_id) LIMIT 8)",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"d{i} AS MATERIALIZED (SELECT v.vec_id, v.x, c, CAST(list_sum(list_transform(v.x, lambda a, j: (a - y.x[j]) * (a - y.x[j]))) AS BIGINT) AS d FROM v, c{i} y)")
+        parts.append(f"a{i} AS MATERIALIZED (SELECT vec_id, x, c, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS nr FROM d{i}) WHERE nr = 1)")
+        if i < rounds:
+            parts.append(f"s{i} AS MATERIALIZED (SELECT c, j, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS e, unnest(range(1, 65)) AS j FROM a{i}) GROUP BY c, j)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT y.c, coalesce(m.x, y.x) AS x FROM c{i} y LEFT JOIN (SELECT c, list((s - (s % n + n) % n) // n ORDER BY j) AS x FROM s{i} GROUP BY c) m ON y.c = m.c)")
+    return f"""WITH {", ".join(parts)}
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(y.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} y ON a.c = y.c"""
+
+
 #: The queries that SQL can express. Windows are compared as strings here, without anchors, hashes or an automaton.
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
@@ -124,4 +165,18 @@ hit AS (SELECT doc_id, i, width, item_id FROM dw JOIN iw USING (width, s)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + width)) AS p FROM hit) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(pos.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op11_centroids": centroids_sql(),
+    "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT doc_id, part, CAST(len(ws) < 100 AS INT) AS a, CAST(100 * len(list_distinct(ws)) < 80 * len(ws) AS INT) AS b, CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) AS INT) AS c,
+  CAST(regexp_matches(t, '[#$%&*|]') AS INT) AS s, CAST(doc_id > min(doc_id) OVER (PARTITION BY t) AS INT) AS e FROM d),
+m AS (SELECT part, [a, b, c, s, e] AS fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad FROM f LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+l AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [p.i, q.i, r.i, s.i, t.i] AS path FROM l p, l q, l r, l s, l t WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+st AS (SELECT array_to_string(list_transform(path, lambda x: chr(CAST(64 + x AS INTEGER))), '') AS filter_order, i AS step, path[i] AS f, path[1 : i - 1] AS earlier FROM o, l),
+x AS (SELECT part, filter_order, step, f, n, good, bad, fails[f] = 1 AS hit, len(list_filter(earlier, lambda p: fails[p] = 1)) > 0 AS gone, list_sum(fails) AS total FROM m, st),
+r AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant,
+  coalesce(sum(n) FILTER (hit AND total = 1), 0) AS unique_fails, coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS good_lost, coalesce(sum(bad) FILTER (hit AND NOT gone), 0) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r""",
 }

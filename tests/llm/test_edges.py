@@ -192,7 +192,7 @@ def test_language_stage_keeps_documents_with_a_letter(spark, label):
 
 
 def test_queries_on_empty_tables(spark, tmp_path):
-    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "pages": "page_id long, url string, html string", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int"}
+    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "pages": "page_id long, url string, html string", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int", "embeddings": "vec_id long, embedding array<float>, label int"}
     for name, kind in kinds.items():
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, f in queries.QUERIES.items():
