@@ -1,75 +1,18 @@
 """Vector anomalies: nearest neighbours in a memory bank, thresholds, classifier metrics, coresets.
 
-Vectors are arrays. The bank is a coreset of bounded size by design; its size is checked before it is
-shipped, and beyond the bound blocks of vectors meet blocks of the bank in the tasks instead.
+Vectors are arrays. Neighbours and coresets are found over a metric partition (cells around pivots, blocks in rings), so neither the bank nor the choices are ever on the driver.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a bank that is shipped whole to each task.
-MOST_BANK = 50_000
+from tallyloom.operators import metric
 
-
-def packed(vectors: DataFrame, id_col: str, column: str, size: int) -> DataFrame:
-    """Vectors in blocks of at most size: a row holds ids (as a list) and the matrix as bytes of doubles."""
-    kind = dict(vectors.dtypes)[id_col]
-
-    def run(batches):
-        for b in batches:
-            for a in range(0, len(b), size):
-                part = b.iloc[a : a + size]
-                yield pd.DataFrame({"ids": [part[id_col].tolist()], "n": [len(part)], "matrix": [np.array(part[column].tolist(), np.float64).tobytes()]})
-
-    return vectors.select(id_col, column).mapInPandas(run, f"ids array<{kind}>, n int, matrix binary")
-
-
-def nearest(vectors: DataFrame, bank: DataFrame, id_col: str = "vec_id", column: str = "embedding", most: int = MOST_BANK) -> DataFrame:
-    """(id, distance): the Euclidean distance of each vector to the nearest of the bank; exact.
-
-    A bank of at most most rows is shipped to the tasks. A larger one is written in blocks, and so are the vectors: each pair of
-    blocks is a row of its own for some task, and the least distance of a vector counts. The driver holds neither then.
-    """
-    kind = dict(vectors.dtypes)[id_col]
-    schema = f"{id_col} {kind}, distance double"
-
-    def least(x: np.ndarray, matrix: np.ndarray, squares: np.ndarray) -> np.ndarray:
-        near = (squares[None, :] - 2 * x @ matrix.T).argmin(axis=1)
-        # the exact distance of the nearest, free of what the expansion cancels
-        return np.sqrt(((x - matrix[near]) ** 2).sum(axis=1))
-
-    head = bank.select(column).limit(most + 1).collect()
-    if not head:
-        return vectors.select(id_col, F.lit(None).cast("double").alias("distance"))
-    if len(head) <= most:
-        matrix = np.array([r[0] for r in head], np.float64)
-        squares = (matrix**2).sum(axis=1)
-
-        def run(batches):
-            for b in batches:
-                for a in range(0, len(b), 512):
-                    part = b.iloc[a : a + 512]
-                    yield pd.DataFrame({id_col: part[id_col], "distance": least(np.array(part[column].tolist(), np.float64), matrix, squares)})
-
-        return vectors.select(id_col, column).mapInPandas(run, schema)
-    from tallyloom.sources.session import cut
-
-    size = min(most, 2048)
-    own = cut(packed(vectors, id_col, column, size))
-    other = cut(packed(bank, id_col, column, size)).select(F.col("n").alias("m"), F.col("matrix").alias("other"))
-    pairs = own.repartition("n", "matrix").crossJoin(other)  # of blocks: a two-thousandth of the rows on either side
-
-    def meet(batches):
-        for b in batches:
-            for ids, n, raw, m, raw_other in zip(b.ids, b.n, b.matrix, b.m, b.other):
-                x, matrix = np.frombuffer(raw).reshape(n, -1), np.frombuffer(raw_other).reshape(m, -1)
-                yield pd.DataFrame({id_col: list(ids), "distance": least(x, matrix, (matrix**2).sum(axis=1))})
-
-    return pairs.mapInPandas(meet, schema).groupBy(id_col).agg(F.min("distance").alias("distance"))
+def nearest(vectors: DataFrame, bank: DataFrame, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(id, distance): the Euclidean distance of each vector to the nearest of the bank; exact, null where the bank is empty. Null vectors give no row."""
+    return metric.nearest(vectors, bank, id_col, column)[0]
 
 
 def save_bank(bank: DataFrame, limit: DataFrame, path: str) -> None:
@@ -135,42 +78,11 @@ def exact_ap():
 def coreset(vectors: DataFrame, share: float = 0.1, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The farthest-first subset: from the first vector on, always the one farthest from those chosen.
 
-    Sequential by nature: each choice is one pass over the vectors, in which tasks give their farthest
-    vector alone. A vector is chosen once, even where copies of it are all that is left.
+    Many choices are settled in one pass over blocks of vectors, the same ones as one at a time. A vector (ids are unique) is chosen once, even where copies of it are all that is left.
     """
-    n = vectors.count()
-    want = max(1, int(n * share)) if n else 0
-    if n <= 200_000:  # small enough for one task
-        def run(batch: pd.DataFrame) -> pd.DataFrame:
-            batch = batch.sort_values(id_col)
-            x = np.array(batch[column].tolist(), np.float64)
-            chosen, far = [0], np.full(len(x), np.inf)
-            room = np.empty((min(2048, len(x)), x.shape[1]))
-            while len(chosen) < want:
-                last = x[chosen[-1]]
-                for a in range(0, len(x), 2048):  # pieces stay in the processor's cache
-                    gap = np.subtract(x[a : a + 2048], last, out=room[: len(x) - a])
-                    np.minimum(far[a : a + 2048], np.multiply(gap, gap, out=gap).sum(axis=1), out=far[a : a + 2048])
-                far[chosen[-1]] = -1.0
-                chosen.append(int(far.argmax()))
-            return batch.iloc[sorted(chosen)]
-
-        rows = vectors.select(id_col, column)
-        return rows.groupBy(F.lit(0).alias("_one")).applyInPandas(run, rows.schema) if n else rows
-    from tallyloom.sources.session import cut
-
-    first = vectors.orderBy(id_col).select(id_col, column).first()
-    chosen, last = [first[0]], first[1]
-    far = vectors.select(id_col, column, F.lit(float("inf")).alias("_d"))
-    while len(chosen) < want:
-        gap = F.aggregate(F.zip_with(column, F.array(*map(F.lit, map(float, last))), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        far = far.withColumn("_d", F.when(F.col(id_col) == F.lit(chosen[-1]), -1.0).otherwise(F.least("_d", gap)))
-        if len(chosen) % 8 == 0:
-            far = cut(far)
-        best = far.agg(F.max_by(F.struct(id_col, column), F.struct("_d", -F.col(id_col))).alias("b")).first()[0]
-        chosen, last = [*chosen, best[0]], best[1]
-    picked = vectors.sparkSession.createDataFrame([(c,) for c in chosen], f"{id_col} {dict(vectors.dtypes)[id_col]}")
-    return vectors.join(F.broadcast(picked), id_col, "left_semi").select(id_col, column)
+    n = vectors.where(F.col(column).isNotNull()).count()
+    ids, _ = metric.farthest_first(vectors, max(1, int(n * share)) if n else 0, id_col, column)
+    return vectors.select(id_col, column).join(ids, id_col, "left_semi")
 
 
 def reconstruction_scores(vectors: DataFrame, k: int = 8, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Graph operators over edge frames: personalised PageRank, label spreading, communities."""
+"""Graph operators over edge frames: personalised PageRank, communities."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import heapq
 from math import ceil, log
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.sources.session import cut
@@ -52,13 +52,33 @@ def personalised_pagerank(edges: DataFrame, starts: DataFrame, iterations: int |
     return mass
 
 
-def label_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, label) by label propagation: each node takes the label most common among its neighbours (the smallest of equals)."""
-    labels = edges.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
-        votes = edges.join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.count("*").alias("n"))
-        labels = cut(votes.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")))
-    return labels
+def pushed_pagerank(edges: DataFrame, starts: DataFrame, tolerance: float = 1e-3, alpha: float = ALPHA, back: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(start, node, score) and (start, rest): personalised PageRank by forward push, and the mass of each start that wasn't pushed on.
+
+    Each start's mass begins on its own node. A push leaves a share of a node's mass there as score and sends the rest on by weight. In each round only those nodes
+    push whose mass is above an even share of the tolerance over all nodes of their start, and starts whose whole mass is below the
+    tolerance are done: small masses wait and add up instead of spreading over the graph. The scores of a start are below the
+    limit, in sum by the rest times back / (1 - alpha) exactly (mass on nodes without edges ends there).
+    """
+    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    moves = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
+    starts = cut(starts.select("start").distinct())
+    share = 1.0 - alpha if back is None else back
+    linked = moves.select(F.col("src").alias("start")).distinct()
+    settled = starts.join(linked, "start", "left_anti").select("start", F.col("start").alias("node"), F.lit(share / (1.0 - alpha)).alias("score"))
+    mass = starts.join(linked, "start", "left_semi").select("start", F.col("start").alias("node"), F.lit(1.0).alias("mass"))
+    of_start = Window.partitionBy("start")
+    while True:
+        left = F.sum("mass").over(of_start)
+        marked = cut(mass.withColumns({"left": left, "push": (left > tolerance) & (F.col("mass") * F.count("*").over(of_start) > tolerance)}))
+        front = marked.where("push")
+        if front.isEmpty():
+            scores = settled.groupBy("start", "node").agg(F.sum("score").alias("score"))
+            return scores, starts.join(marked.groupBy("start").agg(F.sum("mass").alias("rest")), "start", "left").select("start", F.coalesce("rest", F.lit(0.0)).alias("rest"))
+        settled = settled.unionByName(front.select("start", "node", (F.col("mass") * share).alias("score")))
+        moved = front.join(moves, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), (F.col("mass") * F.col("p") * alpha).alias("mass"))
+        # dealt by start, as the next round's sums of a start want it; a start has a row for each node at most
+        mass = marked.where("NOT push").select("start", "node", "mass").unionByName(moved.groupBy("start", "node").agg(F.sum("mass").alias("mass"))).repartition("start").groupBy("start", "node").agg(F.sum("mass").alias("mass"))
 
 
 def greedy_modularity(nodes: int, pairs: list[tuple[int, int]]) -> list[int]:

@@ -6,6 +6,7 @@ Input: purchases (kunde_id, produkt_id, jahr, menge, einzelpreis, umsatz).
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,94 +17,215 @@ from tallyloom.sources.session import cut
 PPR_SHARE, SVD_SHARE, RANK = 0.6, 0.4, 4
 
 
-def low_rank(purchases: DataFrame, rank: int = RANK) -> DataFrame:
-    """(kunde_id, produkt_id, svd): log revenue, centred by customer, rebuilt from its first singular vectors.
+def numbered(purchases: DataFrame) -> tuple[list, DataFrame]:
+    """The products in order, on the driver, and (produkt_id, nr)."""
+    products = [r[0] for r in purchases.select("produkt_id").where("produkt_id IS NOT NULL").distinct().orderBy("produkt_id").collect()]
+    return products, purchases.sparkSession.createDataFrame(list(zip(products, range(len(products)))), f"produkt_id {dict(purchases.dtypes)['produkt_id']}, nr int")
 
-    The products' Gram matrix is summed in Spark (products squared cells), its vectors are found on the
-    driver, and customers are projected in Spark: nothing the size of the customers leaves the executors.
-    """
+
+def customer_vectors(purchases: DataFrame, numbers: DataFrame) -> DataFrame:
+    """kunde_id, nr, x: each customer's products by number, and the logarithms of their revenue; written, as every pass reads them."""
     own = purchases.groupBy("kunde_id", "produkt_id").agg(F.log1p(F.greatest(F.lit(0.0), F.sum(F.col("umsatz").cast("decimal(28,4)")).cast("double"))).alias("x"))
-    products = [r[0] for r in purchases.select("produkt_id").distinct().orderBy("produkt_id").limit(20_001).collect()]
-    if len(products) > 20_000:
-        raise ValueError("low_rank needs a catalogue of at most 20000 products; group them first")
-    n = len(products)
-    vector = F.transform(F.lit(products), lambda p: F.coalesce(F.try_element_at(F.col("m"), p), F.lit(0.0)))
-    rows = own.groupBy("kunde_id").agg(F.map_from_entries(F.collect_list(F.struct("produkt_id", "x"))).alias("m")).select("kunde_id", vector.alias("v"))
-
-    def gram(batches):
-        total, count = np.zeros((n, n)), 0
-        for b in batches:
-            if len(b):
-                x = np.array(b.v.tolist())
-                x = x - x.mean(axis=1, keepdims=True)
-                total += x.T @ x
-                count += len(b)
-        import pandas as pd
-
-        if count:
-            yield pd.DataFrame({"i": np.repeat(np.arange(n), n), "j": np.tile(np.arange(n), n), "g": total.ravel(), "n": count})
-
-    cells = rows.mapInPandas(gram, "i int, j int, g double, n long").groupBy("i", "j").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).collect()
-    if not cells or n < 2 or cells[0].n < 2:
-        return purchases.select("kunde_id", "produkt_id", F.lit(0.0).alias("svd")).limit(0)
-    k = min(rank, min(cells[0].n, n) - 1)
-    matrix = np.zeros((n, n))
-    for c in cells:
-        matrix[c.i, c.j] = c.g
-    top = np.linalg.eigh(matrix)[1][:, ::-1][:, :k]
-    onto = top @ top.T
+    cell = F.array_sort(F.collect_list(F.struct("nr", "x")))
+    return cut(own.join(numbers, "produkt_id").groupBy("kunde_id").agg(cell.alias("c")).select("kunde_id", F.col("c.nr").alias("nr"), F.col("c.x").alias("x")))
 
-    def rebuild(batches):
-        import pandas as pd
 
+def projected(batch: pd.DataFrame, vectors: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of a batch (customer, product, value), the customers' means over all products, and their centred rows times vectors.
+
+    total: the sum of vectors over the products. Only the cells that a customer has are looked at; centring is a term of its own.
+    """
+    who = np.repeat(np.arange(len(batch)), batch.nr.str.len().to_numpy(np.int64))
+    at, x = np.concatenate(batch.nr.to_list()), np.concatenate(batch.x.to_list())
+    mean = np.bincount(who, x, len(batch)) / len(vectors)
+    out = np.column_stack([np.bincount(who, x * vectors[at, j], len(batch)) for j in range(vectors.shape[1])])
+    return who, at, x, mean, out - mean[:, None] * total
+
+
+def gram_times(rows: DataFrame, vectors: np.ndarray) -> np.ndarray:
+    """The centred matrix, transposed, times the matrix times vectors: one pass; products times vectors is all that is shipped and summed."""
+    shipped, width = rows.sparkSession.sparkContext.broadcast(vectors), vectors.shape[1]
+    total = vectors.sum(axis=0)
+
+    def run(batches):
+        off = np.zeros(width)
         for b in batches:
             if len(b):
-                x = np.array(b.v.tolist())
-                mean = x.mean(axis=1, keepdims=True)
-                y = (x - mean) @ onto + mean
-                yield pd.DataFrame({"kunde_id": np.repeat(b.kunde_id.to_numpy(), n), "produkt_id": products * len(b), "svd": y.ravel()})
+                who, at, x, mean, y = projected(b, shipped.value, total)
+                off -= mean @ y
+                some, place = np.unique(at, return_inverse=True)
+                yield pd.DataFrame({"nr": some, "z": np.column_stack([np.bincount(place, x * y[who, j], len(some)) for j in range(width)]).tolist()})
+        yield pd.DataFrame({"nr": [-1], "z": [off.tolist()]})
+
+    parts = rows.select("nr", "x").mapInPandas(run, "nr int, z array<double>")
+    out, off = np.zeros_like(vectors), np.zeros(width)
+    for r in parts.groupBy("nr").agg(F.array(*[F.sum(F.col("z")[j]) for j in range(width)]).alias("z")).collect():
+        if r.nr < 0:
+            off = np.array(r.z)
+        else:
+            out[r.nr] = r.z
+    shipped.destroy()
+    return out + off
+
+
+def triangle(rows: DataFrame, vectors: np.ndarray, fan: int = 16) -> np.ndarray:
+    """R of the QR decomposition of the centred matrix times vectors: a task's customers to one small triangle, these to fan ones, and these to one."""
+    shipped, width = rows.sparkSession.sparkContext.broadcast(vectors), vectors.shape[1]
+    total = vectors.sum(axis=0)
+
+    def folded(blocks):
+        r = np.zeros((0, width))
+        for block in blocks:
+            r = np.linalg.qr(np.vstack([r, block]), mode="r")
+        return pd.DataFrame({"r": pd.Series(r.tolist(), dtype=object)})
+
+    def first(batches):
+        yield folded(projected(b, shipped.value, total)[4] for b in batches if len(b))
+
+    def again(batches):
+        yield folded(np.array(b.r.to_list()) for b in batches if len(b))
+
+    tall = rows.select("nr", "x").mapInPandas(first, "r array<double>").repartition(fan).mapInPandas(again, "r array<double>")
+    return np.linalg.qr(np.array([r.r for r in tall.collect()] or np.zeros((1, width))), mode="r")
+
+
+def singular(rows: DataFrame, n: int, k: int, tolerance: float = 1e-9, extra: int = 8, blocks: int = 10, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest singular values of the customers' centred vectors over n products, and their right vectors (n by k).
+
+    A randomised range finder: a few random columns more than k are multiplied by the matrix and its transpose, and what each pass adds joins the sketch, until
+    the vectors found from the sketch are ones of the matrix to the tolerance. A sketch of blocks passes starts again from its best
+    columns. The driver holds n times (k + extra) times blocks numbers; values come from the triangle of the matrix times the vectors.
+    """
+    width = min(n, k + extra)
+    block = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
+    basis, images = np.zeros((n, 0)), np.zeros((n, 0))
+    for _ in range(50 * blocks):
+        basis, images = np.hstack([basis, block]), np.hstack([images, image := gram_times(rows, block)])
+        inner = basis.T @ images
+        values, mix = np.linalg.eigh((inner + inner.T) / 2)
+        best = mix[:, ::-1][:, :width]
+        vectors, moved = basis @ best, images @ best
+        missing = np.linalg.norm(moved[:, :k] - vectors[:, :k] * values[::-1][:k], axis=0)
+        if missing.max() <= tolerance * max(values[-1], 1e-300):
+            break
+        if basis.shape[1] + width > width * blocks:
+            basis, images, image = vectors, moved, moved
+        for _ in range(2):
+            image = image - basis @ (basis.T @ image)
+        block, size = np.linalg.qr(image)
+        block = block[:, np.abs(np.diag(size)) > 1e-13 * max(values[-1], 1e-300)]
+        block = block - basis @ (basis.T @ block)
+        block = np.linalg.qr(block)[0] if block.shape[1] else block
+        if not block.shape[1]:
+            break  # the sketch holds all there is
+    _, sizes, turn = np.linalg.svd(triangle(rows, vectors[:, :k]))
+    return sizes[:k], vectors[:, :k] @ turn.T
+
+
+def factors(purchases: DataFrame, rank: int = RANK) -> tuple[list, DataFrame, DataFrame, np.ndarray]:
+    """Products, their numbers, customers' vectors and the right vectors of the low-rank model (none where there is too little to tell)."""
+    products, numbers = numbered(purchases)
+    rows = customer_vectors(purchases, numbers)
+    n, customers = len(products), rows.limit(rank + 1).count()
+    k = min(rank, customers - 1, n - 1)
+    return products, numbers, rows, singular(rows, n, k)[1] if k > 0 else np.zeros((n, 0))
+
 
+def low_rank(purchases: DataFrame, rank: int = RANK) -> DataFrame:
+    """(kunde_id, produkt_id, svd): log revenue, centred by customer, rebuilt from its first singular vectors, for all customers and products."""
+    products, _, rows, vectors = factors(purchases, rank)
     kinds = dict(purchases.dtypes)
-    return rows.mapInPandas(rebuild, f"kunde_id {kinds['kunde_id']}, produkt_id {kinds['produkt_id']}, svd double")
+    schema = f"kunde_id {kinds['kunde_id']}, produkt_id {kinds['produkt_id']}, svd double"
+    if not vectors.shape[1]:
+        return purchases.sparkSession.createDataFrame([], schema)
+    shipped, names = purchases.sparkSession.sparkContext.broadcast((vectors, np.array(products, object))), len(products)
+
+    def rebuild(batches):
+        vectors, products = shipped.value
+        for part in pieces(batches, names):
+            _, _, _, mean, y = projected(part, vectors, vectors.sum(axis=0))
+            yield pd.DataFrame({"kunde_id": np.repeat(part.kunde_id.to_numpy(), names), "produkt_id": np.tile(products, len(part)), "svd": (y @ vectors.T + mean[:, None]).ravel()})
+
+    return rows.mapInPandas(rebuild, schema)
 
 
-def min_max(x: str, by: str):
-    """x scaled to 0..1 within a group; 0.5 where all are equal."""
-    w = Window.partitionBy(by)
-    low, high = F.min(x).over(w), F.max(x).over(w)
-    return F.when(high - low < 1e-12, 0.5).otherwise(F.try_divide(F.col(x) - low, high - low))
+def pieces(batches, width: int, cells: int = 1 << 21):
+    """Parts of the batches that make at most so many cells of width columns."""
+    step = max(1, cells // max(1, width))
+    for b in batches:
+        for a in range(0, len(b), step):
+            yield b.iloc[a : a + step].reset_index(drop=True)
 
 
 def customer_ranks(purchases: DataFrame, iterations: int | None = None, tolerance: float = 1e-3) -> DataFrame:
-    """(kunde_id, produkt_id, ppr): personalised PageRank of products for every customer, to a tolerance or after so many steps (an even number).
+    """(kunde_id, produkt_id, ppr): personalised PageRank of products for every customer, to a tolerance (by forward push) or after so many steps (an even number).
 
     A walk that starts at a customer is, after its first step, a mix of walks that start at the customer's
-    products. So only the products' ranks are iterated, over the way from product to customer to product as one step, and each customer adds up those it owns.
+    products. So only the products' ranks are found, over the way from product to customer to product as one step, and each customer adds up those it owns.
+    What the push leaves over is at most the tolerance for each product, and so for each customer.
     """
     edges = cut(graph.purchase_edges(purchases))
     first = edges.where(F.col("src").startswith("k:")).select(F.col("src").alias("k"), F.col("dst").alias("start"), "weight")
     total = edges.where(F.col("src").startswith("p:")).groupBy("src").agg(F.sum("weight").alias("total"))
     buyers = edges.join(total, "src").select("src", F.col("dst").alias("k"), (F.col("weight") / F.col("total")).alias("p"))
     between = buyers.join(first.withColumnsRenamed({"start": "dst", "weight": "w"}), "k").groupBy("src", "dst").agg(F.sum(F.col("p") * F.col("w")).alias("weight"))
-    double = graph.ALPHA**2
-    steps = graph.steps_for(tolerance, double) if iterations is None else iterations // 2
-    ranks = graph.personalised_pagerank(between, between.select(F.col("src").alias("start")), steps, double, back=1.0 - graph.ALPHA)
+    double, starts = graph.ALPHA**2, between.select(F.col("src").alias("start"))
+    if iterations is None:
+        ranks, _ = graph.pushed_pagerank(between, starts, tolerance, double, back=1.0 - graph.ALPHA)
+    else:
+        ranks = graph.personalised_pagerank(between, starts, iterations // 2, double, back=1.0 - graph.ALPHA)
     mixed = first.join(ranks, "start").groupBy("k", "node").agg(F.sum(F.col("weight") * F.col("score") * graph.ALPHA).alias("ppr"))
     return mixed.select(F.substring("k", 3, 1 << 30).alias("kunde"), F.substring("node", 3, 1 << 30).alias("produkt"), "ppr")
 
 
+def scaled(x: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Rows scaled to 0..1 over their free cells; 0.5 where all are equal."""
+    low = np.where(free, x, np.inf).min(axis=1, keepdims=True)
+    width = np.where(free, x, -np.inf).max(axis=1, keepdims=True) - low
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(width < 1e-12, 0.5, (x - low) / width)
+
+
 def hybrid(purchases: DataFrame, iterations: int | None = None, top: int | None = None) -> DataFrame:
-    """Per customer products not owned: ppr and svd (scaled), hybrid, match of 45 to 97, rank."""
-    own = purchases.where("umsatz > 0").select("kunde_id", "produkt_id").distinct()
-    svd = low_rank(purchases).join(own, ["kunde_id", "produkt_id"], "left_anti")
-    ppr = customer_ranks(purchases, iterations)
-    both = svd.join(ppr, (F.col("kunde_id").cast("string") == F.col("kunde")) & (F.col("produkt_id").cast("string") == F.col("produkt")), "left").select("kunde_id", "produkt_id", "svd", F.coalesce("ppr", F.lit(0.0)).alias("ppr"))
-    scaled = both.select("kunde_id", "produkt_id", min_max("ppr", "kunde_id").alias("ppr"), min_max("svd", "kunde_id").alias("svd")).withColumn("hybrid", F.col("ppr") * PPR_SHARE + F.col("svd") * SVD_SHARE)
-    w = Window.partitionBy("kunde_id")
-    low, high = F.min("hybrid").over(w), F.max("hybrid").over(w)
-    match = even(F.when(high - low > 0, F.try_divide(F.col("hybrid") - low, high - low)).otherwise(1.0) * 52 + 45)
-    out = scaled.withColumns({"match": match, "rang": F.row_number().over(w.orderBy(F.desc("hybrid"), "produkt_id"))})
-    return out if top is None else out.where(F.col("rang") <= top)
+    """Per customer products not owned: ppr and svd (scaled), hybrid, match of 45 to 97, rank; the top ones or all.
+
+    A customer's scores of all products are rebuilt in its task, a few customers at a time, and only the top ones leave it: customers times products is never
+    written. Tasks hold the products' vectors, products times RANK numbers.
+    """
+    spark, kinds = purchases.sparkSession, dict(purchases.dtypes)
+    products, numbers, rows, vectors = factors(purchases)
+    schema = f"kunde_id {kinds['kunde_id']}, nr int, ppr double, svd double, hybrid double, low double, high double, rang int"
+    if not vectors.shape[1]:
+        rows = rows.limit(0)
+    own = purchases.where("umsatz > 0").join(numbers, "produkt_id").groupBy("kunde_id").agg(F.collect_set("nr").alias("mine"))
+    rank = customer_ranks(purchases, iterations).join(numbers.withColumn("produkt", F.col("produkt_id").cast("string")), "produkt")
+    rank = rank.groupBy("kunde").agg(F.collect_list("nr").alias("rank_nr"), F.collect_list("ppr").alias("rank_ppr"))
+    each = rows.join(own, "kunde_id").join(rank, F.col("kunde_id").cast("string") == F.col("kunde"), "left").drop("kunde")
+    shipped, n = spark.sparkContext.broadcast(vectors), len(products)
+
+    def run(batches):
+        vectors = shipped.value
+        total = vectors.sum(axis=0)
+        for part in pieces(batches, n):
+            _, _, _, mean, y = projected(part, vectors, total)
+            svd, ppr, free = y @ vectors.T + mean[:, None], np.zeros((len(part), n)), np.ones((len(part), n), bool)
+            for i, (mine, nr, value) in enumerate(zip(part.mine, part.rank_nr, part.rank_ppr)):
+                free[i, mine] = False
+                if nr is not None:
+                    ppr[i, nr] = value
+            keep = free.any(axis=1)
+            svd, ppr, free, who = svd[keep], ppr[keep], free[keep], part.kunde_id.to_numpy()[keep]
+            svd, ppr = scaled(svd, free), scaled(ppr, free)
+            both = np.where(free, ppr * PPR_SHARE + svd * SVD_SHARE, -np.inf)
+            low, high = np.where(free, both, np.inf).min(axis=1, initial=np.inf), both.max(axis=1, initial=-np.inf)
+            best = np.argsort(-both, axis=1, kind="stable")[:, : n if top is None else top]  # equal scores: the product that sorts first
+            i, place = np.nonzero(np.take_along_axis(free, best, axis=1))
+            nr = best[i, place]
+            yield pd.DataFrame({"kunde_id": who[i], "nr": nr, "ppr": ppr[i, nr], "svd": svd[i, nr], "hybrid": both[i, nr], "low": low[i], "high": high[i], "rang": place + 1})
+
+    found = each.mapInPandas(run, schema).join(numbers, "nr")
+    match = even(F.when(F.col("high") - F.col("low") > 0, F.try_divide(F.col("hybrid") - F.col("low"), F.col("high") - F.col("low"))).otherwise(1.0) * 52 + 45)
+    return found.select("kunde_id", "produkt_id", "ppr", "svd", "hybrid", match.alias("match"), "rang")
 
 
 def product_values(purchases: DataFrame) -> DataFrame:

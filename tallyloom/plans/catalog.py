@@ -456,7 +456,7 @@ def resolve_pairs_ratio(spark, sf_dir):
 
 @query()
 def resolve_search(spark, sf_dir):
-    return resolve.search(role(spark, sf_dir, "companies"), "Supplier#000000042 GmbH")
+    return resolve.search(role(spark, sf_dir, "companies"), "Maloda Basaki GmbH")
 
 
 # --- series ---------------------------------------------------------------------------------------

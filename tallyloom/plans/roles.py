@@ -70,7 +70,10 @@ FROM {lineitem} l JOIN {part} x ON l.l_partkey = x.p_partkey JOIN {lineitem} m O
     "series": """
 SELECT p_type, CAST(l_shipdate AS DATE) AS datum, SUM(l_quantity) AS menge FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_type, CAST(l_shipdate AS DATE)""",
     "companies": """
-SELECT s_suppkey AS firma_id, s_name AS firma_name, CAST(10000 + s_nationkey * 3571 AS STRING) AS plz, n_name AS ort, r_name AS branche FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
+SELECT firma_id, concat(chr(97 + CAST(h % 26 AS INT)), translate(CAST(h % 99991 AS STRING), '0123456789', 'aetoslrnid'), ' ', translate(CAST(h * 31 % 999983 AS STRING), '0123456789', 'ubkegmhpas'),
+    CASE firma_id % 4 WHEN 0 THEN ' GmbH' WHEN 1 THEN ' AG' WHEN 2 THEN ' GmbH & Co. KG' ELSE '' END, CASE firma_id % 8 WHEN 1 THEN 'x' ELSE '' END) AS firma_name,
+  CAST(10000 + h * 37 % 89989 AS STRING) AS plz, translate(CAST(c_nationkey * 48611 + 70001 AS STRING), '0123456789', 'aurenbilos') AS ort, c_mktsegment AS branche
+FROM (SELECT c_custkey AS firma_id, c_nationkey, c_mktsegment, CAST(c_custkey - CASE WHEN c_custkey % 8 = 1 THEN 1 ELSE 0 END AS BIGINT) * 7919 + 104729 AS h FROM {customer}) c""",
     "results": """
 SELECT event_id AS id, event_type AS project_id, value / 500 AS anomaly_score, CASE WHEN value / 500 > 0.2 THEN 'NOK' ELSE 'OK' END AS decision, value AS inference_ms, CAST(EPOCH(ts) AS DOUBLE) AS created_at FROM {events}""",
     "samples": """

@@ -1,5 +1,6 @@
 """Rules worked out by hand: boundaries, missing values, empty frames, planted structure."""
 
+import itertools
 import math
 import random
 from datetime import date, datetime
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import exprs
-from tallyloom.operators import actions, anomaly, basket, churn, configure, deals, ensemble, graph, margin, monitor, recommend, resolve, series
+from tallyloom.operators import actions, anomaly, basket, churn, configure, deals, ensemble, graph, margin, metric, monitor, recommend, resolve, series
 from tallyloom.plans import catalog
 
 
@@ -143,7 +144,11 @@ def test_nearest_in_blocks_as_whole(spark):
     rows = [(i, draw.normal(size=4).tolist()) for i in range(300)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     bank = vectors.where("vec_id % 3 = 0")
-    whole, blocks = ({r.vec_id: r.distance for r in anomaly.nearest(vectors, bank, most=most).collect()} for most in (1000, 7))
+    whole = {r.vec_id: r.distance for r in anomaly.nearest(vectors, bank).collect()}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(metric.blocks, "__defaults__", (7,))
+        m.setattr(metric, "SIZE", 3)
+        blocks = {r.vec_id: r.distance for r in anomaly.nearest(vectors, bank).collect()}
     assert len(whole) == 300 and whole == pytest.approx(blocks)
 
 
@@ -302,6 +307,42 @@ def test_pagerank_keeps_its_mass_and_mixes(spark):
     assert mixed == pytest.approx(direct)
 
 
+def test_pushed_ranks_stay_within_the_mass_left_over(spark):
+    """A ring of many groups: the scores are as near as the rest says, and far fewer of them are ever touched."""
+    rng = random.Random(6)
+    n = 240
+    links = {(i, (i + 1) % n) for i in range(n)} | {(8 * (i // 8) + rng.randrange(8), i) for i in range(n)}
+    links = {(f"n{a}", f"n{b}", float(1 + (a * b) % 3)) for a, b in links if a != b}
+    rows = sorted(links | {(b, a, w) for a, b, w in links})
+    edges = spark.createDataFrame([*rows, ("x", "x2", 1.0)], "src string, dst string, weight double")
+    starts = spark.createDataFrame([("n0",), ("n77",), ("lone",), ("n77",), ("x",)], "start string")
+    names = sorted({a for a, _, _ in rows})
+    step = np.zeros((len(names), len(names)))
+    for a, b, w in rows:
+        step[names.index(a), names.index(b)] += w
+    limit = 0.15 * np.linalg.inv(np.eye(len(names)) - 0.85 * step / step.sum(axis=1, keepdims=True))
+    full = {(s, k): limit[names.index(s), i] for s in ("n0", "n77") for i, k in enumerate(names)} | {("lone", "lone"): 1.0}
+    for tolerance in (0.2, 0.02):
+        scores, rest = graph.pushed_pagerank(edges, starts, tolerance)
+        got = {(r.start, r.node): r.score for r in scores.collect()}
+        left = {r.start: r.rest for r in rest.collect()}
+        assert set(left) == {"n0", "n77", "lone", "x"} and all(v <= tolerance for v in left.values())
+        for start in ("n0", "n77", "lone"):
+            gap = sum(abs(full.get((start, k), 0) - got.get((start, k), 0)) for k in {k for s, k in {*full, *got} if s == start})
+            assert gap == pytest.approx(left[start], abs=1e-6)
+        assert got["lone", "lone"] == pytest.approx(1.0)
+        assert len(got) < 0.5 * len(full)
+
+
+def test_customer_ranks_by_push(spark):
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(k, f"p{rng.randrange(40)}", float(rng.randrange(1, 9))) for k in range(60) for _ in range(4)], "kunde_id int, produkt_id string, umsatz double")
+    exact, pushed = ({(r.kunde, r.produkt): r.ppr for r in recommend.customer_ranks(rows, *how).collect()} for how in ((120,), (None, 1e-3)))
+    for k in range(60):
+        gap = sum(abs(exact[key] - pushed.get(key, 0)) for key in exact if key[0] == str(k))
+        assert gap < 1e-3
+
+
 def test_low_rank_as_numpy(spark):
     draw = np.random.default_rng(0)
     matrix = draw.integers(0, 50, (8, 6)).astype(float)
@@ -314,6 +355,32 @@ def test_low_rank_as_numpy(spark):
     assert all(got[i, f"p{j}"] == pytest.approx(want[i, j]) for i in range(8) for j in range(6))
 
 
+@pytest.mark.parametrize(("customers", "products"), [(400, 60), (30, 300), (3, 9)])
+def test_singular_vectors_as_numpy(spark, customers, products):
+    """Values and vectors to 1e-6 from passes over sparse rows; the sketch never has products squared cells."""
+    draw = np.random.default_rng(3)
+    matrix = np.where(draw.random((customers, products)) < 0.2, draw.integers(1, 900, (customers, products)), 0).astype(float)
+    matrix[:, 0] = draw.integers(1, 9, customers)  # every product has a number if any customer bought it
+    matrix[0] = np.maximum(matrix[0], 1)
+    rows = [(i, j, float(matrix[i, j])) for i, j in zip(*np.nonzero(matrix))]
+    frame = spark.createDataFrame([(int(i), f"p{j:04}", u) for i, j, u in rows], "kunde_id int, produkt_id string, umsatz double").repartition(5)
+    names, _, vectors, _ = recommend.factors(frame)
+    k = min(4, customers - 1)
+    values, right = recommend.singular(vectors, len(names), k)
+    x = np.log1p(matrix)
+    _, s, v = np.linalg.svd(x - x.mean(axis=1, keepdims=True), full_matrices=False)
+    assert np.allclose(values, s[:k], rtol=1e-8)
+    assert np.allclose(np.abs(np.sum(right * v[:k].T, axis=0)), 1, atol=1e-10) and np.allclose(right * np.sign(np.sum(right * v[:k].T, axis=0)), v[:k].T, atol=1e-6)
+
+
+def test_hybrid_of_a_catalogue_above_20000_products(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(k), f"p{p:05}", float(u)) for k, (p, u) in enumerate(zip(rng.permutation(25_000), rng.integers(1, 99, 25_000))) for k in (k % 50,)]
+    rows += [(k, f"p{p:05}", 5.0) for k in range(50) for p in range(40)]
+    got = recommend.hybrid(spark.createDataFrame(rows, "kunde_id int, produkt_id string, umsatz double").repartition(8), iterations=2, top=2).collect()
+    assert len(got) == 100 and {(r.kunde_id, r.rang) for r in got} == {(k, n) for k in range(50) for n in (1, 2)}
+
+
 def test_communities(spark):
     pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x")]
     got = {r.node: r.community for r in graph.communities(spark.createDataFrame(pairs, "src string, dst string")).collect()}
@@ -388,7 +455,9 @@ def test_nearest_in_blocks(spark):
     bank = df.where("vec_id < 20")
     want = {i: float(np.sqrt(((points[i] - points[:20]) ** 2).sum(axis=1)).min()) for i in range(60)}
     for most in (50_000, 7):
-        assert {r.vec_id: r.distance for r in anomaly.nearest(df, bank, most=most).collect()} == pytest.approx(want)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(metric.blocks, "__defaults__", (most,))
+            assert {r.vec_id: r.distance for r in anomaly.nearest(df, bank).collect()} == pytest.approx(want)
     assert one(anomaly.nearest(df, bank.limit(0)).limit(1)).distance is None
 
 
@@ -498,13 +567,112 @@ def test_coreset_is_a_tenth_of_many_vectors(spark):
     assert sorted(r.vec_id for r in anomaly.coreset(copies, 0.4).collect()) == [0, 1, 2, 5]
 
 
-def test_ratio_query_blocks_by_the_first_letter(spark, tmp_path):
-    names = ["Schmid und Kollegen", "Schmitt und Kollegen", "Mueller Pumpen", "Muller Pumpen", "Otto Werke"]
-    rows = [(i, n, 3 * i) for i, n in enumerate(names)]
-    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
-    spark.createDataFrame([(3 * i, f"Ort {i}", 0) for i in range(5)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
-    spark.createDataFrame([(0, "Bau")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
-    areas = [r.plz[:2] for r in catalog.role(spark, str(tmp_path), "companies").collect()]
-    assert len(set(areas)) == len(areas)
-    got = {(r.a_id, r.b_id) for r in catalog.resolve_pairs_ratio(spark, str(tmp_path)).collect()}
-    assert got == {(0, 1), (2, 3)}
+def grouped_vectors(n, groups=40, width=6, seed=4):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(0, 10, (groups, width))
+    return [(i, [float(v) for v in middles[i % groups] + rng.normal(0, 0.3, width)]) for i in range(n)]
+
+
+def test_blocks_far_away_are_never_compared(spark):
+    rows = grouped_vectors(4000)
+    vectors = spark.createDataFrame([*rows, (4000, rows[0][1]), (4001, [50.0] * 6), (4002, None)], "vec_id long, embedding array<double>")
+    bank = vectors.where("vec_id % 3 = 0 AND vec_id < 4000")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(metric.blocks, "__defaults__", (32,))
+        m.setattr(metric, "SIZE", 16)
+        found, pairs = metric.nearest(vectors, bank, "vec_id", "embedding")
+        got = {r.vec_id: r.distance for r in found.collect()}
+    x, y = np.array([v for _, v in rows]), np.array([v for i, v in rows if i % 3 == 0])
+    want = np.sqrt(((x[:, None] - y) ** 2).sum(axis=2).min(axis=1))
+    assert len(got) == 4002 and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in range(4000)) and got[4000] == 0
+    every = -(-4000 // 32) * -(-len(y) // 32)
+    assert pairs.distinct().count() == pairs.count() < 0.2 * every
+
+
+@pytest.mark.parametrize("kind", ["groups", "plane", "grid", "copies", "names"])
+def test_coreset_as_one_by_one(spark, kind):
+    """Many choices a round, the very same as the sequential rule gives, ties and copies included."""
+    rng = np.random.default_rng(3)
+    x = {"groups": np.array([v for _, v in grouped_vectors(3000)]), "plane": rng.random((3000, 2)), "grid": rng.integers(0, 12, (1500, 2)).astype(float), "copies": np.repeat(rng.random((150, 3)), 8, axis=0), "names": rng.random((600, 3))}[kind]
+    ids = [f"n{i:05}" for i in range(len(x))] if kind == "names" else list(range(len(x)))
+    frame = spark.createDataFrame(list(zip(ids, x.tolist())), f"vec_id {'string' if kind == 'names' else 'long'}, embedding array<double>").repartition(6)
+    want = max(1, int(len(x) * (0.4 if kind == "copies" else 0.1)))
+    chosen, far = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < want:
+        far[chosen[-1]] = -1
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(metric.blocks, "__defaults__", (128,))
+        m.setattr(metric, "SIZE", 128)
+        found, rounds = metric.farthest_first(frame, want, "vec_id", "embedding")
+        assert sorted(r.vec_id for r in found.collect()) == sorted(ids[i] for i in chosen)
+    assert rounds - 2 <= want / 10
+
+
+def made_up_companies(n, seed=1):
+    """Names of many first letters, towns that are alike or not, codes in many areas, copies with slips, and rows with empty fields."""
+    rng = random.Random(seed)
+    syllables = "ba chor dre fen gul hax in jo kel lum mo nert os pri qua rost sti tev ul vor wam xi yel zor".split()
+    word = lambda k: "".join(rng.choice(syllables) for _ in range(k))
+    towns = ["Neustadt", "Neustatt", "Altstadt", "Ulm", "Ulmen", "Köln", "Hof", "Berlin", "Bernau", "Mainz"]
+    rows = []
+    for i in range(n):
+        if rows and rng.random() < 0.2:
+            _, name, code, town, branch = rng.choice(rows)
+            name = name and name[: rng.randrange(1, len(name) + 1)] + rng.choice(["", "x", "en"]) + name[rng.randrange(len(name)) :]
+            row = (name, rng.choice([code, f"{rng.randrange(10000, 99999)}"]), rng.choice([town, rng.choice(towns)]), rng.choice([branch, "IT"]))
+        else:
+            row = (f"{word(rng.randrange(1, 4)).title()} {word(2).title()}{rng.choice([' GmbH', ' KG', '', ' & Co.'])}", f"{rng.randrange(10000, 99999)}", rng.choice(towns), rng.choice(["IT", "Bau", "Handel"]))
+        row = tuple(None if rng.random() < 0.03 else "" if rng.random() < 0.02 else v for v in row)
+        rows.append((i, *row))
+    return rows
+
+
+COMPANY = "firma_id long, firma_name string, plz string, ort string, branche string"
+
+
+def brute_duplicates(rows, similar):
+    """Every candidate pair scored: (a, b) to score."""
+    out = {}
+    for a, b in itertools.combinations(rows, 2):
+        if not (a.area and a.area == b.area or a.letter and a.letter == b.letter):
+            continue
+        place = 0.6 * (1.0 if a.plz == b.plz else 0.5 if a.area == b.area else 0.0) + 0.4 * similar(a.ort, b.ort)
+        score = round(0.6 * similar(a.name, b.name) + 0.3 * place + 0.1 * (a.branche == b.branche), 4)
+        if score >= 0.55:
+            out[a.firma_id, b.firma_id] = score
+    return out
+
+
+def plain_edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b)) if a or b else 1.0
+
+
+@pytest.mark.parametrize(("similar", "plain"), [(resolve.ratio, lambda a, b: SequenceMatcher(None, a, b).ratio()), (resolve.edit_ratio, plain_edit)])
+def test_duplicates_by_bounds_are_all_pairs_above_the_limit(spark, similar, plain):
+    frame = spark.createDataFrame(made_up_companies(260), COMPANY)
+    rows = sorted(resolve.prepared(frame).collect(), key=lambda r: r.firma_id)
+    want = brute_duplicates(rows, plain)
+    got = {(r.a_id, r.b_id): r.score for r in resolve.duplicates(frame, similar).collect()}
+    assert set(got) == set(want) and len(got) > 40
+    assert all(abs(got[k] - want[k]) < 2e-4 for k in got)
+
+
+def test_few_pairs_survive_the_bounds(spark):
+    """Most pairs of a block never meet the string function; a hot key is dealt over several tasks."""
+    frame = spark.createDataFrame(made_up_companies(3000, 2), COMPANY)
+    rows = resolve.prepared(frame).cache()
+    block = resolve.candidates(rows).count()
+    kept = resolve.survivors(rows, resolve.ratio, resolve.most_ratio, resolve.YELLOW).join(resolve.candidates(rows), ["a_id", "b_id"]).count()
+    assert len({r.letter for r in rows.select("letter").distinct().collect()}) > 15
+    assert kept < 0.1 * block, (kept, block)
+    found = resolve.duplicates(frame, resolve.edit_ratio).collect()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(resolve, "ROWS_OF_KEY", 50)
+        assert sorted(resolve.duplicates(frame, resolve.edit_ratio).collect()) == sorted(found)
