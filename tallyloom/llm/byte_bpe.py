@@ -230,14 +230,14 @@ def encoding(path: str, pattern: str) -> Encoding:
     return Encoding(path, pattern)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: id, n_tokens, ids (an array; left out if not asked for), the SHA-256 of the
-    decimal ids joined by commas, and that of the bytes that the ids decode to.
+    decimal ids joined by commas, that of the bytes that the ids decode to, and the columns named in keep as they are.
 
     path is a rank file that every executor can open; pattern splits texts before merging.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = struct((id_col, kind), ("n_tokens", "long"), *[("ids", "array<int>")] * ids, ("ids_sha256", "string"), ("decoded_sha256", "string"))
+    schema = struct((id_col, kind), ("n_tokens", "long"), *[("ids", "array<int>")] * ids, ("ids_sha256", "string"), ("decoded_sha256", "string"), *[(c, docs.schema[c].dataType) for c in keep])
 
     def run(batches):
         own = encoding(path, pattern)
@@ -254,7 +254,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 if ids:
                     ends = np.cumsum([0, *out["n_tokens"]], dtype=np.int32)
                     out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(part), "<i4")))
+                for i, c in enumerate(keep):
+                    out[c] = batch.column(2 + i).slice(a, len(part))
                 out[id_col] = batch.column(0).slice(a, len(part))
                 yield batch_of(out, schema)
 
-    return docs.select(F.col(f"`{id_col}`"), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), text_of(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)]).mapInArrow(run, schema)

@@ -12,7 +12,8 @@ of them are the host's template and are deleted:
 * never what holds more than half of the words of its pages, so that mirrors of a page don't vanish.
 
 What stands in single pages, or in hosts of few pages, is told by its tag, role or class (rules): menus, page headers and footers,
-side bars, notices, adverts, forms and comments. n_template and n_ruled tell how many subtrees each way deleted.
+side bars, notices, adverts, forms and comments. A compound name tells only if all its words do (popular-science says nothing), and within an
+article a name deletes headings or paragraphs only if it can't be a subject (comments, but not search or popular). n_template and n_ruled tell how many subtrees each way deleted.
 
 Where a page has an article, its headings and paragraphs are content even if other pages of the host
 repeat them (copies of an article are no template); inside it only blocks without any of these are
@@ -34,6 +35,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from functools import lru_cache
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -78,6 +80,14 @@ JUNK_NAMES = frozenset(
     " comment comments commentlist respond replies reply discussion disqus reviews"
     " share sharing social socials related recommended recommendations trending popular teaser teasers widget widgets toolbar search tags tagcloud skip".split()
 )
+#: Names that can't be a subject, whatever they hold.
+SURE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors cookie cookies consent gdpr newsletter subscribe"
+    " sidebar sidebars sidenav nav navbar navigation topnav breadcrumb breadcrumbs pagination pager footer"
+    " comment comments commentlist respond replies disqus share sharing related teaser teasers widget widgets".split()
+)
+#: Words that a compound name may hold beside these.
+PART_WORDS = frozenset("site page main global top bottom left right middle first last upper lower inner outer content area box block bar container wrapper wrap holder section panel list item items links link group row col column unit slot space form button buttons icons text title body post posts article articles news story stories thread feed js is has".split())
 KEPT = frozenset("html body main article p h1 h2 h3 h4 h5 h6".split())
 #: No content whatever the rules.
 MARKUP = frozenset("head title script style noscript template iframe noembed noframes object svg math audio video canvas map datalist".split())
@@ -87,12 +97,18 @@ TOUCHED = frozenset().union(*(a | b for a, b in ENDS.values()))
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "parts", "up", "p", "open")
+    __slots__ = ("tag", "names", "role", "hidden", "parts", "up", "p", "open", "texted")
 
     def __init__(self, tag: str, attributes: str, up: Node | None):
         self.tag, self.up, self.parts = tag, up, []
         self.names: list[str] = []
         self.role, self.hidden = "", False
+        #: Whether it is or holds a heading or paragraph.
+        self.texted = False
+        if tag in TEXT_BLOCK:
+            x = self
+            while x is not None and not x.texted:
+                x.texted, x = True, x.up
         #: The open p of this scope, and for each of RULES the outermost element that its tag would end.
         self.p = self if tag == "p" else None if up is None or tag in SCOPE else up.p
         self.open = (None,) * len(ENDS) if up is None else up.open
@@ -109,23 +125,26 @@ class Node:
                     self.names += value.split()
 
     def junk(self, inside: bool) -> bool:
-        """Not content by tag, role or class; inside: within the article, where a header is its own."""
+        """Not content by tag, role or name; inside: within the article, where a header is its own.
+
+        There a name deletes headings or paragraphs only where it can mean nothing else (SURE_NAMES).
+        """
         if self.tag in JUNK_TAGS or self.hidden or self.role in JUNK_ROLES:
             return True
         if self.tag == "header":
             return not inside
-        if self.tag in KEPT:
-            return self.tag in ("article", "p") and any(n in JUNK_NAMES - {"header"} or n.startswith("comment") for n in self.names)
-        for n in self.names:
-            if n in JUNK_NAMES:
-                if n == "header" and inside:
-                    continue
-                return True
-            if "-" in n or "_" in n:
-                words = re.split("[-_]+", n)
-                if words[0] not in ("has", "with", "no", "without", "is", "js") and any(w in JUNK_NAMES and not (w == "header" and inside) for w in words):
-                    return True
-        return False
+        if self.tag in KEPT and self.tag not in ("article", "p"):
+            return False
+        return any(told(n, SURE_NAMES if inside and self.texted else JUNK_NAMES) for n in self.names if not (inside and n == "header"))
+
+
+@lru_cache(1 << 16)
+def told(name: str, names: frozenset[str]) -> bool:
+    """Whether a class or id is one of names, or made of some of them and words for places and parts alone."""
+    if name in names:
+        return True
+    words = [w for w in re.split("[-_]+", name) if not w.isdigit()]
+    return any(w in names for w in words) and all(w in names or w in PART_WORDS for w in words)
 
 
 class Ends:

@@ -200,34 +200,68 @@ def test_queries_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_pipeline_against_plain_python(spark):
-    """The rows that remain, by the definitions of the stages."""
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """sf0.001 with documents added for every stage: (folder, rows, ids that the language stage rejects)."""
+    import random
+
+    import duckdb
+
+    sf, rng = "/root/testdata/sf0.001", random.Random(4)
+    rows = duckdb.sql(f"select doc_id, text, lang, source, n_chars from '{sf}/documents.parquet'").fetchall()
+    words = sorted({w for _, t, lang, _, _ in rows if lang == "en" and t for w in t.lower().split() if w.isalpha()})
+    prose = lambda: " ".join(rng.choices(words, k=120))
+    live, example, bare = "password = hunter2hunter9", "token: sampleSample42", "Zx9Qw3Er7Ty1Ui5Op8As"
+    new = [(f"{prose()} {live} {prose()}", "en", "acme/one")]  # one owner: live
+    new += [(f"{prose()} {example} {prose()}", "en", f"owner{i}/repo") for i in range(5)]  # many owners: an example
+    new += [(f"{prose()} AKIA{'Q7' * 8} and {'0a1b2c3d' * 4} {prose()}", None, "acme/two")]
+    new += [(f"{prose()} {bare} {prose()}", "de", "beta/x"), (f"{prose()} secret='{bare}' {prose()}", "en", "beta/x")]  # a bare token, a value elsewhere
+    item = next(t for (t,) in duckdb.sql(f"select text from '{sf}/benchmark.parquet'").fetchall() if t and len(t.split()) > 12)
+    new += [(f"{prose()} {item} {live}", "en", "gamma"), (prose(), "fr", None), (None, None, None), ("", "en", "src1"), ("12 34", "en", "src2")]
+    rejected = "жук и ёж по лесу шли тихо, никто их не видел и не слышал, и были они рады " * 6
+    new += [(rejected + x, None, "src3") for x in ("", "да")]
+    rows += [(10_000 + i, t, lang, source, None if t is None else len(t)) for i, (t, lang, source) in enumerate(new)]
+    folder = str(tmp_path_factory.mktemp("planted"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    return folder, rows, {10_000 + i for i, (t, _, _) in enumerate(new) if t and t.startswith("жук")}
+
+
+def test_pipeline_against_plain_python(spark, planted):
+    """The rows that remain, by the definitions of the stages, and each row's language, ids and redacted text."""
     import duckdb
     import regex
     import tiktoken
 
     from tests.llm.test_queries import brute_classes, brute_components, brute_fingerprint
 
-    sf = "/root/testdata/sf0.001"
-    docs = {i: t for i, t in duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall() if t and regex.search(r"\p{L}", t)}
+    folder, rows, rejected = planted
+    docs = {i: t for i, t, _, _, _ in rows if t and regex.search(r"\p{L}", t) and i not in rejected}
+    assert len(rejected) == 2
     least = brute_components({i: brute_fingerprint(t) for i, t in docs.items()})
     docs = {i: t for i, t in docs.items() if least[i] == i}
     word = lambda t: decontaminate.words_of(t.encode())
     windows = set()
-    for (t,) in duckdb.sql(f"select text from '{sf}/benchmark.parquet'").fetchall():
+    for (t,) in duckdb.sql("select text from '/root/testdata/sf0.001/benchmark.parquet'").fetchall():
         w = word(t)
         windows |= {tuple(w[a : a + 10]) for a in range(max(1, len(w) - 9))} if w else set()
     hit = lambda w: any(tuple(w[a : a + n]) in windows for n in {len(x) for x in windows} for a in range(len(w) - n + 1))
     docs = {i: t for i, t in docs.items() if not hit(word(t))}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
-    rows = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
-    assert set(rows) == set(docs)
-    repos = dict(duckdb.sql(f"select doc_id, source from '{sf}/documents.parquet'").fetchall())
-    spans = brute_classes(docs, repos)
-    for i, r in rows.items():
-        text = secrets.replaced(docs[i], [(a, b, live) for a, _, b, live in spans[i]], "[SECRET]", "[EXAMPLE]")
-        assert r.ids == own.encode_ordinary(text) and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
-    assert any(spans[i] for i in rows)
+    found = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
+    assert set(found) == set(docs)
+    spans = brute_classes(docs, {i: source for i, _, _, source, _ in rows})
+    marks = {True: set(), False: set()}
+    for i, r in found.items():
+        text = secrets.replaced(docs[i], [(a, b, is_live) for a, _, b, is_live in spans[i]], "[SECRET]", "[EXAMPLE]")
+        assert r.ids == own.encode_ordinary(text) and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        for _, kind, _, is_live in spans[i]:
+            marks[is_live].add(kind)
+    assert {k for k in marks[True]} >= {0, 1, 2, 3} and 0 in marks[False]  # both marks, and a span that ownership adds
+    asked = {i: lang for i, _, lang, _, _ in rows}
+    assert {r.lang for r in found.values()} == {"en", "de", "fr", "es"}
+    assert found[10_006].lang == "en" and asked[10_006] is None and found[10_007].lang == "en" and asked[10_007] == "de"  # the prediction is the label
 
 
 def test_language_stage_labels_and_rejects(spark):

@@ -317,6 +317,11 @@ MARKUP = [
     ("<main><p>in</p></main><p>out", "in"),
     ("<article><header><h1>T</h1></header><p>b</p><section id=comments><article class=comment><p>no</p></article></section></article>", "T\nb"),
     ("<article><p>a</p><form><p>f</p></form><aside>s</aside><div class='ad-slot'>x</div><div class='address'>y</div></article>", "a\ny"),
+    ('<article><h1>T</h1><div class="popular-science"><p>Body.</p></div><p>Two.</p></article>', "T\nBody.\nTwo."),
+    ('<article><section class="ad-hoc"><p>a</p></section><section id="search-methods"><h2>b</h2></section><div class="tags-intro"><p>c</p></div></article>', "a\nb\nc"),
+    ('<article><div class="popular"><p>a</p></div><div class="tags">x y</div><p class="notice">b</p><div class="popular-science">c</div></article>', "a\nb\nc"),
+    ('<article><p>a</p><div class="comment-section"><p>no</p></div><div id="related_posts"><h3>no</h3></div><p class="advert">no</p><p class="commentary">b</p></article>', "a\nb"),
+    ('<div class="ad-hoc"><p>a</p></div><div class="site-footer"><p>no</p></div><div class="main-menu">no</div><div id="comment-12"><p>no</p></div>', "a"),
     ("<!-- <p>no --><p>yes<!-- open", "yes"),
     ("<p>1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
     ("<TITLE>t</TITLE><BODY><P>Up</P></BODY>", "Up"),
