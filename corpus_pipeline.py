@@ -63,11 +63,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """For each document its ids, their number and digest, and the digest of the decoded bytes.
+    """For each document its ids, their number and digest, the digest of the decoded bytes, and its language (where there is a column lang).
 
     Null and empty texts have no ids; repeated rows get equal rows; a very long text is encoded whole; an empty table gives no row.
     """
-    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    keep = ("lang",) if "lang" in docs.columns else ()
+    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=keep)
 
 
 STAGES = [
