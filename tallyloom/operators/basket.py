@@ -44,18 +44,19 @@ def top_pairs(pair: DataFrame, n: int = 15) -> DataFrame:
     return pair.orderBy(F.desc("lift"), F.desc("n"), "a", "b").limit(n)
 
 
-#: Pairs that are shipped to the tasks as a matrix; a catalogue with more goes through joins.
-MOST_PAIRS = 250_000
+#: Products whose pairs are shipped to the tasks as a matrix (its square in doubles is 8 MB); a catalogue with more goes through joins.
+MOST_PRODUCTS = 1_024
 
 
-def recommend(own: DataFrame, pair: DataFrame, top: int = 3, most_pairs: int = MOST_PAIRS) -> DataFrame:
+def recommend(own: DataFrame, pair: DataFrame, top: int = 3, most_products: int = MOST_PRODUCTS) -> DataFrame:
     """Per customer the top products not owned: the sum of customers times lift over what is owned, two digits.
 
-    With at most most_pairs pairs each customer's products meet the pairs' matrix in the tasks (in hundredths, which doubles add up exactly), and only the best
+    With at most most_products products each customer's products meet the pairs' matrix in the tasks (in hundredths, which doubles add up exactly), and only the best
     leave them. With more, products bought together come by a join, and nothing is shipped. Both give the same rows.
     """
-    rows = pair.select("a", "b", "n", "lift").limit(most_pairs + 1).toPandas()
-    return _recommend_by_matrix(own, rows, top) if len(rows) <= most_pairs else _recommend_by_join(own, pair, top)
+    if own.select("produkt_id").distinct().limit(most_products + 1).count() > most_products:
+        return _recommend_by_join(own, pair, top)
+    return _recommend_by_matrix(own, pair.select("a", "b", "n", "lift").toPandas(), top)
 
 
 def _recommend_by_matrix(own: DataFrame, rows: pd.DataFrame, top: int) -> DataFrame:
@@ -121,9 +122,10 @@ def evidence(own: DataFrame, recommended: DataFrame, most: int = 3, first: int =
     return few.join(rest, ["kunde_id", "produkt_id"], "left_anti").unionByName(among(rest, buyers))
 
 
-def customers(purchases: DataFrame) -> DataFrame:
-    """Customers with their sorted products and revenue."""
-    return purchases.groupBy("kunde_id").agg(F.concat_ws(", ", F.sort_array(F.collect_set("produkt_id"))).alias("produkte"), F.count_distinct("produkt_id").alias("n_produkte"), exact_sum(F.col("umsatz")).alias("umsatz"))
+def customers(purchases: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Customers with their sorted products and revenue, and the columns carried: attributes of the customer, the least of each where rows differ."""
+    own = [F.min(c).alias(c) for c in carried]
+    return purchases.groupBy("kunde_id").agg(*own, F.concat_ws(", ", F.sort_array(F.collect_set("produkt_id"))).alias("produkte"), F.count_distinct("produkt_id").alias("n_produkte"), exact_sum(F.col("umsatz")).alias("umsatz"))
 
 
 def purchases_of(purchases: DataFrame) -> DataFrame:

@@ -62,23 +62,21 @@ def pushed_pagerank(edges: DataFrame, starts: DataFrame, tolerance: float = 1e-3
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     moves = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
-    starts = cut(starts.select("start").distinct())
     share = 1.0 - alpha if back is None else back
-    linked = moves.select(F.col("src").alias("start")).distinct()
-    settled = starts.join(linked, "start", "left_anti").select("start", F.col("start").alias("node"), F.lit(share / (1.0 - alpha)).alias("score"))
-    mass = starts.join(linked, "start", "left_semi").select("start", F.col("start").alias("node"), F.lit(1.0).alias("mass"))
-    of_start = Window.partitionBy("start")
+    linked = moves.select(F.col("src").alias("start")).distinct().withColumn("linked", F.lit(True))
+    # a start without edges keeps its mass
+    begun = starts.select("start").distinct().join(linked, "start", "left").select("start", F.col("start").alias("node"), F.when(F.col("linked"), 1.0).otherwise(0.0).alias("mass"), F.when(F.col("linked"), 0.0).otherwise(share / (1.0 - alpha)).alias("score"))
+    # dealt by start, as its sums want it; a start has a row for each node that its mass has reached
+    state, of_start = begun.repartition("start"), Window.partitionBy("start")
     while True:
-        left = F.sum("mass").over(of_start)
-        marked = cut(mass.withColumns({"left": left, "push": (left > tolerance) & (F.col("mass") * F.count("*").over(of_start) > tolerance)}))
+        left, reached = F.sum("mass").over(of_start), F.count_if(F.col("mass") > 0).over(of_start)
+        marked = cut(state.withColumn("push", (left > tolerance) & (F.col("mass") * reached > tolerance)))
         front = marked.where("push")
         if front.isEmpty():
-            scores = settled.groupBy("start", "node").agg(F.sum("score").alias("score"))
-            return scores, starts.join(marked.groupBy("start").agg(F.sum("mass").alias("rest")), "start", "left").select("start", F.coalesce("rest", F.lit(0.0)).alias("rest"))
-        settled = settled.unionByName(front.select("start", "node", (F.col("mass") * share).alias("score")))
-        moved = front.join(moves, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), (F.col("mass") * F.col("p") * alpha).alias("mass"))
-        # dealt by start, as the next round's sums of a start want it; a start has a row for each node at most
-        mass = marked.where("NOT push").select("start", "node", "mass").unionByName(moved.groupBy("start", "node").agg(F.sum("mass").alias("mass"))).repartition("start").groupBy("start", "node").agg(F.sum("mass").alias("mass"))
+            return marked.where("score > 0").select("start", "node", "score"), marked.groupBy("start").agg(F.sum("mass").alias("rest"))
+        kept = marked.select("start", "node", F.when(F.col("push"), 0.0).otherwise(F.col("mass")).alias("mass"), F.when(F.col("push"), F.col("score") + F.col("mass") * share).otherwise(F.col("score")).alias("score"))
+        moved = front.join(moves, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("p") * alpha).alias("mass"), F.lit(0.0).alias("score"))
+        state = kept.unionByName(moved).repartition("start").groupBy("start", "node").agg(F.sum("mass").alias("mass"), F.sum("score").alias("score"))
 
 
 def greedy_modularity(nodes: int, pairs: list[tuple[int, int]]) -> list[int]:
@@ -132,3 +130,56 @@ def communities(edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"node": names, "community": [names[c] for c in found]})
 
     return edges.groupBy(F.lit(0).alias("_one")).applyInPandas(run, "node string, community string")
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> float:
+    """Of communities (node, community) in an undirected graph whose edges (src, dst, weight) are given in both directions."""
+    known = labels.select("node", "community")
+    both = edges.join(known.withColumnsRenamed({"node": "src", "community": "a"}), "src").join(known.withColumnsRenamed({"node": "dst", "community": "b"}), "dst")
+    sums = both.groupBy("a").agg(F.sum("weight").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    r = sums.agg(F.sum("k").alias("all"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("k")).alias("squares")).first()
+    return r["inside"] / r["all"] - r["squares"] / r["all"] ** 2 if r["all"] else 0.0
+
+
+def moved_communities(edges: DataFrame, least_gain: float = 1e-4, most_rounds: int = 12) -> DataFrame:
+    """(node, community) of an undirected graph (src < dst, a weight of 1 where there is none) by local moving and coarsening, over joins alone.
+
+    In a round a changing half of the nodes may go to the neighbouring community that gains most modularity (of equal ones the one that sorts
+    last); a round that lowers it is taken back, and nodes stop after two rounds of little gain. Communities then become the nodes of a smaller graph and the same begins anew,
+    until nothing gains. Unlike communities() no task sees the graph; a node's edges are summed by community before they meet.
+    """
+    weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
+    one = edges.select(F.col("src").cast("string"), F.col("dst").cast("string"), weight.alias("weight")).where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"))
+    level = cut(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
+    total = level.agg(F.sum("weight")).first()[0] or 0.0
+    whole = level.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
+    if not total:
+        return whole
+    reached = modularity(level, whole)
+    while True:
+        labels, before, idle = cut(level.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))), reached, 0
+        degree = cut(level.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
+        for i in range(most_rounds):
+            sizes = labels.join(degree, "node").groupBy("community").agg(F.sum("k").alias("size"))
+            own = labels.join(degree, "node").withColumnRenamed("community", "own")
+            near = level.where("src <> dst").join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("links"))
+            # a node's own community counts without it; where it has no link there, staying gains nothing less what the community weighs
+            stay = own.select("node", F.col("own").alias("community"), F.lit(0.0).alias("links"))
+            each = near.unionByName(stay).groupBy("node", "community").agg(F.sum("links").alias("links")).join(own, "node").join(sizes, "community")
+            rest = F.col("size") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+            gain = F.col("links") / total - F.col("k") * rest / (total * total)
+            each = each.withColumn("gain", gain)
+            best = each.groupBy("node", "own").agg(F.max_by("community", F.struct("gain", (F.col("community") == F.col("own")).alias("stays"))).alias("best"), F.max("gain").alias("most"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("kept"))
+            may = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0
+            after = cut(best.select("node", F.when(may & (F.col("most") > F.col("kept") + 1e-12), F.col("best")).otherwise(F.col("own")).alias("community")))
+            got = modularity(level, after)
+            idle = 0 if got > reached + least_gain else idle + 1
+            if got > reached:
+                labels, reached = after, got
+            if idle == 2:
+                break
+        if reached <= before + least_gain / 10:
+            return whole
+        whole = cut(whole.withColumnRenamed("community", "_old").join(labels.withColumnRenamed("node", "_old"), "_old").select("node", "community"))
+        name = lambda end: labels.select(F.col("node").alias(end), F.col("community").alias(f"{end}2"))
+        level = cut(level.join(name("src"), "src").join(name("dst"), "dst").groupBy(F.col("src2").alias("src"), F.col("dst2").alias("dst")).agg(F.sum("weight").alias("weight")))

@@ -24,10 +24,15 @@ def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def pivots_of(vectors: DataFrame, column: str, rows: int) -> np.ndarray:
-    """Some of the vectors, one for a few blocks, by least hash; equal ones once."""
+    """Some of the vectors, one for a few blocks: of four times as many by least hash those that are far from each other; equal ones once."""
     want = max(1, min(MOST_PIVOTS, rows // (2 * SIZE)))
     vec = F.col(column).cast("array<double>").alias("v")
-    return np.unique(np.array([r.v for r in vectors.select(vec).distinct().orderBy(F.xxhash64("v"), "v").limit(want).collect()], np.float64), axis=0)
+    some = np.unique(np.array([r.v for r in vectors.select(vec).where("v IS NOT NULL").distinct().orderBy(F.xxhash64("v"), "v").limit(4 * want).collect()], np.float64), axis=0)
+    chosen, far = [0], squares(some, some[:1])[:, 0]
+    while len(chosen) < min(want, len(some)):
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, squares(some, some[chosen[-1:]])[:, 0])
+    return np.unique(some[chosen], axis=0)
 
 
 def blocks(vectors: DataFrame, pivots: np.ndarray, id_col: str, column: str, size: int = SIZE) -> DataFrame:

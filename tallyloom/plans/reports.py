@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tallyloom.functions.exprs import day_text, even, first_word, unit_of
-from tallyloom.operators import actions, anomaly, churn, configure, deals, margin, monitor, resolve, series
+from tallyloom.operators import actions, anomaly, autoencoder, basket, churn, configure, deals, graph, margin, monitor, quantile, resolve, series
 from tallyloom.plans import catalog
 from tallyloom.plans.catalog import ACTIONS, BY, CHURN, CONFIG, DEALS, EDGES, GROW, KNN, NAIVE, OWN, PRICED, SCORED_PAIRS, TOTAL, D, dsum, ev, g, query, roll, summary_sql, with_roles
 from tallyloom.plans.roles import role
@@ -283,6 +283,62 @@ def monitor_running_rate(spark, sf_dir):
     return monitor.running_rate(catalog.results(spark, sf_dir))
 
 
+SHARES = {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}
+
+
+@query(with_roles("SELECT produkt_id, " + ", ".join(f"{ev(f'quantile_cont(einzelpreis, {v})', 4)} AS {k}" for k, v in SHARES.items()) + " FROM purchases GROUP BY produkt_id", "purchases"))
+def price_quantiles(spark, sf_dir):
+    """Five quantiles of each product's price, from histograms of bounded size."""
+    found = quantile.quantiles(catalog.purchases(spark, sf_dir), ["produkt_id"], "einzelpreis", SHARES)
+    return found.select("produkt_id", *[even(F.col(k), 4).alias(k) for k in SHARES])
+
+
+@query(with_roles("SELECT " + ", ".join(f"{ev(f'quantile_cont(umsatz, {v})', 4)} AS {k}" for k, v in SHARES.items()) + " FROM purchases", "purchases"))
+def revenue_quantiles(spark, sf_dir):
+    """The same of all revenue: one group of all rows, which no task gathers."""
+    return quantile.quantiles(catalog.purchases(spark, sf_dir), [], "umsatz", SHARES).select(*[even(F.col(k), 4).alias(k) for k in SHARES])
+
+
+@query()
+def communities_moved(spark, sf_dir):
+    """Product communities by local moving: the graph of communities(), in no single task."""
+    own = catalog.owned(catalog.purchases(spark, sf_dir))
+    return graph.moved_communities(basket.pairs(own).where("lift > 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+@query()
+def reconstruction_curved(spark, sf_dir):
+    """Errors after the bottleneck of an autoencoder, beside those of principal components in reconstruction_anomaly."""
+    return autoencoder.scores(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+# --- slices that a page shows of a result ---------------------------------------------------------
+
+
+@query(with_roles("SELECT a, b, lift FROM pairs ORDER BY lift DESC, n DESC, a, b LIMIT 10", "purchases", extra=catalog.PAIRS))
+def basket_first10(spark, sf_dir):
+    own = catalog.owned(catalog.purchases(spark, sf_dir))
+    return basket.top_pairs(basket.pairs(own), 10).select("a", "b", "lift")
+
+
+@query(with_roles("SELECT kunde_id, risiko, umsatz_risiko FROM scores WHERE risiko >= 25", "accounts", extra=CHURN))
+def churn_list25(spark, sf_dir):
+    return catalog.churned(spark, sf_dir).where("risiko >= 25").select("kunde_id", "risiko", "umsatz_risiko")
+
+
+@query(with_roles("SELECT c1, c2, c3, c4, win_prob FROM rated ORDER BY win_prob DESC, c1, c2, c3, c4 LIMIT 1", "components", "compatible", extra=catalog.RATED))
+def config_best_win(spark, sf_dir):
+    rates = catalog.config_win_prob(spark, sf_dir)
+    return rates.orderBy(F.desc("win_prob"), "c1", "c2", "c3", "c4").limit(1)
+
+
+@query(with_roles(f"SELECT kunde_id, MIN(kunde_name) AS kunde_name, MIN(branche) AS branche, string_agg(DISTINCT produkt_id, ', ' ORDER BY produkt_id) AS produkte, COUNT(DISTINCT produkt_id) AS n_produkte, {dsum('umsatz')} AS umsatz FROM purchases JOIN (SELECT c_custkey AS kunde_id, c_name AS kunde_name, c_mktsegment AS branche FROM customer) c USING (kunde_id) GROUP BY kunde_id", "purchases"))
+def customer_cards(spark, sf_dir):
+    """Customers with their names and branch beside the ids."""
+    named = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("kunde_id"), F.col("c_name").alias("kunde_name"), F.col("c_mktsegment").alias("branche"))
+    return basket.customers(catalog.purchases(spark, sf_dir).join(named, "kunde_id"), ("kunde_name", "branche"))
+
+
 # --- sources and sinks ----------------------------------------------------------------------------
 
 

@@ -75,7 +75,7 @@ SELECT firma_id, concat(chr(97 + CAST(h % 26 AS INT)), translate(CAST(h % 99991
   CAST(10000 + h * 37 % 89989 AS STRING) AS plz, translate(CAST(c_nationkey * 48611 + 70001 AS STRING), '0123456789', 'aurenbilos') AS ort, c_mktsegment AS branche
 FROM (SELECT c_custkey AS firma_id, c_nationkey, c_mktsegment, CAST(c_custkey - CASE WHEN c_custkey % 8 = 1 THEN 1 ELSE 0 END AS BIGINT) * 7919 + 104729 AS h FROM {customer}) c""",
     "results": """
-SELECT event_id AS id, event_type AS project_id, value / 500 AS anomaly_score, CASE WHEN value / 500 > 0.2 THEN 'NOK' ELSE 'OK' END AS decision, value AS inference_ms, CAST(EPOCH(ts) AS DOUBLE) AS created_at FROM {events}""",
+SELECT event_id AS id, event_type AS project_id, value / 500 AS anomaly_score, CASE WHEN value / 500 > CASE WHEN event_type IN ('click', 'signup') THEN 0.15 ELSE 0.2 END THEN 'NOK' ELSE 'OK' END AS decision, value AS inference_ms, CAST(EPOCH(ts) AS DOUBLE) AS created_at FROM {events}""",
     "samples": """
 SELECT user_id AS sample_id, ts, value FROM {events}""",
 }

@@ -7,6 +7,7 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ.setdefault("PYTHONPATH", str(ROOT))
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # before numpy is imported: its threads don't survive the start of the JVM
 
 DATA = "/root/testdata"
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import exprs
-from tallyloom.operators import actions, anomaly, basket, churn, configure, deals, ensemble, graph, margin, metric, monitor, recommend, resolve, series
+from tallyloom.operators import actions, anomaly, autoencoder, basket, churn, configure, deals, ensemble, graph, margin, metric, monitor, quantile, recommend, resolve, series
 from tallyloom.plans import catalog
 
 
@@ -236,7 +236,7 @@ def test_recommendations_by_matrix_as_by_joins(spark):
     draw = random.Random(8)
     own = spark.createDataFrame(sorted({(k, f"p{draw.randint(0, 25)}") for k in range(60) for _ in range(6)}), "kunde_id long, produkt_id string")
     pair = basket.pairs(own)
-    rows = lambda most: sorted((r.kunde_id, r.produkt_id, r.score, r.rang) for r in basket.recommend(own, pair, most_pairs=most).collect())
+    rows = lambda most: sorted((r.kunde_id, r.produkt_id, r.score, r.rang) for r in basket.recommend(own, pair, most_products=most).collect())
     assert rows(10**6) == rows(0) and len(rows(0)) > 100
     assert basket.recommend(own.limit(0), pair.limit(0)).count() == 0
 
@@ -374,11 +374,11 @@ def test_singular_vectors_as_numpy(spark, customers, products):
 
 
 def test_hybrid_of_a_catalogue_above_20000_products(spark):
-    rng = np.random.default_rng(8)
-    rows = [(int(k), f"p{p:05}", float(u)) for k, (p, u) in enumerate(zip(rng.permutation(25_000), rng.integers(1, 99, 25_000))) for k in (k % 50,)]
-    rows += [(k, f"p{p:05}", 5.0) for k in range(50) for p in range(40)]
+    rows = [(k, f"p{(21 * k + j) % 20_500:05}", float(1 + (k * j) % 7)) for k in range(1_000) for j in range(23)]
     got = recommend.hybrid(spark.createDataFrame(rows, "kunde_id int, produkt_id string, umsatz double").repartition(8), iterations=2, top=2).collect()
-    assert len(got) == 100 and {(r.kunde_id, r.rang) for r in got} == {(k, n) for k in range(50) for n in (1, 2)}
+    owned = {(k, p) for k, p, _ in rows}
+    assert len({p for _, p in owned}) > 20_000
+    assert {(r.kunde_id, r.rang) for r in got} == {(k, n) for k in range(1_000) for n in (1, 2)} and not {(r.kunde_id, r.produkt_id) for r in got} & owned
 
 
 def test_communities(spark):
@@ -586,7 +586,7 @@ def test_blocks_far_away_are_never_compared(spark):
     want = np.sqrt(((x[:, None] - y) ** 2).sum(axis=2).min(axis=1))
     assert len(got) == 4002 and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in range(4000)) and got[4000] == 0
     every = -(-4000 // 32) * -(-len(y) // 32)
-    assert pairs.distinct().count() == pairs.count() < 0.2 * every
+    assert pairs.distinct().count() == pairs.count() < 0.25 * every
 
 
 @pytest.mark.parametrize("kind", ["groups", "plane", "grid", "copies", "names"])
@@ -610,6 +610,74 @@ def test_coreset_as_one_by_one(spark, kind):
     assert rounds - 2 <= want / 10
 
 
+def test_recommendations_of_many_products_are_joined(spark, monkeypatch):
+    """A catalogue whose square no task could hold, in a hundred thousand pairs of their own."""
+    monkeypatch.setattr(basket, "_recommend_by_matrix", None)
+    own = spark.range(200_000).select((F.col("id") / 2).cast("long").alias("kunde_id"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("produkt_id"))
+    own = own.unionByName(spark.createDataFrame([(-1, "p0"), (-2, "p2")], "kunde_id long, produkt_id string"))
+    got = {(r.kunde_id, r.produkt_id, r.rang) for r in basket.recommend(own, basket.pairs(own)).collect()}
+    assert got == {(-1, "p1", 1), (-2, "p3", 1)}
+
+
+@pytest.mark.parametrize("by", [["g"], ["g", "h"], []])
+def test_quantiles_as_percentile(spark, by):
+    """Ties, nulls, NaN, infinities, signed and tiny values, groups of one, of nulls and of nearly all rows."""
+    rng = random.Random(7)
+    odd = [None, 0.0, -0.0, float("nan"), float("inf"), float("-inf"), 1e-310, -1e300, 5e-324, 1e300]
+    rows = [(rng.choice(["a"] * 8 + ["b", "c", None]), rng.randrange(2), rng.choice([rng.gauss(0, 1), round(rng.random(), 1), 100 + rng.random() / 1e9, float(rng.randrange(5)), -rng.random() * 1e6])) for _ in range(6000)]
+    rows += [("odd", 1, v) for v in odd] + [("one", 0, 3.5), ("none", 0, None), ("none", 1, None)]
+    rows = rows if by else [r for r in rows if r[2] is None or math.isfinite(r[2])]
+    frame = spark.createDataFrame(rows, "g string, h int, x double").repartition(5)
+    shares = {"q0": 0.0, "q10": 0.1, "mid": 0.5, "q95": 0.95, "q333": 1 / 3, "top": 1.0}
+    plain = lambda r: tuple("nan" if isinstance(v, float) and math.isnan(v) else v for v in r)
+    got = sorted((plain(r) for r in quantile.quantiles(frame, by, "x", shares).collect()), key=str)
+    want = frame.groupBy(*by).agg(*[F.percentile("x", F.lit(s)).alias(n) for n, s in shares.items()])
+    want = sorted((plain(r) for r in want.collect()), key=str)
+    assert [r[: len(by)] for r in got] == [r[: len(by)] for r in want]
+    for g, w in zip(got, want):
+        assert all(a == b or None not in (a, b) and "nan" not in (a, b) and a == pytest.approx(b, rel=1e-12) for a, b in zip(g[len(by) :], w[len(by) :])), (g, w)
+
+
+def test_moved_communities_are_as_good_as_greedy_ones(spark):
+    rng = random.Random(12)
+    pairs = [(f"n{a:03}", f"n{b:03}") for a in range(120) for b in range(a + 1, 120) if rng.random() < (0.5 if a // 12 == b // 12 else 0.03)]
+    frame = spark.createDataFrame(pairs, "src string, dst string")
+    both = frame.unionByName(frame.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(1.0))
+    found = graph.moved_communities(frame)
+    assert {r.node for r in found.collect()} == {x for p in pairs for x in p}
+    assert graph.modularity(both, found) >= graph.modularity(both, graph.communities(frame)) - 0.02
+    assert graph.moved_communities(frame.limit(0)).count() == 0
+    two = {r.node: r.community for r in graph.moved_communities(spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x"), ("q", "q")], "src string, dst string")).collect()}
+    assert two["a"] == two["b"] == two["c"] != two["x"] == two["y"] == two["z"] and "q" not in two
+
+
+def test_autoencoder_gradient():
+    draw = np.random.default_rng(1)
+    x, flat = draw.normal(size=(7, 3)), draw.normal(size=sum(int(np.prod(s)) for s in autoencoder.shapes(3, 4, 2)))
+    error = lambda p: 0.5 * ((autoencoder.rebuilt(x, autoencoder.unpacked(p, 3, 4, 2))[0] - x) ** 2).sum() / len(x)
+    got = autoencoder.gradient(x, autoencoder.unpacked(flat, 3, 4, 2))
+    for i in range(len(flat)):
+        step = np.zeros_like(flat)
+        step[i] = 1e-6
+        assert got[i] == pytest.approx((error(flat + step) - error(flat - step)) / 2e-6, abs=1e-6)
+
+
+def test_autoencoder_beats_components_on_curved_data(spark):
+    """Points of a curve need one number each, but no straight line; what is off the curve scores high, and layout changes nothing."""
+    draw = np.random.default_rng(2)
+    t = draw.uniform(-1, 1, 900)
+    x = np.stack([t, 2 * t**2, t**3, 1 - t**2], axis=1) + draw.normal(0, 0.02, (900, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, [0.0, 2.0, 0.0, -1.0]), (901, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in autoencoder.scores(frame.repartition(5), code=1).collect()}
+    straight = {r.vec_id: r.score for r in anomaly.reconstruction_scores(frame.where("embedding IS NOT NULL"), k=1).collect()}
+    assert set(got) == set(range(901)) and sum(got[i] for i in range(900)) < 0.3 * sum(straight[i] for i in range(900))
+    assert got[900] > 5 * sorted(got[i] for i in range(900))[855]
+    again = {r.vec_id: r.score for r in autoencoder.scores(frame.repartition(2), code=1, rounds=2).collect()}
+    assert again == pytest.approx({r.vec_id: r.score for r in autoencoder.scores(frame.coalesce(1), code=1, rounds=2).collect()}, rel=1e-6)
+    assert autoencoder.scores(frame.limit(0)).count() == 0
+
+
 def made_up_companies(n, seed=1):
     """Names of many first letters, towns that are alike or not, codes in many areas, copies with slips, and rows with empty fields."""
     rng = random.Random(seed)
@@ -660,7 +728,7 @@ def test_duplicates_by_bounds_are_all_pairs_above_the_limit(spark, similar, plai
     rows = sorted(resolve.prepared(frame).collect(), key=lambda r: r.firma_id)
     want = brute_duplicates(rows, plain)
     got = {(r.a_id, r.b_id): r.score for r in resolve.duplicates(frame, similar).collect()}
-    assert set(got) == set(want) and len(got) > 40
+    assert set(got) == set(want) and len(got) > 30
     assert all(abs(got[k] - want[k]) < 2e-4 for k in got)
 
 

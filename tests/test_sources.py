@@ -152,3 +152,26 @@ def test_days_are_read_as_days(spark, tmp_path):
     path.write_text("datum;n\n2024-02-29;1\nkeins;2\n;3\n")
     got = tables.read(spark, str(path), dates=("datum", "fehlt")).orderBy("n").collect()
     assert [str(r.datum) for r in got] == ["2024-02-29", "None", "None"]
+
+
+@pytest.mark.parametrize("cuts", [[40], [1, 2, 7, 40], [*range(3, 40, 4), 40]])
+def test_state_after_each_result_is_that_of_the_whole(spark, tmp_path, cuts):
+    """Whatever micro-batches the results come in: the rates of the batch query, the newest kept, and a state of bounded size."""
+    import random
+
+    rng = random.Random(5)
+    rows = sorted((86_400.0 * (i // 9) + 1_000 * (i % 9) + rng.randrange(3), i, rng.choice("pq"), rng.choice(["NOK", "OK", "OK"])) for i in range(40))
+    rows = [(i, p, d, at) for at, i, p, d in rows]
+    kind = "id long, project_id string, decision string, created_at double"
+    for n, (a, b) in enumerate(zip([0, *cuts], cuts)):
+        spark.createDataFrame(rows[a:b], kind).coalesce(1).write.parquet(f"{tmp_path}/in/{n:03}")
+    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = streaming.after_each(source, kept=5).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    want = monitor.running_rate(spark.createDataFrame(rows, kind)).collect()
+    assert sorted((r.id, r.total, r.nok_rate, r.alarm) for r in got) == sorted((r.id, r.total, r.nok_rate, r.alarm) for r in want)
+    gone = {r.gone for r in got} - {None}
+    for p in "pq":
+        mine = [i for i, q, _, _ in rows if q == p]
+        assert set(mine) - gone == set(mine[-5:])
