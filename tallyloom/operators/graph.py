@@ -68,15 +68,20 @@ def pushed_pagerank(edges: DataFrame, starts: DataFrame, tolerance: float = 1e-3
     begun = starts.select("start").distinct().join(linked, "start", "left").select("start", F.col("start").alias("node"), F.when(F.col("linked"), 1.0).otherwise(0.0).alias("mass"), F.when(F.col("linked"), 0.0).otherwise(share / (1.0 - alpha)).alias("score"))
     # dealt by start, as its sums want it; a start has a row for each node that its mass has reached
     state, of_start = begun.repartition("start"), Window.partitionBy("start")
-    while True:
+
+    def marked(state: DataFrame) -> DataFrame:
         left, reached = F.sum("mass").over(of_start), F.count_if(F.col("mass") > 0).over(of_start)
-        marked = cut(state.withColumn("push", (left > tolerance) & (F.col("mass") * reached > tolerance)))
-        front = marked.where("push")
-        if front.isEmpty():
-            return marked.where("score > 0").select("start", "node", "score"), marked.groupBy("start").agg(F.sum("mass").alias("rest"))
+        return state.withColumn("push", (left > tolerance) & (F.col("mass") * reached > tolerance))
+
+    def pushed(marked: DataFrame) -> DataFrame:
         kept = marked.select("start", "node", F.when(F.col("push"), 0.0).otherwise(F.col("mass")).alias("mass"), F.when(F.col("push"), F.col("score") + F.col("mass") * share).otherwise(F.col("score")).alias("score"))
-        moved = front.join(moves, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("p") * alpha).alias("mass"), F.lit(0.0).alias("score"))
-        state = kept.unionByName(moved).repartition("start").groupBy("start", "node").agg(F.sum("mass").alias("mass"), F.sum("score").alias("score"))
+        moved = marked.where("push").join(moves, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("p") * alpha).alias("mass"), F.lit(0.0).alias("score"))
+        return kept.unionByName(moved).repartition("start").groupBy("start", "node").agg(F.sum("mass").alias("mass"), F.sum("score").alias("score"))
+
+    now = cut(marked(state))
+    while not now.where("push").isEmpty():
+        now = cut(marked(pushed(marked(pushed(now)))))  # two rounds for each write; without a node to push a round changes nothing
+    return now.where("score > 0").select("start", "node", "score"), now.groupBy("start").agg(F.sum("mass").alias("rest"))
 
 
 def greedy_modularity(nodes: int, pairs: list[tuple[int, int]]) -> list[int]:

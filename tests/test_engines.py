@@ -337,10 +337,10 @@ def test_pushed_ranks_stay_within_the_mass_left_over(spark):
 def test_customer_ranks_by_push(spark):
     rng = random.Random(9)
     rows = spark.createDataFrame([(k, f"p{rng.randrange(40)}", float(rng.randrange(1, 9))) for k in range(60) for _ in range(4)], "kunde_id int, produkt_id string, umsatz double")
-    exact, pushed = ({(r.kunde, r.produkt): r.ppr for r in recommend.customer_ranks(rows, *how).collect()} for how in ((120,), (None, 1e-3)))
+    exact, pushed = ({(r.kunde, r.produkt): r.ppr for r in recommend.customer_ranks(rows, *how).collect()} for how in ((60,), (None, 1e-2)))
     for k in range(60):
         gap = sum(abs(exact[key] - pushed.get(key, 0)) for key in exact if key[0] == str(k))
-        assert gap < 1e-3
+        assert gap < 1.01e-2
 
 
 def test_low_rank_as_numpy(spark):
