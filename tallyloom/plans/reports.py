@@ -356,6 +356,15 @@ def csv_round_trip(spark, sf_dir):
     return back.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])
 
 
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def workbook_round_trip(spark, sf_dir):
+    """Written as workbooks in tasks, read back from all of them with types found."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    path = scratch(spark, "customers") + ".xlsx"
+    tables.write_excel(rows, path)
+    return tables.read(spark, path).select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])
+
+
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS datum FROM orders")
 def csv_dates(spark, sf_dir):
     """Days written as text and read back as days."""

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.sources import workbooks
+
 #: Other names of the columns, the first that is there counts.
 OFFER_ALIASES = {
     "angebot_id": ("angebot_id", "angebotsnummer", "id", "nr"),
@@ -83,13 +85,18 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None =
 
 
 def read_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
-    """The first sheet of a workbook; needs an Excel reader for pandas. A workbook fits the driver by its format."""
+    """A sheet of a workbook, or of all that a folder or pattern names."""
+    return workbooks.read(spark, path, sheet)
+
+
+def read_old_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
+    """A sheet of the binary format of old, of 65,536 rows at most; needs a reader of it for pandas."""
     import pandas as pd
 
     return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet))
 
 
-READERS = {".csv": read_delimited, ".txt": read_delimited, ".tsv": read_delimited, ".xlsx": read_excel, ".xls": read_excel, ".parquet": lambda spark, path: spark.read.parquet(path), ".orc": lambda spark, path: spark.read.orc(path), ".json": lambda spark, path: spark.read.json(path)}
+READERS = {".csv": read_delimited, ".txt": read_delimited, ".tsv": read_delimited, ".xlsx": read_excel, ".xls": read_old_excel, ".parquet": lambda spark, path: spark.read.parquet(path), ".orc": lambda spark, path: spark.read.orc(path), ".json": lambda spark, path: spark.read.json(path)}
 
 
 def read(spark: SparkSession, path: str, **how) -> DataFrame:
@@ -181,11 +188,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_excel(df: DataFrame, path: str, sheet: str = "Prognose", most: int = 1_000_000) -> None:
-    """A workbook of one sheet, of at most as many rows as one holds; needs an Excel writer for pandas."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"a sheet holds at most {most} rows")
-    df.toPandas().to_excel(path, sheet_name=sheet, index=False)
+def write_excel(df: DataFrame, folder: str, sheet: str = "Prognose", most: int = 100_000) -> int:
+    """Workbooks of one sheet and at most so many rows each in a folder; gives their number."""
+    return workbooks.write(df, folder, sheet, most)
 
 
 def as_json(df: DataFrame) -> DataFrame:

@@ -115,19 +115,46 @@ def test_zipped_images(spark, tmp_path):
     assert got == [("c.bmp", 3, "", b"333"), ("normal/a.PNG", 1, "normal", b"1"), ("x/defect/b.jpg", 2, "defect", b"22")]
 
 
-def test_excel_needs_its_reader_or_reads_back(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a"), (2, "b")], "n long, t string")
-    path = str(tmp_path / "x.xlsx")
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError:
-        with pytest.raises(ImportError):
-            tables.write_excel(rows, path)
-        return
-    tables.write_excel(rows, path)
-    assert tables.read(spark, path).collect() == rows.collect()
-    with pytest.raises(ValueError):
-        tables.write_excel(rows, path, most=1)
+def test_workbooks_read_back(spark, tmp_path):
+    """Every kind of cell, over several workbooks, in rows dealt over tasks."""
+    from datetime import date
+
+    rows = [(i, f"name {i} <&> ä\n ", None if i % 3 == 0 else i / 7, i % 2 == 0, date(1999, 12, 30 if i % 2 else 31), None) for i in range(57)]
+    df = spark.createDataFrame(rows, "n long, text string, x double, yes boolean, day date, none string").repartition(3)
+    folder = str(tmp_path / "out.xlsx")
+    assert tables.write_excel(df, folder, most=10) >= 6
+    back = tables.read(spark, folder)
+    assert dict(back.dtypes) == {"n": "bigint", "text": "string", "x": "double", "yes": "boolean", "day": "date", "none": "string"}
+    assert sorted(back.collect(), key=lambda r: r.n) == sorted(df.collect(), key=lambda r: r.n)
+    assert tables.read(spark, f"{folder}/part-00000.xlsx").count() == 10
+    empty = str(tmp_path / "empty.xlsx")
+    assert tables.write_excel(df.limit(0), empty) == 1 and tables.read(spark, empty).columns == df.columns and tables.read(spark, empty).count() == 0
+
+
+def test_workbooks_of_other_writers(spark, tmp_path):
+    """Shared and rich strings, gaps, dates by style, sheets by name and place, and workbooks of different columns together."""
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def book(path, sheet, shared=""):
+        with zipfile.ZipFile(path, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{office}"><sheets><sheet name="Other" r:id="a"/><sheet name="Data" r:id="b"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/x.xml"/><Relationship Id="b" Target="/xl/worksheets/y.xml"/></Relationships>')
+            z.writestr("xl/worksheets/x.xml", f"<worksheet {ns}><sheetData/></worksheet>")
+            z.writestr("xl/worksheets/y.xml", f"<worksheet {ns}><sheetData>{sheet}</sheetData></worksheet>")
+            z.writestr("xl/sharedStrings.xml", f"<sst {ns}>{shared}</sst>")
+            z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="dd.mm.yyyy"/><numFmt numFmtId="171" formatCode="0.0 &quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+
+    shared = "<si><t>Id</t></si><si><r><t>Na</t></r><r><t>me</t></r></si><si><t>x</t></si>"
+    book(tmp_path / "a.xlsx", '<row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c><c r="D1" t="str"><v>Day</v></c><c r="E1" t="inlineStr"><is><t>Len</t></is></c></row><row/><row r="3"><c r="A3"><v>7</v></c><c r="C3" t="s"><v>2</v></c><c r="D3" s="1"><v>36524</v></c><c r="E3" s="2"><v>1.5</v></c></row><row><c r="A4" t="e"><v>#N/A</v></c><c r="AA4"><v>1</v></c></row>', shared)
+    book(tmp_path / "b.xlsx", '<row><c t="s"><v>0</v></c><c t="str"><v>More</v></c></row><row><c><v>8</v></c><c t="b"><v>1</v></c></row>', shared)
+    df = tables.read_excel(spark, f"{tmp_path}/*.xlsx", sheet="Data")
+    assert set(df.columns) == {"Id", "Name", "Day", "Len", "More"}
+    got = {r.Id: (r.Name, str(r.Day), r.Len, r.More) for r in df.collect()}
+    assert got == {7: ("x", "1999-12-30", 1.5, None), None: (None, "None", None, None), 8: (None, "None", None, True)}
+    assert tables.read_excel(spark, f"{tmp_path}/a.xlsx", sheet=0).columns == []
 
 
 class FakeSession:
