@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tallyloom.functions.exprs import day_text, even, first_word, unit_of
-from tallyloom.operators import actions, anomaly, autoencoder, basket, churn, configure, deals, graph, margin, monitor, quantile, resolve, series
+from tallyloom.operators import actions, anomaly, autoencoder, basket, churn, configure, deals, margin, monitor, quantile, resolve, series
 from tallyloom.plans import catalog
 from tallyloom.plans.catalog import ACTIONS, BY, CHURN, CONFIG, DEALS, EDGES, GROW, KNN, NAIVE, OWN, PRICED, SCORED_PAIRS, TOTAL, D, dsum, ev, g, query, roll, summary_sql, with_roles
 from tallyloom.plans.roles import role
@@ -299,13 +299,6 @@ def revenue_quantiles(spark, sf_dir):
     return quantile.quantiles(catalog.purchases(spark, sf_dir), [], "umsatz", SHARES).select(*[even(F.col(k), 4).alias(k) for k in SHARES])
 
 
-@query()
-def communities_moved(spark, sf_dir):
-    """Product communities by local moving: the graph of communities(), in no single task."""
-    own = catalog.owned(catalog.purchases(spark, sf_dir))
-    return graph.moved_communities(basket.pairs(own).where("lift > 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
-
 @query()
 def reconstruction_curved(spark, sf_dir):
     """Errors after the bottleneck of an autoencoder, beside those of principal components in reconstruction_anomaly."""
