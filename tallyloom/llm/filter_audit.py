@@ -95,7 +95,8 @@ def counters(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     by = ["part", "mask", "task", "mark"]
     in_first = F.when(F.col("mark").isNotNull(), F.col("task")).alias("task")  # the task matters where a mark stands alone
     every = own.groupBy("part", "mask", in_first, "mark").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("toxic"))
-    known = salted_join(own.select("key", "part", "mask", in_first, "mark"), told, "key")
+    # never broadcast: Spark's estimate from the file of labels knows nothing of the copies
+    known = salted_join(own.select("key", "part", "mask", in_first, "mark"), told, "key", merge=True)
     known = known.groupBy(*by).agg(F.lit(0).cast("long").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("toxic"))
     # a few rows for each part and task from here on
     merged = every.unionByName(known).join(ends, "mark", "left")

@@ -250,3 +250,14 @@ def test_op13_odd_tables(spark):
     assert filter_audit.audit(none, told).count() == 0
     docs = [(1, None, None), (2, "word " * 300_000, "en"), (3, "word " * 300_000, "en")]
     assert found_audit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), told) == brute_audit(docs, [])
+
+
+def test_op13_copies_of_labels_are_never_broadcast(spark, tmp_path):
+    """Spark's estimate of the labels' size is that of their file, not of the copies that a salted join makes of them."""
+    spark.range(2000).selectExpr("id AS doc_id", "1 AS quality", "1 AS toxic").write.parquet(f"{tmp_path}/labels")
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'de' AS lang")
+    found = filter_audit.counters(docs, spark.read.parquet(f"{tmp_path}/labels"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "_salt" in line], plan
+    assert sum(r.n for r in found.collect()) == sum(r.good for r in found.collect()) == 50
