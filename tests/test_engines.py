@@ -743,3 +743,16 @@ def test_few_pairs_survive_the_bounds(spark):
     with pytest.MonkeyPatch.context() as m:
         m.setattr(resolve, "ROWS_OF_KEY", 50)
         assert sorted(resolve.duplicates(frame, resolve.edit_ratio).collect()) == sorted(found)
+
+
+def test_candidates_are_distinct_without_comparing_pairs(spark):
+    """Ids that several rows have may repeat pairs, others can't: the pairs of those are not sorted out."""
+    draw = random.Random(8)
+    kind = "firma_id long, area string, letter string"
+    once = [(i, draw.choice(["", "10", "11"]), draw.choice(["", "a", "b"])) for i in range(40)]
+    for rows in (once, once + [(i, draw.choice(["", "10", "11"]), draw.choice("ab")) for i in range(0, 40, 3)]):
+        want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (a[1] == b[1] != "" or a[2] == b[2] != "")}
+        found = resolve.candidates(spark.createDataFrame(rows, kind))
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert ("keys=[a_id" in found._jdf.queryExecution().executedPlan().toString()) == (rows is not once)
