@@ -230,6 +230,12 @@ def encoding(path: str, pattern: str) -> Encoding:
     return Encoding(path, pattern)
 
 
+def encoded(own: Encoding, texts: pa.Array):
+    """Where each ROWS_OUT texts begin, and their ids: a batch's texts are never all held as strings, nor all their ids."""
+    for a in range(0, len(texts), ROWS_OUT):
+        yield a, own.encode(texts.slice(a, ROWS_OUT).to_pylist())
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: id, n_tokens, ids (an array; left out if not asked for), the SHA-256 of the
     decimal ids joined by commas, that of the bytes that the ids decode to, and the columns named in keep as they are.
@@ -242,9 +248,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches):
         own = encoding(path, pattern)
         for batch in batches:
-            codes = own.encode(batch.column(1).to_pylist())
-            for a in range(0, len(codes), ROWS_OUT):
-                part = codes[a : a + ROWS_OUT]
+            for a, part in encoded(own, batch.column(1)):
                 out = {f.name: [] for f in schema}
                 for code in part:
                     numbers = np.frombuffer(code, "<u4").tolist()

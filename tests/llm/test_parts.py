@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -415,3 +416,17 @@ def test_factorization_machine_learns_pairs():
 def test_ranked_counts():
     assert language.ranked("aab").tolist()[0] == ord("a") and not len(language.ranked("12 !"))
     assert len(language.ranked("abcdefghij " * 90, 10)) == 10
+
+
+def test_bpe_holds_few_texts_at_once():
+    class Own:
+        sizes = []
+
+        def encode(self, texts):
+            self.sizes.append(len(texts))
+            return [t.encode() for t in texts]
+
+    own, texts = Own(), [f"t{i}" for i in range(2 * byte_bpe.ROWS_OUT + 5)]
+    out = list(byte_bpe.encoded(own, pa.array(texts)))
+    assert own.sizes == [byte_bpe.ROWS_OUT, byte_bpe.ROWS_OUT, 5]
+    assert [(a + i, t) for a, part in out for i, t in enumerate(part)] == [(i, t.encode()) for i, t in enumerate(texts)]
