@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,11 @@ from tallyloom.operators import graph
 from tallyloom.sources.session import cut
 
 PPR_SHARE, SVD_SHARE, RANK = 0.6, 0.4, 4
+#: Catalogues up to so many products are compared as matrices.
+BITS = 1024
+#: Sets of products of a block, and groups of blocks that one block is dealt to.
+ROWS_OF_BLOCK, FANS = 2048, 4
+KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
 
 
 def numbered(purchases: DataFrame) -> tuple[list, DataFrame]:
@@ -242,24 +248,138 @@ def coverage(purchases: DataFrame) -> DataFrame:
     return own.crossJoin(F.broadcast(total)).select("kunde_id", "n_produkte", even(F.col("n_produkte") / F.col("_all") * 100).alias("abdeckung_pct"))
 
 
+def blocks_of(sets: DataFrame, columns: dict[str, str], rows: int) -> DataFrame:
+    """Rows of sets (with a column at) packed as arrays, rows to a block at most or nearly so: block, and the columns under new names."""
+    parts = -(-sets.count() // rows) or 1
+    packed = F.sort_array(F.collect_list(F.struct("at", *columns)))
+    dealt = sets.groupBy(F.pmod(F.xxhash64("at"), F.lit(parts)).alias("block")).agg(packed.alias("_p"))
+    return dealt.select("block", F.col("_p.at").alias("at"), *[F.col(f"_p.{c}").alias(new) for c, new in columns.items()])
+
+
+def best_sets(mine: list, who: np.ndarray, product: np.ndarray, least: np.ndarray, theirs: list, at: np.ndarray, width: int, most: int):
+    """For each wanted product of a row of mine the most rows of theirs with it that are most alike: place among the wanted, at, rank.
+
+    rank orders by Jaccard similarity (four digits, half even), then by the number of shared products; of equals the row that stands first is taken. None share
+    nothing or rank below least. The shared products of all rows with all rows are one product of matrices.
+    """
+    def matrix(lists):
+        out = np.zeros((len(lists), width), np.float32)
+        out[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)] = 1
+        return out
+
+    a, b = matrix(mine), matrix(theirs)
+    x, y = a.sum(axis=1).astype(np.int32), b.sum(axis=1).astype(np.int32)
+    shared, both = np.arange(min(x.max(), y.max()) + 1), np.arange(x.max() + y.max() + 1)[:, None]
+    ranks = np.where(shared > 0, np.rint(shared / np.maximum(both - shared, 1) * 1e4) * 2 * BITS + shared, -1).astype(np.int32).ravel()
+    index = (a @ b.T).astype(np.int32)
+    index += (x[:, None] + y) * np.int32(len(shared))
+    rank, owns, out = ranks.take(index), b.T > 0, []
+    order = np.argsort(product, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(product[order])) + 1):
+        some = np.where(owns[product[group[0]]], rank[who[group]], np.int32(-1))
+        for _ in range(most):
+            best = some.argmax(axis=1)
+            value = some[np.arange(len(group)), best]
+            good = value >= np.maximum(least[group], 1)
+            if not good.all():
+                group, best, value, some = group[good], best[good], value[good], some[good]
+            if not len(group):
+                break
+            out.append((group, at[best], value))
+            some[np.arange(len(group)), best] = -1
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+
+
+def _nearest_sets(sets: DataFrame, asked: DataFrame, width: int, most: int) -> DataFrame:
+    """(von, nr, zu, rank): for each set and product number of asked the most alike sets with that product, by blocks against blocks.
+
+    sets: at (in the order that settles ties), liste. A task meets a block of the asked sets with one block after another and keeps
+    the best of all it has seen.
+    """
+    spark = sets.sparkSession
+    left = blocks_of(asked, {"liste": "liste", "will": "will"}, ROWS_OF_BLOCK)
+    right = blocks_of(sets, {"liste": "deren"}, ROWS_OF_BLOCK).select(F.col("block").alias("_other"), F.col("at").alias("zu"), "deren")
+    pairs = left.crossJoin(right.hint("shuffle_replicate_nl")).withColumn("part", F.pmod(F.xxhash64("_other"), F.lit(FANS)))
+    pairs = pairs.repartition(4 * spark.sparkContext.defaultParallelism, "block", "part").select("block", "part", "at", "liste", "will", "zu", "deren").sortWithinPartitions("block", "part")
+    schema = "von long, nr int, zu long, rank int"
+
+    def kept(rows):
+        """The most best of each wanted product."""
+        place, zu, rank = rows
+        order = np.lexsort((zu, -rank.astype(np.int64), place))
+        place, zu, rank = place[order], zu[order], rank[order]
+        line, new = np.arange(len(place)), np.r_[True, place[1:] != place[:-1]][: len(place)]
+        keep = line - np.maximum.accumulate(np.where(new, line, 0)) < most
+        return [x[keep] for x in (place, zu, rank)]
+
+    def told(von, product, best):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((von[best[0]], product[best[0]], *best[1:]), KINDS)], names=["von", "nr", "zu", "rank"])
+
+    def run(batches):
+        now = best = von = product = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                at, mine, will, zu, deren = (batch.column(c)[i].values for c in range(2, 7))
+                mine, will, deren = ([x.values.to_numpy(zero_copy_only=False) for x in c] for c in (mine, will, deren))
+                if key != now:
+                    if best is not None:
+                        yield told(von, product, best)
+                    now, best = key, [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+                    who, product = np.repeat(np.arange(len(will)), [len(x) for x in will]), np.concatenate(will)
+                    von = at.to_numpy()[who]
+                    least = np.zeros(len(who), np.int32)
+                found = best_sets(mine, who, product, least, deren, zu.to_numpy(), width, most)
+                best = kept([np.concatenate(x) for x in zip(best, found)])
+                full = np.bincount(best[0], minlength=len(who)) >= most
+                worst = np.full(len(who), np.iinfo(np.int32).max)
+                np.minimum.at(worst, best[0], best[2])
+                least = np.where(full, worst, 0).astype(np.int32)
+        if best is not None:
+            yield told(von, product, best)
+
+    found = pairs.mapInArrow(run, schema)
+    order = Window.partitionBy("von", "nr").orderBy(F.desc("rank"), "zu")
+    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+
+
 def evidence(purchases: DataFrame, wanted: DataFrame, most: int = 3) -> DataFrame:
     """Why a product: for each (kunde_id, produkt_id) of wanted the most similar customers who own it.
 
-    anderer, gemeinsam (the shared products, sorted), their number, the Jaccard similarity (four digits) and nr. Buyers of a wanted product are met by an
-    equi-join on it, and what two customers share follows from their lists of product numbers; no other pairs of customers arise.
+    anderer, gemeinsam (the shared products, sorted), their number, the Jaccard similarity (four digits) and nr. What is found depends on what a customer
+    owns alone, so customers with the same products are one set. Catalogues up to BITS products are compared in blocks of sets, as
+    matrices; in larger ones buyers of a wanted product are met by an equi-join on it.
     """
-    own = cut(purchases.where("umsatz > 0").select("kunde_id", "produkt_id").distinct())
-    numbers = cut(own.select("produkt_id").distinct().withColumn("_nr", F.monotonically_increasing_id()))
-    lists = cut(own.join(numbers, "produkt_id").groupBy("kunde_id").agg(F.sort_array(F.collect_list("_nr")).alias("liste"), F.sort_array(F.collect_list("produkt_id")).alias("namen")))
-    mine = wanted.select("kunde_id", "produkt_id").distinct().join(lists.drop("namen"), "kunde_id")
-    others = own.join(lists.drop("namen"), "kunde_id").select(F.col("kunde_id").alias("anderer"), "produkt_id", F.col("liste").alias("deren"))
-    pairs = mine.join(others, "produkt_id").where("anderer <> kunde_id").select("kunde_id", "produkt_id", "anderer", F.size(F.array_intersect("liste", "deren")).alias("_n"), (F.size("liste") + F.size("deren")).alias("_alle"))
-    pairs = pairs.where("_n > 0").select("kunde_id", "produkt_id", "anderer", F.col("_n").cast("long").alias("n_gemeinsam"), even(F.col("_n") / (F.col("_alle") - F.col("_n")), 4).alias("jaccard"))
-    best = Window.partitionBy("kunde_id", "produkt_id").orderBy(F.desc("jaccard"), F.desc("n_gemeinsam"), "anderer")
-    found = pairs.withColumn("nr", F.row_number().over(best)).where(F.col("nr") <= most)
-    names = lists.select("kunde_id", F.col("namen").alias("_a"))
-    found = found.join(names, "kunde_id").join(names.withColumnsRenamed({"kunde_id": "anderer", "_a": "_b"}), "anderer")
-    return found.select("kunde_id", "produkt_id", "anderer", F.array_intersect("_a", "_b").alias("gemeinsam"), "n_gemeinsam", "jaccard", "nr")
+    own = cut(purchases.where("umsatz > 0 AND kunde_id IS NOT NULL AND produkt_id IS NOT NULL").select("kunde_id", "produkt_id").distinct())
+    numbers = cut(own.select("produkt_id").distinct().orderBy("produkt_id").coalesce(1).withColumn("_nr", F.monotonically_increasing_id().cast("int")))
+    lists = cut(own.join(numbers, "produkt_id").groupBy("kunde_id").agg(F.sort_array(F.collect_list(F.struct("_nr", "produkt_id"))).alias("_l")).select("kunde_id", F.col("_l._nr").alias("liste"), F.col("_l.produkt_id").alias("namen")))
+    asked = wanted.select("kunde_id", "produkt_id").distinct().join(numbers, "produkt_id").withColumnRenamed("_nr", "nr")
+    # a customer may be among the best of its own set, so one more is kept of each
+    first = Window.partitionBy("liste").orderBy("kunde_id")
+    heads = lists.select("liste", "kunde_id").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most + 1)
+    sets = heads.groupBy("liste").agg(F.sort_array(F.collect_list("kunde_id")).alias("kunden"))
+    sets = cut(sets.orderBy(F.col("kunden")[0]).withColumn("at", F.monotonically_increasing_id()))
+    member = lists.join(sets.select("liste", F.col("at").alias("von")), "liste").select("kunde_id", "von")
+    asked = cut(asked.join(member, "kunde_id"))
+    width = numbers.count()
+    if width <= BITS:
+        will = asked.groupBy(F.col("von").alias("at")).agg(F.sort_array(F.collect_set("nr")).alias("will"))
+        near = _nearest_sets(sets.select("at", "liste"), sets.select("at", "liste").join(will, "at"), width, most + 1)
+    else:
+        holders = sets.select(F.col("at").alias("zu"), F.col("liste").alias("deren"), F.explode("liste").alias("nr"))
+        pairs = asked.select("von", "nr").distinct().join(sets.select(F.col("at").alias("von"), "liste"), "von").join(holders, "nr")
+        pairs = pairs.select("von", "nr", "zu", F.size(F.array_intersect("liste", "deren")).alias("_n"), (F.size("liste") + F.size("deren")).alias("_alle")).where("_n > 0")
+        order = Window.partitionBy("von", "nr").orderBy(F.desc(even(F.col("_n") / (F.col("_alle") - F.col("_n")), 4)), F.desc("_n"), "zu")
+        near = pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most + 1)
+    named = sets.join(lists.select("kunde_id", "namen"), F.col("kunden")[0] == F.col("kunde_id")).select("at", "kunden", "namen")
+    near = near.select("von", "nr", "zu").join(named.select(F.col("at").alias("von"), F.col("namen").alias("_a")), "von").join(named.select(F.col("at").alias("zu"), F.col("namen").alias("_b"), "kunden"), "zu")
+    shared = near.withColumn("gemeinsam", F.array_intersect("_a", "_b")).withColumn("n_gemeinsam", F.size("gemeinsam").cast("long"))
+    shared = shared.withColumn("jaccard", even(F.col("n_gemeinsam") / (F.size("_a") + F.size("_b") - F.col("n_gemeinsam")), 4))
+    each = shared.select("von", "nr", "gemeinsam", "n_gemeinsam", "jaccard", F.explode("kunden").alias("anderer"))
+    last = F.array_sort(F.collect_list(F.struct((-F.col("jaccard")).alias("j"), (-F.col("n_gemeinsam")).alias("n"), "anderer", "gemeinsam")))
+    best = each.groupBy("von", "nr").agg(F.slice(last, 1, most + 1).alias("best"))  # no more than (most + 1) squared
+    found = asked.join(best, ["von", "nr"]).select("kunde_id", "produkt_id", F.posexplode(F.slice(F.filter("best", lambda x: x["anderer"] != F.col("kunde_id")), 1, most)).alias("nr", "b"))
+    return found.select("kunde_id", "produkt_id", "b.anderer", "b.gemeinsam", (-F.col("b.n")).alias("n_gemeinsam"), (-F.col("b.j")).alias("jaccard"), (F.col("nr") + 1).alias("nr"))
 
 
 def explain(purchases: DataFrame, wanted: DataFrame, most: int = 3) -> DataFrame:

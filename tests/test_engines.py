@@ -756,3 +756,23 @@ def test_candidates_are_distinct_without_comparing_pairs(spark):
         got = [tuple(r) for r in found.collect()]
         assert len(got) == len(set(got)) and set(got) == want
         assert ("keys=[a_id" in found._jdf.queryExecution().executedPlan().toString()) == (rows is not once)
+
+
+def test_evidence_of_equal_sets_is_found_once(spark):
+    """Blocks of product sets, and the join of large catalogues, give what comparing all customers gives, ties and owned products included."""
+    draw = random.Random(9)
+    products = {k: frozenset(draw.sample("abcdefgh", draw.randint(1, 4))) for k in range(30)} | {k: frozenset("abc") for k in range(30, 36)}
+    wanted = [(k, p) for k in range(0, 36, 2) for p in "abh"]
+    want = set()
+    for k, p in wanted:
+        alike = lambda j: (-round(len(products[k] & products[j]) / len(products[k] | products[j]), 4), -len(products[k] & products[j]), j)  # noqa: B023, E731
+        best = sorted((j for j in products if j != k and p in products[j] and products[k] & products[j]), key=alike)[:3]
+        want |= {(k, p, j, tuple(sorted(products[k] & products[j])), n + 1) for n, j in enumerate(best)}
+    rows = spark.createDataFrame([(k, p, 1.0) for k in products for p in products[k]], "kunde_id long, produkt_id string, umsatz double")
+    frame = spark.createDataFrame(wanted, "kunde_id long, produkt_id string")
+    for bits in (1024, 4):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(recommend, "ROWS_OF_BLOCK", 7)
+            if bits < 1024:
+                m.setattr(recommend, "BITS", bits)
+            assert {(r.kunde_id, r.produkt_id, r.anderer, tuple(r.gemeinsam), r.nr) for r in recommend.evidence(rows, frame).collect()} == want
