@@ -48,6 +48,88 @@ def projected(batch: pd.DataFrame, vectors: np.ndarray, total: np.ndarray) -> tu
     return who, at, x, mean, out - mean[:, None] * total
 
 
+def dense(nr: pd.Series, values: pd.Series, n: int) -> np.ndarray:
+    """A row of n numbers for each customer."""
+    out = np.zeros((len(nr), n))
+    if len(nr):
+        out[np.repeat(np.arange(len(nr)), nr.str.len().to_numpy(np.int64)), np.concatenate(nr.to_list())] = np.concatenate(values.to_list())
+    return out
+
+
+def gram(rows: DataFrame, n: int, column: str, centred: bool = False, even_out: bool = False) -> np.ndarray:
+    """The sum over customers of their rows times their rows (centred; or the second to a sum of 1), products by products (at most BITS each way): a square for each task, these added up by row."""
+
+    def run(batches):
+        total = np.zeros((n, n))
+        for part in pieces(batches, n):
+            a = dense(part.nr, part[column], n)
+            if centred:
+                a -= a.mean(axis=1, keepdims=True)
+            total += a.T @ (a / a.sum(axis=1, keepdims=True) if even_out else a)
+        if total.any():
+            yield pd.DataFrame({"nr": range(n), "g": list(total)})
+
+    def added(some: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"nr": some.nr.iloc[:1], "g": [np.sum(some.g.to_list(), axis=0)]})
+
+    out, schema = np.zeros((n, n)), "nr int, g array<double>"
+    for r in rows.select("nr", column).mapInPandas(run, schema).groupBy("nr").applyInPandas(added, schema).collect():
+        out[r.nr] = r.g
+    return out
+
+
+def shares(purchases: DataFrame, numbers: DataFrame) -> DataFrame:
+    """kunde_id, nr, w for customers with revenue: products by number (null: none), and their shares of the customer's revenue, as graph.purchase_edges."""
+    own = purchases.groupBy("kunde_id", "produkt_id").agg(F.sum(F.col("umsatz").cast("decimal(28,4)")).alias("u")).join(F.broadcast(numbers), "produkt_id", "left")
+    cells = F.array_sort(F.collect_list(F.when(F.col("u") > 0, F.struct("nr", F.col("u").cast("double").alias("u")))))
+    packed = own.groupBy("kunde_id").agg(F.sum("u").alias("t"), cells.alias("c")).where((F.col("t") > 0) & (F.size("c") > 0))
+    return packed.select("kunde_id", F.col("c.nr").alias("nr"), F.transform("c", lambda c: c["u"] / F.col("t").cast("double")).alias("w"))
+
+
+def ranks_of_one(purchases: DataFrame, start: DataFrame, tolerance: float) -> DataFrame:
+    """(start, node, score): personalised PageRank of all customers and products for one customer (start, one row), as graph.personalised_pagerank on graph.purchase_edges.
+
+    Mass on customers comes from the products of the step before, so the steps are taken among products, by their square of shared customers,
+    and customers are found from the last but one: their shares, a row each, are all that is written. Catalogues over BITS products, and
+    purchases without customer or product, go by joins of edges.
+    """
+    spark, alpha, steps = purchases.sparkSession, graph.ALPHA, graph.steps_for(tolerance)
+    products, numbers = numbered(purchases)
+    n = len(products)
+    by_edges = lambda: graph.personalised_pagerank(graph.purchase_edges(purchases), start, tolerance=tolerance)
+    if not 0 < n <= BITS:
+        return by_edges()
+    rows = cut(shares(purchases, numbers).withColumn("k", F.concat(F.lit("k:"), F.col("kunde_id").cast("string"))))
+    if not rows.where("k IS NULL OR exists(nr, x -> x IS NULL)").isEmpty():
+        return by_edges()
+    who = [r.start for r in start.limit(2).collect()]
+    home = rows.where(F.col("k").isin(who)).select("nr", "w").collect()
+    if len(who) != 1 or len(home) != 1:  # none, several, or one without revenue
+        return by_edges()
+    both = gram(rows, n, "w", even_out=True)
+    total = both.sum(axis=1)
+    move = np.divide(both, total[:, None], out=np.zeros_like(both), where=total[:, None] > 0)
+    own = np.zeros(n)
+    own[home[0].nr] = home[0].w
+    own /= own.sum()
+    before, now = np.zeros(n), alpha * own  # products before and after the first step
+    for _ in range(steps - 1):
+        before, now = now, alpha * alpha * (before @ move) + alpha * (1.0 - alpha) * own
+    each = np.divide(before, total, out=np.zeros(n), where=total > 0) * alpha
+    kept = spark.sparkContext.broadcast(each)
+    one, back = who[0], 1.0 - alpha
+
+    def found(batches):
+        for b in batches:
+            if len(b):
+                score = np.bincount(np.repeat(np.arange(len(b)), b.nr.str.len().to_numpy(np.int64)), kept.value[np.concatenate(b.nr.to_list())] * np.concatenate(b.w.to_list()), len(b))
+                yield pd.DataFrame({"start": one, "node": b.k, "score": score + back * (b.k == one)})
+
+    schema = "start string, node string, score double"
+    customers = rows.select("k", "nr", "w").mapInPandas(found, schema)
+    return customers.unionByName(spark.createDataFrame([(one, f"p:{p}", float(y)) for p, y in zip(products, now)], schema)).where("score > 0")
+
+
 def gram_times(rows: DataFrame, vectors: np.ndarray) -> np.ndarray:
     """The centred matrix, transposed, times the matrix times vectors: one pass; products times vectors is all that is shipped and summed."""
     shipped, width = rows.sparkSession.sparkContext.broadcast(vectors), vectors.shape[1]

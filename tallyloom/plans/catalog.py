@@ -579,7 +579,7 @@ def recommend_ppr(spark, sf_dir):
     rows = purchases(spark, sf_dir)
     best = rows.groupBy("kunde_id").agg(F.sum(F.col("umsatz").cast("decimal(28,4)")).alias("u")).orderBy(F.desc("u"), "kunde_id").limit(1)
     starts = best.select(F.concat(F.lit("k:"), F.col("kunde_id").cast("string")).alias("start"))
-    return graph.personalised_pagerank(graph.purchase_edges(rows), starts, tolerance=1e-4).withColumn("score", even(F.col("score"), 7))
+    return recommend.ranks_of_one(rows, starts, 1e-4).withColumn("score", even(F.col("score"), 7))
 
 
 @query()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tallyloom.functions import strings
-from tallyloom.operators import resolve
+from tallyloom.operators import graph, recommend, resolve
 from tests.test_engines import COMPANY, brute_duplicates, made_up_companies, plain_edit
 
 
@@ -45,3 +45,23 @@ def test_duplicates_meet_once_and_are_compared_where_they_meet(spark, monkeypatc
     assert len(got) == len(want) > 60 and {(r.a_id, r.b_id) for r in got} == set(want)
     assert all(abs(r.score - want[r.a_id, r.b_id]) < 2e-4 for r in got)
     assert any(max(r.a_id, r.b_id) in range(1000, 2000) for r in got)
+
+
+def revenue(spark, customers=60, products=40, empty=()):
+    draw = random.Random(9)
+    rows = [(k, f"p{draw.randrange(products)}", float(draw.randrange(1, 9))) for k in range(customers) for _ in range(4)]
+    rows += [(3, "p1", -2.0), (5, "p2", 0.0), (900, "p3", 0.0), *empty]
+    return spark.createDataFrame(rows, "kunde_id int, produkt_id string, umsatz double")
+
+
+def test_ranks_of_one_customer_without_edges_written(spark, monkeypatch):
+    """The steps are taken among products; only what has no customer or product, and large catalogues, go by joins of edges."""
+    start = spark.createDataFrame([("k:3",)], "start string")
+    of = lambda frame: {(r.start, r.node): r.score for r in frame.collect()}
+    plain, odd = revenue(spark), revenue(spark, empty=[(None, "p1", 1.0)])
+    exact = [of(graph.personalised_pagerank(graph.purchase_edges(rows), start, tolerance=1e-2)) for rows in (plain, odd)]
+    assert of(recommend.ranks_of_one(odd, start, 1e-2)) == pytest.approx(exact[1], abs=1e-12)
+    monkeypatch.setattr(graph, "purchase_edges", None)
+    assert of(recommend.ranks_of_one(plain, start, 1e-2)) == pytest.approx(exact[0], abs=1e-12)
+    with pytest.raises(TypeError):
+        recommend.ranks_of_one(odd, start, 1e-2)
