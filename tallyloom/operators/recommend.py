@@ -181,14 +181,15 @@ def singular(rows: DataFrame, n: int, k: int, tolerance: float = 1e-9, extra: in
     """The k largest singular values of the customers' centred vectors over n products, and their right vectors (n by k).
 
     A randomised range finder: a few random columns more than k are multiplied by the matrix and its transpose, and what each pass adds joins the sketch, until
-    the vectors found from the sketch are ones of the matrix to the tolerance. A sketch of blocks passes starts again from its best
+    the vectors found from the sketch are ones of the matrix to the tolerance. Catalogues up to BITS products take one pass for their square, and no more. A sketch of blocks passes starts again from its best
     columns. The driver holds n times (k + extra) times blocks numbers; values come from the triangle of the matrix times the vectors.
     """
+    square = gram(rows, n, "x", centred=True) if n <= BITS else None
     width = min(n, k + extra)
     block = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
     basis, images = np.zeros((n, 0)), np.zeros((n, 0))
     for _ in range(50 * blocks):
-        basis, images = np.hstack([basis, block]), np.hstack([images, image := gram_times(rows, block)])
+        basis, images = np.hstack([basis, block]), np.hstack([images, image := gram_times(rows, block) if square is None else square @ block])
         inner = basis.T @ images
         values, mix = np.linalg.eigh((inner + inner.T) / 2)
         best = mix[:, ::-1][:, :width]
@@ -266,6 +267,21 @@ def customer_ranks(purchases: DataFrame, iterations: int | None = None, toleranc
     return mixed.select(F.substring("k", 3, 1 << 30).alias("kunde"), F.substring("node", 3, 1 << 30).alias("produkt"), "ppr")
 
 
+def product_ranks(rows: DataFrame, n: int, iterations: int | None) -> np.ndarray:
+    """The ranks of customer_ranks before they are mixed, times what a customer's first step keeps: a row for each product walked from; exact where iterations is none."""
+    both = gram(rows, n, "w")
+    total, double, back = both.sum(axis=1), graph.ALPHA**2, 1.0 - graph.ALPHA
+    linked = total > 0
+    move = np.divide(both, total[:, None], out=np.zeros_like(both), where=linked[:, None])
+    if iterations is None:
+        ranks = back * np.linalg.inv(np.eye(n) - double * move)
+    else:
+        ranks = np.eye(n)
+        for _ in range(iterations // 2):
+            ranks = double * ranks @ move + back * np.eye(n)
+    return ranks * linked[:, None] * graph.ALPHA
+
+
 def scaled(x: np.ndarray, free: np.ndarray) -> np.ndarray:
     """Rows scaled to 0..1 over their free cells; 0.5 where all are equal."""
     low = np.where(free, x, np.inf).min(axis=1, keepdims=True)
@@ -274,6 +290,12 @@ def scaled(x: np.ndarray, free: np.ndarray) -> np.ndarray:
         return np.where(width < 1e-12, 0.5, (x - low) / width)
 
 
+def ranks_by_joins(purchases: DataFrame, numbers: DataFrame, iterations: int | None) -> DataFrame:
+    """kunde, rank_nr, rank_ppr: each customer's ranks as arrays."""
+    rank = customer_ranks(purchases, iterations).join(numbers.withColumn("produkt", F.col("produkt_id").cast("string")), "produkt")
+    return rank.groupBy("kunde").agg(F.collect_list("nr").alias("rank_nr"), F.collect_list("ppr").alias("rank_ppr"))
+
+
 def hybrid(purchases: DataFrame, iterations: int | None = None, top: int | None = None) -> DataFrame:
     """Per customer products not owned: ppr and svd (scaled), hybrid, match of 45 to 97, rank; the top ones or all.
 
@@ -286,10 +308,16 @@ def hybrid(purchases: DataFrame, iterations: int | None = None, top: int | None
     if not vectors.shape[1]:
         rows = rows.limit(0)
     own = purchases.where("umsatz > 0").join(numbers, "produkt_id").groupBy("kunde_id").agg(F.collect_set("nr").alias("mine"))
-    rank = customer_ranks(purchases, iterations).join(numbers.withColumn("produkt", F.col("produkt_id").cast("string")), "produkt")
-    rank = rank.groupBy("kunde").agg(F.collect_list("nr").alias("rank_nr"), F.collect_list("ppr").alias("rank_ppr"))
+    n = len(products)
+    part = cut(shares(purchases.where("kunde_id IS NOT NULL"), numbers)) if 0 < n <= BITS and vectors.shape[1] else None
+    if part is not None and part.where("exists(nr, x -> x IS NULL)").isEmpty():
+        # a customer's ranks are a product of its shares and the products' ranks, made in the task that wants them
+        kept = spark.sparkContext.broadcast(product_ranks(part, n, iterations))
+        rank = part.select(F.col("kunde_id").cast("string").alias("kunde"), F.col("nr").alias("rank_nr"), F.col("w").alias("rank_ppr"))
+    else:
+        kept, rank = None, ranks_by_joins(purchases, numbers, iterations)
     each = rows.join(own, "kunde_id").join(rank, F.col("kunde_id").cast("string") == F.col("kunde"), "left").drop("kunde")
-    shipped, n = spark.sparkContext.broadcast(vectors), len(products)
+    shipped = spark.sparkContext.broadcast(vectors)
 
     def run(batches):
         vectors = shipped.value
@@ -301,6 +329,8 @@ def hybrid(purchases: DataFrame, iterations: int | None = None, top: int | None
                 free[i, mine] = False
                 if nr is not None:
                     ppr[i, nr] = value
+            if kept is not None:
+                ppr = ppr @ kept.value
             keep = free.any(axis=1)
             svd, ppr, free, who = svd[keep], ppr[keep], free[keep], part.kunde_id.to_numpy()[keep]
             svd, ppr = scaled(svd, free), scaled(ppr, free)

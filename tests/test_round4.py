@@ -65,3 +65,18 @@ def test_ranks_of_one_customer_without_edges_written(spark, monkeypatch):
     assert of(recommend.ranks_of_one(plain, start, 1e-2)) == pytest.approx(exact[0], abs=1e-12)
     with pytest.raises(TypeError):
         recommend.ranks_of_one(odd, start, 1e-2)
+
+
+def test_hybrid_of_a_small_catalogue_joins_no_ranks(spark, monkeypatch):
+    rows = revenue(spark, 30, 12)
+    of = lambda frame: {(r.kunde_id, r.produkt_id): (r.ppr, r.svd, r.hybrid, r.match) for r in frame.collect()}
+    monkeypatch.setattr(recommend, "BITS", 0)
+    joined = of(recommend.hybrid(rows, iterations=6))
+    monkeypatch.setattr(recommend, "BITS", 1024)
+    monkeypatch.setattr(recommend, "customer_ranks", None)
+    monkeypatch.setattr(recommend, "gram_times", None)
+    got, settled = of(recommend.hybrid(rows, iterations=6)), of(recommend.hybrid(rows))
+    assert set(got) == set(joined) == set(settled)
+    assert all(got[k] == pytest.approx(joined[k], abs=1e-6) for k in joined)
+    late = of(recommend.hybrid(rows, iterations=400))
+    assert all(settled[k] == pytest.approx(late[k], abs=1e-6) for k in late)
