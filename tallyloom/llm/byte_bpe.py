@@ -18,6 +18,7 @@ import base64
 import hashlib
 import heapq
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -209,13 +210,14 @@ class Encoding:
             self.token[rank] = token
         self.decimal = [str(i) for i in range(size)]
 
-    def encode_many(self, strings: list[str]) -> list[bytes]:
+    def encode_many(self, chunks: list[str], strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words: dict[bytes, int] = {}
         lists = []
-        for s in strings:
+        for s in chain((f" {x}" for x in chunks), strings):
             lists.append([words.setdefault(w.encode("utf-8", "replace"), len(words)) for w in self.split(s)])
         ids = self.replay.encode_words(list(words))
-        return [ids[x[0]] if len(x) == 1 else b"".join([ids[i] for i in x]) for x in lists]
+        codes = [ids[x[0]] if len(x) == 1 else b"".join([ids[i] for i in x]) for x in lists]
+        return np.frombuffer(b"".join(codes), "<u4"), np.fromiter(map(len, codes), np.int64, len(codes)) // 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.codec.encode(texts)

@@ -22,6 +22,7 @@ import os
 import struct as binary
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -34,9 +35,11 @@ MAGIC = b"DAC1"
 #: Bits between entries of the rank directory.
 BLOCK = 512
 #: Characters of the documents that are split at a time.
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 4 << 20
 #: Tokens of a file; a file ends with the document that reaches them.
 FILE_TOKENS = 1 << 20
+#: Chunks given to the tokenizer as one text.
+JOINED = 64
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -144,22 +147,43 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, Codes]:
     return np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<u8", n + 1, 8 + 8 * n), Codes(memoryview(data)[16 + 16 * n :])
 
 
+def token_widths(tokenizer) -> np.ndarray:
+    """For each id the bytes of text that it stands for: a character of a byte-level token is a byte, an added token is written as it is."""
+    added = tokenizer.get_added_tokens_decoder()
+    vocab = tokenizer.get_vocab(with_added_tokens=True)
+    widths = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        widths[i] = len(added[i].content.encode()) if i in added else len(token)
+    return widths
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> ChunkCodec:
     """One tokenizer and cache for all tasks of a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from array import array
-
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
     many = getattr(own, "encode_batch_fast", own.encode_batch)
-
-    def encode_many(strings: list[str]) -> list[bytes]:
-        out = []
-        for a in range(0, len(strings), 20_000):
-            out += [array("I", e.ids).tobytes() for e in many(strings[a : a + 20_000], add_special_tokens=False)]
-        return out
+    widths = token_widths(own)
+
+    def encode_each(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in many(strings, add_special_tokens=False)]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, counts.sum()), counts
+
+    def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, _ = encode_each([" " + " ".join(chunks[a : a + JOINED]) for a in range(0, len(chunks), JOINED)])
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, chunks)), np.int64, len(chunks)) + 1)
+        reached = np.cumsum(widths[ids])
+        upto = np.searchsorted(reached, ends, side="right")
+        if np.array_equal(np.r_[0, reached][upto], ends) and upto[-1] == len(ids):
+            return ids, np.diff(upto, prepend=0)
+        return encode_each([f" {x}" for x in chunks])  # a tokenizer whose tokens don't stand for the text's bytes
+
+    def encode_many(chunks: list[str], strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [f(x[a : a + 20_000]) for f, x in ((encode_chunks, chunks), (encode_each, strings)) for a in range(0, len(x), 20_000)]
+        return np.concatenate([np.zeros(0, np.uint32), *(ids for ids, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(counts for _, counts in parts)])
 
     return ChunkCodec(encode_many, BLOCK_CHARS)
 
@@ -186,8 +210,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, id
             return batch_of(row, schema)
 
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for key, none, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), own.encode(texts)):
+            for key, none, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), own.encode(batch.column(2))):
                 keys.append(key)
                 nulls += none
                 codes.append(code + end)
