@@ -87,6 +87,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def pieces(batches, rows: int = 1_000, size: int = 4 << 20):
+    """Slices of batches: no more than so many rows and, at the batch's mean length, bytes. What a task makes of a slice is all that it holds in Python."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step)
+
+
+def text_at(df: DataFrame, columns: list[str], text_col: str) -> int | None:
+    """Where the text stands among columns as a string that tasks can read; None where it must be sent besides."""
+    return columns.index(text_col) if text_col in columns and dict(df.dtypes).get(text_col) == "string" else None
+
+
 def batch_of(columns: dict[str, list], schema: T.StructType) -> pa.RecordBatch:
     """An Arrow batch from Python lists or arrays in the order and the types of schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

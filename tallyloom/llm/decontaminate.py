@@ -21,10 +21,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import batch_of, bytes_of, cut, free_name, key_of, struct
+from tallyloom.llm.common import batch_of, bytes_of, cut, free_name, key_of, pieces, struct, text_at
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one automaton takes; in memory it is some 500 times as large.
@@ -107,14 +108,17 @@ def scanned(docs: DataFrame, items: list[tuple[str | None, bytes]], text_col: st
     """keep and a struct of n_words, spans of hit words, their bytes, and the item ids; known: such a column whose hits count as well."""
     raw, out = free_name(docs, "_leak_text"), free_name(docs, "_leak")
     before = F.col(known) if known else F.lit(None).cast(FOUND)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], bytes_of(text_col).alias(raw), before.alias(out))
+    at = text_at(docs, keep, text_col)
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], *[bytes_of(text_col).alias(raw)] * (at is None), before.alias(out))
     schema = source.drop(raw).schema
 
     def run(batches):
         one = Automaton(items, window)
-        for batch in batches:
+        for batch in pieces(batches):
             found = []
-            for text, had in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()):
+            texts = batch.column(len(keep) if at is None else at).cast(pa.binary())
+            for text, had in zip(texts.to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                text = text or b""
                 words = words_of(text)
                 spans = [tuple(s) for s in had["words"]] if had else []
                 names = set(had["items"]) if had else set()

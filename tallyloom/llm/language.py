@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import batch_of, free_name, struct, text_of
+from tallyloom.llm.common import batch_of, free_name, pieces, struct, text_at, text_of
 
 #: N-grams of a profile and of a document's list.
 TOP = 400
@@ -35,7 +35,7 @@ PIECE = 1 << 21
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
     """For each code point itself if it is a letter, else 0."""
-    return np.array([i if chr(i).isalpha() else 0 for i in range(sys.maxunicode + 1)], np.int64)
+    return np.fromiter((i if chr(i).isalpha() else 0 for i in range(sys.maxunicode + 1)), np.int64, sys.maxunicode + 1)
 
 
 def grams(text: str) -> np.ndarray:
@@ -72,7 +72,7 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", to
 
     def run(batches):
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
+        for batch in pieces(batches, 2_500, 16 << 20):
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(lang, []).append(text)
@@ -133,15 +133,16 @@ def with_language(docs: DataFrame, by_lang: dict[str, list[int]], pred: str, sco
     """docs (or its columns keep) and the two columns of the prediction; with size also the number of the text's n-grams that were compared."""
     keep = docs.columns if keep is None else keep
     raw = free_name(docs, "_lang_text")
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(text_col).alias(raw))
+    at = text_at(docs, keep, text_col)
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], *[text_of(text_col).alias(raw)] * (at is None))
     schema = source.drop(raw).schema.add(pred, "string").add(score, "double")
     if size:
         schema = schema.add(size, "long")
 
     def run(batches):
         model = Ranks(by_lang)
-        for batch in batches:
-            said = [model.predict(t) for t in batch.column(len(keep)).to_pylist()]
+        for batch in pieces(batches):
+            said = [model.predict(t or "") for t in batch.column(len(keep) if at is None else at).to_pylist()]
             columns = {c: batch.column(i) for i, c in enumerate(keep)} | {pred: [x for x, _, _ in said], score: [x for _, x, _ in said]}
             yield batch_of(columns | ({size: [x for _, _, x in said]} if size else {}), schema)
 

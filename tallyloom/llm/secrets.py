@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import batch_of, bytes_of, cut, free_name, key_of, salted_join, struct, text_of
+from tallyloom.llm.common import batch_of, bytes_of, cut, free_name, key_of, pieces, salted_join, struct, text_of
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -82,7 +82,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str | None) -
     schema = source.drop("text").schema.add("found", struct(("x", FOUND))["x"].dataType)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = [[dict(zip(("kind", "start", "stop", "hash"), c)) for c in candidates(t)] for t in batch.column(4).to_pylist()]
             yield batch_of({f.name: batch.column(i) for i, f in enumerate(schema) if f.name != "found"} | {"found": found}, schema)
 
@@ -163,11 +163,13 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     at = names.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if spans:
-                    texts[i] = replaced(texts[i], [(s["start"], s["stop"], s["live"]) for s in spans], put, example)
+        for batch in pieces(batches):
+            found, texts = batch.column(batch.num_columns - 1), batch.column(at)
+            if found.null_count < len(found):
+                texts = texts.to_pylist()
+                for i, spans in enumerate(found.to_pylist()):
+                    if spans:
+                        texts[i] = replaced(texts[i], [(s["start"], s["stop"], s["live"]) for s in spans], put, example)
             columns = {c: batch.column(i) for i, c in enumerate(names)} | {text_col: texts}
             yield batch_of(columns, schema)
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import LAST_ID, bytes_of, cut, free_name, key_of, salted_join, struct
+from tallyloom.llm.common import LAST_ID, bytes_of, cut, free_name, key_of, pieces, salted_join, struct
 from tallyloom.llm.gray_index import GrayIndex, gray_rank
 
 #: Shingles hashed before their bits are added up.
@@ -72,7 +72,7 @@ def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text", size: i
     schema = source.drop(raw).schema.add(name, "long")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             marks = np.array([fingerprint(t, size) for t in batch.column(len(keep)).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(marks)], names=schema.names)
 
@@ -175,8 +175,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of docs without near copies: of each component the row of the smallest id (of repeated rows one)."""
     row = {k: free_name(docs, f"_simhash_{k}") for k in ("fp", "id", "text", "rank")}
-    full = with_fingerprint(docs, row["fp"], text_col, size).withColumns({row["id"]: key_of(id_col), row["text"]: F.xxhash64(bytes_of(text_col), F.lit(1))})
-    marked = cut(full.select(row["fp"], row["id"], row["text"]))
+    told = docs.select(key_of(id_col).alias(row["id"]), F.xxhash64(bytes_of(text_col), F.lit(1)).alias(row["text"]), F.col(f"`{text_col}`"))
+    marked = cut(with_fingerprint(told, row["fp"], text_col, size, [row["id"], row["text"]]))
     fp = F.col(row["fp"])
     prints = cut(marked.groupBy(fp.alias("fp")).agg(F.min(row["id"]).alias("least")))
     found = components(links(prints, max_bits))

@@ -5,8 +5,12 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_bpe, token_store
+import corpus_pipeline
+from tallyloom.llm import byte_bpe, language, token_store
+from tallyloom.llm.common import pieces
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -89,3 +93,35 @@ def test_byte_bpe_of_odd_texts_is_the_same_from_any_cache():
         flat, _ = own.encode_many([], [text])  # as one text, no chunk
         assert code == flat.tobytes()
     assert [*map(small.encode, [[t] for t in texts])] == [[x] for x in ids] and small.encode(texts) == ids
+
+
+def test_tasks_hold_few_texts_at_once():
+    rows = [pa.record_batch({"id": list(range(2_500)), "text": ["x" * 10] * 2_500}), pa.record_batch({"id": list(range(8)), "text": ["y" * 1_000_000] * 8})]
+    got = list(pieces(rows))
+    assert [p.num_rows for p in got[:3]] == [1_000, 1_000, 500] and [p.num_rows for p in got[3:]] == [4, 4]
+    assert pa.Table.from_batches(got) == pa.Table.from_batches(rows)
+    assert list(pieces([rows[0].slice(0, 0)])) == []
+
+
+def arrow_columns(frame):
+    """The columns that go to the tasks of each mapInArrow of a plan."""
+    plan = frame._jdf.queryExecution().analyzed()
+    nodes = [plan]
+    found = []
+    while nodes:
+        node = nodes.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "MapInArrow":
+            found.append([children[0].output().apply(i).name() for i in range(children[0].output().size())])
+        nodes += children
+    return found
+
+
+def test_pipeline_sends_a_text_once(spark, tmp_path):
+    spark.createDataFrame([("b1", "one two three four five six seven eight nine ten")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "One two.", "en"), (2, None, "en"), (2, "", None)], "doc_id long, text string, lang string")
+    assert arrow_columns(language.with_language(docs, {"en": [1]}, "pred", "score")) == [["doc_id", "text", "lang"]]
+    (sent,) = arrow_columns(corpus_pipeline.decontamination(spark, docs, str(tmp_path)))
+    assert len(sent) == 4 and sorted(r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == [1, 2, 2]
+    numbers = docs.withColumn("text", F.col("doc_id"))  # texts that are no strings are sent as strings besides
+    assert [r.pred for r in language.with_language(numbers, {"en": [1]}, "pred", "score").collect()] == ["und"] * 3
