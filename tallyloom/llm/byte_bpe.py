@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.chunks import ChunkCodec
-from tallyloom.llm.common import batch_of, struct, text_of
+from tallyloom.llm.common import batch_of, give_back, struct, text_of
 
 NONE = np.int32(2**31 - 1)
 #: Characters of the documents whose new pre-tokens are replayed together.
@@ -264,5 +264,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                     out[c] = batch.column(2 + i).slice(a, len(part))
                 out[id_col] = batch.column(0).slice(a, len(part))
                 yield batch_of(out, schema)
+        batch = part = out = None
+        give_back()
 
     return docs.select(F.col(f"`{id_col}`"), text_of(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)]).mapInArrow(run, schema)

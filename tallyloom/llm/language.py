@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import batch_of, free_name, pieces, struct, text_at, text_of
+from tallyloom.llm.common import batch_of, free_name, give_back, pieces, struct, text_at, text_of
 
 #: N-grams of a profile and of a document's list.
 TOP = 400
@@ -82,6 +82,7 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", to
             if sum(len(g) for x in held.values() for g, _ in x) > PIECE:
                 yield from flush(held)
         yield from flush(held)
+        give_back()
 
     def flush(held):
         for lang, parts in held.items():

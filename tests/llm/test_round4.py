@@ -2,6 +2,7 @@
 
 import os
 import random
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -125,3 +126,13 @@ def test_pipeline_sends_a_text_once(spark, tmp_path):
     assert len(sent) == 4 and sorted(r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == [1, 2, 2]
     numbers = docs.withColumn("text", F.col("doc_id"))  # texts that are no strings are sent as strings besides
     assert [r.pred for r in language.with_language(numbers, {"en": [1]}, "pred", "score").collect()] == ["und"] * 3
+
+
+def test_a_tasks_end_gives_memory_back():
+    held = [b"%05d" % i * 1_000 for i in range(20_000)]
+    last = held[-1]  # stands above the others, so that they don't go by themselves
+    size = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGESIZE")
+    held.clear()
+    before = size()
+    assert list(pieces([])) == [] and last
+    assert size() < before - 50_000_000
