@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.exprs import even, exact_sum
-from tallyloom.sources.session import cut
+from tallyloom.sources.session import cut, stored
 
 
 def owned(purchases: DataFrame) -> DataFrame:
@@ -29,8 +29,11 @@ def pairs(own: DataFrame) -> DataFrame:
     """For each pair a < b bought by one customer: customers, support, confidence a to b and lift (rounded as reported)."""
     a, b = own.select("kunde_id", F.col("produkt_id").alias("a")), own.select("kunde_id", F.col("produkt_id").alias("b"))
     both = a.join(b, "kunde_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    single = own.groupBy("produkt_id").agg(F.count("*").alias("n"))
-    total = own.agg(F.count_distinct("kunde_id").alias("kunden"))
+    return _rated(both, own.groupBy("produkt_id").agg(F.count("*").alias("n")), own.agg(F.count_distinct("kunde_id").alias("kunden")))
+
+
+def _rated(both: DataFrame, single: DataFrame, total: DataFrame) -> DataFrame:
+    """Support, confidence and lift of pairs (a, b, n), by the customers of single products (produkt_id, n) and of all (kunden)."""
     sa, sb = single.select(F.col("produkt_id").alias("a"), F.col("n").alias("na")), single.select(F.col("produkt_id").alias("b"), F.col("n").alias("nb"))
     n = F.col("kunden").cast("double")
     sup, pa, pb = F.col("n") / n, F.col("na") / n, F.col("nb") / n
@@ -56,33 +59,80 @@ def recommend(own: DataFrame, pair: DataFrame, top: int = 3, most_products: int
     """
     if own.select("produkt_id").distinct().limit(most_products + 1).count() > most_products:
         return _recommend_by_join(own, pair, top)
-    return _recommend_by_matrix(own, pair.select("a", "b", "n", "lift").toPandas(), top)
+    return _recommend_by_matrix(own.groupBy("kunde_id").agg(F.collect_set("produkt_id").alias("mine")), dict(own.dtypes)["produkt_id"], pair.select("a", "b", "n", "lift").toPandas(), top)
+
+
+def listed(purchases: DataFrame) -> DataFrame:
+    """A row per customer, stored: mine (products of positive revenue in sum), teils (those with a line of positive revenue), kauft (whether any product, null too, has the first).
+
+    Purchases are dealt by customer once; pairs, recommendations and evidence read the table. Lists have no order.
+    """
+    dealt = purchases.select("kunde_id", "produkt_id", "umsatz").repartition("kunde_id")
+    each = dealt.groupBy("kunde_id", "produkt_id").agg((exact_sum(F.col("umsatz")) > 0).alias("_sum"), F.max(F.col("umsatz") > 0).alias("_any"))
+    return stored(each.groupBy("kunde_id").agg(F.collect_list(F.when(F.col("_sum"), F.col("produkt_id"))).alias("mine"), F.collect_list(F.when(F.col("_any"), F.col("produkt_id"))).alias("teils"), F.coalesce(F.max("_sum"), F.lit(False)).alias("kauft")))
+
+
+def products_of(lists: DataFrame, column: str, most: int) -> list | None:
+    """The products in the lists in order, on the driver; none where there are more than most."""
+    found = [r[0] for r in lists.select(F.explode(column).alias("p")).distinct().limit(most + 1).collect()]
+    return sorted(found) if len(found) <= most else None
+
+
+def recommend_listed(lists: DataFrame, top: int = 3, most_products: int = MOST_PRODUCTS) -> DataFrame:
+    """recommend() of listed() purchases: pairs of products are counted where the lists are, a square for each task, and lists are not dealt again."""
+    products = products_of(lists, "mine", most_products)
+    if products is None:
+        own = lists.select("kunde_id", F.explode("mine").alias("produkt_id"))
+        return recommend(own, pairs(own), top, most_products)
+    kind = dict(lists.dtypes)["mine"].removeprefix("array<").removesuffix(">")
+    known = lists.where("kunde_id IS NOT NULL")
+    at = {p: i for i, p in enumerate(products)}
+
+    def count(batches):
+        total = np.zeros((len(products), len(products)))
+        for b in batches:
+            for a in range(0, len(b), 1024):
+                has = matrix(b.mine.iloc[a : a + 1024], at)
+                total += has.T @ has
+        i, j = np.nonzero(np.triu(total, 1))
+        yield pd.DataFrame({"i": i, "j": j, "n": total[i, j].astype(np.int64)})
+
+    names = lists.sparkSession.createDataFrame(list(zip(range(len(products)), products)), f"nr int, name {kind}")
+    both = known.select("mine").mapInPandas(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    for place, name in (("i", "a"), ("j", "b")):
+        both = both.join(F.broadcast(names.select(F.col("nr").alias(place), F.col("name").alias(name))), place).drop(place)
+    single = lists.select(F.explode("mine").alias("produkt_id")).groupBy("produkt_id").agg(F.count("*").alias("n"))
+    pair = _rated(both, single, known.where("kauft").agg(F.count("*").alias("kunden")))
+    return _recommend_by_matrix(lists.select("kunde_id", "mine"), kind, pair.select("a", "b", "n", "lift").toPandas(), top)
+
+
+def matrix(lists: pd.Series, at: dict) -> np.ndarray:
+    """A row of ones and zeros for each list, a column for each product of at; others are left out."""
+    has = np.zeros((len(lists), len(at)))
+    for k, mine in enumerate(lists):
+        has[k, [at[p] for p in mine if p in at]] = 1
+    return has
 
 
-def _recommend_by_matrix(own: DataFrame, rows: pd.DataFrame, top: int) -> DataFrame:
+def _recommend_by_matrix(lists: DataFrame, kind: str, rows: pd.DataFrame, top: int) -> DataFrame:
     products = sorted({*rows.a, *rows.b})
     at = {p: i for i, p in enumerate(products)}
     gain = np.zeros((len(products), len(products)))
     i, j = rows.a.map(at).to_numpy(np.int64), rows.b.map(at).to_numpy(np.int64)
     gain[i, j] = gain[j, i] = np.rint(rows.n.to_numpy(np.float64) * rows.lift.to_numpy(np.float64) * 100)
-    kinds = dict(own.dtypes)
 
     def run(batches):
         for b in batches:
             for a in range(0, len(b), 1024):
                 part = b.iloc[a : a + 1024]
-                has = np.zeros((len(part), len(products)))
-                for k, mine in enumerate(part.mine):
-                    known = [at[p] for p in mine if p in at]
-                    has[k, known] = 1
+                has = matrix(part.mine, at)
                 score = np.where(has > 0, 0, has @ gain)
                 best = np.argsort(-score, axis=1, kind="stable")[:, :top]  # equal scores: the product that sorts first
                 value = np.take_along_axis(score, best, axis=1)
                 who, rank = np.nonzero(value > 0)
                 yield pd.DataFrame({"kunde_id": part.kunde_id.to_numpy()[who], "produkt_id": [products[p] for p in best[who, rank]], "score": value[who, rank] / 100, "rang": rank + 1})
 
-    lists = own.groupBy("kunde_id").agg(F.collect_set("produkt_id").alias("mine"))
-    return lists.mapInPandas(run, f"kunde_id {kinds['kunde_id']}, produkt_id {kinds['produkt_id']}, score double, rang int")
+    return lists.mapInPandas(run, f"kunde_id {dict(lists.dtypes)['kunde_id']}, produkt_id {kind}, score double, rang int")
 
 
 def _recommend_by_join(own: DataFrame, pair: DataFrame, top: int) -> DataFrame:

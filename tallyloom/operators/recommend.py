@@ -8,19 +8,21 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.exprs import even
-from tallyloom.operators import graph
-from tallyloom.sources.session import cut
+from tallyloom.operators import basket, graph
+from tallyloom.sources.session import cut, stored
 
 PPR_SHARE, SVD_SHARE, RANK = 0.6, 0.4, 4
 #: Catalogues up to so many products are compared as matrices.
 BITS = 1024
-#: Sets of products of a block, and groups of blocks that one block is dealt to.
-ROWS_OF_BLOCK, FANS = 2048, 4
-KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+#: Sets of a tile that ask, bytes of the sets that they meet there, and the sets of a row of the table that is dealt to all tiles.
+ASKING, TILE_BYTES, ROWS_OF_BLOCK = 65_536, 32 << 20, 2048
+#: Sets that are compared with sets of one size at once.
+ROWS, COLUMNS = 256, 4096
 
 
 def numbered(purchases: DataFrame) -> tuple[list, DataFrame]:
@@ -360,97 +362,154 @@ def coverage(purchases: DataFrame) -> DataFrame:
     return own.crossJoin(F.broadcast(total)).select("kunde_id", "n_produkte", even(F.col("n_produkte") / F.col("_all") * 100).alias("abdeckung_pct"))
 
 
-def blocks_of(sets: DataFrame, columns: dict[str, str], rows: int) -> DataFrame:
-    """Rows of sets (with a column at) packed as arrays, rows to a block at most or nearly so: block, and the columns under new names."""
-    parts = -(-sets.count() // rows) or 1
-    packed = F.sort_array(F.collect_list(F.struct("at", *columns)))
-    dealt = sets.groupBy(F.pmod(F.xxhash64("at"), F.lit(parts)).alias("block")).agg(packed.alias("_p"))
-    return dealt.select("block", F.col("_p.at").alias("at"), *[F.col(f"_p.{c}").alias(new) for c, new in columns.items()])
+def masked(lists: DataFrame, products: list) -> DataFrame:
+    """kunde_id, maske: a bit for each product of teils, in words of 64."""
+    width = 64 * (-(-len(products) // 64) or 1)
+
+    def run(batches):
+        for b in batches:
+            teils = b.column(1)
+            bits = np.zeros((b.num_rows, width), np.uint8)
+            nr = pc.index_in(teils.flatten(), value_set=pa.array(products, teils.type.value_type)).to_numpy(zero_copy_only=False)
+            bits[np.repeat(np.arange(b.num_rows), pc.list_value_length(teils).to_numpy(zero_copy_only=False)), nr] = 1
+            data = np.packbits(bits, axis=1, bitorder="little")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in data], pa.binary())], names=["kunde_id", "maske"])
+
+    return lists.select("kunde_id", "teils").mapInArrow(run, f"kunde_id {dict(lists.dtypes)['kunde_id']}, maske binary")
+
+
+def words(masks) -> np.ndarray:
+    """Masks (bytes) as rows of words."""
+    return np.frombuffer(b"".join(masks), np.uint64).reshape(len(masks), -1)
+
+
+def has(masks: np.ndarray, nr) -> np.ndarray:
+    nr = np.broadcast_to(np.asarray(nr, np.int64), len(masks))
+    return (masks[np.arange(len(masks)), nr >> 6] >> (nr & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
-def best_sets(mine: list, who: np.ndarray, product: np.ndarray, least: np.ndarray, theirs: list, at: np.ndarray, width: int, most: int):
-    """For each wanted product of a row of mine the most rows of theirs with it that are most alike: place among the wanted, at, rank.
+def rank_of(shared: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number that orders by Jaccard similarity (four digits, half even), then by the shared products; 0 where nothing is shared."""
+    return np.where(shared > 0, np.rint(shared / np.maximum(sizes - shared, 1) * 1e4) * 2 * BITS + shared, 0).astype(np.int32)
 
-    rank orders by Jaccard similarity (four digits, half even), then by the number of shared products; of equals the row that stands first is taken. None share
-    nothing or rank below least. The shared products of all rows with all rows are one product of matrices.
+
+def counted(a: np.ndarray, b: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The products that each row of a shares with each of b."""
+    both = room[: len(a) * len(b)].reshape(len(a), len(b))
+    out = np.bitwise_count(np.bitwise_and(a[:, :1], b[:, 0], out=both))
+    out = out if a.shape[1] < 4 else out.astype(np.uint16)
+    for k in range(1, a.shape[1]):
+        out += np.bitwise_count(np.bitwise_and(a[:, k : k + 1], b[:, k], out=both))
+    return out
+
+
+def best_sets(mine: np.ndarray, will: list, at: np.ndarray, theirs: np.ndarray, most: int) -> list[np.ndarray]:
+    """For each wanted product (will: a list for each row of mine) the most rows of theirs with it that are most alike: row of mine, product, at, rank.
+
+    Ranks are those of rank_of(); of equals the least at is taken, and none share nothing. Rows are words of bits. Sets of like size meet first; once a wanted product has its
+    most, its last one tells how many products a set of a size must share, and sizes too small or too large are passed over.
     """
-    def matrix(lists):
-        out = np.zeros((len(lists), width), np.float32)
-        out[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)] = 1
-        return out
-
-    a, b = matrix(mine), matrix(theirs)
-    x, y = a.sum(axis=1).astype(np.int32), b.sum(axis=1).astype(np.int32)
-    shared, both = np.arange(min(x.max(), y.max()) + 1), np.arange(x.max() + y.max() + 1)[:, None]
-    ranks = np.where(shared > 0, np.rint(shared / np.maximum(both - shared, 1) * 1e4) * 2 * BITS + shared, -1).astype(np.int32).ravel()
-    index = (a @ b.T).astype(np.int32)
-    index += (x[:, None] + y) * np.int32(len(shared))
-    rank, owns, out = ranks.take(index), b.T > 0, []
-    order = np.argsort(product, kind="stable")
-    for group in np.split(order, np.flatnonzero(np.diff(product[order])) + 1):
-        some = np.where(owns[product[group[0]]], rank[who[group]], np.int32(-1))
-        for _ in range(most):
-            best = some.argmax(axis=1)
-            value = some[np.arange(len(group)), best]
-            good = value >= np.maximum(least[group], 1)
-            if not good.all():
-                group, best, value, some = group[good], best[good], value[good], some[good]
-            if not len(group):
-                break
-            out.append((group, at[best], value))
-            some[np.arange(len(group)), best] = -1
-    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-
-
-def _nearest_sets(sets: DataFrame, asked: DataFrame, width: int, most: int) -> DataFrame:
-    """(von, nr, zu, rank): for each set and product number of asked the most alike sets with that product, by blocks against blocks.
-
-    sets: at (in the order that settles ties), liste. A task meets a block of the asked sets with one block after another and keeps
-    the best of all it has seen.
+    y, x = (np.bitwise_count(z).sum(axis=1, dtype=np.int64) for z in (theirs, mine))
+    order = np.lexsort((at, y))
+    at, theirs, y = at[order], theirs[order], y[order]
+    ends = [*np.flatnonzero(np.diff(y)) + 1, len(y)]
+    cuts = [(k, min(k + COLUMNS, e)) for s, e in zip([0, *ends], ends) for k in range(s, e, COLUMNS)]
+    size = np.array([y[s] for s, _ in cuts])
+    many = np.array([len(w) for w in will])
+    room, marks, out = np.empty(ROWS * COLUMNS, np.uint64), np.zeros(ROWS * COLUMNS + 8, bool), []
+    by_size = np.argsort(x, kind="stable")
+    for g in range(0, len(mine), ROWS):
+        rows = by_size[g : g + ROWS]
+        a, ax, each = mine[rows], x[rows], many[rows]
+        start = np.r_[0, np.cumsum(each)]
+        who, nr = np.repeat(np.arange(len(rows)), each), np.concatenate([will[r] for r in rows])
+        best, zu = np.zeros((len(nr), most), np.int32), np.zeros((len(nr), most), np.int64)
+        limit = np.full(len(rows), np.inf)  # shared products by both sizes that a row asks for, of wanted products that have their most
+        waiting, count = [], 0
+
+        def settle(waiting=waiting):
+            place, one, rank = (np.concatenate(z) for z in zip((np.repeat(np.arange(len(nr)), most), zu.ravel(), best.ravel()), *waiting))  # noqa: B023
+            waiting.clear()
+            k = np.lexsort((one, -rank.astype(np.int64), place))
+            k = k[np.arange(len(k)) - np.searchsorted(place[k], place[k]) < most]
+            best[:], zu[:] = rank[k].reshape(-1, most), one[k].reshape(-1, most)  # noqa: B023
+            alike = (best[:, -1] // (2 * BITS) - 0.5) / 1e4  # noqa: B023
+            limit[:] = np.minimum.reduceat(np.where(best[:, -1] > 0, alike / (1 + alike), np.inf), start[:-1])  # noqa: B023
+
+        for c in np.argsort(np.abs(size - np.median(ax)), kind="stable"):
+            b, by, bat = theirs[slice(*cuts[c])], size[c], at[slice(*cuts[c])]
+            least = best[:, -1]
+            need = np.ceil(limit * (ax + by) - 1e-9)
+            live = np.flatnonzero(need <= np.minimum(ax, by))
+            if len(live):
+                n = counted(a[live], b, room)
+                low = need[live, None].clip(1).astype(n.dtype)
+                held = marks[: n.size].reshape(n.shape)
+                np.greater_equal(n, low, out=held)
+                marks[n.size : n.size + 8] = False
+                hit = np.flatnonzero(marks[: -(-n.size // 8) * 8].view(np.uint64))
+                hit = (hit[:, None] * 8 + np.arange(8)).ravel()
+                hit = hit[marks[hit]]
+                i, j = live[hit // len(b)], hit % len(b)
+                w = np.repeat(start[i] + each[i] - np.cumsum(each[i]), each[i]) + np.arange(each[i].sum())
+                j, hit = np.repeat(j, each[i]), np.repeat(hit, each[i])
+                good = (least[w] > 0) & has(b[j], nr[w])
+                w, j, hit = w[good], j[good], hit[good]
+                rank = rank_of(n.ravel()[hit].astype(np.int64), ax[who[w]] + by)
+                good = rank >= least[w]
+                waiting.append((w[good], bat[j[good]], rank[good]))
+                count += good.sum()
+            few = np.flatnonzero(least == 0)
+            for p in np.unique(nr[few]):
+                w, j = few[nr[few] == p], np.flatnonzero(has(b, p))
+                if len(j):
+                    rank = rank_of(counted(a[who[w]], b[j], room if len(w) * len(j) <= len(room) else np.empty(len(w) * len(j), np.uint64)).astype(np.int64), ax[who[w], None] + by)
+                    for _ in range(most):
+                        k = rank.argmax(axis=1)
+                        value = rank[np.arange(len(w)), k]
+                        waiting.append((w[value > 0], bat[j[k[value > 0]]], value[value > 0]))
+                        rank[np.arange(len(w)), k] = 0
+                    count += len(nr)
+            if count >= len(nr):
+                settle()
+                count = 0
+        if waiting:
+            settle()
+        k = best > 0
+        out.append((np.repeat(rows[who], k.sum(axis=1)), np.repeat(nr, k.sum(axis=1)), zu[k], best[k]))
+    return [np.concatenate(z) for z in zip(*out)]
+
+
+def _nearest_sets(sets: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """(von, nr, zu, rank): for each set and product number of asked the most alike sets with that product.
+
+    sets: at (in the order that settles ties), maske; asked: at, maske, will. Sets that ask are dealt in tiles, all sets in parts of bounded size, and each tile
+    meets each part in one task: what is dealt is the sets once for each tile, a few bytes each, and never pairs of them.
     """
-    spark = sets.sparkSession
-    left = blocks_of(asked, {"liste": "liste", "will": "will"}, ROWS_OF_BLOCK)
-    right = blocks_of(sets, {"liste": "deren"}, ROWS_OF_BLOCK).select(F.col("block").alias("_other"), F.col("at").alias("zu"), "deren")
-    pairs = left.crossJoin(right.hint("shuffle_replicate_nl")).withColumn("part", F.pmod(F.xxhash64("_other"), F.lit(FANS)))
-    pairs = pairs.repartition(4 * spark.sparkContext.defaultParallelism, "block", "part").select("block", "part", "at", "liste", "will", "zu", "deren").sortWithinPartitions("block", "part")
-    schema = "von long, nr int, zu long, rank int"
-
-    def kept(rows):
-        """The most best of each wanted product."""
-        place, zu, rank = rows
-        order = np.lexsort((zu, -rank.astype(np.int64), place))
-        place, zu, rank = place[order], zu[order], rank[order]
-        line, new = np.arange(len(place)), np.r_[True, place[1:] != place[:-1]][: len(place)]
-        keep = line - np.maximum.accumulate(np.where(new, line, 0)) < most
-        return [x[keep] for x in (place, zu, rank)]
-
-    def told(von, product, best):
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((von[best[0]], product[best[0]], *best[1:]), KINDS)], names=["von", "nr", "zu", "rank"])
-
-    def run(batches):
-        now = best = von = product = None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-                at, mine, will, zu, deren = (batch.column(c)[i].values for c in range(2, 7))
-                mine, will, deren = ([x.values.to_numpy(zero_copy_only=False) for x in c] for c in (mine, will, deren))
-                if key != now:
-                    if best is not None:
-                        yield told(von, product, best)
-                    now, best = key, [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-                    who, product = np.repeat(np.arange(len(will)), [len(x) for x in will]), np.concatenate(will)
-                    von = at.to_numpy()[who]
-                    least = np.zeros(len(who), np.int32)
-                found = best_sets(mine, who, product, least, deren, zu.to_numpy(), width, most)
-                best = kept([np.concatenate(x) for x in zip(best, found)])
-                full = np.bincount(best[0], minlength=len(who)) >= most
-                worst = np.full(len(who), np.iinfo(np.int32).max)
-                np.minimum.at(worst, best[0], best[2])
-                least = np.where(full, worst, 0).astype(np.int32)
-        if best is not None:
-            yield told(von, product, best)
-
-    found = pairs.mapInArrow(run, schema)
+    cores, n, m = sets.sparkSession.sparkContext.defaultParallelism, sets.count(), asked.count()
+    width = len((asked.select("maske").first() or [b""])[0]) + 8
+    tiles, parts = max(-(-m // ASKING), min(3 * cores, -(-m // ROWS))) or 1, -(-n * width // TILE_BYTES) or 1
+    block = F.pmod(F.xxhash64("at"), F.lit(max(parts, -(-n // ROWS_OF_BLOCK)))).cast("int")
+    packed = F.collect_list(F.struct("at", "maske"))
+    right = sets.groupBy(block.alias("block")).agg(packed.alias("_p")).select(F.pmod("block", F.lit(parts)).alias("part"), F.col("_p.at").alias("zu"), F.col("_p.maske").alias("deren"))
+    right = right.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    left = asked.withColumn("tile", F.pmod(F.xxhash64("at"), F.lit(tiles)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64)] * 4
+        if a.num_rows and b.num_rows:
+            at = np.concatenate([c.flatten().to_numpy() for c in b.column("zu").chunks])
+            deren = words([x for c in b.column("deren").chunks for x in c.flatten().to_pylist()])
+            von = a.column("at").to_numpy()
+            row, *found = best_sets(words(a.column("maske").to_pylist()), [np.asarray(w, np.int32) for w in a.column("will").to_pylist()], at, deren, most)
+            found = [von[row], *found]
+        return pa.table({k: pa.array(x, t) for k, x, t in zip(("von", "nr", "zu", "rank"), found, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))})
+
+    # a task to a tile and part, as nearly as hashing allows
+    deal = [F.col("tile"), F.col("part")]
+    found = left.groupBy(*deal).cogroup(right.groupBy(*deal)).applyInArrow(run, "von long, nr int, zu long, rank int")
+    if parts == 1:
+        return found
     order = Window.partitionBy("von", "nr").orderBy(F.desc("rank"), "zu")
     return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
 
@@ -459,38 +518,80 @@ def evidence(purchases: DataFrame, wanted: DataFrame, most: int = 3) -> DataFram
     """Why a product: for each (kunde_id, produkt_id) of wanted the most similar customers who own it.
 
     anderer, gemeinsam (the shared products, sorted), their number, the Jaccard similarity (four digits) and nr. What is found depends on what a customer
-    owns alone, so customers with the same products are one set. Catalogues up to BITS products are compared in blocks of sets, as
-    matrices; in larger ones buyers of a wanted product are met by an equi-join on it.
+    owns alone, so customers with the same products are one set. Catalogues up to BITS products are compared as bits, tiles of sets with tiles;
+    in larger ones buyers of a wanted product are met by an equi-join on it.
     """
-    own = cut(purchases.where("umsatz > 0 AND kunde_id IS NOT NULL AND produkt_id IS NOT NULL").select("kunde_id", "produkt_id").distinct())
-    numbers = cut(own.select("produkt_id").distinct().orderBy("produkt_id").coalesce(1).withColumn("_nr", F.monotonically_increasing_id().cast("int")))
-    lists = cut(own.join(numbers, "produkt_id").groupBy("kunde_id").agg(F.sort_array(F.collect_list(F.struct("_nr", "produkt_id"))).alias("_l")).select("kunde_id", F.col("_l._nr").alias("liste"), F.col("_l.produkt_id").alias("namen")))
-    asked = wanted.select("kunde_id", "produkt_id").distinct().join(numbers, "produkt_id").withColumnRenamed("_nr", "nr")
+    return evidence_listed(basket.listed(purchases), wanted, most)
+
+
+def evidence_listed(lists: DataFrame, wanted: DataFrame, most: int = 3, shared: bool = True) -> DataFrame:
+    """evidence() of purchases as basket.listed() gives them; gemeinsam only where shared."""
+    products = basket.products_of(lists, "teils", BITS)
+    if products is None:
+        found = _evidence_by_joins(lists, wanted, most)
+        return found if shared else found.drop("gemeinsam")
+    found = _evidence_by_bits(lists, wanted, products, most, shared).select("*", F.posexplode("best").alias("nr", "b"))
+    same = [_names_of(products, dict(lists.dtypes)["teils"])("maske", "b.deren").alias("gemeinsam")] if shared else []
+    n = F.pmod("b.rank", F.lit(2 * BITS))
+    return found.select("kunde_id", "produkt_id", "b.anderer", *same, n.cast("long").alias("n_gemeinsam"), ((F.col("b.rank") - n) / (2 * BITS) / 1e4).alias("jaccard"), (F.col("nr") + 1).alias("nr"))
+
+
+def _names_of(products: list, kind: str):
+    """A function of two masks: the products in both, in order."""
+    names = np.array(products, object)
+
+    @F.pandas_udf(kind)
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        bits = np.unpackbits((words(a) & words(b)).view(np.uint8), axis=1, bitorder="little")[:, : len(names)]
+        return pd.Series([names[np.flatnonzero(x)].tolist() for x in bits])
+
+    return run
+
+
+def _evidence_by_bits(lists: DataFrame, wanted: DataFrame, products: list, most: int, shared: bool) -> DataFrame:
+    """kunde_id, produkt_id, best: up to most of anderer and rank (and deren, beside the customer's own maske, where shared), the best first."""
+    spark = lists.sparkSession
+    kind = dict(lists.dtypes)["teils"].removeprefix("array<").removesuffix(">")
+    numbers = spark.createDataFrame(list(zip(products, range(len(products)))), f"produkt_id {kind}, nr int")
+    masks = stored(masked(lists.where("kunde_id IS NOT NULL AND size(teils) > 0"), products))
     # a customer may be among the best of its own set, so one more is kept of each
+    first = Window.partitionBy("maske").orderBy("kunde_id")
+    heads = masks.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most + 1)
+    sets = heads.groupBy("maske").agg(F.sort_array(F.collect_list("kunde_id")).alias("kunden"))
+    sets = stored(sets.orderBy(F.col("kunden")[0]).withColumn("at", F.monotonically_increasing_id()))
+    asked = wanted.select("kunde_id", "produkt_id").distinct().join(F.broadcast(numbers), "produkt_id")
+    asked = stored(asked.join(masks, "kunde_id").join(sets.select("maske", F.col("at").alias("von")), "maske").select("kunde_id", "produkt_id", "nr", "von", *["maske"] * shared))
+    will = asked.groupBy(F.col("von").alias("at")).agg(F.sort_array(F.collect_set("nr")).alias("will"))
+    near = _nearest_sets(sets.select("at", "maske"), stored(will.join(sets.select("at", "maske"), "at")), most + 1)
+    each = near.join(sets.select(F.col("at").alias("zu"), "kunden", F.col("maske").alias("deren")), "zu").select("von", "nr", "rank", *["deren"] * shared, F.explode("kunden").alias("anderer"))
+    last = F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "anderer", *["deren"] * shared)))
+    best = each.groupBy("von", "nr").agg(F.slice(last, 1, most + 1).alias("best"))  # no more than (most + 1) squared
+    others = F.slice(F.filter("best", lambda x: x["anderer"] != F.col("kunde_id")), 1, most)
+    told = F.transform(others, lambda x: F.struct(x["anderer"].alias("anderer"), (-x["r"]).alias("rank"), *[x["deren"].alias("deren")] * shared))
+    return asked.join(best, ["von", "nr"]).select("kunde_id", "produkt_id", *["maske"] * shared, told.alias("best"))
+
+
+def _evidence_by_joins(lists: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    lists = cut(lists.where("kunde_id IS NOT NULL AND size(teils) > 0").select("kunde_id", F.sort_array("teils").alias("liste")))
+    asked = wanted.select("kunde_id", "produkt_id").distinct()
     first = Window.partitionBy("liste").orderBy("kunde_id")
-    heads = lists.select("liste", "kunde_id").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most + 1)
+    heads = lists.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most + 1)
     sets = heads.groupBy("liste").agg(F.sort_array(F.collect_list("kunde_id")).alias("kunden"))
     sets = cut(sets.orderBy(F.col("kunden")[0]).withColumn("at", F.monotonically_increasing_id()))
     member = lists.join(sets.select("liste", F.col("at").alias("von")), "liste").select("kunde_id", "von")
     asked = cut(asked.join(member, "kunde_id"))
-    width = numbers.count()
-    if width <= BITS:
-        will = asked.groupBy(F.col("von").alias("at")).agg(F.sort_array(F.collect_set("nr")).alias("will"))
-        near = _nearest_sets(sets.select("at", "liste"), sets.select("at", "liste").join(will, "at"), width, most + 1)
-    else:
-        holders = sets.select(F.col("at").alias("zu"), F.col("liste").alias("deren"), F.explode("liste").alias("nr"))
-        pairs = asked.select("von", "nr").distinct().join(sets.select(F.col("at").alias("von"), "liste"), "von").join(holders, "nr")
-        pairs = pairs.select("von", "nr", "zu", F.size(F.array_intersect("liste", "deren")).alias("_n"), (F.size("liste") + F.size("deren")).alias("_alle")).where("_n > 0")
-        order = Window.partitionBy("von", "nr").orderBy(F.desc(even(F.col("_n") / (F.col("_alle") - F.col("_n")), 4)), F.desc("_n"), "zu")
-        near = pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most + 1)
-    named = sets.join(lists.select("kunde_id", "namen"), F.col("kunden")[0] == F.col("kunde_id")).select("at", "kunden", "namen")
-    near = near.select("von", "nr", "zu").join(named.select(F.col("at").alias("von"), F.col("namen").alias("_a")), "von").join(named.select(F.col("at").alias("zu"), F.col("namen").alias("_b"), "kunden"), "zu")
+    holders = sets.select(F.col("at").alias("zu"), F.col("liste").alias("deren"), F.explode("liste").alias("produkt_id"))
+    pairs = asked.select("von", "produkt_id").distinct().join(sets.select(F.col("at").alias("von"), "liste"), "von").join(holders, "produkt_id")
+    pairs = pairs.select("von", "produkt_id", "zu", F.size(F.array_intersect("liste", "deren")).alias("_n"), (F.size("liste") + F.size("deren")).alias("_alle")).where("_n > 0")
+    order = Window.partitionBy("von", "produkt_id").orderBy(F.desc(even(F.col("_n") / (F.col("_alle") - F.col("_n")), 4)), F.desc("_n"), "zu")
+    near = pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most + 1).select("von", "produkt_id", "zu")
+    near = near.join(sets.select(F.col("at").alias("von"), F.col("liste").alias("_a")), "von").join(sets.select(F.col("at").alias("zu"), F.col("liste").alias("_b"), "kunden"), "zu")
     shared = near.withColumn("gemeinsam", F.array_intersect("_a", "_b")).withColumn("n_gemeinsam", F.size("gemeinsam").cast("long"))
     shared = shared.withColumn("jaccard", even(F.col("n_gemeinsam") / (F.size("_a") + F.size("_b") - F.col("n_gemeinsam")), 4))
-    each = shared.select("von", "nr", "gemeinsam", "n_gemeinsam", "jaccard", F.explode("kunden").alias("anderer"))
+    each = shared.select("von", "produkt_id", "gemeinsam", "n_gemeinsam", "jaccard", F.explode("kunden").alias("anderer"))
     last = F.array_sort(F.collect_list(F.struct((-F.col("jaccard")).alias("j"), (-F.col("n_gemeinsam")).alias("n"), "anderer", "gemeinsam")))
-    best = each.groupBy("von", "nr").agg(F.slice(last, 1, most + 1).alias("best"))  # no more than (most + 1) squared
-    found = asked.join(best, ["von", "nr"]).select("kunde_id", "produkt_id", F.posexplode(F.slice(F.filter("best", lambda x: x["anderer"] != F.col("kunde_id")), 1, most)).alias("nr", "b"))
+    best = each.groupBy("von", "produkt_id").agg(F.slice(last, 1, most + 1).alias("best"))
+    found = asked.join(best, ["von", "produkt_id"]).select("kunde_id", "produkt_id", F.posexplode(F.slice(F.filter("best", lambda x: x["anderer"] != F.col("kunde_id")), 1, most)).alias("nr", "b"))
     return found.select("kunde_id", "produkt_id", "b.anderer", "b.gemeinsam", (-F.col("b.n")).alias("n_gemeinsam"), (-F.col("b.j")).alias("jaccard"), (F.col("nr") + 1).alias("nr"))
 
 
@@ -499,19 +600,51 @@ def explain(purchases: DataFrame, wanted: DataFrame, most: int = 3) -> DataFrame
 
     The bridge is the customer's product that most of the evidence shares; of equals the one that comes first in it.
     """
-    own = purchases.where("umsatz > 0").select("kunde_id", "produkt_id").distinct()
-    buyers = own.groupBy("produkt_id").agg(F.count("*").alias("alle"))
-    found = cut(evidence(purchases, wanted, most))
-    named = found.groupBy("kunde_id", "produkt_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nr", "anderer"))), lambda x: x["anderer"].cast("string")), ", ").alias("belege"))
-    shared = found.select("kunde_id", "produkt_id", "nr", F.explode("gemeinsam").alias("bruecke")).groupBy("kunde_id", "produkt_id", "bruecke").agg(F.count("*").alias("n"), F.min("nr").alias("erst"))
-    bridge = shared.groupBy("kunde_id", "produkt_id").agg(F.min_by("bruecke", F.struct(-F.col("n"), F.col("erst"), F.col("bruecke"))).alias("bruecke"))
-    rows = wanted.select("kunde_id", "produkt_id").distinct().join(buyers, "produkt_id", "left").join(own.withColumn("_own", F.lit(1)), ["kunde_id", "produkt_id"], "left")
-    rows = rows.join(named, ["kunde_id", "produkt_id"], "left").join(bridge, ["kunde_id", "produkt_id"], "left").withColumn("n_kunden", F.coalesce("alle", F.lit(0)) - F.coalesce("_own", F.lit(0)))
+    return explain_listed(basket.listed(purchases), wanted, most)
+
+
+def explain_listed(lists: DataFrame, wanted: DataFrame, most: int = 3) -> DataFrame:
+    """explain() of purchases as basket.listed() gives them."""
+    products = basket.products_of(lists, "teils", BITS)
+    text_of = lambda others: F.array_join(F.transform(others, lambda x: x["anderer"].cast("string")), ", ")
+    wanted = stored(wanted.select("kunde_id", "produkt_id").distinct())
+    if products is None:
+        found = stored(_evidence_by_joins(lists, wanted, most))
+        named = found.groupBy("kunde_id", "produkt_id").agg(text_of(F.sort_array(F.collect_list(F.struct("nr", "anderer")))).alias("belege"))
+        shared = found.select("kunde_id", "produkt_id", "nr", F.explode("gemeinsam").alias("bruecke")).groupBy("kunde_id", "produkt_id", "bruecke").agg(F.count("*").alias("n"), F.min("nr").alias("erst"))
+        bridge = shared.groupBy("kunde_id", "produkt_id").agg(F.min_by("bruecke", F.struct(-F.col("n"), F.col("erst"), F.col("bruecke"))).alias("bruecke"))
+        told = named.join(bridge, ["kunde_id", "produkt_id"], "left")
+    else:
+        found = _evidence_by_bits(lists, wanted, products, most, True).where(F.size("best") > 0)
+        told = found.select("kunde_id", "produkt_id", text_of("best").alias("belege"), _bridge(products, dict(lists.dtypes)["teils"], most)("maske", "best.deren").alias("bruecke"))
+    buyers = lists.select(F.explode("teils").alias("produkt_id")).groupBy("produkt_id").agg(F.count("*").alias("alle"))
+    rows = wanted.join(lists.select("kunde_id", "teils"), "kunde_id", "left").select("kunde_id", "produkt_id", F.coalesce(F.array_contains("teils", F.col("produkt_id")).cast("int"), F.lit(0)).alias("_own"))
+    rows = rows.join(told, ["kunde_id", "produkt_id"], "left").join(buyers if products is None else F.broadcast(buyers), "produkt_id", "left").withColumn("n_kunden", F.coalesce("alle", F.lit(0)) - F.col("_own"))
     text = F.concat(F.col("n_kunden").cast("string"), F.lit(" vergleichbare Kunden setzen dieses Produkt bereits ein – darunter "), F.col("belege"), F.lit("."))
     text = F.concat(text, F.lit(" Die Verbindung läuft vor allem über Ihr Produkt „"), F.col("bruecke"), F.lit("“."))
     return rows.select("kunde_id", "produkt_id", "n_kunden", "belege", "bruecke", F.coalesce(text, F.lit("Das Modell leitet die Empfehlung aus latenten Kaufmustern ab.")).alias("text"))
 
 
+def _bridge(products: list, kind: str, most: int):
+    """A function of a mask and a list of masks, the best first: the product in it that most of them have; of equals the one whose first is best, then the one that sorts first."""
+    names = np.array(products, object)
+
+    @F.pandas_udf(kind.removeprefix("array<").removesuffix(">"))
+    def run(mine: pd.Series, deren: pd.Series) -> pd.Series:
+        many = deren.str.len().to_numpy(np.int64)
+        who = np.repeat(np.arange(len(mine)), many)
+        place = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+        own, theirs = words(mine), words([x for masks in deren for x in masks])
+        score = np.zeros((len(mine), len(names)), np.int32)
+        for k in range(most):  # the place of the first counts less than one more, so the last one is looked at first
+            some = who[place == most - 1 - k]
+            bits = np.unpackbits((own[some] & theirs[place == most - 1 - k]).view(np.uint8), axis=1, bitorder="little")[:, : len(names)] > 0
+            score[some] = np.where(bits, score[some] // (most + 1) * (most + 1) + (most + 1) + k + 1, score[some])
+        return pd.Series(names[score.argmax(axis=1)])
+
+    return run
+
+
 def network(purchases: DataFrame) -> DataFrame:
     """One row: customers, products, edges between them and the density in per cent."""
     own = purchases.groupBy("kunde_id", "produkt_id").agg(F.max((F.col("umsatz") > 0).cast("int")).alias("kante"))

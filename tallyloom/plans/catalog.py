@@ -605,9 +605,8 @@ FROM (SELECT kunde_id, produkt_id, anderer, COUNT(*) AS n_gemeinsam FROM shared
 
 @query(with_roles("SELECT kunde_id, produkt_id, anderer, n_gemeinsam, jaccard, nr FROM beleg", "purchases", extra=EVIDENCE))
 def recommend_evidence(spark, sf_dir):
-    rows = purchases(spark, sf_dir)
-    own = owned(rows)
-    return recommend.evidence(rows, basket.recommend(own, basket.pairs(own))).drop("gemeinsam")
+    lists = basket.listed(purchases(spark, sf_dir))
+    return recommend.evidence_listed(lists, basket.recommend_listed(lists), shared=False)
 
 
 @query(

@@ -25,3 +25,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows as a table of the shared folder: compressed by column, for what is large and has values that repeat."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
