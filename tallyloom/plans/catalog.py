@@ -619,9 +619,8 @@ def recommend_evidence(spark, sf_dir):
     )
 )
 def recommend_explain(spark, sf_dir):
-    rows = purchases(spark, sf_dir)
-    own = owned(rows)
-    return recommend.explain(rows, basket.recommend(own, basket.pairs(own)))
+    lists = basket.listed(purchases(spark, sf_dir))
+    return recommend.explain_listed(lists, basket.recommend_listed(lists))
 
 
 @query(with_roles(f"SELECT COUNT(DISTINCT kunde_id) AS n_kunden, COUNT(DISTINCT produkt_id) AS n_produkte, CAST(SUM(kante) AS BIGINT) AS n_kanten, {ev('SUM(kante) / CAST(COUNT(DISTINCT kunde_id) * COUNT(DISTINCT produkt_id) AS DOUBLE) * 100', 1)} AS dichte FROM (SELECT kunde_id, produkt_id, MAX(CASE WHEN umsatz > 0 THEN 1 ELSE 0 END) AS kante FROM purchases GROUP BY ALL)", "purchases"))

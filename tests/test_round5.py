@@ -30,3 +30,21 @@ def test_evidence_deals_sets_and_no_pairs_of_them(spark):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert {(r.kunde_id, r.produkt_id, r.anderer, tuple(r.gemeinsam), r.n_gemeinsam, r.jaccard, r.nr) for r in found.collect()} == want
     assert "CartesianProduct" not in plan
+
+
+def test_explanations_read_purchases_once(spark):
+    """What is explained comes from one table of customers' lists; purchases are not evaluated for each use."""
+    draw = random.Random(5)
+    sets = {k: {f"p{draw.randint(0, 9)}" for _ in range(4)} for k in range(20)}
+    read = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            read.add(len(b))
+            yield pd.DataFrame(b)
+
+    rows = bought(spark, sets)
+    wanted = spark.createDataFrame([(k, "p1") for k in sets if "p1" not in sets[k]], "kunde_id long, produkt_id string")
+    got = recommend.explain(rows.mapInPandas(tell, rows.schema), wanted).collect()
+    assert len(got) == wanted.count() and all(r.belege for r in got if any(sets[r.kunde_id] & s for s in sets.values() if "p1" in s))
+    assert read.value == sum(map(len, sets.values()))
