@@ -5,7 +5,7 @@ import random
 import pandas as pd
 import pytest
 
-from tallyloom.operators import recommend
+from tallyloom.operators import recommend, resolve
 
 
 def bought(spark, sets):
@@ -48,3 +48,18 @@ def test_explanations_read_purchases_once(spark):
     got = recommend.explain(rows.mapInPandas(tell, rows.schema), wanted).collect()
     assert len(got) == wanted.count() and all(r.belege for r in got if any(sets[r.kunde_id] & s for s in sets.values() if "p1" in s))
     assert read.value == sum(map(len, sets.values()))
+
+
+def test_candidates_of_small_blocks_are_dealt_once(spark):
+    """Only blocks of more rows than a part holds are copied to several parts; parts give the pairs of the whole block."""
+    draw = random.Random(11)
+    rows = [(i, draw.choice(["", "10", "11", "12"]), draw.choice("abc")) for i in range(120)]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (a[1] == b[1] != "" or a[2] == b[2])}
+    frame = spark.createDataFrame(rows, "firma_id long, area string, letter string")
+    for most in (resolve.ROWS_OF_PART, 7):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(resolve, "ROWS_OF_PART", most)
+            found = resolve.candidates(frame)
+            got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert "explode([0,1,2" not in found._jdf.queryExecution().executedPlan().toString()
